@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import quality_rules, simhash, substring_dedup, suffix_dedup
+from . import byte_bpe, quality_rules, simhash, substring_dedup, suffix_dedup, token_files
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -25,15 +26,25 @@ def op6_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.digest(suffix_dedup.removed_spans(_docs(spark, sf_dir)))
 
 
+def op7_byte_level_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return byte_bpe.digest(_docs(spark, sf_dir), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
+
+
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.digest(substring_dedup.removed_words(_docs(spark, sf_dir)))
 
 
+def op9_token_id_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files.digest(_docs(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op5_simhash_near_dedup": op5_simhash_near_dedup,
     "op6_suffix_array_dedup": op6_suffix_array_dedup,
+    "op7_byte_level_bpe": op7_byte_level_bpe,
     "op8_substring_dedup": op8_substring_dedup,
+    "op9_token_id_output": op9_token_id_output,
 }
 
 SQL: dict[str, str] = {"op1_quality_rules": quality_rules.ORACLE_SQL}
