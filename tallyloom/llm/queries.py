@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, quality_rules, simhash, substring_dedup, suffix_dedup, token_files
+from . import byte_bpe, maxent_lm, quality_rules, simhash, substring_dedup, suffix_dedup, token_files
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -38,6 +38,10 @@ def op9_token_id_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.digest(_docs(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return maxent_lm.scores(_docs(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op5_simhash_near_dedup": op5_simhash_near_dedup,
@@ -45,6 +49,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_byte_level_bpe": op7_byte_level_bpe,
     "op8_substring_dedup": op8_substring_dedup,
     "op9_token_id_output": op9_token_id_output,
+    "op10_lm_scoring": op10_lm_scoring,
 }
 
 SQL: dict[str, str] = {"op1_quality_rules": quality_rules.ORACLE_SQL}
