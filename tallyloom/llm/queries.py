@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, maxent_lm, quality_rules, simhash, substring_dedup, suffix_dedup, token_files
+from . import byte_bpe, maxent_lm, quality_rules, sharding, simhash, substring_dedup, suffix_dedup, token_files
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -18,6 +18,10 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.report(_docs(spark, sf_dir))
 
 
+def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.assigned(_docs(spark, sf_dir))
+
+
 def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_docs(spark, sf_dir))
 
@@ -44,6 +48,7 @@ def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
+    "op4_sharding": op4_sharding,
     "op5_simhash_near_dedup": op5_simhash_near_dedup,
     "op6_suffix_array_dedup": op6_suffix_array_dedup,
     "op7_byte_level_bpe": op7_byte_level_bpe,
