@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, maxent_lm, quality_rules, sharding, simhash, substring_dedup, suffix_dedup, token_files
+from . import byte_bpe, decontamination, maxent_lm, quality_gam, quality_rules, sharding, simhash, substring_dedup, suffix_dedup, token_files
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -18,6 +18,14 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.report(_docs(spark, sf_dir))
 
 
+def op2_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.contaminated(_docs(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_gam.classified(_docs(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assigned(_docs(spark, sf_dir))
 
@@ -48,6 +56,8 @@ def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
+    "op2_benchmark_decontamination": op2_benchmark_decontamination,
+    "op3_quality_classifier": op3_quality_classifier,
     "op4_sharding": op4_sharding,
     "op5_simhash_near_dedup": op5_simhash_near_dedup,
     "op6_suffix_array_dedup": op6_suffix_array_dedup,
