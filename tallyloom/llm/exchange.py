@@ -17,13 +17,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 PART_BYTES = 16 << 20
+LEAST_BYTES = 1 << 20
 MESSAGE = "part int, bucket int, payload binary"
 
 
 def in_parts(docs: DataFrame, *columns: str) -> tuple[DataFrame, int]:
-    """Documents with an evenly dealt ``part``, and the number of parts (about 16 MB of text each)."""
+    """Documents with an evenly dealt ``part``, and the number of parts.
+
+    The bytes decide: parts have at most about PART_BYTES, and no fewer than LEAST_BYTES where the
+    session asks for more partitions. Messages between parts and buckets are as many as their
+    product at most, and never more than the hashes sent.
+    """
     total = docs.select(F.sum(F.octet_length("text"))).first()[0] or 0
-    n = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(total / PART_BYTES))
+    asked = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n = max(1, math.ceil(total / PART_BYTES), min(asked, math.ceil(total / LEAST_BYTES)))
     part = F.pmod(F.xxhash64(*columns, F.octet_length("text")), F.lit(n)).cast("int").alias("part")
     return docs.select(*columns, "text", part), n
 
