@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 LETTER, NUMBER, OTHER, SPACE_LAST, SPACE, WHITE_LAST, WHITE, SHORT, LONG, BREAK = range(10)
 APOSTROPHE = 39
 END = 0x110000
-CACHE = 400_000
+CACHE = 250_000
 
 # Letters and numbers of Unicode 16, which Python's table does not have yet.
 LETTERS_16 = (
@@ -272,18 +272,25 @@ def _batches(texts) -> Iterator[list[str]]:
         yield held
 
 
-def encoded(docs: DataFrame, path: str) -> DataFrame:
-    """doc_id and ids (binary: little-endian unsigned 32-bit) of every text; ``path``: the rank file."""
+def encoded(docs: DataFrame, path: str, with_decoded: bool = False) -> DataFrame:
+    """doc_id and ids (binary: little-endian unsigned 32-bit) of every text; ``path``: the rank file.
+
+    ``with_decoded`` adds the bytes that the ids decode to, made in the same worker.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         coder = codec(path)
         for pdf in batches:
             at = 0
             for texts in _batches(pdf["text"]):
-                yield pd.DataFrame({"doc_id": pdf["doc_id"].iloc[at : at + len(texts)].array, "ids": coder.encode(texts)})
+                out = pd.DataFrame({"doc_id": pdf["doc_id"].iloc[at : at + len(texts)].array, "ids": coder.encode(texts)})
+                if with_decoded:
+                    out["decoded"] = [coder.decode(np.frombuffer(x, "<u4"))[0] for x in out["ids"]]
+                yield out
                 at += len(texts)
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInPandas(run, "doc_id long, ids binary")
+    schema = "doc_id long, ids binary" + ", decoded binary" * with_decoded
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInPandas(run, schema)
 
 
 def decoded(tokens: DataFrame, path: str) -> DataFrame:
@@ -297,8 +304,13 @@ def decoded(tokens: DataFrame, path: str) -> DataFrame:
     return tokens.select("doc_id", "ids").mapInPandas(run, "doc_id long, ids binary, decoded binary")
 
 
+def with_digests(docs: DataFrame, path: str) -> DataFrame:
+    """doc_id, n_tokens, ids and the digests of the ids and of the bytes that they decode to."""
+    return encoded(docs, path, with_decoded=True).selectExpr(
+        "doc_id", "CAST(octet_length(ids) DIV 4 AS BIGINT) AS n_tokens", "ids", "sha2(ids, 256) AS ids_sha256", "sha2(decoded, 256) AS decoded_sha256"
+    )
+
+
 def digest(docs: DataFrame, path: str) -> DataFrame:
     """The columns of query op7: every text is encoded, and its ids are decoded again."""
-    return decoded(encoded(docs, path), path).selectExpr(
-        "doc_id", "CAST(octet_length(ids) DIV 4 AS BIGINT) AS n_tokens", "sha2(ids, 256) AS ids_sha256", "sha2(decoded, 256) AS decoded_sha256"
-    )
+    return with_digests(docs, path).drop("ids")
