@@ -24,6 +24,7 @@ import uuid
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -38,7 +39,7 @@ PERCENTILE = 90
 END_ID = 1
 #: Ids of a file; a range with more goes on in the next file. A document is never split.
 FILE_IDS = 8_000_000
-CACHE = 400_000
+CACHE = 250_000
 HEADER = struct.Struct("<4sIQI")
 MAGIC = b"PFR1"
 
@@ -166,16 +167,24 @@ class _Encoder(dict):
         self.older: dict[bytes, bytes] = {}
 
     def ids(self, texts: list[bytes]) -> list[np.ndarray]:
-        split = [t.split() for t in texts]
+        # A-Z are lowered by the tokenizer anyhow, but not in what may be a special token
+        split = [(t if b"<|" in t else t.lower()).split() for t in texts]
         if len(self) >= CACHE:
             self.older = dict(self)
             self.clear()
-        new = list({w for words in split for w in words if w not in self})
-        fresh = [w for w in new if w not in self.older]
-        self.update((w, self.older[w]) for w in new if w in self.older)
+        new = set(chain.from_iterable(split)) - self.keys()
+        again = new & self.older.keys()
+        self.update((w, self.older[w]) for w in again)
+        new -= again
+        # a full stop or comma after a letter is a piece of its own
+        ended = [w for w in new if len(w) > 1 and w[-1] in b".," and 97 <= w[-2] <= 122]
+        fresh = new.difference(ended)
+        fresh.update(x for w in ended for x in (w[:-1], w[-1:]) if x not in self)
         if fresh:
-            made = self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in fresh], add_special_tokens=False)
-            self.update((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(fresh, made, strict=True))
+            ordered = list(fresh)
+            made = self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in ordered], add_special_tokens=False)
+            self.update((w, struct.pack(f"<{len(e)}I", *e.ids)) for w, e in zip(ordered, made, strict=True))
+        self.update((w, self[w[:-1]] + self[w[-1:]]) for w in ended)
         look = self.__getitem__
         end = struct.pack("<I", END_ID)
         return [np.frombuffer(b"".join([*map(look, words), end]), "<u4") for words in split]
