@@ -226,7 +226,7 @@ def test_decontamination(spark, docs, rows):
     items = [(k, prose(rng, 30)) for k in range(12)] + [(50, "too short"), (51, None), (52, "")]
     text = dict(items)
     w = text[2].split()
-    leaks = [(900, f"start {text[0]} end"), (901, text[1].upper().replace(" ", ", ")), (902, " ".join(w[15:] + ["between"] + w[:15])), (903, " ".join(text[3].split()[:20]))]
+    leaks = [(900, f"start {text[0]} end"), (901, "".join(c.upper() if c.isascii() else c for c in text[1]).replace(" ", ", ")), (902, " ".join(w[15:] + ["between"] + w[:15])), (903, " ".join(text[3].split()[:20]))]
     made = frame(spark, rows + leaks)
     bench = spark.createDataFrame([(i, t, "x") for i, t in items], "item_id long, text string, doc_id string")
     pairs = {(r.doc_id, r.item_id, r.covered_tokens) for r in decontamination.contaminated(made, bench).collect()}
