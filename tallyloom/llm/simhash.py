@@ -30,6 +30,7 @@ from .scratch import staged
 SHINGLE = 3
 BITS = 2
 SEGMENTS = (13, 13, 13, 13, 12)
+KEY_BITS = 26
 #: Members of a key that are compared at once; a key with more is dealt into pairs of such blocks.
 MEMBERS = 2048
 
@@ -90,11 +91,11 @@ def _keys(column: str) -> F.Column:
     out = []
     for i, at in enumerate(_segment_starts()):
         j = (i + 1) % len(SEGMENTS)
-        key = F.lit(i).cast("long")
+        key = F.lit(0).cast("long")
         for k, start in ((i, at), (j, _segment_starts()[j])):
             piece = F.shiftrightunsigned(column, start).bitwiseAND(F.lit((1 << SEGMENTS[k]) - 1).cast("long"))
             key = F.shiftleft(key, SEGMENTS[k]).bitwiseOR(piece)
-        out.append(key)
+        out.append(key.bitwiseOR(F.lit(i << KEY_BITS).cast("long")))
     return F.array(*out)
 
 
@@ -170,8 +171,6 @@ def links(named: DataFrame, bits: int = BITS) -> DataFrame:
         (F.least("own", "other").cast("long") * F.col("pieces") + F.greatest("own", "other")).alias("pair"),
         (F.col("own") > F.col("other")).cast("int").alias("side"),
     )
-    shift = sum(SEGMENTS[:2])
-
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in _blocks_in(batches):
             key, pair = pdf["key"].to_numpy(), pdf["pair"].to_numpy()
@@ -179,7 +178,7 @@ def links(named: DataFrame, bits: int = BITS) -> DataFrame:
             cuts = np.flatnonzero((key[1:] != key[:-1]) | (pair[1:] != pair[:-1])) + 1
             found = []
             for x in np.split(np.arange(len(key)), cuts):
-                first = int(key[x[0]]) >> (shift if int(key[x[0]]) >> shift < 3 else shift - 1)
+                first = int(key[x[0]]) >> KEY_BITS
                 found += [(names[x[i]], names[x[j]]) for i, j in _forest(prints[x], side[x], first, bits)]
             yield pd.DataFrame(found, columns=["src", "dst"], dtype="int64")
 
