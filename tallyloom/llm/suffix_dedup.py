@@ -25,6 +25,7 @@ import struct
 
 import numpy as np
 import pandas as pd
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -135,15 +136,19 @@ class Stretches:
         texts = [self.texts[i] for i in x.tolist()]
         ids = np.array([self.least[i] for i in x.tolist()], np.int64)
         sizes = np.array([len(t) for t in texts], np.uint16)
-        return b"".join([struct.pack("<I", len(texts)), ids.tobytes(), self.hash_array[x].tobytes(), sizes.tobytes(), *texts])
+        # half of the hash tells anchors of a bucket apart; those that it confuses are sorted together
+        low = self.hash_array[x].astype(np.uint32)
+        raw = b"".join([struct.pack("<I", len(texts)), ids.tobytes(), low.tobytes(), sizes.tobytes(), *texts])
+        return zstandard.compress(raw, 3)
 
 
 def _unpacked(payload: bytes):
+    payload = zstandard.decompress(payload)
     (n,) = struct.unpack_from("<I", payload)
     ids = np.frombuffer(payload, np.int64, n, 4)
-    hashes = np.frombuffer(payload, np.uint64, n, 4 + 8 * n)
-    sizes = np.frombuffer(payload, np.uint16, n, 4 + 16 * n).astype(np.int64)
-    return ids, hashes, sizes, np.frombuffer(payload, np.uint8, offset=4 + 18 * n)
+    hashes = np.frombuffer(payload, np.uint32, n, 4 + 8 * n)
+    sizes = np.frombuffer(payload, np.uint16, n, 4 + 12 * n).astype(np.int64)
+    return ids, hashes, sizes, np.frombuffer(payload, np.uint8, offset=4 + 14 * n)
 
 
 def _ranked(keys: np.ndarray) -> np.ndarray:
