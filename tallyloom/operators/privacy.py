@@ -23,7 +23,6 @@ def counts(df: DataFrame, key: str, text: str = "text") -> DataFrame:
     return df.select(key, *[F.coalesce(F.regexp_count(text, F.lit(p)), F.lit(0)).alias(f"n_{k}") for k, p, _ in PATTERNS])
 
 
-@F.pandas_udf("array<struct<kind:string,value:string,first:int,last:int,confidence:double>>")
 def _hits(texts: pd.Series) -> pd.Series:
     found = [(k, re.compile(p), c) for k, p, c in PATTERNS]
     return texts.map(lambda t: [{"kind": k, "value": m.group(), "first": m.start(), "last": m.end(), "confidence": c} for k, p, c in found for m in p.finditer(t)] if isinstance(t, str) else [])
@@ -31,7 +30,7 @@ def _hits(texts: pd.Series) -> pd.Series:
 
 def spans(df: DataFrame, key: str, text: str = "text") -> DataFrame:
     """Every hit with its place and confidence."""
-    return df.select(key, F.explode(_hits(F.col(text))).alias("h")).select(key, "h.*")
+    return df.select(key, F.explode(F.pandas_udf(_hits, "array<struct<kind:string,value:string,first:int,last:int,confidence:double>>")(F.col(text))).alias("h")).select(key, "h.*")
 
 
 def classification(text: str, kind: str = "other") -> Column:

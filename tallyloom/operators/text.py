@@ -124,14 +124,13 @@ def answer_features(messages: DataFrame, key: str, text: str = "text") -> DataFr
 _SPANS = (("number", re.compile(r"-?\d+(?:\.\d+)?")), ("quoted", re.compile(r"'([^']*)'|\"([^\"]*)\"")), ("date", re.compile(r"\d{4}-\d{2}-\d{2}")), ("operator", re.compile(r">=|<=|!=|=|>|<|\b(?:greater than|less than|equals|contains)\b", re.IGNORECASE)))
 
 
-@F.pandas_udf("array<struct<kind:string,text:string,first:int,last:int>>")
 def _entity_spans(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: [] if not isinstance(t, str) else sorted(({"kind": k, "text": m.group(0), "first": m.start(), "last": m.end()} for k, p in _SPANS for m in p.finditer(t)), key=lambda x: (x["first"], x["kind"])))
 
 
 def entities(questions: DataFrame, key: str, text: str = "text") -> DataFrame:
     """Numbers, dates, operators and quoted values with their places."""
-    return questions.select(key, F.explode(_entity_spans(F.col(text))).alias("e")).select(key, "e.*")
+    return questions.select(key, F.explode(F.pandas_udf(_entity_spans, "array<struct<kind:string,text:string,first:int,last:int>>")(F.col(text))).alias("e")).select(key, "e.*")
 
 
 def filter_conditions(spans: DataFrame, named: DataFrame, key: str) -> DataFrame:

@@ -28,7 +28,7 @@ def query(name: str, sql: str | None = None):
     return add
 
 
-def _rounded(df: DataFrame, digits: int = 4) -> DataFrame:
+def _rounded(df: DataFrame, digits: int = 6) -> DataFrame:
     return df.select(*[F.round(c, digits).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
 
 
@@ -62,12 +62,12 @@ def _view(spark: SparkSession, d: str, sql: str) -> DataFrame:
 # --- questions ---------------------------------------------------------------------------------------
 
 
-@query("agg_global", "SELECT round(sum(l_quantity), 4) AS sum_l_quantity, round(sum(l_extendedprice), 4) AS sum_l_extendedprice FROM lineitem WHERE l_quantity >= 10 AND l_returnflag = 'A'")
+@query("agg_global", "SELECT round(sum(l_quantity), 6) AS sum_l_quantity, round(sum(l_extendedprice), 6) AS sum_l_extendedprice FROM lineitem WHERE l_quantity >= 10 AND l_returnflag = 'A'")
 def _(spark, d):
     return _rounded(templates.aggregate(table(spark, d, "lineitem"), "SUM", ["l_quantity", "l_extendedprice"], [("l_quantity", "at least", 10.0), ("l_returnflag", "=", "A")]))
 
 
-@query("agg_median_std", "SELECT round(median(l_quantity), 4) AS median_l_quantity, round(median(l_extendedprice), 4) AS median_l_extendedprice FROM lineitem")
+@query("agg_median_std", "SELECT round(median(l_quantity), 6) AS median_l_quantity, round(median(l_extendedprice), 6) AS median_l_extendedprice FROM lineitem")
 def _(spark, d):
     return _rounded(templates.aggregate(table(spark, d, "lineitem"), "MEDIAN", ["l_quantity", "l_extendedprice"]))
 
@@ -77,17 +77,17 @@ def _(spark, d):
     return templates.aggregate(table(spark, d, "orders"), "COUNT", [])
 
 
-@query("compare_groups", "SELECT l_returnflag, round(avg(l_extendedprice), 4) AS avg_l_extendedprice, round(avg(l_quantity), 4) AS avg_l_quantity FROM lineitem GROUP BY 1")
+@query("compare_groups", "SELECT l_returnflag, round(avg(l_extendedprice), 6) AS avg_l_extendedprice, round(avg(l_quantity), 6) AS avg_l_quantity FROM lineitem GROUP BY 1")
 def _(spark, d):
     return _rounded(templates.compare_groups(table(spark, d, "lineitem"), ["l_extendedprice", "l_quantity"], "l_returnflag"))
 
 
-@query("trend_daily", "SELECT CAST(o_orderdate AS DATE) AS day, round(avg(o_totalprice), 4) AS avg_o_totalprice FROM orders GROUP BY 1")
+@query("trend_daily", "SELECT CAST(o_orderdate AS DATE) AS day, round(avg(o_totalprice), 6) AS avg_o_totalprice FROM orders GROUP BY 1")
 def _(spark, d):
     return _rounded(templates.trend(table(spark, d, "orders").withColumn("day", F.to_date("o_orderdate")), "day", "o_totalprice"))
 
 
-@query("distribution", f"SELECT flag, count(*) AS count, round(count(*) * 100.0 / (SELECT count(*) FROM lineitem), 4) AS percentage FROM ({HOLES}) GROUP BY 1")
+@query("distribution", f"SELECT flag, count(*) AS count, round(count(*) * 100.0 / (SELECT count(*) FROM lineitem), 6) AS percentage FROM ({HOLES}) GROUP BY 1")
 def _(spark, d):
     return _rounded(templates.distribution(_view(spark, d, HOLES), "flag"))
 
@@ -142,7 +142,7 @@ def _(spark, d):
 
 
 @query("query_checks", """SELECT o_orderkey AS query_id, CAST(o_orderkey % 3 = 0 AS INT) AS unknown_columns, o_orderkey % 4 = 0 AS dangerous, CAST(o_orderkey % 3 = 0 AS INT) + CAST(o_orderkey % 4 = 0 AS INT) + CAST(o_orderkey % 4 = 0 AS INT) AS n_errors,
-  o_orderkey % 4 <> 0 AS unbounded, o_orderkey % 3 <> 0 AND o_orderkey % 4 <> 0 AS valid, round(greatest(0, 1 - 0.2 * (CAST(o_orderkey % 3 = 0 AS INT) + 2 * CAST(o_orderkey % 4 = 0 AS INT))), 4) AS confidence FROM orders""")
+  o_orderkey % 4 <> 0 AS unbounded, o_orderkey % 3 <> 0 AND o_orderkey % 4 <> 0 AS valid, round(greatest(0, 1 - 0.2 * (CAST(o_orderkey % 3 = 0 AS INT) + 2 * CAST(o_orderkey % 4 = 0 AS INT))), 6) AS confidence FROM orders""")
 def _(spark, d):
     q = table(spark, d, "orders").selectExpr("o_orderkey AS query_id", "IF(o_orderkey % 4 = 0, 'DROP TABLE created_at FROM x', 'SELECT * FROM orders') AS sql", "IF(o_orderkey % 3 = 0, array('a', 'zz'), array('a')) AS used_columns")
     return _rounded(filters.query_checks(q, ["a", "b"]))
@@ -158,7 +158,7 @@ def _(spark, d):
     return types.detect(_view(spark, d, TEXTS), list(_KIND)).select("name", "data_type")
 
 
-@query("type_convert", f"""SELECT l_orderkey, l_linenumber, round(CAST(replace(price, '$', '') AS DOUBLE), 4) AS price, round(CAST(replace(discount, '%', '') AS DOUBLE) / 100, 4) AS discount, CAST(quantity AS DOUBLE) AS quantity, returned = 'yes' AS returned,
+@query("type_convert", f"""SELECT l_orderkey, l_linenumber, round(CAST(replace(price, '$', '') AS DOUBLE), 6) AS price, round(CAST(replace(discount, '%', '') AS DOUBLE) / 100, 6) AS discount, CAST(quantity AS DOUBLE) AS quantity, returned = 'yes' AS returned,
   CASE WHEN status IN ('N/A', '') THEN NULL ELSE status END AS status, CAST(day AS DATE) AS day FROM ({TEXTS})""")
 def _(spark, d):
     v = _view(spark, d, TEXTS)
@@ -173,18 +173,18 @@ def _(spark, d):
 _COLS = ("o_orderkey", "customer", "status", "total", "priority")
 
 
-@query("profile_columns", " UNION ALL ".join(f"""SELECT '{c}' AS name, count(*) AS total, count(*) - count({c}) AS nulls, count({c}) AS non_nulls, count(DISTINCT {c}) AS unique_values, round((count(*) - count({c})) * 100.0 / count(*), 4) AS null_percent,
-  round(count(DISTINCT {c}) * 100.0 / count({c}), 4) AS unique_percent, (count(*) - count({c})) * 100.0 / count(*) > 5 AS nullable, count(DISTINCT {c}) = count(*) AS primary_key_candidate, count(DISTINCT {c}) <= 20 AND count(DISTINCT {c}) < count({c}) AS categorical FROM ({ORDERS})""" for c in _COLS))
+@query("profile_columns", " UNION ALL ".join(f"""SELECT '{c}' AS name, count(*) AS total, count(*) - count({c}) AS nulls, count({c}) AS non_nulls, count(DISTINCT {c}) AS unique_values, round((count(*) - count({c})) * 100.0 / count(*), 6) AS null_percent,
+  round(count(DISTINCT {c}) * 100.0 / count({c}), 6) AS unique_percent, (count(*) - count({c})) * 100.0 / count(*) > 5 AS nullable, count(DISTINCT {c}) = count(*) AS primary_key_candidate, count(DISTINCT {c}) <= 20 AND count(DISTINCT {c}) < count({c}) AS categorical FROM ({ORDERS})""" for c in _COLS))
 def _(spark, d):
     return _rounded(profile.columns(_view(spark, d, ORDERS)))
 
 
-@query("profile_numbers", " UNION ALL ".join(f"SELECT '{c}' AS name, CAST(min({c}) AS DOUBLE) AS min, CAST(max({c}) AS DOUBLE) AS max, round(avg({c}), 4) AS mean, round(median({c}), 4) AS median, round(stddev_samp({c}), 4) AS std, bool_and({c} = floor({c})) AS is_integer FROM ({ORDERS})" for c in ("customer", "total")))
+@query("profile_numbers", " UNION ALL ".join(f"SELECT '{c}' AS name, CAST(min({c}) AS DOUBLE) AS min, CAST(max({c}) AS DOUBLE) AS max, round(avg({c}), 6) AS mean, round(median({c}), 6) AS median, round(stddev_samp({c}), 6) AS std, bool_and({c} = floor({c})) AS is_integer FROM ({ORDERS})" for c in ("customer", "total")))
 def _(spark, d):
     return _rounded(profile.numbers(_view(spark, d, ORDERS), ["customer", "total"]))
 
 
-@query("profile_texts", " UNION ALL ".join(f"""SELECT '{c}' AS name, min(length({c})) AS min_length, max(length({c})) AS max_length, round(avg(length({c})), 4) AS avg_length, bool_or(regexp_matches({c}, '[^a-zA-Z0-9\\s]')) AS special, bool_and({c} = upper({c}) AND {c} <> lower({c})) AS all_upper,
+@query("profile_texts", " UNION ALL ".join(f"""SELECT '{c}' AS name, min(length({c})) AS min_length, max(length({c})) AS max_length, round(avg(length({c})), 6) AS avg_length, bool_or(regexp_matches({c}, '[^a-zA-Z0-9\\s]')) AS special, bool_and({c} = upper({c}) AND {c} <> lower({c})) AS all_upper,
   bool_and({c} = lower({c}) AND {c} <> upper({c})) AS all_lower, '' AS shapes FROM part""" for c in ("p_name", "p_brand", "p_type")))
 def _(spark, d):
     return _rounded(profile.texts(table(spark, d, "part"), ["p_name", "p_brand", "p_type"]))
@@ -195,12 +195,12 @@ def _(spark, d):
     return profile.dates(table(spark, d, "orders"), ["o_orderdate"]).withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("first", "last")})
 
 
-@query("missing_report", " UNION ALL ".join(f"SELECT '{c}' AS name, count(*) AS total, count(*) - count({c}) AS missing, round((count(*) - count({c})) * 100.0 / count(*), 4) AS missing_percent, (count(*) - count({c})) * 100.0 / count(*) > 50 AS over_half FROM ({ORDERS})" for c in _COLS))
+@query("missing_report", " UNION ALL ".join(f"SELECT '{c}' AS name, count(*) AS total, count(*) - count({c}) AS missing, round((count(*) - count({c})) * 100.0 / count(*), 6) AS missing_percent, (count(*) - count({c})) * 100.0 / count(*) > 50 AS over_half FROM ({ORDERS})" for c in _COLS))
 def _(spark, d):
     return _rounded(profile.missing_report(_view(spark, d, ORDERS)))
 
 
-@query("quality_scores", " UNION ALL ".join(f"SELECT '{c}' AS name, 1.0::DOUBLE AS completeness, 1.0::DOUBLE AS validity, 1.0::DOUBLE AS consistency, round(count(DISTINCT {c}) / count(*), 4) AS uniqueness FROM ({TEXTS})" for c in ("price", "discount", "quantity", "day")))
+@query("quality_scores", " UNION ALL ".join(f"SELECT '{c}' AS name, 1.0::DOUBLE AS completeness, 1.0::DOUBLE AS validity, 1.0::DOUBLE AS consistency, round(count(DISTINCT {c}) / count(*), 6) AS uniqueness FROM ({TEXTS})" for c in ("price", "discount", "quantity", "day")))
 def _(spark, d):
     return _rounded(profile.quality_scores(_view(spark, d, TEXTS), {c: _KIND[c] for c in ("price", "discount", "quantity", "day")}))
 
@@ -238,12 +238,12 @@ def _filled(name: str, sql: str, run) -> None:
         return _rounded(run(_view(spark, d, HOLES)).select("l_orderkey", "l_linenumber", "l_partkey", "flag" if name == "fill_mode" else "quantity"))
 
 
-_filled("fill_mean", _FILL.format("round(coalesce(quantity, m), 4) AS quantity", f"CROSS JOIN (SELECT avg(quantity) AS m FROM ({HOLES}))"), lambda v: missing.fill_mean(v, "quantity"))
-_filled("fill_median", _FILL.format("round(coalesce(quantity, m), 4) AS quantity", f"CROSS JOIN (SELECT median(quantity) AS m FROM ({HOLES}))"), lambda v: missing.fill_median(v, "quantity"))
+_filled("fill_mean", _FILL.format("round(coalesce(quantity, m), 6) AS quantity", f"CROSS JOIN (SELECT avg(quantity) AS m FROM ({HOLES}))"), lambda v: missing.fill_mean(v, "quantity"))
+_filled("fill_median", _FILL.format("round(coalesce(quantity, m), 6) AS quantity", f"CROSS JOIN (SELECT median(quantity) AS m FROM ({HOLES}))"), lambda v: missing.fill_median(v, "quantity"))
 _filled("fill_mode", _FILL.format("coalesce(flag, m) AS flag", f"CROSS JOIN (SELECT flag AS m FROM ({HOLES}) WHERE flag IS NOT NULL GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1)"), lambda v: missing.fill_mode(v, "flag"))
 _filled("fill_zero", _FILL.format("coalesce(quantity, 0) AS quantity", ""), lambda v: missing.fill_value(v, "quantity", 0.0))
 _filled("drop_missing", _FILL.format("quantity", "WHERE quantity IS NOT NULL"), lambda v: missing.drop_missing(v, "quantity"))
-_filled("fill_outlier", _FILL.format("round(coalesce(quantity, m), 4) AS quantity", f"CROSS JOIN (SELECT median(quantity) AS m FROM ({HOLES}) CROSS JOIN (SELECT avg(quantity) AS a, stddev_pop(quantity) AS s FROM ({HOLES})) WHERE abs(quantity - a) / s < 3)"), lambda v: missing.fill_outlier_median(v, "quantity"))
+_filled("fill_outlier", _FILL.format("round(coalesce(quantity, m), 6) AS quantity", f"CROSS JOIN (SELECT median(quantity) AS m FROM ({HOLES}) CROSS JOIN (SELECT avg(quantity) AS a, stddev_pop(quantity) AS s FROM ({HOLES})) WHERE abs(quantity - a) / s < 3)"), lambda v: missing.fill_outlier_median(v, "quantity"))
 
 EVENT_HOLES = "SELECT event_id, user_id, ts, CASE WHEN event_id % 7 IN (0, 1) THEN NULL ELSE value END AS value FROM events"
 
@@ -265,20 +265,20 @@ def _(spark, d):
 
 @query("interpolate", f"""WITH r AS (SELECT *, row_number() OVER w AS i FROM ({EVENT_HOLES}) WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)), k AS (SELECT *, CASE WHEN value IS NOT NULL THEN i END AS ki FROM r),
   n AS (SELECT *, last_value(value IGNORE NULLS) OVER b AS pv, last_value(ki IGNORE NULLS) OVER b AS pi, first_value(value IGNORE NULLS) OVER f AS nv, first_value(ki IGNORE NULLS) OVER f AS ni FROM k WINDOW b AS (PARTITION BY user_id ORDER BY i), f AS (PARTITION BY user_id ORDER BY i ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))
-  SELECT event_id, round(coalesce(value, pv + (nv - pv) * (i - pi) / nullif(ni - pi, 0), CASE WHEN ni IS NULL THEN pv END), 4) AS value FROM n""")
+  SELECT event_id, round(coalesce(value, pv + (nv - pv) * (i - pi) / nullif(ni - pi, 0), CASE WHEN ni IS NULL THEN pv END), 6) AS value FROM n""")
 def _(spark, d):
     return _rounded(missing.interpolate(_view(spark, d, EVENT_HOLES), "value", ["ts", "event_id"], ["user_id"]).select("event_id", "value"))
 
 
 @query("knn_impute", """WITH s AS (SELECT s_suppkey, CAST(s_nationkey AS DOUBLE) AS x, CASE WHEN s_suppkey % 5 = 2 THEN NULL ELSE s_acctbal END AS y FROM supplier),
   n AS (SELECT a.s_suppkey, b.y, row_number() OVER (PARTITION BY a.s_suppkey ORDER BY sqrt((a.x - b.x) * (a.x - b.x)), b.s_suppkey) AS r FROM s a JOIN s b ON a.y IS NULL AND b.y IS NOT NULL)
-  SELECT s_suppkey, round(y, 4) AS y FROM s WHERE y IS NOT NULL UNION ALL SELECT s_suppkey, round(avg(y), 4) FROM n WHERE r <= 3 GROUP BY 1""")
+  SELECT s_suppkey, round(y, 6) AS y FROM s WHERE y IS NOT NULL UNION ALL SELECT s_suppkey, round(avg(y), 6) FROM n WHERE r <= 3 GROUP BY 1""")
 def _(spark, d):
     s = table(spark, d, "supplier").selectExpr("s_suppkey", "CAST(s_nationkey AS DOUBLE) AS x", "IF(s_suppkey % 5 = 2, NULL, s_acctbal) AS y")
     return _rounded(missing.knn_impute(s, "y", ["x"], "s_suppkey", 3).select("s_suppkey", "y"))
 
 
-@query("policies", f"SELECT o_orderkey, customer, coalesce(total, m) AS total FROM ({ORDERS}) CROSS JOIN (SELECT round(median(total), 4) AS m FROM ({ORDERS}) WHERE customer IS NOT NULL) WHERE customer IS NOT NULL")
+@query("policies", f"SELECT o_orderkey, customer, coalesce(total, m) AS total FROM ({ORDERS}) CROSS JOIN (SELECT round(median(total), 6) AS m FROM ({ORDERS}) WHERE customer IS NOT NULL) WHERE customer IS NOT NULL")
 def _(spark, d):
     v = _view(spark, d, ORDERS).select("o_orderkey", "customer", "total")
     return _rounded(missing.apply_policies(v, {"customer": missing.Policy("remove"), "total": missing.Policy("median", threshold=0.9)}))
@@ -292,7 +292,7 @@ def _(spark, d):
     return dedup.exact(table(spark, d, "documents").select("doc_id", "text", "lang"), "doc_id", ["text", "lang"]).select("doc_id")
 
 
-@query("duplicate_rate", "SELECT 'completeness' AS kpi_id, 100.0::DOUBLE AS value UNION ALL SELECT 'total_records', count(*) FROM documents UNION ALL SELECT 'duplicate_rate', round((count(*) - (SELECT count(*) FROM (SELECT DISTINCT text, lang FROM documents))) * 100.0 / count(*), 4) FROM documents")
+@query("duplicate_rate", "SELECT 'completeness' AS kpi_id, 100.0::DOUBLE AS value UNION ALL SELECT 'total_records', count(*) FROM documents UNION ALL SELECT 'duplicate_rate', round((count(*) - (SELECT count(*) FROM (SELECT DISTINCT text, lang FROM documents))) * 100.0 / count(*), 6) FROM documents")
 def _(spark, d):
     return _rounded(kpi.quality_kpis(table(spark, d, "documents").select("text", "lang")))
 
@@ -304,7 +304,7 @@ def _(spark, d):
     return dedup.without_headers(n.unionByName(extra), n.columns).select("n_name")
 
 
-@query("fuzzy_pairs_edit", "WITH p AS (SELECT DISTINCT p_name AS t, min(p_partkey) AS k FROM part GROUP BY 1) SELECT a.k AS a, b.k AS b, round(1 - levenshtein(a.t, b.t) / greatest(length(a.t), length(b.t)), 4) AS similarity FROM p a JOIN p b ON a.k < b.k WHERE 1 - levenshtein(a.t, b.t) / greatest(length(a.t), length(b.t)) >= 0.7")
+@query("fuzzy_pairs_edit", "WITH p AS (SELECT DISTINCT p_name AS t, min(p_partkey) AS k FROM part GROUP BY 1) SELECT a.k AS a, b.k AS b, round(1 - levenshtein(a.t, b.t) / greatest(length(a.t), length(b.t)), 6) AS similarity FROM p a JOIN p b ON a.k < b.k WHERE 1 - levenshtein(a.t, b.t) / greatest(length(a.t), length(b.t)) >= 0.7")
 def _(spark, d):
     p = table(spark, d, "part").groupBy("p_name").agg(F.min("p_partkey").alias("k"))
     return _rounded(dedup.similar_pairs(p, "k", "p_name", 0.7, edit_only=True))
