@@ -60,7 +60,7 @@ def structure(cells: DataFrame) -> DataFrame:
 def score(cells: DataFrame, confidence: DataFrame) -> DataFrame:
     """Table confidence less 0.2, 0.1 and 0.05 for structural, quality and cell problems; valid from 0.7 without the first."""
     s = structure(cells)
-    bad = checks(cells).groupBy("table_id").agg(F.count_if("confidence < 1").alias("cells"))
+    bad = checks(cells).groupBy("table_id").agg(F.count_if(F.col("confidence") < 1).alias("cells"))
     joined = confidence.join(s, "table_id").join(bad, "table_id", "left").na.fill(0, ["cells"])
     first = F.col("duplicate_headers") + F.col("empty_headers") + F.col("ragged").cast("int") + (F.col("width") < 2).cast("int")
     second = F.col("empty_rows") + F.col("duplicate_rows")

@@ -49,7 +49,7 @@ def histogram(df: DataFrame, column: str, bins: int = 20) -> DataFrame:
 
 def heatmap(df: DataFrame, x: str, y: str, columns: list, value: str | None = None, how: str = "sum") -> DataFrame:
     """x by y: counts, or an aggregate of ``value``; zero where nothing falls."""
-    return df.groupBy(x).pivot(y, columns).agg(F.count("*") if value is None else _AGG[how](value)).na.fill(0)
+    return df.groupBy(x).pivot(y, columns).agg(F.count(F.lit(1)) if value is None else _AGG[how](value)).na.fill(0)
 
 
 def correlations(df: DataFrame, columns: list[str], least: float = 0.0) -> DataFrame:

@@ -87,10 +87,10 @@ def fuzzy_columns(questions: DataFrame, columns: DataFrame, key: str, text: str,
 
 def filter_phrases(questions: DataFrame, key: str, text: str = "text") -> DataFrame:
     """column, operator and value of phrases such as 'where a > 3' and "with b is 'x'"."""
-    pattern = r"(?i)(?:where|with|and)\s+([A-Za-z_]\w*)\s*(>=|<=|!=|=|>|<|is|equals|contains|greater than|less than|at least|at most)\s*'?([\w.\-]+(?: [A-Z][\w.\-]*)*)'?"
+    pattern = r"(?i)(?:where|with|and)\s+([A-Za-z_]\w*)\s*(>=|<=|!=|=|>|<|is|equals|contains|greater than|less than|at least|at most)\s*'?([\w.\-]+(?: (?-i:[A-Z][a-z][\w.\-]*))*)'?"
     part = lambda i: F.regexp_extract_all(text, F.lit(pattern), F.lit(i))
     zipped = F.arrays_zip(part(1).alias("column"), part(2).alias("operator"), part(3).alias("value"))
-    return questions.select(key, F.explode(zipped).alias("f")).select(key, F.col("f.0").alias("column"), F.lower("f.1").alias("operator"), F.col("f.2").alias("value"))
+    return questions.select(key, F.explode(zipped).alias("f")).select(key, F.col("f.column").alias("column"), F.lower("f.operator").alias("operator"), F.col("f.value").alias("value"))
 
 
 def sql_blocks(messages: DataFrame, key: str, text: str = "text") -> DataFrame:

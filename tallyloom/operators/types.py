@@ -32,14 +32,15 @@ def present(column: str, sentinels=SENTINELS) -> Column:
 
 
 def tests(text: Column, config: TypeConfig = TypeConfig()) -> dict[str, Column]:
-    """Whether a value reads as each type."""
-    return {
+    """Whether a value reads as each type; null for a missing one."""
+    made = {
         "BOOLEAN": F.lower(text).isin(*S.TRUE_WORDS, *S.FALSE_WORDS),
         "CURRENCY": text.rlike(r"^-?[$€£¥₹]\s*-?[0-9][0-9,]*(\.[0-9]+)?$"),
         "PERCENTAGE": text.rlike(r"^-?[0-9]+(\.[0-9]+)?\s*%$"),
         "DATE": S.parse_date(text, config.formats).isNotNull(),
         "NUMBER": S.plain_double(F.replace(text, F.lit(","), F.lit(""))).isNotNull(),
     }
+    return {k: F.when(text.isNotNull(), test) for k, test in made.items()}
 
 
 def detect(df: DataFrame, columns: list[str] | None = None, config: TypeConfig = TypeConfig()) -> DataFrame:

@@ -41,21 +41,26 @@ TEXTS = """SELECT l_orderkey, l_linenumber, concat('$', CAST(CAST(l_extendedpric
   concat('2024-01-', lpad(CAST(1 + l_linenumber AS VARCHAR(2)), 2, '0')) AS day FROM lineitem"""
 ORDERS = """SELECT o_orderkey, CASE WHEN o_orderkey % 13 = 5 THEN NULL ELSE o_custkey END AS customer, o_orderstatus AS status, CASE WHEN o_orderkey % 2 = 1 THEN NULL ELSE o_totalprice END AS total, o_orderpriority AS priority FROM orders"""
 CELLS = """SELECT concat('t', CAST(p_partkey % 40 AS VARCHAR(9))) AS table_id, CAST(floor(p_partkey / 40) AS INT) AS row_no, k AS col_no, CASE WHEN k = 0 THEN 'Name' WHEN k = 1 THEN 'Size' ELSE CASE WHEN p_partkey % 40 = 7 THEN '' ELSE 'Price' END END AS header,
-  CASE WHEN k = 0 THEN CASE WHEN p_partkey % 31 = 3 THEN '' ELSE p_name END WHEN k = 1 THEN CASE WHEN p_partkey % 17 = 2 THEN concat('O', CAST(p_size AS VARCHAR(9)), '0') ELSE CAST(p_size AS VARCHAR(9)) END ELSE concat('$', CAST(CAST(p_retailprice AS INT) AS VARCHAR(9))) END AS value
+  CASE WHEN k = 0 THEN CASE WHEN p_partkey % 31 = 3 THEN '' ELSE p_name END WHEN k = 1 THEN CASE WHEN p_partkey % 17 = 2 THEN concat('O', CAST(p_size AS VARCHAR(9)), '0') ELSE CAST(p_size AS VARCHAR(9)) END ELSE concat('$', CAST(CAST(floor(p_retailprice) AS INT) AS VARCHAR(9))) END AS value
   FROM part CROSS JOIN (VALUES (0), (1), (2)) AS v(k)"""
 WORDS = """SELECT CAST(floor(p_partkey / 20) AS INT) AS page, CAST(p_partkey AS INT) AS word_no, CAST(100 * k + p_partkey % 3 AS INT) AS x, CAST(30 * (p_partkey % 20) + k AS INT) AS y, 40 AS width, 12 AS height, CASE WHEN k = 0 THEN p_name WHEN k = 1 THEN p_brand ELSE p_type END AS text,
   0.5 + (p_partkey % 5) / 10.0 AS confidence, k FROM part CROSS JOIN (VALUES (0), (1), (2)) AS v(k)"""
 QUESTIONS = """SELECT o_orderkey AS qid, CASE o_orderkey % 7 WHEN 0 THEN concat('What is the total o_totalprice for customer ', CAST(o_custkey AS VARCHAR(12)), '?') WHEN 1 THEN 'Compare order status versus priority' WHEN 2 THEN 'Show the trend of sales over time'
   WHEN 3 THEN concat('where o_custkey > ', CAST(o_custkey AS VARCHAR(12)), ' and o_orderstatus = F') WHEN 4 THEN concat('top ', CAST(o_custkey % 20 AS VARCHAR(12)), ' customers by o_totalprice') WHEN 5 THEN 'distribution of order priority'
   ELSE concat('Use SELECT o_custkey, SUM(o_totalprice) FROM orders WHERE o_custkey = ', CAST(o_custkey AS VARCHAR(12)), ' GROUP BY o_custkey; it took ', CAST(o_orderkey % 60 AS VARCHAR(12)), ' seconds') END AS text FROM orders"""
-REGISTRY = """SELECT doc_id, concat('u', CAST(doc_id % 50 AS VARCHAR(9))) AS user_id, text, DATE '2024-01-01' AS created, CASE doc_id % 4 WHEN 0 THEN 'short' WHEN 1 THEN 'medium' WHEN 2 THEN 'long' ELSE 'permanent' END AS retention FROM documents"""
+REGISTRY = """SELECT doc_id, concat('u', CAST(doc_id % 50 AS VARCHAR(9))) AS user_id, TEXT_ AS text, DATE '2024-01-01' AS created, CASE doc_id % 4 WHEN 0 THEN 'short' WHEN 1 THEN 'medium' WHEN 2 THEN 'long' ELSE 'permanent' END AS retention FROM documents"""
+# word boundaries differ between the engines beside letters outside ASCII, which therefore become one that is inside
+ASCII = "regexp_replace(text, '[^\\x20-\\x7E]', 'q', 'g')"
+REGISTRY = REGISTRY.replace("TEXT_", ASCII)
 
 
 def _view(spark: SparkSession, d: str, sql: str) -> DataFrame:
     """A view's rows; its tables are taken from the folder ``d``."""
     names = [n for n in ("lineitem", "orders", "part", "documents", "events") if f"FROM {n}" in sql]
     for n in names:
-        sql = sql.replace(f"FROM {n}", f"FROM {{{n}}}")
+        head, _, tail = sql.rpartition(f"FROM {n}")
+        sql = f"{head}FROM {{{n}}}{tail}"
+    sql = sql.replace(ASCII, ASCII.replace(", 'g')", ")").replace("\\x", "\\\\x"))
     return spark.sql(sql, **{n: table(spark, d, n) for n in names})
 
 
@@ -324,3 +329,601 @@ def _(spark, d):
 @query("standardise", f"SELECT l_orderkey, l_linenumber, CAST(replace(price, '$', '') AS DOUBLE) AS price, CAST(quantity AS DOUBLE) AS quantity FROM ({TEXTS}) QUALIFY row_number() OVER (PARTITION BY l_linenumber, price, quantity ORDER BY l_orderkey) = 1")
 def _(spark, d):
     return standardise.standardise(_view(spark, d, TEXTS).select("l_orderkey", "l_linenumber", "price", "quantity"), "l_orderkey")
+
+
+# --- KPIs -------------------------------------------------------------------------------------------------
+
+
+@query("kpi_numeric", """SELECT 'total_o_totalprice' AS kpi_id, 'sum' AS category, round(sum(o_totalprice), 4) AS value FROM orders UNION ALL SELECT 'avg_o_totalprice', 'average', round(avg(o_totalprice), 4) FROM orders UNION ALL SELECT 'max_o_totalprice', 'max', max(o_totalprice) FROM orders""")
+def _(spark, d):
+    return _rounded(kpi.numeric_kpis(table(spark, d, "orders"), ["o_totalprice"]), 4)
+
+
+@query("kpi_categorical", """(SELECT 'top_o_orderstatus' AS kpi_id, o_orderstatus AS label, CAST(count(*) AS DOUBLE) AS value FROM orders GROUP BY 2 ORDER BY 3 DESC, 2 LIMIT 1) UNION ALL SELECT 'unique_o_orderstatus', NULL, count(DISTINCT o_orderstatus) FROM orders
+  UNION ALL (SELECT 'top_o_orderpriority', o_orderpriority, count(*) FROM orders GROUP BY 2 ORDER BY 3 DESC, 2 LIMIT 1) UNION ALL SELECT 'unique_o_orderpriority', NULL, count(DISTINCT o_orderpriority) FROM orders""")
+def _(spark, d):
+    return kpi.categorical_kpis(table(spark, d, "orders"), ["o_orderstatus", "o_orderpriority"])
+
+
+@query("kpi_timeseries", """SELECT 'records_per_day' AS kpi_id, round(count(*) / greatest(1, floor(epoch(max(ts) - min(ts)) / 86400)), 6) AS value FROM events UNION ALL SELECT 'recent_records', CAST(count(*) AS DOUBLE) FROM events WHERE ts >= (SELECT max(ts) FROM events) - INTERVAL 7 DAYS""")
+def _(spark, d):
+    return _rounded(kpi.time_kpis(table(spark, d, "events"), "ts"))
+
+
+@query("kpi_business", """SELECT 'average_price' AS kpi_id, 'business' AS category, round(avg(o_totalprice), 4) AS value FROM orders UNION ALL SELECT 'unique_order', 'business', count(DISTINCT o_orderpriority) FROM orders""")
+def _(spark, d):
+    return _rounded(kpi.business_kpis(table(spark, d, "orders").select("o_totalprice", "o_orderkey", "o_orderpriority")), 4)
+
+
+@query("kpi_ranked", """SELECT * FROM (VALUES ('total_o_totalprice', 'sum', 0.9::DOUBLE), ('avg_o_totalprice', 'average', 0.7::DOUBLE)) AS t(kpi_id, category, score)""")
+def _(spark, d):
+    return kpi.ranked(kpi.numeric_kpis(table(spark, d, "orders"), ["o_totalprice"]).drop("value"), {"sum": 0.9, "average": 0.7, "max": 0.5}, 2)
+
+
+_MONTHS = "SELECT o_orderpriority AS kpi_id, date_trunc('month', o_orderdate) AS month, sum(o_totalprice) AS value FROM orders GROUP BY 1, 2"
+
+
+@query("kpi_trend", f"""WITH m AS (SELECT *, row_number() OVER (PARTITION BY kpi_id ORDER BY month) AS i FROM ({_MONTHS})), f AS (SELECT kpi_id, count(*) AS points, arg_min(value, i) AS a, arg_max(value, i) AS b, stddev_pop(value) / abs(avg(value)) AS volatility, abs(corr(i, value)) AS strength FROM m GROUP BY 1)
+  SELECT kpi_id, points, round(b - a, 2) AS change, round((b - a) * 100 / a, 2) AS percent, round(volatility, 2) AS volatility, round(strength, 2) AS strength, CASE WHEN volatility > 0.3 THEN 'VOLATILE' WHEN abs((b - a) * 100 / a) < 5 THEN 'STABLE' WHEN b > a THEN 'UP' ELSE 'DOWN' END AS direction FROM f""")
+def _(spark, d):
+    return _rounded(kpi.trends(_view(spark, d, _MONTHS), ["kpi_id"], "month", "value"), 2)
+
+
+_YEAR = "SELECT o_orderpriority AS kpi_id, round(sum(o_totalprice), 2) AS value FROM orders WHERE year(o_orderdate) = {0} GROUP BY 1"
+
+
+@query("kpi_compare", f"""SELECT kpi_id, a.value AS current, b.value AS base, round(a.value - b.value, 2) AS difference, round((a.value - b.value) * 100 / b.value, 2) AS percent, a.value > b.value AS improved FROM ({_YEAR.format(1998)}) a JOIN ({_YEAR.format(1997)}) b USING (kpi_id)""")
+def _(spark, d):
+    return _rounded(kpi.comparisons(_view(spark, d, _YEAR.format(1998)), _view(spark, d, _YEAR.format(1997))), 2)
+
+
+@query("kpi_insights", f"""WITH c AS (SELECT kpi_id, a.value, (a.value - b.value) * 100 / b.value AS percent FROM ({_YEAR.format(1998)}) a JOIN ({_YEAR.format(1997)}) b USING (kpi_id)) SELECT kpi_id, 'strong_trend' AS insight FROM c WHERE value > 0 UNION ALL SELECT kpi_id, 'large_change' FROM c WHERE abs(percent) > 20""")
+def _(spark, d):
+    c = kpi.comparisons(_view(spark, d, _YEAR.format(1998)), _view(spark, d, _YEAR.format(1997))).withColumn("value", F.col("current"))
+    return kpi.insights(c.withColumns({"strength": F.lit(0.9), "direction": F.lit("UP")}))
+
+
+@query("kpi_alerts", "SELECT c_custkey AS kpi_id, c_acctbal AS value, CASE WHEN c_acctbal <= 0 OR c_acctbal >= 9500 THEN 'critical' WHEN c_acctbal <= 1000 OR c_acctbal >= 9000 THEN 'warning' ELSE 'normal' END AS status FROM customer")
+def _(spark, d):
+    v = table(spark, d, "customer").selectExpr("c_custkey AS kpi_id", "c_acctbal AS value")
+    return kpi.alerts(v, v.selectExpr("kpi_id", "0.0D AS critical_low", "9500.0D AS critical_high", "1000.0D AS warning_low", "9000.0D AS warning_high"))
+
+
+@query("kpi_sparkline", "SELECT c_mktsegment, c_custkey, round((c_acctbal - min(c_acctbal) OVER (PARTITION BY c_mktsegment)) * 100 / (max(c_acctbal) OVER (PARTITION BY c_mktsegment) - min(c_acctbal) OVER (PARTITION BY c_mktsegment)), 6) AS scaled FROM customer")
+def _(spark, d):
+    return _rounded(kpi.sparkline(table(spark, d, "customer"), "c_mktsegment", "c_custkey", "c_acctbal"))
+
+
+@query("kpi_history", "SELECT event_id FROM (SELECT event_id, row_number() OVER (PARTITION BY event_type ORDER BY event_id DESC) AS r FROM events) WHERE r <= 50")
+def _(spark, d):
+    return kpi.history(table(spark, d, "events"), "event_type", "event_id").select("event_id")
+
+
+@query("kpi_point_changes", "SELECT event_type, event_id, value, round(CASE WHEN lag(value) OVER w IS NOT NULL THEN coalesce((value - lag(value) OVER w) * 100 / nullif(lag(value) OVER w, 0), 0) END, 4) AS change_percent FROM events WINDOW w AS (PARTITION BY event_type ORDER BY event_id)")
+def _(spark, d):
+    return _rounded(kpi.point_changes(table(spark, d, "events"), "event_type", "event_id", "value"), 4)
+
+
+# --- charts -------------------------------------------------------------------------------------------------
+
+
+@query("chart_bar", "SELECT p_brand, round(avg(p_retailprice), 6) AS value FROM part GROUP BY 1")
+def _(spark, d):
+    return _rounded(charts.bar(table(spark, d, "part"), "p_brand", "p_retailprice", "avg"))
+
+
+@query("chart_line", "SELECT CAST(o_orderdate AS DATE) AS day, count(*) AS count FROM orders GROUP BY 1")
+def _(spark, d):
+    return charts.line(table(spark, d, "orders").withColumn("day", F.to_date("o_orderdate")), "day")
+
+
+@query("chart_pie", f"SELECT flag, count(*) AS count FROM ({HOLES}) WHERE flag IS NOT NULL GROUP BY 1")
+def _(spark, d):
+    return charts.pie(_view(spark, d, HOLES), "flag")
+
+
+@query("chart_scatter", "SELECT p_partkey, p_size, p_retailprice FROM part")
+def _(spark, d):
+    return charts.scatter(table(spark, d, "part"), "p_size", "p_retailprice", "p_partkey")
+
+
+@query("chart_histogram", """WITH e AS (SELECT min(l_extendedprice) AS lo, max(l_extendedprice) AS hi FROM lineitem), b AS (SELECT CAST(least(greatest(ceil((l_extendedprice - lo) / (hi - lo) * 20), 1), 20) AS INT) AS bin, count(*) AS n FROM lineitem, e GROUP BY 1)
+  SELECT CAST(i AS INT) AS bin, round(lo + (i - 1) * ((hi - lo) / 20), 4) AS bin_low, round(lo + i * ((hi - lo) / 20), 4) AS bin_high, coalesce(n, 0) AS count FROM range(1, 21) AS r(i) CROSS JOIN e LEFT JOIN b ON b.bin = i""")
+def _(spark, d):
+    return _rounded(charts.histogram(table(spark, d, "lineitem"), "l_extendedprice"), 4)
+
+
+@query("chart_heatmap", "SELECT l_returnflag, count_if(l_linestatus = 'F') AS F, count_if(l_linestatus = 'O') AS O FROM lineitem GROUP BY 1")
+def _(spark, d):
+    return charts.heatmap(table(spark, d, "lineitem"), "l_returnflag", "l_linestatus", ["F", "O"])
+
+
+@query("chart_correlations", "SELECT 'l_quantity' AS a, 'l_extendedprice' AS b, round(corr(l_quantity, l_extendedprice), 6) AS correlation FROM lineitem UNION ALL SELECT 'l_quantity', 'l_tax', round(corr(l_quantity, l_tax), 6) FROM lineitem UNION ALL SELECT 'l_extendedprice', 'l_tax', round(corr(l_extendedprice, l_tax), 6) FROM lineitem")
+def _(spark, d):
+    return _rounded(charts.correlations(table(spark, d, "lineitem"), ["l_quantity", "l_extendedprice", "l_tax"]))
+
+
+@query("chart_box", "WITH q AS (SELECT quantile_cont(o_totalprice, 0.25) AS q1, quantile_cont(o_totalprice, 0.5) AS median, quantile_cont(o_totalprice, 0.75) AS q3 FROM orders) SELECT round(q1, 4) AS q1, round(median, 4) AS median, round(q3, 4) AS q3, min(o_totalprice) AS low, max(o_totalprice) AS high FROM orders, q WHERE o_totalprice BETWEEN q1 - 1.5 * (q3 - q1) AND q3 + 1.5 * (q3 - q1) GROUP BY 1, 2, 3")
+def _(spark, d):
+    return _rounded(charts.box(table(spark, d, "orders"), "o_totalprice"), 4)
+
+
+@query("summary_statistics", " UNION ALL ".join(f"SELECT '{c}' AS name, count({c}) AS count, round(avg({c}), 4) AS mean, round(stddev_samp({c}), 4) AS std, CAST(min({c}) AS DOUBLE) AS min, round(quantile_cont({c}, 0.25), 4) AS p25, round(quantile_cont({c}, 0.5), 4) AS p50, round(quantile_cont({c}, 0.75), 4) AS p75, CAST(max({c}) AS DOUBLE) AS max FROM part" for c in ("p_size", "p_retailprice")))
+def _(spark, d):
+    return _rounded(charts.summary(table(spark, d, "part"), ["p_size", "p_retailprice"]), 4)
+
+
+@query("chart_top_values", "SELECT p_name, count(*) AS count FROM part GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10")
+def _(spark, d):
+    return charts.top_values(table(spark, d, "part"), "p_name")
+
+
+# --- schemas ------------------------------------------------------------------------------------------------
+
+_OLD = "SELECT * FROM (VALUES ('id', 'NUMBER', false, 100), ('name', 'TEXT', false, 90), ('age', 'NUMBER', true, 40), ('city', 'TEXT', false, 10)) AS t(name, data_type, nullable, unique_values)"
+_NEW = "SELECT * FROM (VALUES ('id', 'NUMBER', false, 100), ('name', 'TEXT', true, 90), ('age', 'TEXT', true, 40), ('mail', 'TEXT', true, 300)) AS t(name, data_type, nullable, unique_values)"
+
+
+def _columns_of(spark: SparkSession, d: str, dirty: bool) -> DataFrame:
+    """Profile rows of ``orders``, as it is or with holes and a column that turned to text."""
+    v = _view(spark, d, ORDERS) if dirty else table(spark, d, "orders").selectExpr("o_orderkey", "o_custkey AS customer", "o_orderstatus AS status", "o_totalprice AS total", "o_orderdate AS placed")
+    return profile.columns(v).join(types.profile_type(v, v.columns), "name")
+
+
+@query("schema_diff", """SELECT * FROM (VALUES ('customer', 'NULLABLE_CHANGED', 'minor'), ('placed', 'REMOVED', 'major'), ('priority', 'ADDED', 'minor'), ('total', 'NULLABLE_CHANGED', 'minor')) AS t(name, change, severity)""")
+def _(spark, d):
+    return schema.diff(_columns_of(spark, d, False), _columns_of(spark, d, True))
+
+
+@query("schema_compat", "SELECT 'major' AS level, 4::BIGINT AS changes, 1::BIGINT AS breaking, 'migrate data' AS strategy")
+def _(spark, d):
+    return schema.compatibility(schema.diff(_columns_of(spark, d, False), _columns_of(spark, d, True)))
+
+
+@query("schema_drift", f"""SELECT 'customer' AS name, round(count_if(v.customer IS NULL) * 100.0 / count(*), 4) AS null_percent_change, count(DISTINCT v.customer) - count(DISTINCT o.o_custkey) AS unique_change, 0::BIGINT AS row_change FROM ({ORDERS}) v JOIN orders o USING (o_orderkey)
+  UNION ALL SELECT 'total', round(count_if(v.total IS NULL) * 100.0 / count(*), 4), count(DISTINCT v.total) - count(DISTINCT o.o_totalprice), 0 FROM ({ORDERS}) v JOIN orders o USING (o_orderkey) UNION ALL SELECT 'o_orderkey', 0, 0, 0 UNION ALL SELECT 'status', 0, 0, 0""")
+def _(spark, d):
+    clean = table(spark, d, "orders").selectExpr("o_orderkey", "o_custkey AS customer", "o_orderstatus AS status", "o_totalprice AS total")
+    return _rounded(schema.drift(clean, _view(spark, d, ORDERS).drop("priority")), 4)
+
+
+@query("schema_validate", f"SELECT 'warning' AS severity, concat('more values than rows: ', name) AS problem FROM (SELECT 'o_orderkey' AS name, count(*) AS n FROM orders) WHERE n > 5000")
+def _(spark, d):
+    return schema.validate(profile.columns(table(spark, d, "orders").select("o_orderkey", "o_orderstatus")), 5000)
+
+
+_VERSIONS = "SELECT o_custkey AS table_name, o_orderkey AS version, o_totalprice FROM orders"
+
+
+@query("schema_versions", f"SELECT table_name, version, lead(version) OVER (PARTITION BY table_name ORDER BY version) AS next_version, lead(version) OVER (PARTITION BY table_name ORDER BY version) IS NULL AS active FROM ({_VERSIONS})")
+def _(spark, d):
+    return schema.versions(_view(spark, d, _VERSIONS)).drop("o_totalprice")
+
+
+@query("version_ancestry", "WITH RECURSIVE c AS (SELECT 0 AS depth, max(o_orderkey) AS version FROM orders UNION ALL SELECT depth + 1, version // 10 FROM c WHERE version > 0) SELECT version, depth FROM c")
+def _(spark, d):
+    rows = table(spark, d, "orders").selectExpr("o_orderkey AS version", "IF(o_orderkey > 0, o_orderkey DIV 10, NULL) AS parent_version")
+    return schema.ancestry(rows, rows.agg(F.max("version")).first()[0])
+
+
+@query("schema_prompt")
+def _(spark, d):
+    return schema.prompt_rows(_columns_of(spark, d, True))
+
+
+@query("schema_describe")
+def _(spark, d):
+    return schema.describe(_view(spark, d, TEXTS), list(_KIND), order="l_orderkey")
+
+
+# --- privacy -----------------------------------------------------------------------------------------------
+
+
+@query("pii_counts", "SELECT doc_id, " + ", ".join(f"CAST(len(regexp_extract_all(text, '{p}')) AS INT) AS n_{k}" for k, p, _ in privacy.PATTERNS) + f" FROM ({REGISTRY})")
+def _(spark, d):
+    return privacy.counts(_view(spark, d, REGISTRY), "doc_id")
+
+
+def _masked_sql(c: str = "text") -> str:
+    for k, p, _ in privacy.PATTERNS:
+        c = f"regexp_replace({c}, '{p}', '[{k.upper()}_REDACTED]', 'g')"
+    return c
+
+
+@query("pii_mask", f"SELECT doc_id, md5({_masked_sql()}) AS masked FROM ({REGISTRY})")
+def _(spark, d):
+    return _view(spark, d, REGISTRY).select("doc_id", F.md5(privacy.masked("text")).alias("masked"))
+
+
+_LEVEL = "CASE WHEN " + " OR ".join(f"regexp_matches(text, '{p}')" for _, p, c in privacy.PATTERNS if c > 0.8) + " THEN 'RESTRICTED' WHEN " + " OR ".join(f"regexp_matches(text, '{p}')" for _, p, c in privacy.PATTERNS if c <= 0.8) + " THEN 'CONFIDENTIAL' ELSE 'INTERNAL' END"
+
+
+@query("classify", f"SELECT doc_id, {_LEVEL} AS level FROM ({REGISTRY})")
+def _(spark, d):
+    return _view(spark, d, REGISTRY).select("doc_id", privacy.classification("text", "document").alias("level"))
+
+
+@query("pii_spans")
+def _(spark, d):
+    return privacy.spans(table(spark, d, "documents"), "doc_id")
+
+
+_EXPIRY = "CASE retention WHEN 'short' THEN created + 30 WHEN 'medium' THEN created + 365 WHEN 'long' THEN created + 2555 END"
+
+
+def _registry(spark: SparkSession, d: str) -> DataFrame:
+    return privacy.registry(_view(spark, d, REGISTRY), "doc_id", "user_id", "text", "created", "retention")
+
+
+@query("retention", f"SELECT doc_id, user_id, {_EXPIRY} AS expires_on FROM ({REGISTRY}) WHERE {_EXPIRY} IS NULL OR {_EXPIRY} >= DATE '2024-06-01'")
+def _(spark, d):
+    return privacy.retained(_registry(spark, d), F.lit("2024-06-01").cast("date")).select("doc_id", "user_id", "expires_on")
+
+
+@query("privacy_report", f"""SELECT level AS classification, count(doc_id) AS records, count_if(level IN ('RESTRICTED', 'CONFIDENTIAL') AND doc_id IS NOT NULL) AS pii, count_if(level = 'RESTRICTED' AND doc_id IS NOT NULL) AS encrypted FROM (VALUES ('PUBLIC'), ('INTERNAL'), ('CONFIDENTIAL'), ('RESTRICTED')) AS l(level)
+  LEFT JOIN (SELECT doc_id, {_LEVEL} AS level FROM ({REGISTRY})) USING (level) GROUP BY 1""")
+def _(spark, d):
+    return privacy.report(_registry(spark, d))
+
+
+@query("access_decision", f"""SELECT event_id AS request_id, e.doc_id, reason = 'granted' AS allowed, reason FROM (SELECT event_id, e.doc_id, CASE WHEN r.level IS NULL THEN 'unknown record' WHEN expires < DATE '2024-06-01' THEN 'expired' WHEN level IN ('RESTRICTED', 'CONFIDENTIAL') AND e.doc_id % 3 <> 0 THEN 'no consent' WHEN purpose NOT IN ('view', 'click') THEN 'purpose not allowed' ELSE 'granted' END AS reason
+  FROM (SELECT event_id, user_id * 11 AS doc_id, event_type AS purpose FROM events) e LEFT JOIN (SELECT doc_id, {_LEVEL} AS level, {_EXPIRY} AS expires FROM ({REGISTRY})) r ON e.doc_id = r.doc_id) e""")
+def _(spark, d):
+    records = _registry(spark, d).withColumn("consent", F.col("doc_id") % 3 == 0).withColumn("purposes", F.array(F.lit("view"), F.lit("click")))
+    requests = table(spark, d, "events").selectExpr("event_id AS request_id", "user_id * 11 AS doc_id", "event_type AS purpose")
+    return privacy.access_decisions(requests, records, "doc_id", F.lit("2024-06-01").cast("date"))
+
+
+@query("subject_export", f"SELECT doc_id FROM ({REGISTRY}) WHERE user_id = 'u7'")
+def _(spark, d):
+    return privacy.subject_export(_registry(spark, d), "user_id", "u7").select("doc_id")
+
+
+# --- text jobs ---------------------------------------------------------------------------------------------
+
+
+def _case(table_: tuple, c: str = "lower(text)") -> str:
+    return "CASE " + " ".join(f"WHEN {' OR '.join(f"contains({c}, '{w}')" for w in words)} THEN '{k}'" for k, words in table_)
+
+
+@query("question_intent", f"SELECT qid, {_case(text.FAMILIES)} ELSE 'DESCRIPTIVE' END AS question_type, {_case(text.FUNCTIONS)} END AS aggregation, TRY_CAST(regexp_extract(text, '([0-9]+)', 1) AS BIGINT) AS number FROM ({QUESTIONS})")
+def _(spark, d):
+    return text.intents(_view(spark, d, QUESTIONS)).drop("text")
+
+
+@query("question_features", f"""SELECT qid, length(text) AS length, len(regexp_split_to_array(trim(text), '\\s+')) AS words, regexp_matches(text, '[0-9]') AS has_number, contains(text, '?') AS has_mark, families, CASE WHEN families = 0 THEN 'simple' WHEN families <= 2 THEN 'moderate' ELSE 'complex' END AS complexity
+  FROM (SELECT *, {' + '.join('CAST(' + ' OR '.join(f"contains(lower(text), '{w}')" for w in words) + ' AS INT)' for _, words in text.FAMILIES)} AS families FROM ({QUESTIONS}))""")
+def _(spark, d):
+    return text.features(_view(spark, d, QUESTIONS), "qid")
+
+
+@query("question_scores", f"""WITH s AS (SELECT qid, {', '.join(f"least(0.6, ({' + '.join(f"CAST(contains(lower(text), '{w}') AS INT)" for w in words)}) * 0.2) AS {k}" for k, words in text.FAMILIES)} FROM ({QUESTIONS})), m AS (SELECT *, greatest({', '.join(k for k, _ in text.FAMILIES)}) AS g FROM s)
+  SELECT qid, CASE WHEN g < 0.3 THEN 'DESCRIPTIVE' {' '.join(f"WHEN {k} = g THEN '{k}'" for k, _ in text.FAMILIES)} END AS kind, round(CASE WHEN g < 0.3 THEN 0.5 ELSE g END, 6) AS score FROM m""")
+def _(spark, d):
+    return _rounded(text.weighted_types(_view(spark, d, QUESTIONS), "qid"))
+
+
+@query("column_mentions", f"SELECT qid, name, CAST(CASE WHEN contains(lower(text), name) THEN 1.0 ELSE 0.9 END AS DOUBLE) AS confidence FROM ({QUESTIONS}) CROSS JOIN (VALUES ('o_totalprice'), ('o_custkey'), ('order_status')) AS t(name) WHERE contains(lower(text), name) OR contains(lower(text), replace(name, '_', ' '))")
+def _(spark, d):
+    names = table(spark, d, "orders").limit(1).select(F.explode(F.array(F.lit("o_totalprice"), F.lit("o_custkey"), F.lit("order_status"))).alias("name"))
+    return text.mentions(_view(spark, d, QUESTIONS), names, "qid").where(F.col("confidence") >= 0.9)
+
+
+@query("filter_phrases", f"SELECT qid, 'o_custkey' AS \"column\", '>' AS operator, regexp_extract(text, '> ([0-9]+)', 1) AS value FROM ({QUESTIONS}) WHERE qid % 7 = 3 UNION ALL SELECT qid, 'o_orderstatus', '=', 'F' FROM ({QUESTIONS}) WHERE qid % 7 = 3 UNION ALL SELECT qid, 'o_custkey', '=', regexp_extract(text, '= ([0-9]+)', 1) FROM ({QUESTIONS}) WHERE qid % 7 = 6")
+def _(spark, d):
+    return text.filter_phrases(_view(spark, d, QUESTIONS), "qid")
+
+
+@query("sql_blocks", f"SELECT qid, upper(regexp_extract(text, '(SELECT .*);', 1)) AS sql, true AS has_aggregation, true AS has_grouping, true AS has_filter, false AS has_order FROM ({QUESTIONS}) WHERE qid % 7 = 6")
+def _(spark, d):
+    return text.sql_blocks(_view(spark, d, QUESTIONS), "qid")
+
+
+@query("text_metrics", f"SELECT qid, 0 AS place, CAST(regexp_extract(text, 'took ([0-9]+) seconds', 1) AS DOUBLE) AS value, 'seconds' AS unit FROM ({QUESTIONS}) WHERE qid % 7 = 6")
+def _(spark, d):
+    return text.metrics(_view(spark, d, QUESTIONS), "qid")
+
+
+@query("answer_features")
+def _(spark, d):
+    return text.answer_features(table(spark, d, "conversations").withColumn("k", F.concat_ws("-", "conv_id", "turn")), "k")
+
+
+@query("entities")
+def _(spark, d):
+    return text.entities(_view(spark, d, QUESTIONS), "qid")
+
+
+@query("filter_conditions", f"SELECT qid, 'o_custkey' AS name, '>' AS operator, regexp_extract(text, '> ([0-9]+)', 1) AS value FROM ({QUESTIONS}) WHERE qid % 7 = 3")
+def _(spark, d):
+    q = _view(spark, d, QUESTIONS).where("qid % 7 = 3")
+    named = q.select("qid", F.lit("o_custkey").alias("name"), (F.locate("o_custkey", "text") + 8).alias("last"))
+    return text.filter_conditions(text.entities(q, "qid"), named, "qid")
+
+
+@query("fuzzy_columns")
+def _(spark, d):
+    names = table(spark, d, "orders").limit(1).select(F.explode(F.array(F.lit("o_totalprice"), F.lit("customer"), F.lit("orders"))).alias("name"))
+    return text.fuzzy_columns(_view(spark, d, QUESTIONS), names, "qid", "text")
+
+
+@query("conversation_summary", "SELECT conv_id, count(*) AS interactions, md5(string_agg(text, '|' ORDER BY turn) FILTER (r <= 5)) AS recent FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS r FROM conversations) GROUP BY 1")
+def _(spark, d):
+    return text.last_turns(table(spark, d, "conversations"), "conv_id", "turn", "text").select("conv_id", "interactions", F.md5(F.array_join("recent", "|")).alias("recent"))
+
+
+@query("numbers_in_text", "SELECT doc_id, len(regexp_extract_all(text, '(-?[0-9]+\\.?[0-9]*)')) AS n, round(coalesce(list_sum(list_transform(regexp_extract_all(text, '(-?[0-9]+\\.?[0-9]*)'), lambda x: CAST(x AS DOUBLE) % 1000)), 0), 4) AS total FROM documents")
+def _(spark, d):
+    numbers = S.all_numbers(F.col("text"))
+    return _rounded(table(spark, d, "documents").select("doc_id", F.size(numbers).alias("n"), F.aggregate(numbers, F.lit(0.0), lambda a, x: a + x % 1000).alias("total")), 4)
+
+
+# --- logs --------------------------------------------------------------------------------------------------
+
+
+@query("metric_percentiles", """WITH r AS (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY ts DESC, event_id DESC) AS k FROM events), s AS (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY value) AS i, count(*) OVER (PARTITION BY event_type) AS n FROM r WHERE k <= 1000)
+  SELECT event_type, count(*) AS count, min(value) AS min, max(value) AS max, round(avg(value), 6) AS avg, max(CASE WHEN i = floor(n * 0.5) + 1 THEN value END) AS p50, max(CASE WHEN i = floor(n * 0.95) + 1 THEN value END) AS p95, max(CASE WHEN i = floor(n * 0.99) + 1 THEN value END) AS p99 FROM s GROUP BY 1""")
+def _(spark, d):
+    return _rounded(logs.percentiles(table(spark, d, "events"), ["event_type"], "value", ["ts", "event_id"]))
+
+
+@query("metric_counters", "SELECT event_type, user_id, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")
+def _(spark, d):
+    return _rounded(logs.counters(table(spark, d, "events"), ["event_type", "user_id"], "value"), 4)
+
+
+@query("metric_gauges", "SELECT event_type, arg_max(value, event_id) AS last FROM events GROUP BY 1")
+def _(spark, d):
+    return logs.gauges(table(spark, d, "events"), ["event_type"], "value", ["event_id"])
+
+
+@query("metric_summary", """SELECT event_type, coalesce(count(e.value), 0) AS count, round(coalesce(avg(e.value), 0), 4) AS avg, coalesce(min(e.value), 0) AS min, coalesce(max(e.value), 0) AS max, coalesce(arg_max(e.value, e.ts), 0) AS latest FROM (SELECT DISTINCT event_type FROM events UNION ALL SELECT 'absent') LEFT JOIN (SELECT * FROM events WHERE ts >= TIMESTAMP '2024-01-20') e USING (event_type) GROUP BY 1""")
+def _(spark, d):
+    e = table(spark, d, "events")
+    names = e.select("event_type").distinct().unionByName(e.limit(1).select(F.lit("absent").alias("event_type")))
+    return _rounded(logs.metric_summary(e, names, "event_type", "value", "ts", F.lit("2024-01-20").cast("timestamp_ntz")), 4)
+
+
+@query("system_health", "SELECT count(*) AS total, count_if(event_type = 'error') AS failed, round(count_if(event_type = 'error') * 100.0 / count(*), 6) AS error_rate FROM events")
+def _(spark, d):
+    return _rounded(logs.health(table(spark, d, "events"), "event_type", "error"))
+
+
+@query("error_stats", "SELECT user_id, event_type, count(*) AS errors FROM events GROUP BY 1, 2 ORDER BY 3 DESC, 1, 2 LIMIT 10")
+def _(spark, d):
+    return logs.error_statistics(table(spark, d, "events"), ["user_id", "event_type"])
+
+
+_RISK = "CASE event_type WHEN 'error' THEN 'high' WHEN 'purchase' THEN 'medium' WHEN 'signup' THEN 'medium' ELSE 'low' END"
+
+
+@query("audit_report", f"SELECT 'type' AS dimension, event_type AS value, count(*) AS events FROM events GROUP BY 2 UNION ALL SELECT 'risk', {_RISK}, count(*) FROM events GROUP BY 2 UNION ALL SELECT 'result', CASE WHEN value < 5 THEN 'failure' ELSE 'success' END, count(*) FROM events GROUP BY 2")
+def _(spark, d):
+    e = table(spark, d, "events").select("event_type", logs.risk_level().alias("risk"), F.when(F.col("value") < 5, "failure").otherwise("success").alias("result"))
+    return logs.audit_counts(e, "event_type", "risk", "result")
+
+
+@query("user_activity", "SELECT user_id, count(*) AS events, max(ts) AS last_activity FROM events GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10")
+def _(spark, d):
+    return logs.user_activity(table(spark, d, "events"), "user_id", "ts")
+
+
+@query("audit_integrity", "SELECT count(*) AS events, count_if(event_id % 10 = 3) AS mismatches, round(100 - count_if(event_id % 10 = 3) * 100.0 / count(*), 6) AS integrity FROM events")
+def _(spark, d):
+    signed = logs.with_checksum(table(spark, d, "events").select("event_id", "user_id", "value"))
+    return _rounded(logs.integrity(signed.withColumn("user_id", F.when(F.col("event_id") % 10 == 3, F.lit(-1)).otherwise(F.col("user_id")))))
+
+
+@query("share_analytics", "SELECT event_type, count(*) AS accesses, count(DISTINCT user_id) AS visitors, min(ts) AS first, max(ts) AS last FROM events GROUP BY 1")
+def _(spark, d):
+    return logs.share_analytics(table(spark, d, "events"), "event_type", "user_id", "ts")
+
+
+@query("daily_access", "SELECT event_type, CAST(ts AS DATE) AS day, count(*) AS accesses FROM events GROUP BY 1, 2")
+def _(spark, d):
+    return logs.daily(table(spark, d, "events"), "ts", ["event_type"])
+
+
+@query("sessions", """WITH g AS (SELECT *, CASE WHEN ts < lag(ts) OVER w + INTERVAL 6 HOURS THEN 0 ELSE 1 END AS n FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)), s AS (SELECT *, sum(n) OVER (PARTITION BY user_id ORDER BY ts) AS k FROM g) SELECT user_id, min(ts) AS start, max(ts) + INTERVAL 6 HOURS AS "end", count(*) AS events FROM s GROUP BY user_id, k""")
+def _(spark, d):
+    return logs.sessions(table(spark, d, "events"), "user_id", "ts", "6 hours")
+
+
+@query("session_stats", "SELECT count(*) AS total, count_if(ts + INTERVAL 1 DAY > TIMESTAMP '2024-01-20') AS active, count(DISTINCT CASE WHEN ts + INTERVAL 1 DAY > TIMESTAMP '2024-01-20' THEN user_id END) AS active_users FROM events")
+def _(spark, d):
+    return logs.session_statistics(table(spark, d, "events").withColumn("expires", F.expr("ts + INTERVAL 1 DAY")), "user_id", "expires", F.lit("2024-01-20").cast("timestamp_ntz"))
+
+
+@query("share_decisions", """WITH j AS (SELECT event_id, user_id, CASE WHEN user_id % 10 = 9 THEN 'unknown' WHEN user_id % 10 = 8 THEN 'inactive' WHEN ts > TIMESTAMP '2024-01-25' THEN 'expired' END AS b, ts FROM events), n AS (SELECT *, sum(CASE WHEN b IS NULL THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS k FROM j)
+  SELECT event_id, user_id, b IS NULL AND k <= 20 AS granted, coalesce(b, CASE WHEN k > 20 THEN 'limit reached' ELSE 'granted' END) AS reason FROM n""")
+def _(spark, d):
+    e = table(spark, d, "events").select("event_id", "user_id", "ts")
+    links = e.select("user_id").distinct().where("user_id % 10 <> 9").select("user_id", (F.col("user_id") % 10 != 8).alias("active"), F.lit("2024-01-25").cast("timestamp_ntz").alias("expires_at"), F.lit(20).alias("max_access"))
+    return logs.share_decisions(e, links, "user_id", "ts", "event_id")
+
+
+@query("lockouts", "SELECT user_id, ts, count(*) OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL 15 MINUTES PRECEDING AND CURRENT ROW) AS failures, count(*) OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL 15 MINUTES PRECEDING AND CURRENT ROW) >= 2 AS locked FROM events WHERE event_type = 'error'")
+def _(spark, d):
+    return logs.lockouts(table(spark, d, "events").where("event_type = 'error'"), "user_id", "ts", 900, 2)
+
+
+@query("assemble", "SELECT c_custkey, count(o_orderkey) AS n, coalesce(string_agg(CAST(o_orderkey AS VARCHAR), ',' ORDER BY o_orderdate, o_orderkey), '') AS orders FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY 1")
+def _(spark, d):
+    child = table(spark, d, "orders").selectExpr("o_custkey AS c_custkey", "o_orderdate", "o_orderkey")
+    out = logs.assemble(table(spark, d, "customer").select("c_custkey"), {"orders": (child, ["o_orderdate", "o_orderkey"])}, "c_custkey")
+    return out.select("c_custkey", F.size("orders").cast("long").alias("n"), F.array_join(F.transform("orders", lambda o: o["o_orderkey"].cast("string")), ",").alias("orders"))
+
+
+@query("result_summary", "SELECT count(*) AS n, round(sum(c_acctbal), 4) AS total, round(avg(c_acctbal), 4) AS mean, round(stddev_pop(c_acctbal), 4) AS std, count(DISTINCT c_acctbal) AS distinct, (SELECT c_acctbal FROM customer ORDER BY c_acctbal LIMIT 1 OFFSET (SELECT count(*) // 2 FROM customer)) AS upper_median FROM customer")
+def _(spark, d):
+    return _rounded(logs.result_summary(table(spark, d, "customer"), "c_acctbal"), 4)
+
+
+@query("answer_quality", f"SELECT round(1 - 0.5 * (count(*) * 5 - count(o_orderkey) - count(customer) - count(status) - count(total) - count(priority)) / (count(*) * 5.0), 6) AS quality FROM ({ORDERS})")
+def _(spark, d):
+    return _rounded(logs.answer_quality(_view(spark, d, ORDERS)))
+
+
+@query("execution_stats", "SELECT round(avg(value), 4) AS avg_value, max(value) AS max_value, min(value) AS min_value, round(avg(user_id), 4) AS avg_user_id, max(user_id) AS max_user_id, min(user_id) AS min_user_id, sum(user_id)::BIGINT AS total_user_id FROM events")
+def _(spark, d):
+    return _rounded(logs.execution_statistics(table(spark, d, "events"), "value", "user_id"), 4)
+
+
+@query("upsert", "SELECT c_custkey, c_name, CASE WHEN c_custkey % 4 = 1 THEN c_acctbal + 1 ELSE c_acctbal END AS c_acctbal FROM customer")
+def _(spark, d):
+    c = table(spark, d, "customer").select("c_custkey", "c_name", "c_acctbal")
+    return logs.upsert(c, c.where("c_custkey % 4 = 1").selectExpr("c_custkey", "CAST(NULL AS STRING) AS c_name", "c_acctbal + 1 AS c_acctbal"), "c_custkey")
+
+
+@query("weighted_confidence", "SELECT event_type, round(sum(value * value) / sum(value), 4) AS confidence FROM events GROUP BY 1")
+def _(spark, d):
+    return _rounded(table(spark, d, "events").groupBy("event_type").agg(S.weighted_confidence(F.col("value")).alias("confidence")), 4)
+
+
+# --- cells and layout ----------------------------------------------------------------------------------------
+
+
+@query("cell_types", "SELECT DISTINCT concat('t', CAST(p_partkey % 40 AS VARCHAR)) AS table_id, k AS col_no, CASE k WHEN 0 THEN 'TEXT' WHEN 1 THEN 'NUMBER' ELSE 'CURRENCY' END AS data_type FROM part CROSS JOIN (VALUES (0), (1), (2)) AS v(k)")
+def _(spark, d):
+    return cells.column_types(_view(spark, d, CELLS))
+
+
+@query("cell_checks")
+def _(spark, d):
+    return cells.checks(_view(spark, d, CELLS))
+
+
+@query("table_scores")
+def _(spark, d):
+    c = _view(spark, d, CELLS)
+    return cells.score(c, c.select("table_id").distinct().withColumn("confidence", F.lit(0.95)))
+
+
+@query("table_structure", f"""WITH c AS ({CELLS}), r AS (SELECT table_id, row_no, count(*) AS n, count_if(trim(value) <> '') AS f, string_agg(lower(trim(value)), '|' ORDER BY col_no) AS s FROM c GROUP BY 1, 2), h AS (SELECT DISTINCT table_id, col_no, header FROM c)
+  SELECT table_id, count(*) AS rows, max(n) AS width, count_if(f = 0) AS empty_rows, count(*) - count(DISTINCT s) AS duplicate_rows, count(DISTINCT n) > 1 AS ragged, any_value(e) AS empty_headers, any_value(dd) AS duplicate_headers, any_value(g) AS generic_headers
+  FROM r JOIN (SELECT table_id, count_if(trim(header) = '') AS e, count(*) - count(DISTINCT lower(trim(header))) AS dd, 0::BIGINT AS g FROM h GROUP BY 1) USING (table_id) GROUP BY 1""")
+def _(spark, d):
+    return cells.structure(_view(spark, d, CELLS))
+
+
+def _corrections(spark: SparkSession, d: str) -> DataFrame:
+    return _view(spark, d, CELLS).selectExpr("table_id", "row_no", "col_no", "CASE WHEN row_no % 10 = 4 THEN 'delete_row' WHEN col_no = 1 THEN 'replace' ELSE 'blank' END AS action", "'42' AS new_value", "row_no AS seq").where("row_no % 10 = 4 OR (row_no % 7 = 2 AND col_no > 0)")
+
+
+@query("cells_correct", f"""WITH c AS (SELECT *, dense_rank() OVER (PARTITION BY table_id ORDER BY row_no) - 1 + min(row_no) OVER (PARTITION BY table_id) AS k FROM ({CELLS}) WHERE row_no % 10 <> 4)
+  SELECT table_id, CAST(k AS INT) AS row_no, col_no, header, CASE WHEN row_no % 7 = 2 AND col_no = 1 THEN '42' WHEN row_no % 7 = 2 AND col_no = 2 THEN '' ELSE value END AS value FROM c""")
+def _(spark, d):
+    return cells.corrected(_view(spark, d, CELLS), _corrections(spark, d))
+
+
+@query("cell_diff", f"SELECT table_id, row_no, col_no, value AS old_value, upper(value) AS new_value FROM ({CELLS}) WHERE value <> upper(value)")
+def _(spark, d):
+    c = _view(spark, d, CELLS)
+    return cells.diff(c, c.withColumn("value", F.upper("value")))
+
+
+@query("correction_status", f"SELECT event_type AS session_id, count(*) AS total, count_if(user_id % 3 = 0) AS accepted, count_if(user_id % 3 = 1) AS rejected, count_if(user_id % 3 = 2) AS open, 0.3::DOUBLE AS gain FROM events GROUP BY 1")
+def _(spark, d):
+    return cells.correction_status(table(spark, d, "events").selectExpr("event_type AS session_id", "CASE user_id % 3 WHEN 0 THEN 'accepted' WHEN 1 THEN 'rejected' ELSE 'open' END AS state"))
+
+
+@query("words_to_lines", f"""WITH w AS (SELECT *, CASE WHEN abs(y - lag(y) OVER o) > 10 THEN 1 ELSE 0 END AS n FROM ({WORDS}) WINDOW o AS (PARTITION BY page ORDER BY y, x)) SELECT page, word_no, k, CAST(sum(n) OVER (PARTITION BY page ORDER BY y, x ROWS UNBOUNDED PRECEDING) AS INT) AS line FROM w""")
+def _(spark, d):
+    return layout.lines(_view(spark, d, WORDS), ["page"], ["y", "x"]).select("page", "word_no", "k", "line")
+
+
+@query("words_to_rows", f"SELECT page, word_no, k, CAST(word_no % 20 AS INT) AS row_no FROM ({WORDS})")
+def _(spark, d):
+    return layout.rows_by_running_mean(_view(spark, d, WORDS), ["page"]).select("page", "word_no", "k", "row_no")
+
+
+@query("column_bounds", f"SELECT page, k AS col_no, CAST(floor(avg(x)) AS INT) AS bound FROM (SELECT DISTINCT page, k, x FROM ({WORDS})) GROUP BY 1, 2")
+def _(spark, d):
+    return layout.column_bounds(_view(spark, d, WORDS), ["page"])
+
+
+@query("words_to_cells", f"SELECT page, CAST(word_no % 20 AS INT) AS row_no, k AS col_no, text, round(confidence, 6) AS confidence FROM ({WORDS})")
+def _(spark, d):
+    w = layout.rows_by_running_mean(_view(spark, d, WORDS), ["page"])
+    return _rounded(layout.grid(layout.to_cells(w, ["page"], "row_no"), ["page"]))
+
+
+@query("table_regions", f"SELECT page, 0 AS region, min(x) AS x, min(y) AS y, max(x + width) AS \"right\", max(y + height) AS bottom, count(DISTINCT word_no) AS rows FROM ({WORDS}) GROUP BY 1 HAVING count(DISTINCT word_no) >= 2")
+def _(spark, d):
+    w = layout.rows_by_running_mean(_view(spark, d, WORDS), ["page"])
+    return layout.table_regions(w, ["page"], "row_no")
+
+
+@query("words_in_regions", f"SELECT page, word_no, k, 1 AS region_id FROM ({WORDS}) WHERE x + width // 2 BETWEEN 90 AND 190 AND y + height // 2 BETWEEN 100 AND 400")
+def _(spark, d):
+    w = _view(spark, d, WORDS)
+    regions = w.select("page").distinct().selectExpr("page", "1 AS region_id", "90 AS x", "100 AS y", "100 AS width", "300 AS height")
+    return layout.words_in_regions(w, regions, ["page"]).select("page", "word_no", "k", "region_id")
+
+
+@query("page_confidence", f"SELECT page, count(*) AS words, round(least(1.0, avg(confidence) * CASE WHEN count(*) < 3 THEN 0.8 WHEN count(*) > 20 THEN 1.1 ELSE 1.0 END), 6) AS confidence FROM ({WORDS}) GROUP BY 1")
+def _(spark, d):
+    return _rounded(layout.page_confidence(_view(spark, d, WORDS), ["page"]))
+
+
+@query("fragment_merge", "SELECT l_linenumber AS table_id, CASE WHEN l_linenumber % 2 = 0 THEN 2 ELSE 1 END AS leader FROM (SELECT DISTINCT l_linenumber FROM lineitem)")
+def _(spark, d):
+    t = table(spark, d, "lineitem").select("l_linenumber").distinct()
+    return layout.fragments(t.selectExpr("l_linenumber AS table_id", "IF(l_linenumber % 2 = 0, array('Key', ' price', 'Tax'), array('Key', 'Price', 'Tax', 'Flag')) AS headers"))
+
+
+@query("ragged_to_table", "SELECT p_partkey, p_name AS name, CASE WHEN p_partkey % 3 > 0 THEN p_brand END AS brand, CASE WHEN p_partkey % 3 > 1 THEN p_type END AS type FROM part")
+def _(spark, d):
+    t = table(spark, d, "part").selectExpr("p_partkey", "slice(array(p_name, p_brand, p_type), 1, CAST(1 + p_partkey % 3 AS INT)) AS cells")
+    return layout.rectangular(t, ["name", "brand", "type"])
+
+
+@query("word_boxes")
+def _(spark, d):
+    return cells.split_span(table(spark, d, "part").selectExpr("p_partkey", "p_name AS text", "10 AS x", "200 AS width"), "p_partkey")
+
+
+# --- streams, in batch form -----------------------------------------------------------------------------------
+
+
+@query("windowed_kpis", """SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, time_bucket(INTERVAL 1 HOUR, ts) + INTERVAL 1 HOUR AS "end", event_type, count(*) AS count, round(avg(value), 6) AS avg, min(value) AS min, max(value) AS max, arg_max(value, ts) AS latest FROM events GROUP BY 1, 2, 3""")
+def _(spark, d):
+    return _rounded(streams.windowed_kpis(table(spark, d, "events")))
+
+
+@query("rolling_metrics", """SELECT h AS start, h + INTERVAL 24 HOURS AS "end", event_type, count(*) AS count, round(avg(value), 6) AS avg, min(value) AS min, max(value) AS max, arg_max(value, ts) AS latest FROM (SELECT *, unnest(generate_series(0, 3)) AS i FROM events) CROSS JOIN LATERAL (SELECT time_bucket(INTERVAL 6 HOURS, ts) - i * INTERVAL 6 HOURS AS h) GROUP BY 1, 2, 3""")
+def _(spark, d):
+    return _rounded(streams.windowed_kpis(table(spark, d, "events"), "24 hours", "6 hours"))
+
+
+@query("stale_clients", """WITH g AS (SELECT *, CASE WHEN ts < lag(ts) OVER w + INTERVAL 5 MINUTES THEN 0 ELSE 1 END AS n FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)), s AS (SELECT *, sum(n) OVER (PARTITION BY user_id ORDER BY ts) AS k FROM g) SELECT user_id, min(ts) AS first, max(ts) + INTERVAL 5 MINUTES AS gone_at, count(*) AS events FROM s GROUP BY user_id, k""")
+def _(spark, d):
+    return streams.stale_clients(table(spark, d, "events"))
+
+
+@query("event_routing", "SELECT s AS subscriber, count(*) AS events FROM events CROSS JOIN (VALUES ('all', ''), ('errors', 'error'), ('sales', 'purchase')) AS t(s, k) WHERE k = '' OR k = event_type GROUP BY 1")
+def _(spark, d):
+    e = table(spark, d, "events")
+    subs = e.limit(1).select(F.inline(F.array(F.struct(F.lit("all").alias("subscriber"), F.array().cast("array<string>").alias("types")), F.struct(F.lit("errors").alias("subscriber"), F.array(F.lit("error")).alias("types")), F.struct(F.lit("sales").alias("subscriber"), F.array(F.lit("purchase")).alias("types")))))
+    return streams.routed(e, subs).groupBy("subscriber").agg(F.count("*").alias("events"))
+
+
+@query("alert_events", "SELECT event_id FROM events WHERE event_type = 'error' OR value >= 90")
+def _(spark, d):
+    return streams.alert_events(table(spark, d, "events"), 90.0).select("event_id")
+
+
+@query("quota", "SELECT event_id, user_id, event_type, used, greatest(0, 3 - used) AS remaining FROM (SELECT *, count(*) OVER (PARTITION BY user_id, event_type ORDER BY ts RANGE BETWEEN INTERVAL 1 HOUR PRECEDING AND CURRENT ROW) AS used FROM events)")
+def _(spark, d):
+    return streams.quota(table(spark, d, "events"), 3)
+
+
+@query("rate_limit")
+def _(spark, d):
+    return streams.rate_limited(table(spark, d, "events"), 1)
+
+
+@query("change_detect", "SELECT event_type, count(*) AS n FROM events GROUP BY 1")
+def _(spark, d):
+    e = table(spark, d, "events")
+    return e.groupBy("event_type").agg(F.count("*").alias("n")) if streams.fingerprint(e) == streams.fingerprint(e.repartition(7)) else e.limit(0)
