@@ -39,7 +39,7 @@ PERCENTILE = 90
 END_ID = 1
 #: Ids of a file; a range with more goes on in the next file. A document is never split.
 FILE_IDS = 8_000_000
-CACHE = 250_000
+CACHE = 500_000
 HEADER = struct.Struct("<4sIQI")
 MAGIC = b"PFR1"
 
@@ -74,8 +74,9 @@ def pack_blocks(ids: np.ndarray) -> tuple[bytes, np.ndarray]:
     for w in np.unique(width).tolist():
         if w:
             at = np.flatnonzero(width == w)
-            bits = (diff[at][:, :, None] >> np.arange(w, dtype=np.uint32)) & np.uint32(1)
-            packed = np.packbits(bits.reshape(len(at), -1).astype(np.uint8), axis=1, bitorder="little")
+            low = (diff[at] & np.uint32(2**w - 1)).astype("<u2" if w <= 16 else "<u4")
+            bits = np.unpackbits(low.view(np.uint8).reshape(len(at), BLOCK, -1), axis=2, bitorder="little")[:, :, :w]
+            packed = np.packbits(bits.reshape(len(at), -1), axis=1, bitorder="little")
             out[begin[at][:, None] + 6 + np.arange(packed.shape[1])] = packed
     row, col = np.nonzero(over)
     if len(row):
@@ -165,6 +166,21 @@ class _Encoder(dict):
 
         self.tokenizer = Tokenizer.from_file(path)
         self.older: dict[bytes, bytes] = {}
+        # a special token is cut out before anything else looks at the text: it keeps stretches apart
+        self.between = next(((i, t.content) for i, t in self.tokenizer.get_added_tokens_decoder().items() if t.special and not t.normalized), None)
+
+    def _encoded(self, stretches: list[bytes]) -> list[bytes]:
+        """The ids of each stretch; those without anything like a special token in one call."""
+        texts = [w.decode("utf-8", "replace") for w in stretches]
+        if self.between is None or any("<|" in t for t in texts):
+            made = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+            return [struct.pack(f"<{len(e)}I", *e.ids) for e in made]
+        mark, content = self.between
+        ids = np.array(self.tokenizer.encode_batch_fast([content.join(texts)], add_special_tokens=False)[0].ids, "<u4")
+        cuts = np.flatnonzero(ids == mark)
+        raw = ids.tobytes()
+        starts, ends = [0, *(4 * (cuts + 1)).tolist()], [*(4 * cuts).tolist(), len(raw)]
+        return [raw[a:b] for a, b in zip(starts, ends, strict=True)]
 
     def ids(self, texts: list[bytes]) -> list[np.ndarray]:
         # A-Z are lowered by the tokenizer anyhow, but not in what may be a special token
@@ -172,8 +188,8 @@ class _Encoder(dict):
         if len(self) >= CACHE:
             self.older = dict(self)
             self.clear()
-        new = set(chain.from_iterable(split)) - self.keys()
-        again = new & self.older.keys()
+        new = {w for w in set(chain.from_iterable(split)) if w not in self}
+        again = {w for w in new if w in self.older}
         self.update((w, self.older[w]) for w in again)
         new -= again
         # a full stop or comma after a letter is a piece of its own
@@ -181,9 +197,10 @@ class _Encoder(dict):
         fresh = new.difference(ended)
         fresh.update(x for w in ended for x in (w[:-1], w[-1:]) if x not in self)
         if fresh:
-            ordered = list(fresh)
-            made = self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in ordered], add_special_tokens=False)
-            self.update((w, struct.pack(f"<{len(e)}I", *e.ids)) for w, e in zip(ordered, made, strict=True))
+            odd = [w for w in fresh if b"<|" in w]
+            for some in (list(fresh.difference(odd)), odd):
+                if some:
+                    self.update(zip(some, self._encoded(some), strict=True))
         self.update((w, self[w[:-1]] + self[w[-1:]]) for w in ended)
         look = self.__getitem__
         end = struct.pack("<I", END_ID)
