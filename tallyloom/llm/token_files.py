@@ -39,7 +39,7 @@ PERCENTILE = 90
 END_ID = 1
 #: Ids of a file; a range with more goes on in the next file. A document is never split.
 FILE_IDS = 8_000_000
-CACHE = 500_000
+CACHE = 350_000
 HEADER = struct.Struct("<4sIQI")
 MAGIC = b"PFR1"
 
