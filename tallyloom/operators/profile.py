@@ -57,7 +57,7 @@ def texts(df: DataFrame, names: list[str]) -> DataFrame:
         cased = F.upper(t) != F.lower(t)
         shapes = F.array_compact(F.array(*[F.when(F.avg(t.rlike(p).cast("double")) >= 0.5, F.lit(k)) for k, p in SHAPES.items()]))
         return {
-            "min_length": F.min(F.length(t)), "max_length": F.max(F.length(t)), "avg_length": F.avg(F.length(t)), "special": F.bool_or(t.rlike(r"[^a-zA-Z0-9\s]")),
+            "min_length": F.min(F.length(t).cast("long")), "max_length": F.max(F.length(t).cast("long")), "avg_length": F.avg(F.length(t)), "special": F.bool_or(t.rlike(r"[^a-zA-Z0-9\s]")),
             "all_upper": F.bool_and(cased & (t == F.upper(t))), "all_lower": F.bool_and(cased & (t == F.lower(t))), "shapes": F.array_join(shapes, ","),
         }
 
@@ -67,7 +67,7 @@ def texts(df: DataFrame, names: list[str]) -> DataFrame:
 def dates(df: DataFrame, names: list[str]) -> DataFrame:
     def fields(c: str) -> dict[str, Column]:
         ts = F.col(c).cast("timestamp")
-        return {"first": F.min(ts), "last": F.max(ts), "range_days": F.datediff(F.max(ts), F.min(ts)), "has_time": F.bool_or(F.date_trunc("day", ts) != ts)}
+        return {"first": F.min(ts), "last": F.max(ts), "range_days": F.datediff(F.max(ts), F.min(ts)).cast("long"), "has_time": F.bool_or(F.date_trunc("day", ts) != ts)}
 
     return _per_column(df, names, fields)
 

@@ -62,7 +62,7 @@ def features(questions: DataFrame, key: str, text: str = "text") -> DataFrame:
     t = F.lower(text)
     parts = sum((_any(t, words).cast("int") for _, words in FAMILIES), F.lit(0))
     return questions.select(
-        key, F.length(text).alias("length"), F.size(F.split(F.trim(text), r"\s+")).alias("words"), t.rlike("[0-9]").alias("has_number"), F.col(text).contains("?").alias("has_mark"),
+        key, F.length(text).cast("long").alias("length"), F.size(F.split(F.trim(text), r"\s+")).cast("long").alias("words"), t.rlike("[0-9]").alias("has_number"), F.col(text).contains("?").alias("has_mark"),
         parts.alias("families"), F.when(parts == 0, "simple").when(parts <= 2, "moderate").otherwise("complex").alias("complexity"),
     )
 

@@ -147,7 +147,7 @@ def _(spark, d):
 
 
 @query("query_checks", """SELECT o_orderkey AS query_id, CAST(o_orderkey % 3 = 0 AS INT) AS unknown_columns, o_orderkey % 4 = 0 AS dangerous, CAST(o_orderkey % 3 = 0 AS INT) + CAST(o_orderkey % 4 = 0 AS INT) + CAST(o_orderkey % 4 = 0 AS INT) AS n_errors,
-  o_orderkey % 4 <> 0 AS unbounded, o_orderkey % 3 <> 0 AND o_orderkey % 4 <> 0 AS valid, round(greatest(0, 1 - 0.2 * (CAST(o_orderkey % 3 = 0 AS INT) + 2 * CAST(o_orderkey % 4 = 0 AS INT))), 6) AS confidence FROM orders""")
+  o_orderkey % 4 <> 0 AS unbounded, o_orderkey % 3 <> 0 AND o_orderkey % 4 <> 0 AS valid, round(greatest(0, 1 - 0.2::DOUBLE * (CAST(o_orderkey % 3 = 0 AS INT) + 2 * CAST(o_orderkey % 4 = 0 AS INT))), 6) AS confidence FROM orders""")
 def _(spark, d):
     q = table(spark, d, "orders").selectExpr("o_orderkey AS query_id", "IF(o_orderkey % 4 = 0, 'DROP TABLE created_at FROM x', 'SELECT * FROM orders') AS sql", "IF(o_orderkey % 3 = 0, array('a', 'zz'), array('a')) AS used_columns")
     return _rounded(filters.query_checks(q, ["a", "b"]))
@@ -210,7 +210,7 @@ def _(spark, d):
     return _rounded(profile.quality_scores(_view(spark, d, TEXTS), {c: _KIND[c] for c in ("price", "discount", "quantity", "day")}))
 
 
-@query("issue_scan", f"""SELECT 'status' AS name, count_if(trim(status) = '') AS empty, 0::BIGINT AS numeric_text, count_if(status <> trim(status)) AS edge_spaces, 0::BIGINT AS artefacts FROM ({TEXTS})
+@query("issue_scan", f"""SELECT 'status' AS name, count(CASE WHEN trim(status) = '' THEN 1 END) AS empty, 0::BIGINT AS numeric_text, count(CASE WHEN status <> trim(status) THEN 1 END) AS edge_spaces, 0::BIGINT AS artefacts FROM ({TEXTS})
   UNION ALL SELECT 'price', 0, count(*), 0, 0 FROM lineitem""")
 def _(spark, d):
     return profile.issues(_view(spark, d, TEXTS).select("status", "price"))
@@ -433,7 +433,7 @@ def _(spark, d):
     return _rounded(charts.histogram(table(spark, d, "lineitem"), "l_extendedprice"), 4)
 
 
-@query("chart_heatmap", "SELECT l_returnflag, count_if(l_linestatus = 'F') AS F, count_if(l_linestatus = 'O') AS O FROM lineitem GROUP BY 1")
+@query("chart_heatmap", "SELECT l_returnflag, count(CASE WHEN l_linestatus = 'F' THEN 1 END) AS F, count(CASE WHEN l_linestatus = 'O' THEN 1 END) AS O FROM lineitem GROUP BY 1")
 def _(spark, d):
     return charts.heatmap(table(spark, d, "lineitem"), "l_returnflag", "l_linestatus", ["F", "O"])
 
@@ -480,8 +480,8 @@ def _(spark, d):
     return schema.compatibility(schema.diff(_columns_of(spark, d, False), _columns_of(spark, d, True)))
 
 
-@query("schema_drift", f"""SELECT 'customer' AS name, round(count_if(v.customer IS NULL) * 100.0 / count(*), 4) AS null_percent_change, count(DISTINCT v.customer) - count(DISTINCT o.o_custkey) AS unique_change, 0::BIGINT AS row_change FROM ({ORDERS}) v JOIN orders o USING (o_orderkey)
-  UNION ALL SELECT 'total', round(count_if(v.total IS NULL) * 100.0 / count(*), 4), count(DISTINCT v.total) - count(DISTINCT o.o_totalprice), 0 FROM ({ORDERS}) v JOIN orders o USING (o_orderkey) UNION ALL SELECT 'o_orderkey', 0, 0, 0 UNION ALL SELECT 'status', 0, 0, 0""")
+@query("schema_drift", f"""SELECT 'customer' AS name, round(count(CASE WHEN v.customer IS NULL THEN 1 END) * 100.0 / count(*), 4) AS null_percent_change, count(DISTINCT v.customer) - count(DISTINCT o.o_custkey) AS unique_change, 0::BIGINT AS row_change FROM ({ORDERS}) v JOIN orders o USING (o_orderkey)
+  UNION ALL SELECT 'total', round(count(CASE WHEN v.total IS NULL THEN 1 END) * 100.0 / count(*), 4), count(DISTINCT v.total) - count(DISTINCT o.o_totalprice), 0 FROM ({ORDERS}) v JOIN orders o USING (o_orderkey) UNION ALL SELECT 'o_orderkey', 0, 0, 0 UNION ALL SELECT 'status', 0, 0, 0""")
 def _(spark, d):
     clean = table(spark, d, "orders").selectExpr("o_orderkey", "o_custkey AS customer", "o_orderstatus AS status", "o_totalprice AS total")
     return _rounded(schema.drift(clean, _view(spark, d, ORDERS).drop("priority")), 4)
@@ -560,7 +560,7 @@ def _(spark, d):
     return privacy.retained(_registry(spark, d), F.lit("2024-06-01").cast("date")).select("doc_id", "user_id", "expires_on")
 
 
-@query("privacy_report", f"""SELECT level AS classification, count(doc_id) AS records, count_if(level IN ('RESTRICTED', 'CONFIDENTIAL') AND doc_id IS NOT NULL) AS pii, count_if(level = 'RESTRICTED' AND doc_id IS NOT NULL) AS encrypted FROM (VALUES ('PUBLIC'), ('INTERNAL'), ('CONFIDENTIAL'), ('RESTRICTED')) AS l(level)
+@query("privacy_report", f"""SELECT level AS classification, count(doc_id) AS records, count(CASE WHEN level IN ('RESTRICTED', 'CONFIDENTIAL') AND doc_id IS NOT NULL THEN 1 END) AS pii, count(CASE WHEN level = 'RESTRICTED' AND doc_id IS NOT NULL THEN 1 END) AS encrypted FROM (VALUES ('PUBLIC'), ('INTERNAL'), ('CONFIDENTIAL'), ('RESTRICTED')) AS l(level)
   LEFT JOIN (SELECT doc_id, {_LEVEL} AS level FROM ({REGISTRY})) USING (level) GROUP BY 1""")
 def _(spark, d):
     return privacy.report(_registry(spark, d))
@@ -597,8 +597,8 @@ def _(spark, d):
     return text.features(_view(spark, d, QUESTIONS), "qid")
 
 
-@query("question_scores", f"""WITH s AS (SELECT qid, {', '.join(f"least(0.6, ({' + '.join(f"CAST(contains(lower(text), '{w}') AS INT)" for w in words)}) * 0.2) AS {k}" for k, words in text.FAMILIES)} FROM ({QUESTIONS})), m AS (SELECT *, greatest({', '.join(k for k, _ in text.FAMILIES)}) AS g FROM s)
-  SELECT qid, CASE WHEN g < 0.3 THEN 'DESCRIPTIVE' {' '.join(f"WHEN {k} = g THEN '{k}'" for k, _ in text.FAMILIES)} END AS kind, round(CASE WHEN g < 0.3 THEN 0.5 ELSE g END, 6) AS score FROM m""")
+@query("question_scores", f"""WITH s AS (SELECT qid, {', '.join(f"least(0.6::DOUBLE, ({' + '.join(f"CAST(contains(lower(text), '{w}') AS INT)" for w in words)}) * 0.2::DOUBLE) AS {k}" for k, words in text.FAMILIES)} FROM ({QUESTIONS})), m AS (SELECT *, greatest({', '.join(k for k, _ in text.FAMILIES)}) AS g FROM s)
+  SELECT qid, CASE WHEN g < 0.3 THEN 'DESCRIPTIVE' {' '.join(f"WHEN {k} = g THEN '{k}'" for k, _ in text.FAMILIES)} END AS kind, round(CASE WHEN g < 0.3 THEN 0.5::DOUBLE ELSE g END, 6) AS score FROM m""")
 def _(spark, d):
     return _rounded(text.weighted_types(_view(spark, d, QUESTIONS), "qid"))
 
@@ -655,7 +655,7 @@ def _(spark, d):
 @query("numbers_in_text", "SELECT doc_id, len(regexp_extract_all(text, '(-?[0-9]+\\.?[0-9]*)')) AS n, round(coalesce(list_sum(list_transform(regexp_extract_all(text, '(-?[0-9]+\\.?[0-9]*)'), lambda x: CAST(x AS DOUBLE) % 1000)), 0), 4) AS total FROM documents")
 def _(spark, d):
     numbers = S.all_numbers(F.col("text"))
-    return _rounded(table(spark, d, "documents").select("doc_id", F.size(numbers).alias("n"), F.aggregate(numbers, F.lit(0.0), lambda a, x: a + x % 1000).alias("total")), 4)
+    return _rounded(table(spark, d, "documents").select("doc_id", F.size(numbers).cast("long").alias("n"), F.aggregate(numbers, F.lit(0.0), lambda a, x: a + x % 1000).alias("total")), 4)
 
 
 # --- logs --------------------------------------------------------------------------------------------------
@@ -684,7 +684,7 @@ def _(spark, d):
     return _rounded(logs.metric_summary(e, names, "event_type", "value", "ts", F.lit("2024-01-20").cast("timestamp_ntz")), 4)
 
 
-@query("system_health", "SELECT count(*) AS total, count_if(event_type = 'error') AS failed, round(count_if(event_type = 'error') * 100.0 / count(*), 6) AS error_rate FROM events")
+@query("system_health", "SELECT count(*) AS total, count(CASE WHEN event_type = 'error' THEN 1 END) AS failed, round(count(CASE WHEN event_type = 'error' THEN 1 END) * 100.0 / count(*), 6) AS error_rate FROM events")
 def _(spark, d):
     return _rounded(logs.health(table(spark, d, "events"), "event_type", "error"))
 
@@ -708,7 +708,7 @@ def _(spark, d):
     return logs.user_activity(table(spark, d, "events"), "user_id", "ts")
 
 
-@query("audit_integrity", "SELECT count(*) AS events, count_if(event_id % 10 = 3) AS mismatches, round(100 - count_if(event_id % 10 = 3) * 100.0 / count(*), 6) AS integrity FROM events")
+@query("audit_integrity", "SELECT count(*) AS events, count(CASE WHEN event_id % 10 = 3 THEN 1 END) AS mismatches, round(100 - count(CASE WHEN event_id % 10 = 3 THEN 1 END) * 100.0 / count(*), 6) AS integrity FROM events")
 def _(spark, d):
     signed = logs.with_checksum(table(spark, d, "events").select("event_id", "user_id", "value"))
     return _rounded(logs.integrity(signed.withColumn("user_id", F.when(F.col("event_id") % 10 == 3, F.lit(-1)).otherwise(F.col("user_id")))))
@@ -729,7 +729,7 @@ def _(spark, d):
     return logs.sessions(table(spark, d, "events"), "user_id", "ts", "6 hours")
 
 
-@query("session_stats", "SELECT count(*) AS total, count_if(ts + INTERVAL 1 DAY > TIMESTAMP '2024-01-20') AS active, count(DISTINCT CASE WHEN ts + INTERVAL 1 DAY > TIMESTAMP '2024-01-20' THEN user_id END) AS active_users FROM events")
+@query("session_stats", "SELECT count(*) AS total, count(CASE WHEN ts + INTERVAL 1 DAY > TIMESTAMP '2024-01-20' THEN 1 END) AS active, count(DISTINCT CASE WHEN ts + INTERVAL 1 DAY > TIMESTAMP '2024-01-20' THEN user_id END) AS active_users FROM events")
 def _(spark, d):
     return logs.session_statistics(table(spark, d, "events").withColumn("expires", F.expr("ts + INTERVAL 1 DAY")), "user_id", "expires", F.lit("2024-01-20").cast("timestamp_ntz"))
 
@@ -799,9 +799,9 @@ def _(spark, d):
     return cells.score(c, c.select("table_id").distinct().withColumn("confidence", F.lit(0.95)))
 
 
-@query("table_structure", f"""WITH c AS ({CELLS}), r AS (SELECT table_id, row_no, count(*) AS n, count_if(trim(value) <> '') AS f, string_agg(lower(trim(value)), '|' ORDER BY col_no) AS s FROM c GROUP BY 1, 2), h AS (SELECT DISTINCT table_id, col_no, header FROM c)
-  SELECT table_id, count(*) AS rows, max(n) AS width, count_if(f = 0) AS empty_rows, count(*) - count(DISTINCT s) AS duplicate_rows, count(DISTINCT n) > 1 AS ragged, any_value(e) AS empty_headers, any_value(dd) AS duplicate_headers, any_value(g) AS generic_headers
-  FROM r JOIN (SELECT table_id, count_if(trim(header) = '') AS e, count(*) - count(DISTINCT lower(trim(header))) AS dd, 0::BIGINT AS g FROM h GROUP BY 1) USING (table_id) GROUP BY 1""")
+@query("table_structure", f"""WITH c AS ({CELLS}), r AS (SELECT table_id, row_no, count(*) AS n, count(CASE WHEN trim(value) <> '' THEN 1 END) AS f, string_agg(lower(trim(value)), '|' ORDER BY col_no) AS s FROM c GROUP BY 1, 2), h AS (SELECT DISTINCT table_id, col_no, header FROM c)
+  SELECT table_id, count(*) AS rows, max(n) AS width, count(CASE WHEN f = 0 THEN 1 END) AS empty_rows, count(*) - count(DISTINCT s) AS duplicate_rows, count(DISTINCT n) > 1 AS ragged, any_value(e) AS empty_headers, any_value(dd) AS duplicate_headers, any_value(g) AS generic_headers
+  FROM r JOIN (SELECT table_id, count(CASE WHEN trim(header) = '' THEN 1 END) AS e, count(*) - count(DISTINCT lower(trim(header))) AS dd, 0::BIGINT AS g FROM h GROUP BY 1) USING (table_id) GROUP BY 1""")
 def _(spark, d):
     return cells.structure(_view(spark, d, CELLS))
 
@@ -822,7 +822,7 @@ def _(spark, d):
     return cells.diff(c, c.withColumn("value", F.upper("value")))
 
 
-@query("correction_status", f"SELECT event_type AS session_id, count(*) AS total, count_if(user_id % 3 = 0) AS accepted, count_if(user_id % 3 = 1) AS rejected, count_if(user_id % 3 = 2) AS open, 0.3::DOUBLE AS gain FROM events GROUP BY 1")
+@query("correction_status", f"SELECT event_type AS session_id, count(*) AS total, count(CASE WHEN user_id % 3 = 0 THEN 1 END) AS accepted, count(CASE WHEN user_id % 3 = 1 THEN 1 END) AS rejected, count(CASE WHEN user_id % 3 = 2 THEN 1 END) AS open, 0.3::DOUBLE AS gain FROM events GROUP BY 1")
 def _(spark, d):
     return cells.correction_status(table(spark, d, "events").selectExpr("event_type AS session_id", "CASE user_id % 3 WHEN 0 THEN 'accepted' WHEN 1 THEN 'rejected' ELSE 'open' END AS state"))
 
