@@ -35,9 +35,8 @@ KEY_BITS = 26
 MEMBERS = 2048
 
 
-def _simhashes(texts, width: int) -> np.ndarray:
-    """The unsigned 64-bit fingerprint of each text."""
-    out = [np.zeros(0, np.uint64)]
+def shingle_hashes(texts, width: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For runs of texts, the hashes of all shingles and how many of them each text has."""
     for block in textblocks.blocks(texts, lower=True):
         spans = textblocks.words(block)
         counts = np.diff(spans.bounds)
@@ -54,8 +53,12 @@ def _simhashes(texts, width: int) -> np.ndarray:
         last = np.minimum(first + width - 1, np.repeat(spans.bounds[1:] - 1, room))
         digest = xxhash.xxh64_intdigest
         h = np.array([digest(data[a:b], 42) for a, b in zip(starts[first].tolist(), ends[last].tolist(), strict=True)], np.uint64)
-        out.append(_majority(h, room))
-    return np.concatenate(out)
+        yield h, room
+
+
+def _simhashes(texts, width: int) -> np.ndarray:
+    """The unsigned 64-bit fingerprint of each text."""
+    return np.concatenate([np.zeros(0, np.uint64), *[_majority(h, room) for h, room in shingle_hashes(texts, width)]])
 
 
 def _majority(h: np.ndarray, room: np.ndarray) -> np.ndarray:
@@ -198,15 +201,6 @@ def near_duplicates(docs: DataFrame, width: int = SHINGLE, bits: int = BITS) ->
     )
 
 
-def keep_first(docs: DataFrame) -> DataFrame:
-    """The documents less all but the first of each component; columns stay as they are.
-
-    Equal doc_ids are one document: all their rows stay or go. Rows without a doc_id stay.
-    """
-    drop = near_duplicates(docs).where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(drop, "doc_id", "left_anti").select(*docs.columns)
-
-
 def brute_force(rows: list[tuple], width: int = SHINGLE, bits: int = BITS) -> dict:
     """doc_id → (fingerprint, component_id) by comparing all pairs, for tests."""
     prints = []

@@ -13,7 +13,7 @@ import tiktoken
 
 import corpus_pipeline
 from tallyloom.llm import (
-    byte_bpe, components, decontamination, exchange, maxent_lm, quality_gam, quality_rules, sharding, simhash, substring_dedup, suffix_dedup, textblocks, token_files,
+    byte_bpe, components, decontamination, exchange, maxent_lm, near_copies, quality_gam, quality_rules, sharding, simhash, substring_dedup, suffix_dedup, textblocks, token_files,
 )
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -334,3 +334,18 @@ def test_pipeline(spark, testdata):
     want = {i: (len(ids := library.encode_ordinary(t)), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest()) for i, t in cut if i not in leaks}
     got = {r.doc_id: (r.n_tokens, r.ids_sha256) for r in corpus_pipeline.run(spark, d).collect()}
     assert got == want
+
+
+def test_near_copies_of_similarity_08_go(spark, testdata):
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{testdata}/sf0.01/documents.parquet").select("doc_id", "text").collect()]
+    rng = random.Random(3)
+    words = [f"w{i}" for i in range(100)]
+    for i in range(60):  # a copy with words changed, from far below to far above 0.8
+        changed = list(words)
+        for k in rng.sample(range(100), i % 6):
+            changed[k] = f"x{i}"
+        rows.append((10_000 + i, " ".join(changed)))
+    rows += [(20_000, ""), (20_001, " \n"), (20_002, "one two"), (20_003, "one  TWO")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id for r in near_copies.keep_first(docs).collect()}
+    assert got == near_copies.brute_force(rows)
