@@ -38,21 +38,36 @@ def without_headers(df: DataFrame, columns: list[str], least: float = 0.9) -> Da
 def similar_pairs(df: DataFrame, key: str, text: str, threshold: float = 0.85, block: Column | None = None, edit_only: bool = False) -> DataFrame:
     """Pairs (a, b, similarity) with a before b, of texts in one block.
 
-    Rows meet if their blocks are equal and their lengths allow the threshold: the ratio of two texts
-    is at most twice the shorter over both, so only lengths within a factor meet. Lengths are cut
-    into steps of a geometric scale, and a row meets the steps next to its own.
+    Rows meet if their blocks are equal, their lengths allow the threshold and they share a character
+    key. Neither measure exceeds twice the characters in common (with repeats) over both lengths, so
+    only lengths within a factor meet, in steps of a geometric scale. A text's characters, numbered by
+    occurrence, are read in one order, high numbers first; two texts that reach the threshold share one
+    of the first ``n - ceil(low n) + 1``, and half the threshold of both lengths in all.
     """
     low = threshold / (2 - threshold)
-    step = F.floor(F.log(F.greatest(F.length(text), F.lit(1))) / -F.log(F.lit(low)) + 1e-9).cast("int")
-    rows = df.select(F.col(key).alias("k"), F.col(text).alias("t"), (block if block is not None else F.lit(0)).alias("g"), step.alias("s"))
-    left = rows.select(F.col("k").alias("a"), F.col("t").alias("ta"), "g", F.explode(F.array(F.col("s") - 1, F.col("s"), F.col("s") + 1)).alias("s"))
-    right = rows.select(F.col("k").alias("b"), F.col("t").alias("tb"), "g", "s")
-    near = (F.least(F.length("ta"), F.length("tb")) >= F.lit(low) * F.greatest(F.length("ta"), F.length("tb"))) & (F.col("a") < F.col("b"))
-    pairs = left.join(right, ["g", "s"]).where(near)
+    n = F.length(text)
+    step = F.floor(F.log(F.greatest(n, F.lit(1))) / -F.log(F.lit(low)) + 1e-9).cast("int")
+    rows = df.select(F.col(key).alias("k"), F.col(text).alias("t"), (block if block is not None else F.lit(0)).alias("g"), step.alias("s"), _characters(F.col(text)).alias("c"))
+    rows = rows.withColumn("p", F.when(F.length("t") == 0, F.array(F.lit(0).cast("long"))).otherwise(F.slice("c", 1, (F.length("t") - F.ceil(F.lit(low) * F.length("t") - 1e-9) + 1).cast("int"))))
+    rows = rows.withColumn("m", F.explode("p"))
+    left = rows.select(F.col("k").alias("a"), F.col("t").alias("ta"), F.col("c").alias("ca"), F.col("p").alias("pa"), "g", "m", F.explode(F.array(F.col("s") - 1, F.col("s"), F.col("s") + 1)).alias("s"))
+    right = rows.select(F.col("k").alias("b"), F.col("t").alias("tb"), F.col("c").alias("cb"), F.col("p").alias("pb"), "g", "m", "s")
+    near = (F.least(F.length("ta"), F.length("tb")) >= F.lit(low) * F.greatest(F.length("ta"), F.length("tb")) - 1e-9) & (F.col("a") < F.col("b"))
+    once = F.array_max(F.array_intersect("pa", "pb")) == F.col("m")  # a pair that shares several keys counts at one
+    common = 2 * F.size(F.array_intersect("ca", "cb")) >= F.lit(threshold) * (F.length("ta") + F.length("tb")) - 1e-9
+    pairs = left.join(right, ["g", "s", "m"]).where(near & once & common).select("a", "b", "ta", "tb")
     score = edit_similarity(F.col("ta"), F.col("tb")) if edit_only else similarity(F.col("ta"), F.col("tb"))
     return pairs.select("a", "b", score.alias("similarity")).where(F.col("similarity") >= threshold)
 
 
+def _characters(text: Column) -> Column:
+    """A number for each character and the count of it so far, descending."""
+    code = F.when(F.length(text) == 0, F.array().cast("array<int>")).otherwise(F.transform(F.sequence(F.lit(1), F.length(text)), lambda i: F.ascii(F.substr(text, i, F.lit(1)))))
+    ordered = F.array_sort(code)
+    numbered = F.transform(ordered, lambda c, i: (i + 2 - F.array_position(ordered, c)).cast("long") * (1 << 21) + c)
+    return F.sort_array(numbered, asc=False)
+
+
 def _leaders(pdf: pd.DataFrame) -> pd.DataFrame:
     """In row order: a row not yet taken leads and takes what is like it and not yet taken."""
     like: dict = {}
@@ -88,15 +103,18 @@ def leader_groups(pairs: DataFrame) -> DataFrame:
 def fuzzy(df: DataFrame, order: str, columns: list[str], threshold: float = 0.85, block: Column | None = None) -> DataFrame:
     """Without the rows that a similar earlier row leads."""
     texts = df.select(F.col(order).alias("k"), row_text(columns).alias("t"), (block if block is not None else F.lit(0)).alias("g"))
-    follow = leader_groups(similar_pairs(texts, "k", "t", threshold, F.col("g"))).where("row <> leader").select(F.col("row").alias(order))
-    return df.join(follow, order, "left_anti")
+    # equal rows have the same likes, so the first of them stands for all
+    first = texts.groupBy("t", "g").agg(F.min("k").alias("f"))
+    follow = leader_groups(similar_pairs(first, "f", "t", threshold, F.col("g"))).where("row <> leader").select(F.col("row").alias("f"))
+    copies = texts.join(first, ["t", "g"]).where("k <> f").select("k")
+    return df.join(copies.unionByName(follow.select(F.col("f").alias("k"))).withColumnRenamed("k", order), order, "left_anti")
 
 
 def similar_values(df: DataFrame, column: str, threshold: float = 0.85) -> DataFrame:
     """Groups of spellings of a column: leader, values and rows; a repeated value alone is a group."""
     counts = df.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("value")).agg(F.count("*").alias("n"))
     numbered = counts.withColumn("k", F.xxhash64("value")).withColumn("t", squeeze(F.col("value")))
-    lead = leader_groups(similar_pairs(numbered, "k", "t", threshold, F.substring("t", 1, 2)))
+    lead = leader_groups(similar_pairs(numbered, "k", "t", threshold))
     grouped = numbered.join(lead, numbered["k"] == lead["row"], "left").withColumn("leader", F.coalesce("leader", "k"))
     return grouped.groupBy("leader").agg(F.array_sort(F.collect_list("value")).alias("spellings"), F.sum("n").alias("rows")).where("rows > 1").drop("leader")
 

@@ -323,7 +323,7 @@ def _(spark, d):
 @query("fuzzy_rows")
 def _(spark, d):
     p = table(spark, d, "part").select("p_partkey", "p_name", "p_brand", "p_type")
-    return dedup.fuzzy(p, "p_partkey", ["p_name", "p_brand"], 0.9, F.substring("t", 1, 3))
+    return dedup.fuzzy(p, "p_partkey", ["p_name", "p_brand"], 0.9)
 
 
 @query("standardise", f"SELECT l_orderkey, l_linenumber, CAST(replace(price, '$', '') AS DOUBLE) AS price, CAST(quantity AS DOUBLE) AS quantity FROM ({TEXTS}) QUALIFY row_number() OVER (PARTITION BY l_linenumber, price, quantity ORDER BY l_orderkey) = 1")

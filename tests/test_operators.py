@@ -2,6 +2,7 @@
 
 import math
 import os
+import random
 from datetime import datetime
 
 import duckdb
@@ -222,3 +223,20 @@ def test_templates(spark):
     assert templates.aggregate(spark.createDataFrame([(1,)], "a int"), columns=[]).first().total_count == 1
     now = spark.createDataFrame([(datetime(2024, 1, 1), 2.0)], "d timestamp, v double")
     assert templates.trend(now, "d", "v").count() == 1
+
+
+def test_similar_rows_that_start_differently(spark):
+    rng = random.Random(5)
+    texts = ["old ring|brand#11", "cold ring|brand#11", "bold ring|brand#11", "", "", "ring old|brand#11"]
+    for _ in range(60):
+        t = "".join(rng.choice("abé ") for _ in range(rng.randint(1, 24)))
+        texts += [t, rng.choice("xy") + t, t[1:] + "z"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "k long, t string")
+    both = df.alias("x").join(df.alias("y"), F.expr("x.k < y.k")).select(F.col("x.k").alias("a"), F.col("y.k").alias("b"), similarity(F.col("x.t"), F.col("y.t")).alias("s"))
+    for threshold in (0.6, 0.85, 0.9):
+        want = {(r.a, r.b) for r in both.where(F.col("s") >= threshold).collect()}
+        assert {(r.a, r.b) for r in dedup.similar_pairs(df, "k", "t", threshold).collect()} == want
+    rows = spark.createDataFrame([(0, "old ring"), (1, "cold ring"), (2, "old ring"), (3, "cold ring"), (4, "hot bolt")], "k long, t string")
+    assert {r.k for r in dedup.fuzzy(rows, "k", ["t"], 0.9).collect()} == {0, 4}
+    values = rows.select("t").distinct()
+    assert [r.spellings for r in dedup.similar_values(values, "t", 0.9).collect()] == [["cold ring", "old ring"]]
