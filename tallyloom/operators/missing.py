@@ -109,12 +109,13 @@ def interpolate(df: DataFrame, column: str, order: list[str], keys: list[str]) -
 def knn_impute(df: DataFrame, target: str, others: list[str], key: str, k: int = 5, donors: int = 10_000) -> DataFrame:
     """Mean of the k nearest donors over the other columns, distances scaled up for what is missing.
 
-    Donors are the rows that know the target, at most ``donors`` of them, those of the least hash of
-    ``key``; with fewer in the table all take part, and the fill is exact.
+    Donors are all rows that know the target. They lie in blocks of about ``donors`` rows; each row to
+    fill takes the k nearest of every block, and the k nearest of those.
     """
-    source = df.where(F.col(target).isNotNull()).orderBy(F.xxhash64(key), key).limit(donors)
-    rows = F.array_agg(F.struct(F.col(key).alias("key"), F.col(target).cast("double").alias("y"), *[F.col(c).cast("double").alias(f"x{i}") for i, c in enumerate(others)]))
-    known = source.agg(rows.alias("_donors"))  # one row of at most ``donors`` entries
+    source = df.where(F.col(target).isNotNull())
+    blocks = max(1, -(-source.count() // donors))
+    entry = F.struct(F.col(key).alias("key"), F.col(target).cast("double").alias("y"), *[F.col(c).cast("double").alias(f"x{i}") for i, c in enumerate(others)])
+    known = source.groupBy(F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int").alias("_block")).agg(F.array_agg(entry).alias("_donors"))
 
     def distance(d: Column) -> Column:
         parts = [F.pow(F.col(c) - d[f"x{i}"], 2) for i, c in enumerate(others)]
@@ -122,9 +123,13 @@ def knn_impute(df: DataFrame, target: str, others: list[str], key: str, k: int =
         return F.sqrt(F.try_divide(F.lit(float(len(others))), valid) * sum((F.coalesce(p, F.lit(0.0)) for p in parts), F.lit(0.0)))
 
     near = F.slice(F.array_sort(F.transform("_donors", lambda d: F.struct(F.coalesce(distance(d), F.lit(float("inf"))).alias("d"), d["key"].alias("key"), d["y"].alias("y")))), 1, k)
-    mean = F.aggregate(near, F.lit(0.0), lambda a, x: a + x["y"]) / F.nullif(F.size(near), F.lit(0))
-    holes = df.where(F.col(target).isNull()).crossJoin(F.broadcast(known)).withColumn(target, mean).drop("_donors")
-    return df.where(F.col(target).isNotNull()).withColumn(target, F.col(target).cast("double")).unionByName(holes.select(*df.columns))
+    holes = df.where(F.col(target).isNull()).withColumn("_hole", F.monotonically_increasing_id()).withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    found = holes.join(known, "_block", "left").withColumn("_near", near).drop("_donors")
+    best = F.slice(F.array_sort(F.flatten(F.collect_list("_near"))), 1, k)
+    rest = [c for c in df.columns if c != target]
+    merged = found.groupBy("_hole").agg(*[F.first(c).alias(c) for c in rest], best.alias("_best"))
+    mean = F.aggregate("_best", F.lit(0.0), lambda a, x: a + x["y"]) / F.nullif(F.size("_best"), F.lit(0))
+    return source.withColumn(target, F.col(target).cast("double")).unionByName(merged.withColumn(target, mean).select(*df.columns))
 
 
 @dataclass(frozen=True)

@@ -72,16 +72,16 @@ def versions(rows: DataFrame, table: str = "table_name", version: str = "version
     return rows.withColumn("next_version", following).withColumn("active", F.col("next_version").isNull())
 
 
-def ancestry(rows: DataFrame, version: str, most: int = 64) -> DataFrame:
-    """version, depth: the chain of parents of ``version``, itself first."""
-    found = rows.where(F.col("version") == version).select("version", "parent_version", F.lit(0).alias("depth"))
-    chain = found
-    for depth in range(1, most):
-        found = rows.alias("r").join(found.select(F.col("parent_version").alias("want")).where("want IS NOT NULL"), F.col("r.version") == F.col("want")).select("r.version", "r.parent_version", F.lit(depth).alias("depth"))
-        if found.isEmpty():
-            break
-        chain = chain.unionByName(found)
-    return chain.select("version", "depth")
+def ancestry(rows: DataFrame, version: str) -> DataFrame:
+    """version, depth: the chain of parents of ``version``, itself first, until none is left or new."""
+    chain, seen, want, depth = [], set(), [version], 0
+    while want:
+        found = rows.where(F.col("version").isin(want)).select("version", "parent_version").collect()  # the rows of one step
+        chain += [(r["version"], depth) for r in found]
+        seen.update(want)
+        want = sorted({r["parent_version"] for r in found if r["parent_version"] is not None} - seen)
+        depth += 1
+    return rows.sparkSession.createDataFrame(chain, f"version {rows.schema['version'].dataType.simpleString()}, depth int")
 
 
 def digest(profile_rows: DataFrame) -> DataFrame:

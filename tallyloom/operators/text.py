@@ -75,13 +75,13 @@ def mentions(questions: DataFrame, columns: DataFrame, key: str, text: str = "te
     share = F.size(F.array_intersect(F.split(F.regexp_replace(t, "[^a-z0-9 ]", " "), " +"), words)) / F.size(F.array_distinct(words))
     score = F.when(t.contains(F.lower("name")), 1.0).when(t.contains(spaced), 0.9).when(share >= 0.5, share * 0.7)
     # the columns of one table are a handful of rows
-    return questions.crossJoin(F.broadcast(columns.select("name").limit(10_000))).select(key, "name", score.alias("confidence")).where("confidence IS NOT NULL")
+    return questions.crossJoin(F.broadcast(columns.select("name"))).select(key, "name", score.alias("confidence")).where("confidence IS NOT NULL")
 
 
 def fuzzy_columns(questions: DataFrame, columns: DataFrame, key: str, text: str, least: float = 0.6) -> DataFrame:
     """The best similarity of any word of a question to each column name."""
     words = questions.select(key, F.explode(F.array_distinct(F.split(F.lower(text), "[^a-z0-9_]+"))).alias("word")).where(F.length("word") > 2)
-    found = words.crossJoin(F.broadcast(columns.select("name").limit(10_000))).select(key, "name", similarity(F.col("word"), F.lower("name")).alias("s"))
+    found = words.crossJoin(F.broadcast(columns.select("name"))).select(key, "name", similarity(F.col("word"), F.lower("name")).alias("s"))
     return found.where(F.col("s") >= least).groupBy(key, "name").agg(F.max("s").alias("similarity"))
 
 

@@ -240,3 +240,17 @@ def test_similar_rows_that_start_differently(spark):
     assert {r.k for r in dedup.fuzzy(rows, "k", ["t"], 0.9).collect()} == {0, 4}
     values = rows.select("t").distinct()
     assert [r.spellings for r in dedup.similar_values(values, "t", 0.9).collect()] == [["cold ring", "old ring"]]
+
+
+def test_knn_takes_all_donors_and_ancestry_all_parents(spark):
+    rng = random.Random(2)
+    rows = [(i, rng.randint(0, 40) / 2, None if i % 5 == 2 else float(rng.randint(0, 99))) for i in range(200)]
+    df = spark.createDataFrame(rows, "k long, x double, y double")
+    want = {}
+    for i, x, y in rows:
+        near = sorted((abs(x - b), j, c) for j, b, c in rows if c is not None)[:3]
+        want[i] = y if y is not None else sum(c for _, _, c in near) / 3
+    got = {r.k: r.y for r in missing.knn_impute(df, "y", ["x"], "k", 3, donors=20).collect()}
+    assert got == pytest.approx(want)
+    chain = spark.createDataFrame([(i, i - 1 if i else None) for i in range(70)], "version long, parent_version long")
+    assert {(r.version, r.depth) for r in schema.ancestry(chain, 69).collect()} == {(69 - d, d) for d in range(70)}
