@@ -5,67 +5,123 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# Cell patterns by type, in the order that breaks ties.
+# Cell patterns by type, any case, in the order that breaks ties.
 CELL_TYPES = (
-    ("NUMBER", r"^-?[0-9]+(\.[0-9]+)?$"), ("CURRENCY", r"^[$€£¥]-?[0-9]+(\.[0-9]{1,2})?$"), ("PERCENTAGE", r"^-?[0-9]+(\.[0-9]+)?%$"),
-    ("DATE", r"^([0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{1,2}/[0-9]{1,2}/[0-9]{2,4})$"), ("BOOLEAN", r"^(true|false|yes|no|TRUE|FALSE|Yes|No|True|False)$"),
-)
+    ("NUMBER", (r"^\d+$", r"^\d+\.\d+$", r"^-?\d+\.?\d*$", r"^\d{1,3}(,\d{3})*(\.\d+)?$")),
+    ("DATE", (r"^\d{1,2}/\d{1,2}/\d{4}$", r"^\d{4}-\d{2}-\d{2}$", r"^\d{1,2}-\d{1,2}-\d{4}$", r"^[A-Za-z]{3}\s+\d{1,2},?\s+\d{4}$")),
+    ("BOOLEAN", (r"^(true|false)$", r"^(yes|no)$", r"^(y|n)$", r"^(1|0)$")),
+    ("CURRENCY", (r"^\$\d+\.?\d*$", r"^\d+\.?\d*\s*(USD|EUR|GBP)$", r"^[€£¥]\d+\.?\d*$")),
+    ("PERCENTAGE", (r"^\d+\.?\d*%$", r"^0\.\d+$")),
+)
 # Letters that recognition mistakes for digits.
 LOOKALIKES = (("O", "0"), ("l", "1"), ("I", "1"), ("S", "5"), ("G", "6"), ("B", "8"))
+# What looks wrong in a cell.
+SUSPICIOUS = (r"[0-9][a-zA-Z][0-9]", r"[a-zA-Z][0-9][a-zA-Z]", r"[Il1]{2,}", r"[O0]{3,}", r"[^\p{L}\p{N}_\s.,;:!?()-]")
+NUMERIC = ("NUMBER", "CURRENCY", "PERCENTAGE")
+LONG_HEADER = 50
+
+
+def type_pattern(kind: str) -> str:
+    """One pattern for a type."""
+    return "(?i)" + "|".join(f"(?:{p})" for p in dict(CELL_TYPES)[kind])
 
 
 def column_types(cells: DataFrame) -> DataFrame:
-    """The type that half of a column's filled cells have, else TEXT."""
+    """The type that most, and at least half, of a column's filled cells have, else TEXT."""
     v = F.trim("value")
-    facts = cells.where(v != "").groupBy("table_id", "col_no").agg(*[F.avg(v.rlike(p).cast("double")).alias(k) for k, p in CELL_TYPES])
+    facts = cells.where(v != "").groupBy("table_id", "col_no").agg(*[F.avg(v.rlike(type_pattern(k)).cast("double")).alias(k) for k, _ in CELL_TYPES])
     best = F.array_max(F.array(*[F.struct(F.col(k).alias("share"), F.lit(-i).alias("place"), F.lit(k).alias("kind")) for i, (k, _) in enumerate(CELL_TYPES)]))
     return facts.select("table_id", "col_no", F.when(best["share"] >= 0.5, best["kind"]).otherwise("TEXT").alias("data_type"))
 
 
 def suspicious(value: Column) -> Column:
-    return value.rlike(r"[^A-Za-z0-9\s.,\-]") | value.rlike(r"[0-9][a-zA-Z][0-9]") | value.rlike(r"\s{2,}")
+    return value.rlike("|".join(SUSPICIOUS))
+
+
+def off_type(value: Column, kind: Column) -> Column:
+    """Whether a filled value is none of its column's type; any text is TEXT."""
+    out = F.lit(False)
+    for k, _ in CELL_TYPES:
+        out = out | ((kind == k) & ~value.rlike(type_pattern(k)))
+    return out
 
 
-def suggestion(value: Column) -> Column:
-    """The value with look-alike letters read as digits where that makes it more of a number, and tidied."""
-    digits = lambda c: F.regexp_count(c, F.lit("[0-9.,]"))
-    out = F.trim(F.regexp_replace(value, r"\s+", " "))
-    numeric = out.rlike("[0-9]")
-    for a, b in LOOKALIKES:
-        put = F.replace(out, F.lit(a), F.lit(b))
-        out = F.when(numeric & (digits(put) > digits(out)) & (digits(put) * 2 > F.length(out)), put).otherwise(out)
-    return F.when(out != value, out)
+def suggestion(value: Column, kind: Column) -> Column:
+    """The value as it should read, by the type of its column, or null if it stays.
+
+    Look-alike letters of numeric columns become digits; white space is trimmed and squeezed; numbers
+    lose inner spaces and all but the last of several dots, amounts all but digits, marks and symbols.
+    """
+    letters, digits = ("".join(x) for x in zip(*LOOKALIKES, strict=True))
+    read = F.when(kind.isin(*NUMERIC), F.translate(value, letters, digits)).otherwise(value)
+    squeezed = F.trim(F.regexp_replace(read, r"\s+", " "))
+    number = (
+        F.when(squeezed.rlike(r"^\d+ \d+$"), F.replace(squeezed, F.lit(" "), F.lit("")))
+        .when(squeezed.rlike(r"^[^,]*\.[^,.]*\.[^,.]{0,2}$"), F.regexp_replace(squeezed, r"\.(?=.*\.)", ""))
+        .otherwise(squeezed)
+    )
+    tidy = F.when(kind == "NUMBER", number).when(kind == "CURRENCY", F.regexp_replace(squeezed, r"[^\d.,$€£¥]", "")).otherwise(squeezed)
+    return F.when((F.trim(value) != "") & (tidy != value), tidy)
 
 
 def checks(cells: DataFrame) -> DataFrame:
-    """Confidence and issues of every filled cell."""
-    typed = cells.join(column_types(cells), ["table_id", "col_no"], "left").withColumn("v", F.trim("value")).where("v <> ''")
-    off = F.lit(False)
-    for k, p in CELL_TYPES:
-        off = off | ((F.col("data_type") == k) & ~F.col("v").rlike(p))
-    propose = suggestion(F.col("value"))
-    confidence = F.when(propose.isNotNull(), 0.8).otherwise(1.0) * F.when(off, 0.7).otherwise(1.0) * F.when(suspicious(F.col("v")), 0.8).otherwise(1.0)
-    issue = F.array_compact(F.array(F.when(propose.isNotNull(), F.lit("suggestion")), F.when(off, F.lit("off_type")), F.when(suspicious(F.col("v")), F.lit("suspicious"))))
-    return typed.select("table_id", "row_no", "col_no", "value", "data_type", propose.alias("suggested"), confidence.alias("confidence"), F.array_join(issue, ",").alias("issues"))
+    """Suggestion, confidence and issues of every filled cell."""
+    typed = cells.join(column_types(cells), ["table_id", "col_no"], "left").where(F.trim("value") != "")
+    v = F.trim("value")
+    judged = typed.select(
+        "table_id", "row_no", "col_no", "value", "data_type", suggestion(F.col("value"), F.col("data_type")).alias("suggested"),
+        off_type(v, F.col("data_type")).alias("off"), suspicious(F.col("value")).alias("odd"),
+    )
+    factor = lambda test, by: F.when(test, by).otherwise(1.0)
+    proposed = F.col("suggested").isNotNull()
+    issues = F.array_compact(F.array(F.when(proposed, F.lit("suggestion")), F.when(F.col("off"), F.lit("off_type")), F.when(F.col("odd"), F.lit("suspicious"))))
+    return judged.select(
+        "table_id", "row_no", "col_no", "value", "data_type", "suggested",
+        (factor(proposed, 0.8) * factor(F.col("off"), 0.7) * factor(F.col("odd"), 0.8)).alias("confidence"), F.array_join(issues, ",").alias("issues"),
+    )
 
 
 def structure(cells: DataFrame) -> DataFrame:
-    """Counts of structural problems per table."""
-    rows = cells.groupBy("table_id", "row_no").agg(F.count("*").alias("n"), F.count_if(F.trim("value") != "").alias("filled"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("col_no", F.lower(F.trim("value")).alias("v")))), lambda x: x["v"]), "|").alias("signature"))
-    body = rows.groupBy("table_id").agg(F.count("*").alias("rows"), F.max("n").alias("width"), F.count_if(F.col("filled") == 0).alias("empty_rows"), (F.count("*") - F.countDistinct("signature")).alias("duplicate_rows"), (F.countDistinct("n") > 1).alias("ragged"))
-    heads = cells.select("table_id", "col_no", "header").distinct().groupBy("table_id").agg(F.count_if(F.trim("header") == "").alias("empty_headers"), (F.count("*") - F.countDistinct(F.lower(F.trim("header")))).alias("duplicate_headers"), F.count_if(F.col("header").rlike(r"(?i)^(column|col|field)[ _]?\d*$")).alias("generic_headers"))
-    return body.join(heads, "table_id", "left")
+    """Structural facts of each table, and how many structural and quality issues they make.
+
+    Structural: under two columns, ragged rows, repeated headers, empty headers. Quality: generic
+    headers, each overlong or untrimmed header, each column of which over a tenth is off its type,
+    empty rows, repeated rows.
+    """
+    cell = F.lower(F.trim("value"))
+    rows = cells.groupBy("table_id", "row_no").agg(
+        F.count("*").alias("n"), F.count_if(F.trim("value") != "").alias("filled"),
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("col_no", cell.alias("v")))), lambda x: x["v"]), "|").alias("signature"),
+    )
+    # equal rows meet first, so that no distinct list is held for a table
+    kinds = rows.groupBy("table_id", "signature").agg(F.count("*").alias("k"), F.sum("n").alias("n"), F.min("n").alias("lo"), F.max("n").alias("hi"), F.count_if(F.col("filled") == 0).alias("empty"))
+    body = kinds.groupBy("table_id").agg(
+        F.sum("k").alias("rows"), F.max("hi").alias("most"), F.min("lo").alias("least"), F.sum("empty").alias("empty_rows"), (F.sum("k") - F.count("*")).alias("duplicate_rows"),
+    )
+    names = cells.select("table_id", "col_no", "header").distinct()
+    heads = names.groupBy("table_id").agg(
+        F.count("*").alias("width"), F.count_if(F.trim("header") == "").alias("empty_headers"), (F.count("*") - F.countDistinct(F.lower(F.trim("header")))).alias("duplicate_headers"),
+        F.count_if(F.col("header").startswith("Column_")).alias("generic_headers"),
+        (F.count_if(F.length(F.trim("header")) > LONG_HEADER) + F.count_if(F.trim("header") != F.col("header"))).alias("untidy_headers"),
+    )
+    filled = cells.where(F.trim("value") != "").join(column_types(cells), ["table_id", "col_no"])
+    mixed = filled.groupBy("table_id", "col_no").agg((F.count_if(off_type(F.trim("value"), F.col("data_type"))) > 0.1 * F.count("*")).cast("int").alias("mixed")).groupBy("table_id").agg(F.sum("mixed").alias("mixed_columns"))
+    joined = body.join(heads, "table_id").join(mixed, "table_id", "left").na.fill(0, ["mixed_columns"])
+    ragged = (F.col("most") != F.col("width")) | (F.col("least") != F.col("width"))
+    one = lambda c: (F.col(c) > 0).cast("long")
+    return joined.select(
+        "table_id", "rows", "width", "empty_rows", "duplicate_rows", ragged.alias("ragged"), "empty_headers", "duplicate_headers", "generic_headers", "untidy_headers", "mixed_columns",
+        ((F.col("width") < 2).cast("long") + ragged.cast("long") + one("duplicate_headers") + one("empty_headers")).alias("structure_issues"),
+        (one("generic_headers") + F.col("untidy_headers") + F.col("mixed_columns") + one("empty_rows") + one("duplicate_rows")).alias("quality_issues"),
+    )
 
 
 def score(cells: DataFrame, confidence: DataFrame) -> DataFrame:
-    """Table confidence less 0.2, 0.1 and 0.05 for structural, quality and cell problems; valid from 0.7 without the first."""
-    s = structure(cells)
-    bad = checks(cells).groupBy("table_id").agg(F.count_if(F.col("confidence") < 1).alias("cells"))
-    joined = confidence.join(s, "table_id").join(bad, "table_id", "left").na.fill(0, ["cells"])
-    first = F.col("duplicate_headers") + F.col("empty_headers") + F.col("ragged").cast("int") + (F.col("width") < 2).cast("int")
-    second = F.col("empty_rows") + F.col("duplicate_rows")
-    value = F.greatest(F.lit(0.0), F.col("confidence") - first * F.lit(0.2) - second * F.lit(0.1) - F.col("cells") * F.lit(0.05))
-    return joined.select("table_id", value.alias("score"), first.alias("structure_issues"), second.alias("quality_issues"), F.col("cells").alias("cell_issues"), ((value >= 0.7 - 1e-12) & (first == 0)).alias("valid"))
+    """Table confidence less 0.2, 0.1 and 0.05 for each structural, quality and cell issue; valid from 0.7 without the first."""
+    bad = checks(cells).groupBy("table_id").agg(F.count_if(F.col("issues") != "").alias("cell_issues"))
+    joined = confidence.join(structure(cells), "table_id").join(bad, "table_id", "left").na.fill(0, ["cell_issues"])
+    value = F.greatest(F.lit(0.0), F.col("confidence") - F.col("structure_issues") * F.lit(0.2) - F.col("quality_issues") * F.lit(0.1) - F.col("cell_issues") * F.lit(0.05))
+    return joined.select("table_id", value.alias("score"), "structure_issues", "quality_issues", "cell_issues", ((value >= 0.7 - 1e-12) & (F.col("structure_issues") == 0)).alias("valid"))
 
 
 def corrected(cells: DataFrame, corrections: DataFrame) -> DataFrame:
@@ -83,9 +139,18 @@ def corrected(cells: DataFrame, corrections: DataFrame) -> DataFrame:
 
 
 def diff(old: DataFrame, new: DataFrame) -> DataFrame:
-    """Cells that differ by place, missing equal to missing."""
-    n = new.select("table_id", "row_no", "col_no", F.col("value").alias("new_value"))
-    return old.join(n, ["table_id", "row_no", "col_no"]).where(~F.col("value").eqNullSafe(F.col("new_value"))).select("table_id", "row_no", "col_no", F.col("value").alias("old_value"), "new_value")
+    """Cells that differ by place, missing equal to missing, and those that one version alone has."""
+    place = ["table_id", "row_no", "col_no"]
+    o, n = old.select(*place, F.col("value").alias("old_value"), F.lit(True).alias("_o")), new.select(*place, F.col("value").alias("new_value"), F.lit(True).alias("_n"))
+    kind = F.when(F.col("_o").isNull(), "added").when(F.col("_n").isNull(), "removed").otherwise("changed")
+    both = o.join(n, place, "full_outer").where(F.col("_o").isNull() | F.col("_n").isNull() | ~F.col("old_value").eqNullSafe(F.col("new_value")))
+    return both.select(*place, "old_value", "new_value", kind.alias("change"))
+
+
+def shapes(old: DataFrame, new: DataFrame) -> DataFrame:
+    """Rows and columns of each table in both versions."""
+    size = lambda df, tag: df.groupBy("table_id").agg((F.max("row_no") + 1).alias(f"{tag}_rows"), (F.max("col_no") + 1).alias(f"{tag}_columns"))
+    return size(old, "old").join(size(new, "new"), "table_id", "full_outer").na.fill(0)
 
 
 def correction_status(log: DataFrame) -> DataFrame:

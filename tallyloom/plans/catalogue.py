@@ -43,6 +43,15 @@ ORDERS = """SELECT o_orderkey, CASE WHEN o_orderkey % 13 = 5 THEN NULL ELSE o_cu
 CELLS = """SELECT concat('t', CAST(p_partkey % 40 AS VARCHAR(9))) AS table_id, CAST(floor(p_partkey / 40) AS INT) AS row_no, k AS col_no, CASE WHEN k = 0 THEN 'Name' WHEN k = 1 THEN 'Size' ELSE CASE WHEN p_partkey % 40 = 7 THEN '' ELSE 'Price' END END AS header,
   CASE WHEN k = 0 THEN CASE WHEN p_partkey % 31 = 3 THEN '' ELSE p_name END WHEN k = 1 THEN CASE WHEN p_partkey % 17 = 2 THEN concat('O', CAST(p_size AS VARCHAR(9)), '0') ELSE CAST(p_size AS VARCHAR(9)) END ELSE concat('$', CAST(CAST(floor(p_retailprice) AS INT) AS VARCHAR(9))) END AS value
   FROM part CROSS JOIN (VALUES (0), (1), (2)) AS v(k)"""
+# tables of five rows with values off the type of their column, look-alikes, untidy headers and ragged rows
+DIRTY = """SELECT concat('t', lpad(CAST(CAST(floor(p_partkey / 5) AS INT) AS VARCHAR(9)), 2, '0')) AS table_id, CAST(p_partkey % 5 AS INT) AS row_no, k AS col_no,
+  CASE k WHEN 0 THEN 'Name' WHEN 1 THEN CASE WHEN floor(p_partkey / 5) % 7 = 2 THEN 'Name' ELSE 'Size' END WHEN 2 THEN CASE WHEN floor(p_partkey / 5) % 7 = 3 THEN '' ELSE ' Price' END WHEN 3 THEN 'Column_3' ELSE 'A header that is much longer than fifty characters in all' END AS header,
+  CASE k WHEN 0 THEN CASE WHEN p_partkey % 31 = 3 THEN ' ' ELSE concat(' ', p_name, '  x') END
+    WHEN 1 THEN CASE p_partkey % 12 WHEN 0 THEN '1,234' WHEN 1 THEN concat('O', CAST(p_size AS VARCHAR(9)), '0') WHEN 2 THEN 'n/a' WHEN 3 THEN '12 34' WHEN 4 THEN '1.234.50' WHEN 5 THEN '' WHEN 6 THEN concat('l', CAST(p_size AS VARCHAR(9))) ELSE CAST(p_size AS VARCHAR(9)) END
+    WHEN 2 THEN CASE p_partkey % 8 WHEN 0 THEN '100 USD' WHEN 1 THEN '€5' WHEN 2 THEN 'B12' WHEN 3 THEN '$1O0' ELSE concat('$', CAST(CAST(floor(p_retailprice) AS INT) AS VARCHAR(9))) END
+    WHEN 3 THEN CASE p_partkey % 7 WHEN 0 THEN '1/5/2024' WHEN 1 THEN '5-1-2024' WHEN 2 THEN 'Jan 5, 2024' WHEN 3 THEN 'soon' ELSE '2024-01-05' END
+    ELSE CASE p_partkey % 4 WHEN 0 THEN 'yes' WHEN 1 THEN 'NO' WHEN 2 THEN '1' ELSE 'y' END END AS value
+  FROM part CROSS JOIN (VALUES (0), (1), (2), (3), (4)) AS v(k) WHERE NOT (k = 4 AND p_partkey % 55 = 0)"""
 WORDS = """SELECT CAST(floor(p_partkey / 20) AS INT) AS page, CAST(p_partkey AS INT) AS word_no, CAST(100 * k + p_partkey % 3 AS INT) AS x, CAST(30 * (p_partkey % 20) + k AS INT) AS y, 40 AS width, 12 AS height, CASE WHEN k = 0 THEN p_name WHEN k = 1 THEN p_brand ELSE p_type END AS text,
   0.5 + (p_partkey % 5) / 10.0 AS confidence, k FROM part CROSS JOIN (VALUES (0), (1), (2)) AS v(k)"""
 QUESTIONS = """SELECT o_orderkey AS qid, CASE o_orderkey % 7 WHEN 0 THEN concat('What is the total o_totalprice for customer ', CAST(o_custkey AS VARCHAR(12)), '?') WHEN 1 THEN 'Compare order status versus priority' WHEN 2 THEN 'Show the trend of sales over time'
@@ -783,27 +792,50 @@ def _(spark, d):
 # --- cells and layout ----------------------------------------------------------------------------------------
 
 
-@query("cell_types", "SELECT DISTINCT concat('t', CAST(p_partkey % 40 AS VARCHAR)) AS table_id, k AS col_no, CASE k WHEN 0 THEN 'TEXT' WHEN 1 THEN 'NUMBER' ELSE 'CURRENCY' END AS data_type FROM part CROSS JOIN (VALUES (0), (1), (2)) AS v(k)")
+def _sql_types(value: str) -> str:
+    """A column for each cell type: whether ``value`` has it."""
+    return ", ".join(f"CASE WHEN regexp_matches({value}, '{cells.type_pattern(k)}') THEN 1 ELSE 0 END AS {k}" for k, _ in cells.CELL_TYPES)
+
+
+_SHARES = ", ".join(f"avg({k}) AS {k}" for k, _ in cells.CELL_TYPES)
+_TOP = f"greatest({', '.join(k for k, _ in cells.CELL_TYPES)})"
+_PICK = f"CASE WHEN {_TOP} < 0.5 THEN 'TEXT' " + " ".join(f"WHEN {k} = {_TOP} THEN '{k}'" for k, _ in cells.CELL_TYPES) + " END"
+_OFF = "CASE " + " ".join(f"WHEN data_type = '{k}' THEN {k} = 0" for k, _ in cells.CELL_TYPES) + " ELSE false END"
+TYPED = f"""d AS ({DIRTY}), m AS (SELECT *, trim(value) AS v, {_sql_types('trim(value)')} FROM d), kinds AS (SELECT table_id, col_no, {_PICK} AS data_type FROM (SELECT table_id, col_no, {_SHARES} FROM m WHERE v <> '' GROUP BY 1, 2))"""
+JUDGED = f"""{TYPED}, j AS (SELECT m.*, data_type, {_OFF} AS off, regexp_matches(value, '{"|".join(cells.SUSPICIOUS)}') AS odd,
+  trim(regexp_replace(CASE WHEN data_type IN ('NUMBER', 'CURRENCY', 'PERCENTAGE') THEN translate(value, 'OlISGB', '011568') ELSE value END, '\\s+', ' ', 'g')) AS z FROM m JOIN kinds USING (table_id, col_no) WHERE v <> ''),
+  t AS (SELECT *, CASE data_type WHEN 'CURRENCY' THEN regexp_replace(z, '[^\\d.,$€£¥]', '', 'g') WHEN 'NUMBER' THEN CASE WHEN regexp_matches(z, '^\\d+ \\d+$') THEN replace(z, ' ', '') WHEN length(z) - length(replace(z, '.', '')) > 1 AND NOT contains(z, ',') AND length(split_part(z, '.', -1)) <= 2 THEN replace(left(z, length(z) - length(split_part(z, '.', -1)) - 1), '.', '') || '.' || split_part(z, '.', -1) ELSE z END ELSE z END AS tidy FROM j),
+  checked AS (SELECT table_id, row_no, col_no, value, data_type, CASE WHEN tidy <> value THEN tidy END AS suggested, off, odd FROM t)"""
+
+
+@query("cell_types", f"WITH {TYPED} SELECT * FROM kinds")
 def _(spark, d):
-    return cells.column_types(_view(spark, d, CELLS))
+    return cells.column_types(_view(spark, d, DIRTY))
 
 
-@query("cell_checks")
+@query("cell_checks", f"WITH {JUDGED} SELECT table_id, row_no, col_no, value, data_type, suggested, round(CASE WHEN suggested IS NULL THEN 1.0 ELSE 0.8 END * CASE WHEN off THEN 0.7 ELSE 1.0 END * CASE WHEN odd THEN 0.8 ELSE 1.0 END, 6)::DOUBLE AS confidence, concat_ws(',', CASE WHEN suggested IS NOT NULL THEN 'suggestion' END, CASE WHEN off THEN 'off_type' END, CASE WHEN odd THEN 'suspicious' END) AS issues FROM checked")
 def _(spark, d):
-    return cells.checks(_view(spark, d, CELLS))
+    return _rounded(cells.checks(_view(spark, d, DIRTY)))
 
 
-@query("table_scores")
+STRUCTURE = f"""{JUDGED}, r AS (SELECT table_id, row_no, count(*) AS n, count(CASE WHEN v <> '' THEN 1 END) AS f, string_agg(lower(v), '|' ORDER BY col_no) AS s FROM m GROUP BY 1, 2),
+  body AS (SELECT table_id, count(*) AS rows, min(n) AS lo, max(n) AS hi, count(CASE WHEN f = 0 THEN 1 END) AS empty_rows, count(*) - count(DISTINCT s) AS duplicate_rows FROM r GROUP BY 1),
+  heads AS (SELECT table_id, count(*) AS width, count(CASE WHEN trim(header) = '' THEN 1 END) AS empty_headers, count(*) - count(DISTINCT lower(trim(header))) AS duplicate_headers, count(CASE WHEN starts_with(header, 'Column_') THEN 1 END) AS generic_headers,
+    count(CASE WHEN length(trim(header)) > 50 THEN 1 END) + count(CASE WHEN trim(header) <> header THEN 1 END) AS untidy_headers FROM (SELECT DISTINCT table_id, col_no, header FROM d) GROUP BY 1),
+  mixed AS (SELECT table_id, sum(x)::BIGINT AS mixed_columns FROM (SELECT table_id, col_no, CASE WHEN count(CASE WHEN off THEN 1 END) > 0.1 * count(*) THEN 1 ELSE 0 END AS x FROM j GROUP BY 1, 2) GROUP BY 1),
+  facts AS (SELECT table_id, rows, width, empty_rows, duplicate_rows, lo <> width OR hi <> width AS ragged, empty_headers, duplicate_headers, generic_headers, untidy_headers, coalesce(mixed_columns, 0) AS mixed_columns FROM body JOIN heads USING (table_id) LEFT JOIN mixed USING (table_id)),
+  scored AS (SELECT *, (width < 2)::BIGINT + ragged::BIGINT + (duplicate_headers > 0)::BIGINT + (empty_headers > 0)::BIGINT AS structure_issues, (generic_headers > 0)::BIGINT + untidy_headers + mixed_columns + (empty_rows > 0)::BIGINT + (duplicate_rows > 0)::BIGINT AS quality_issues FROM facts)"""
+
+
+@query("table_structure", f"WITH {STRUCTURE} SELECT * FROM scored")
 def _(spark, d):
-    c = _view(spark, d, CELLS)
-    return cells.score(c, c.select("table_id").distinct().withColumn("confidence", F.lit(0.95)))
+    return cells.structure(_view(spark, d, DIRTY))
 
 
-@query("table_structure", f"""WITH c AS ({CELLS}), r AS (SELECT table_id, row_no, count(*) AS n, count(CASE WHEN trim(value) <> '' THEN 1 END) AS f, string_agg(lower(trim(value)), '|' ORDER BY col_no) AS s FROM c GROUP BY 1, 2), h AS (SELECT DISTINCT table_id, col_no, header FROM c)
-  SELECT table_id, count(*) AS rows, max(n) AS width, count(CASE WHEN f = 0 THEN 1 END) AS empty_rows, count(*) - count(DISTINCT s) AS duplicate_rows, count(DISTINCT n) > 1 AS ragged, any_value(e) AS empty_headers, any_value(dd) AS duplicate_headers, any_value(g) AS generic_headers
-  FROM r JOIN (SELECT table_id, count(CASE WHEN trim(header) = '' THEN 1 END) AS e, count(*) - count(DISTINCT lower(trim(header))) AS dd, 0::BIGINT AS g FROM h GROUP BY 1) USING (table_id) GROUP BY 1""")
+@query("table_scores", f"WITH {STRUCTURE}, bad AS (SELECT table_id, count(CASE WHEN suggested IS NOT NULL OR off OR odd THEN 1 END) AS cell_issues FROM checked GROUP BY 1), s AS (SELECT table_id, structure_issues, quality_issues, coalesce(cell_issues, 0) AS cell_issues, greatest(0.0, round(0.95 + (length(table_id) - 3) - 0.2 * structure_issues - 0.1 * quality_issues - 0.05 * coalesce(cell_issues, 0), 6))::DOUBLE AS score FROM scored LEFT JOIN bad USING (table_id)) SELECT *, score >= 0.7 AND structure_issues = 0 AS valid FROM s")
 def _(spark, d):
-    return cells.structure(_view(spark, d, CELLS))
+    c = _view(spark, d, DIRTY)
+    return _rounded(cells.score(c, c.select("table_id").distinct().withColumn("confidence", F.lit(0.95) + F.length("table_id") - 3)))
 
 
 def _corrections(spark: SparkSession, d: str) -> DataFrame:
@@ -816,10 +848,12 @@ def _(spark, d):
     return cells.corrected(_view(spark, d, CELLS), _corrections(spark, d))
 
 
-@query("cell_diff", f"SELECT table_id, row_no, col_no, value AS old_value, upper(value) AS new_value FROM ({CELLS}) WHERE value <> upper(value)")
+@query("cell_diff", f"""WITH c AS ({CELLS}), o AS (SELECT * FROM c WHERE row_no % 9 <> 1), n AS (SELECT table_id, row_no, col_no, upper(value) AS value FROM c WHERE row_no % 9 <> 2)
+  SELECT coalesce(o.table_id, n.table_id) AS table_id, coalesce(o.row_no, n.row_no) AS row_no, coalesce(o.col_no, n.col_no) AS col_no, o.value AS old_value, n.value AS new_value, CASE WHEN o.table_id IS NULL THEN 'added' WHEN n.table_id IS NULL THEN 'removed' ELSE 'changed' END AS change
+  FROM o FULL JOIN n ON o.table_id = n.table_id AND o.row_no = n.row_no AND o.col_no = n.col_no WHERE o.value IS DISTINCT FROM n.value OR o.table_id IS NULL OR n.table_id IS NULL""")
 def _(spark, d):
     c = _view(spark, d, CELLS)
-    return cells.diff(c, c.withColumn("value", F.upper("value")))
+    return cells.diff(c.where("row_no % 9 <> 1"), c.where("row_no % 9 <> 2").withColumn("value", F.upper("value")))
 
 
 @query("correction_status", f"SELECT event_type AS session_id, count(*) AS total, count(CASE WHEN user_id % 3 = 0 THEN 1 END) AS accepted, count(CASE WHEN user_id % 3 = 1 THEN 1 END) AS rejected, count(CASE WHEN user_id % 3 = 2 THEN 1 END) AS open, 0.3::DOUBLE AS gain FROM events GROUP BY 1")

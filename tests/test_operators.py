@@ -154,12 +154,38 @@ def test_cells_and_layout(spark):
     got = layout.grid(layout.to_cells(layout.rows_by_running_mean(words, ["page"]), ["page"], "row_no"), ["page"])
     table = {(r.row_no, r.col_no): r.text for r in got.collect()}
     assert [[table[r, c] for c in range(3)] for r in range(3)] == [["Name", "Age", "City"], ["John", "25", "NYC"], ["Jane", "30", "LA"]]
-    fixed = spark.createDataFrame([("1O0",), ("l5",), ("hello",), ("S0,000",)], "v string").select("v", cells.suggestion(F.col("v")).alias("s"))
-    assert {r.v: r.s for r in fixed.collect()} == {"1O0": "100", "l5": "15", "hello": None, "S0,000": "50,000"}
+    rows = [("1O0", "NUMBER", "100"), ("l5", "NUMBER", "15"), ("hello", "TEXT", None), ("S0,000", "NUMBER", "50,000"), ("Sol", "TEXT", None), ("12 34", "NUMBER", "1234"), ("1.234.50", "NUMBER", "1234.50"),
+            ("1.234.567", "NUMBER", None), ("a  b ", "TEXT", "a b"), ("$1O 0x", "CURRENCY", "$100"), (" ", "NUMBER", None), ("5", None, None)]
+    fixed = spark.createDataFrame(rows, "v string, k string, want string").withColumn("s", cells.suggestion(F.col("v"), F.col("k")))
+    assert [(r.v, r.s) for r in fixed.collect()] == [(v, w) for v, _, w in rows]
+    # the expression grows with the look-alikes, not as a power of them
+    assert len(str(fixed.schema)) < 1000 and len(fixed._jdf.queryExecution().analyzed().toString()) < 5000
     spans = cells.split_span(spark.createDataFrame([(1, "ab cd", 0, 100)], "k int, text string, x int, width int"), "k").orderBy("place").collect()
     assert [r.word for r in spans] == ["ab", "cd"] and spans[1].x >= 50
 
 
+def _cell_table(spark, headers, rows, name="t"):
+    return spark.createDataFrame([(name, i, j, headers[j], v) for i, r in enumerate(rows) for j, v in enumerate(r)], "table_id string, row_no int, col_no int, header string, value string")
+
+
+def test_table_validation(spark):
+    good = _cell_table(spark, ["Name", "Age", "Salary", "Date"], [("John Doe", "25", "$50,000", "2024-01-01"), ("Jane Smith", "30", "$60,000", "2024-01-02"), ("Bob Johnson", "35", "$70,000", "2024-01-03")])
+    got = cells.score(good, good.select("table_id").distinct().withColumn("confidence", F.lit(0.85))).first()
+    assert got.score == pytest.approx(0.7) and got.valid and got.cell_issues == 3 and not got.structure_issues
+    bad = _cell_table(spark, ["Name", "Age", "Age", ""], [("John", "3O", "$50,000", "x"), ("", "", "", ""), ("Jane", "25", "$6O,000", "y"), ("Jane", "25", "$6O,000", "y"), ("Bob", "abc", "70", "z")])
+    facts = cells.structure(bad).first()
+    assert (facts.duplicate_headers, facts.empty_headers, facts.empty_rows, facts.duplicate_rows, facts.structure_issues, facts.ragged) == (1, 1, 1, 1, 2, False)
+    assert not cells.score(bad, bad.select("table_id").distinct().withColumn("confidence", F.lit(0.65))).first().valid
+    assert {r.value: r.suggested for r in cells.checks(bad).where("suggested IS NOT NULL").collect()} == {"3O": "30"}
+    kinds = {r.col_no: r.data_type for r in cells.column_types(_cell_table(spark, list("abcdefg"), [("1,234", "100 USD", "0.25", "Jan 5, 2024", "y", "5-1-2024", "Sol"), ("-2.5", "€5", "3%", "1/2/2024", "NO", "soon", "O"), ("x", "$7", "4.5%", "2024-01-01", "true", "2024-01-01", "l")])).collect()}
+    assert kinds == {0: "NUMBER", 1: "CURRENCY", 2: "PERCENTAGE", 3: "DATE", 4: "BOOLEAN", 5: "DATE", 6: "TEXT"}
+    odd = spark.createDataFrame([("l1",), ("OOO",), ("a1b",), ("1a2",), ("$5",), ("plain é",)], "v string").where(cells.suspicious(F.col("v")))
+    assert [r.v for r in odd.collect()] == ["l1", "OOO", "a1b", "1a2", "$5"]
+    old, new = _cell_table(spark, ["a", "b"], [("1", "2"), ("3", "4")]), _cell_table(spark, ["a", "b"], [("1", "x")])
+    assert {(r.row_no, r.col_no, r.change) for r in cells.diff(old, new).collect()} == {(0, 1, "changed"), (1, 0, "removed"), (1, 1, "removed")}
+    assert tuple(cells.shapes(old, new).first()) == ("t", 2, 2, 1, 2)
+
+
 def test_questions(spark):
     df = spark.createDataFrame([(100, "Books"), (200, "Books"), (300, "Toys")], "sales_amount int, category string")
     assert questions.answer(df, "What is the total sales_amount?").first()[0] == 600
