@@ -12,19 +12,23 @@ each). The last block is padded with its minimum.
 
 Files are written by the executors to the shared folder under names made of range and sequence
 number, first under a name of their own and then moved, so that a task that runs twice leaves the
-same file. Defined results: null and empty texts have the end id alone; rows with one doc_id are
-ordered by text; a null doc_id comes first; other columns are ignored.
+same file. A worker holds packed blocks, one run of unpacked ids and a cache of ``CACHE_BYTES``,
+which it drops at the end of its task.
+
+Defined results: null and empty texts have the end id alone; a very long text is encoded whole and
+never split over files; rows with one doc_id, repeated rows too, are ordered by the hash of their
+text, then by text; a null doc_id comes first; an empty table writes no file and gives no rows; other
+columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import struct
 import uuid
 import zlib
 from collections.abc import Iterator
-from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -35,11 +39,14 @@ from . import textblocks
 from .scratch import new_folder, staged
 
 BLOCK = 128
+#: Blocks that are packed and unpacked at once.
+RUN = 2048
 PERCENTILE = 90
 END_ID = 1
 #: Ids of a file; a range with more goes on in the next file. A document is never split.
 FILE_IDS = 8_000_000
-CACHE = 350_000
+#: Most bytes of the cache of encoded pieces in a worker.
+CACHE_BYTES = 40 << 20
 HEADER = struct.Struct("<4sIQI")
 MAGIC = b"PFR1"
 
@@ -47,6 +54,9 @@ MAGIC = b"PFR1"
 # --- blocks -------------------------------------------------------------------------------------
 
 
+_WIDTHS = np.uint32(1) << np.arange(32, dtype=np.uint32)
+
+
 def pack_blocks(ids: np.ndarray) -> tuple[bytes, np.ndarray]:
     """The blocks of ``ids`` (unsigned 32-bit) one after another, and where each starts."""
     n = -(-len(ids) // BLOCK)
@@ -58,7 +68,7 @@ def pack_blocks(ids: np.ndarray) -> tuple[bytes, np.ndarray]:
     grid = grid.reshape(n, BLOCK)
     base = grid.min(axis=1)
     diff = grid - base[:, None]
-    need = np.frexp(diff.astype(np.float64))[1].astype(np.uint8)
+    need = np.searchsorted(_WIDTHS, diff.ravel(), "right").astype(np.uint8).reshape(diff.shape)
     place = BLOCK * PERCENTILE // 100 - 1
     width = np.partition(need, place, axis=1)[:, place]
     over = need > width[:, None]
@@ -114,29 +124,63 @@ def unpack_blocks(data: np.ndarray, starts: np.ndarray) -> np.ndarray:
 # --- files --------------------------------------------------------------------------------------
 
 
+class FileBuilder:
+    """A file in the making: whole runs of blocks are packed as their ids arrive."""
+
+    def __init__(self):
+        self.names: list = []
+        self.sizes: list[np.ndarray] = []
+        self.waiting: list[np.ndarray] = []
+        self.blocks: list[bytes] = []
+        self.starts: list[np.ndarray] = []
+        self.held = self.waits = self.bytes = 0
+
+    def add(self, doc_ids: list, sizes: np.ndarray, ids: np.ndarray) -> None:
+        self.names += doc_ids
+        self.sizes.append(sizes)
+        self.waiting.append(ids)
+        self.held += len(ids)
+        self.waits += len(ids)
+        if self.waits >= RUN * BLOCK:
+            self._pack(self.waits // BLOCK * BLOCK)
+
+    def _pack(self, n: int) -> None:
+        ids = np.concatenate(self.waiting) if self.waiting else np.zeros(0, np.uint32)
+        for i in range(0, n, RUN * BLOCK):
+            packed, starts = pack_blocks(ids[i : min(i + RUN * BLOCK, n)])
+            self.blocks.append(packed)
+            self.starts.append(starts + np.uint64(self.bytes))
+            self.bytes += len(packed)
+        self.waiting, self.waits = [ids[n:].copy()], len(ids) - n
+
+    def content(self) -> bytes:
+        """The whole file."""
+        self._pack(self.waits)
+        sizes = np.concatenate([np.zeros(0, np.int64), *self.sizes]).astype("<u8")
+        starts = np.concatenate([np.zeros(0, np.uint64), *self.starts]).astype("<u8")
+        null = np.array([d is None or d != d for d in self.names], np.uint8)
+        names = np.array([0 if z else int(d) for d, z in zip(self.names, null, strict=True)], "<i8")
+        head = HEADER.pack(MAGIC, len(sizes), self.held, len(starts))
+        return b"".join([head, names.tobytes(), null.tobytes(), sizes.tobytes(), starts.tobytes(), *self.blocks])
+
+
 def file_bytes(doc_ids: list, docs_ids: list[np.ndarray]) -> bytes:
     """A whole file of the given documents."""
-    sizes = np.array([len(x) for x in docs_ids], "<u8")
-    blocks, starts = pack_blocks(np.concatenate(docs_ids) if docs_ids else np.zeros(0, np.uint32))
-    null = np.array([d is None or d != d for d in doc_ids], np.uint8)
-    names = np.array([0 if z else int(d) for d, z in zip(doc_ids, null, strict=True)], "<i8")
-    head = HEADER.pack(MAGIC, len(sizes), int(sizes.sum()), len(starts))
-    return b"".join([head, names.tobytes(), null.tobytes(), sizes.tobytes(), starts.astype("<u8").tobytes(), blocks])
+    built = FileBuilder()
+    for d, ids in zip(doc_ids, docs_ids, strict=True):
+        built.add([d], np.array([len(ids)]), np.asarray(ids, np.uint32))
+    return built.content()
 
 
-def read_file(content: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """doc_ids, null flags, ids per document and all ids of a file."""
-    magic, docs, total, blocks = HEADER.unpack_from(content)
+def read_head(content: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """doc_ids, null flags and ids per document of a file."""
+    magic, docs, _, _ = HEADER.unpack_from(content)
     if magic != MAGIC:
         raise ValueError("not a token file")
     at = HEADER.size
     names = np.frombuffer(content, "<i8", docs, at)
     null = np.frombuffer(content, np.uint8, docs, at + 8 * docs).astype(bool)
-    sizes = np.frombuffer(content, "<u8", docs, at + 9 * docs).astype(np.int64)
-    starts = np.frombuffer(content, "<u8", blocks, at + 17 * docs)
-    data = np.frombuffer(content, np.uint8, offset=at + 17 * docs + 8 * blocks)
-    pieces = [unpack_blocks(data, starts[i : i + 4096]) for i in range(0, blocks, 4096)]
-    return names, null, sizes, (np.concatenate(pieces) if pieces else np.zeros(0, np.uint32))[:total]
+    return names, null, np.frombuffer(content, "<u8", docs, at + 9 * docs).astype(np.int64)
 
 
 def read_run(content: bytes, first: int, count: int) -> np.ndarray:
@@ -144,72 +188,174 @@ def read_run(content: bytes, first: int, count: int) -> np.ndarray:
     _, docs, _, blocks = HEADER.unpack_from(content)
     at = HEADER.size + 17 * docs
     starts = np.frombuffer(content, "<u8", blocks, at)
-    a, b = first // BLOCK, -(-(first + count) // BLOCK)
     data = np.frombuffer(content, np.uint8, offset=at + 8 * blocks)
-    return unpack_blocks(data, starts[a:b])[first - a * BLOCK :][:count] if count else np.zeros(0, np.uint32)
+    a, b = first // BLOCK, -(-(first + count) // BLOCK)
+    pieces = [unpack_blocks(data, starts[i : min(i + RUN, b)]) for i in range(a, b, RUN)] if count else []
+    return (np.concatenate(pieces) if pieces else np.zeros(0, np.uint32))[first - a * BLOCK :][:count]
 
 
 # --- tokens -------------------------------------------------------------------------------------
 
+# The parts of a tokenizer file under which pieces can be encoded one by one.
+_NORMALIZERS = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]
+_PATTERN = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
+
+_WHITE, _LETTER, _MARK, _DIGIT, _ODD = range(5)
+_KIND = np.full(256, _ODD, np.uint8)
+_KIND[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = _WHITE
+for _b in range(0x21, 0x7F):
+    _KIND[_b] = _DIGIT if chr(_b).isdigit() else _LETTER if chr(_b).isalpha() else _ODD if chr(_b) == "'" else _MARK
+
+
+def _by_piece(spec: dict) -> bool:
+    """Whether the file lower-cases, drops white space and splits letters, digits and marks apart."""
+    normal, split = spec.get("normalizer") or {}, spec.get("pre_tokenizer") or {}
+    parts = split.get("pretokenizers") or []
+    model = spec.get("model") or {}
+    return (
+        normal.get("normalizers") == _NORMALIZERS and [p.get("type") for p in parts] == ["Split", "ByteLevel"]
+        and parts[0].get("pattern") == {"Regex": _PATTERN} and parts[0].get("invert") is True and parts[0].get("behavior") == "Removed"
+        and not parts[1].get("add_prefix_space") and not parts[1].get("use_regex")
+        and model.get("type") == "BPE" and model.get("end_of_word_suffix") == "</w>" and not model.get("dropout") and not spec.get("post_processor")
+        and all(t["special"] and t["content"].startswith("<|") and not t["normalized"] and not t["lstrip"] and not t["rstrip"] for t in spec["added_tokens"])
+    )
+
 
-class _Encoder(dict):
-    """Ids of stretches without white space, as packed by the tokenizer library, in two bounded generations.
+def pieces(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Lower-cased bytes, and start, end and kind of each piece.
 
-    The tokenizer drops white space and never looks across it, so that a text's ids are those of
-    its stretches in order; a stretch is encoded once.
+    A piece is a run of letters (a-z and those of the Latin-1 block), a run of ASCII marks, or a digit.
+    A stretch without white space that holds anything else, an apostrophe or what may begin a special
+    token is one odd piece, as it stands.
+    """
+    kind = _KIND[data]
+    low = textblocks.LOWER[data]
+    after = np.zeros(len(data), bool)
+    after[1:] = data[:-1] == 0xC3
+    second = after & (data >= 0x80) & (data <= 0xBF) & (data != 0x97) & (data != 0xB7)
+    at = np.flatnonzero(second)
+    kind[at] = kind[at - 1] = _LETTER
+    low[at[data[at] <= 0x9E]] += 0x20
+    special = np.flatnonzero((data[:-1] == 60) & (data[1:] == 124))
+    kind[special] = _ODD
+    odd = np.flatnonzero(kind == _ODD)
+    if len(odd):
+        white = np.flatnonzero(kind == _WHITE)
+        k = np.unique(np.searchsorted(white, odd))
+        begin = np.where(k > 0, white[k - 1] + 1, 0)
+        end = np.where(k < len(white), white[np.minimum(k, len(white) - 1)], len(data)) if len(white) else np.full(len(k), len(data))
+        n = end - begin
+        where = np.repeat(begin - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
+        kind[where] = _ODD
+        low[where] = data[where]
+    cut = np.ones(len(kind) + 1, bool)
+    cut[1:-1] = (kind[1:] != kind[:-1]) | (kind[1:] == _DIGIT)
+    bounds = np.flatnonzero(cut)
+    of = kind[bounds[:-1]] if len(kind) else kind
+    real = of != _WHITE
+    return low, bounds[:-1][real], bounds[1:][real], of[real]
+
+
+class Encoder:
+    """Ids of texts by the tokenizers library, each distinct piece encoded once while the cache holds it.
+
+    Where the file is not of the kind that ``_by_piece`` names, every text is encoded whole.
     """
 
-    def __init__(self, path: str):
-        super().__init__()
+    def __init__(self, path: str, cache_bytes: int = CACHE_BYTES):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.older: dict[bytes, bytes] = {}
-        # a special token is cut out before anything else looks at the text: it keeps stretches apart
-        self.between = next(((i, t.content) for i, t in self.tokenizer.get_added_tokens_decoder().items() if t.special and not t.normalized), None)
-
-    def _encoded(self, stretches: list[bytes]) -> list[bytes]:
-        """The ids of each stretch; those without anything like a special token in one call."""
-        texts = [w.decode("utf-8", "replace") for w in stretches]
-        if self.between is None or any("<|" in t for t in texts):
-            made = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-            return [struct.pack(f"<{len(e)}I", *e.ids) for e in made]
-        mark, content = self.between
-        ids = np.array(self.tokenizer.encode_batch_fast([content.join(texts)], add_special_tokens=False)[0].ids, "<u4")
-        cuts = np.flatnonzero(ids == mark)
-        raw = ids.tobytes()
-        starts, ends = [0, *(4 * (cuts + 1)).tolist()], [*(4 * cuts).tolist(), len(raw)]
-        return [raw[a:b] for a, b in zip(starts, ends, strict=True)]
-
-    def ids(self, texts: list[bytes]) -> list[np.ndarray]:
-        # A-Z are lowered by the tokenizer anyhow, but not in what may be a special token
-        split = [(t if b"<|" in t else t.lower()).split() for t in texts]
-        if len(self) >= CACHE:
-            self.older = dict(self)
-            self.clear()
-        new = {w for w in set(chain.from_iterable(split)) if w not in self}
-        again = {w for w in new if w in self.older}
-        self.update((w, self.older[w]) for w in again)
-        new -= again
-        # a full stop or comma after a letter is a piece of its own
-        ended = [w for w in new if len(w) > 1 and w[-1] in b".," and 97 <= w[-2] <= 122]
-        fresh = new.difference(ended)
-        fresh.update(x for w in ended for x in (w[:-1], w[-1:]) if x not in self)
-        if fresh:
-            odd = [w for w in fresh if b"<|" in w]
-            for some in (list(fresh.difference(odd)), odd):
-                if some:
-                    self.update(zip(some, self._encoded(some), strict=True))
-        self.update((w, self[w[:-1]] + self[w[-1:]]) for w in ended)
-        look = self.__getitem__
-        end = struct.pack("<I", END_ID)
-        return [np.frombuffer(b"".join([*map(look, words), end]), "<u4") for words in split]
-
-
-@lru_cache(2)
-def encoder(path: str) -> _Encoder:
-    return _Encoder(path)
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        self.by_piece, self.cache_bytes = _by_piece(spec), cache_bytes
+        if self.by_piece:
+            # the same merges for pieces that are normal already, one word each
+            plain = spec | {"normalizer": None, "added_tokens": [], "pre_tokenizer": {"type": "Sequence", "pretokenizers": [{"type": "WhitespaceSplit"}, spec["pre_tokenizer"]["pretokenizers"][1]]}}
+            self.plain = Tokenizer.from_str(json.dumps(plain))
+            self.ends = np.zeros(1 + max(spec["model"]["vocab"].values()), bool)
+            self.ends[[v for k, v in spec["model"]["vocab"].items() if k.endswith("</w>")]] = True
+        self._clear()
+
+    def _clear(self) -> None:
+        self.keys = self.checks = np.zeros(0, np.uint64)
+        self.at, self.size, self.store = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
+
+    def _encoded(self, texts: list[str], odd: bool) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of the pieces one after another, and how many each has."""
+        if odd:
+            made = [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+            return np.concatenate([np.zeros(0, np.uint32), *made]), np.array([len(x) for x in made], np.int64)
+        ids = [np.zeros(0, np.uint32)]
+        for i in range(0, len(texts), 1000):
+            ids.append(np.array(self.plain.encode_batch_fast([" ".join(texts[i : i + 1000])], add_special_tokens=False)[0].ids, np.uint32))
+        ids = np.concatenate(ids)
+        last = np.flatnonzero(self.ends[ids])
+        return ids, np.diff(last, prepend=-1)
+
+    def _learn(self, values, checks, low, starts, ends, kinds) -> None:
+        made = []
+        for odd in (False, True):
+            x = np.flatnonzero((kinds == _ODD) == odd)
+            if len(x):
+                raw = low.tobytes()
+                texts = [raw[a:b].decode("utf-8", "replace") for a, b in zip(starts[x].tolist(), ends[x].tolist(), strict=True)]
+                ids, sizes = self._encoded(texts, odd)
+                if len(sizes) != len(x):
+                    raise ValueError("the tokenizer does not end each piece with one token of a word's end")
+                made.append((x, ids, sizes))
+        for x, ids, sizes in made:
+            place = np.searchsorted(self.keys, values[x])
+            self.at = np.insert(self.at, place, len(self.store) + np.cumsum(sizes) - sizes)
+            self.size = np.insert(self.size, place, sizes)
+            self.checks = np.insert(self.checks, place, checks[x])
+            self.keys = np.insert(self.keys, place, values[x])
+            self.store = np.concatenate([self.store, ids])
+
+    def _cached(self, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        place = np.minimum(np.searchsorted(self.keys, values), max(len(self.keys) - 1, 0))
+        return place, self.keys[place] == values if len(self.keys) else np.zeros(len(values), bool)
+
+    def _block_ids(self, block: textblocks.Block) -> tuple[np.ndarray, np.ndarray] | None:
+        """Ids and their number in each document, without ends; None if hashes of pieces collide."""
+        low, starts, ends, kinds = pieces(block.data)
+        h, check = (_span_hashes(low, starts, ends, seed) for seed in (0, 1))
+        values, bearer, counts, order = textblocks.distinct(h)
+        if (check[order] != np.repeat(check[bearer], counts)).any():
+            return None
+        if self.keys.nbytes + self.checks.nbytes + self.at.nbytes + self.size.nbytes + self.store.nbytes > self.cache_bytes:
+            self._clear()
+        new = np.flatnonzero(~self._cached(values)[1])
+        if len(new):
+            b = bearer[new]
+            self._learn(values[new], check[b], low, starts[b], ends[b], kinds[b])
+        place, _ = self._cached(values)
+        if (self.checks[place] != check[bearer]).any():
+            return None
+        which = np.empty(len(h), np.int64)
+        which[order] = np.repeat(place, counts)
+        n = self.size[which]
+        after = np.cumsum(n)
+        ids = self.store[np.repeat(self.at[which] - (after - n), n) + np.arange(after[-1] if len(after) else 0)]
+        until = np.concatenate([[0], after])[np.searchsorted(starts, block.offsets)]
+        return ids, np.diff(until)
+
+    def ids(self, texts) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """For runs of texts: number of the first, ids with END_ID after each text, ids of each text."""
+        texts = list(texts)
+        for block in textblocks.blocks(texts, target=2 << 20):
+            made = self._block_ids(block) if self.by_piece else None
+            if made is None:
+                own = ["" if not isinstance(t, str) else t for t in texts[block.first : block.first + block.count]]
+                made = self._encoded(own, True)
+            ids, sizes = made
+            yield block.first, np.insert(ids, np.cumsum(sizes), np.uint32(END_ID)), sizes + 1
+
+
+def _span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int) -> np.ndarray:
+    sums, downs = textblocks.prefix_hash(textblocks.BYTE_VALUES[seed][data], textblocks.BASE)
+    return textblocks.mix((sums[ends] - sums[starts]) * downs[starts] ^ (ends - starts).astype(np.uint64) * np.uint64(0x165667B19E3779F9))
 
 
 def _write(folder: str, name: str, content: bytes) -> None:
@@ -236,38 +382,36 @@ def write_tokens(docs: DataFrame, path: str, folder: str) -> DataFrame:
         from pyspark import TaskContext
 
         part, made = TaskContext.get().partitionId(), 0
-        names: list = []
-        ids: list[np.ndarray] = []
-        held = 0
-        coder = encoder(path)
+        coder, built = Encoder(path), FileBuilder()
 
         def flush() -> pd.DataFrame:
-            nonlocal names, ids, held, made
+            nonlocal built, made
             name = f"tokens-{part:08d}-{made:06d}.pfr"
-            _write(folder, name, file_bytes(names, ids))
-            row = pd.DataFrame({"file": [name], "documents": [len(names)], "n_ids": [held]})
-            names, ids, held, made = [], [], 0, made + 1
+            _write(folder, name, built.content())
+            row = pd.DataFrame({"file": [name], "documents": [len(built.names)], "n_ids": [built.held]})
+            built, made = FileBuilder(), made + 1
             return row
 
         for pdf in batches:
-            texts = [textblocks.encoded(t) for t in pdf["text"]]
-            at = 0
-            while at < len(texts):
-                stop, size = at, 0
-                while stop < len(texts) and (stop == at or size + len(texts[stop]) < 1 << 20):
-                    size += len(texts[stop])
-                    stop += 1
-                for d, x in zip(pdf["doc_id"].iloc[at:stop].tolist(), coder.ids(texts[at:stop]), strict=True):
-                    if names and held + len(x) > FILE_IDS:
+            doc_ids = pdf["doc_id"].tolist()
+            for first, ids, sizes in coder.ids(pdf["text"]):
+                ends = np.cumsum(sizes)
+                at = 0
+                while at < len(sizes):
+                    begin = int(ends[at - 1]) if at else 0
+                    stop = int(np.searchsorted(ends, begin + FILE_IDS - built.held, "right"))
+                    if stop <= at and built.names:
                         yield flush()
-                    names.append(d)
-                    ids.append(x)
-                    held += len(x)
-                at = stop
-        if names:
+                        continue
+                    stop = max(stop, at + 1)
+                    built.add(doc_ids[first + at : first + stop], sizes[at:stop], ids[begin : int(ends[stop - 1])])
+                    at = stop
+        if built.names:
             yield flush()
 
-    ordered = docs.select(F.col("doc_id").cast("long"), "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    # the hash and the row number deal rows with one doc_id, or none, over several ranges
+    rows = docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("_hash"), F.monotonically_increasing_id().alias("_row"))
+    ordered = rows.repartitionByRange("doc_id", "_hash", "_row").sortWithinPartitions("doc_id", "_hash", "text").select("doc_id", "text")
     return staged(ordered.mapInPandas(run, "file string, documents long, n_ids long"), "token-files")
 
 
@@ -278,16 +422,20 @@ def read_tokens(files: DataFrame, folder: str) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for name, content in zip(pdf["file"], pdf["content"], strict=True):
-                names, null, sizes, ids = read_file(content)
+                names, null, sizes = read_head(content)
                 ends = np.cumsum(sizes)
-                raw = ids.astype("<u4").tobytes()
-                for lo in range(0, len(names), 2000):
-                    x = slice(lo, lo + 2000)
-                    begin = (ends[x] - sizes[x]).tolist()
+                at = 0
+                while at < len(names):
+                    begin = int(ends[at - 1]) if at else 0
+                    stop = min(max(int(np.searchsorted(ends, begin + RUN * BLOCK, "right")), at + 1), len(names))
+                    raw = read_run(content, begin, int(ends[stop - 1]) - begin).astype("<u4").tobytes()
+                    x = slice(at, stop)
+                    own = ends[x] - sizes[x]
                     yield pd.DataFrame({
-                        "file": name, "doc_id": pd.Series(names[x]).astype("Int64").mask(null[x]),
-                        "own_start": begin, "n_tokens": sizes[x], "ids": [raw[4 * a : 4 * b] for a, b in zip(begin, ends[x].tolist(), strict=True)],
+                        "file": name, "doc_id": pd.Series(names[x]).astype("Int64").mask(null[x]), "own_start": own, "n_tokens": sizes[x],
+                        "ids": [raw[4 * a : 4 * b] for a, b in zip((own - begin).tolist(), (ends[x] - begin).tolist(), strict=True)],
                     })
+                    at = stop
 
     # one row per file, of which there are as many as there are stretches of FILE_IDS ids
     before = files.select("file", (F.sum("n_ids").over(Window.orderBy("file")) - F.col("n_ids")).alias("before"))

@@ -184,18 +184,37 @@ def test_token_blocks_round_trip(top):
         ids = rng.integers(0, top, n, dtype=np.uint32)
         ids[::40] = top
         whole = token_files.file_bytes([3, None], [ids[: n // 3], ids[n // 3 :]])
-        names, null, sizes, back = token_files.read_file(whole)
+        names, null, sizes = token_files.read_head(whole)
+        back = token_files.read_run(whole, 0, n)
         assert null.tolist() == [False, True] and sizes.sum() == n and (back == ids).all() and names[0] == 3
         for a, k in ((0, n), (n // 2, n // 4), (min(n, 130), min(100, max(0, n - 130)))):
             assert (token_files.read_run(whole, a, k) == ids[a : a + k]).all()
 
 
-def test_tokenizer_never_looks_across_white_space():
-    rng, coder = random.Random(6), token_files.encoder(WORD_BPE)
-    alphabet = list("abXÀß'''  \n\t019中!?.sdtmrevlΣİſ\x1c\x85") + ["́", " ", "<|endoftext|>"]
+def _encoded_by(coder, texts):
+    return [x.tolist() for _, ids, sizes in coder.ids(texts) for x in np.split(ids, np.cumsum(sizes)[:-1])]
+
+
+@pytest.mark.parametrize("cache", [0, token_files.CACHE_BYTES])
+def test_tokenizer_never_looks_across_pieces(cache):
+    rng, coder = random.Random(6), token_files.Encoder(WORD_BPE, cache)
+    assert coder.by_piece
+    alphabet = list("abXÀß÷×É'''  \n\t019中!?.sdtmrevlΣİſ_<|>\x1c\x85") + ["́", " ", "<|endoftext|>"]
     texts = ["".join(rng.choices(alphabet, k=rng.randint(0, 40))) for _ in range(3000)]
+    texts += ["".join(rng.choices("aBÀßéè÷×.,-01 ", k=30)) for _ in range(3000)]
     want = [[*e.ids, 1] for e in coder.tokenizer.encode_batch(texts, add_special_tokens=False)]
-    assert [x.tolist() for x in coder.ids([t.encode() for t in texts])] == want
+    for _ in range(2):
+        assert _encoded_by(coder, texts) == want
+
+
+def test_other_tokenizers_encode_whole_texts(docs, rows):
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    coder = token_files.Encoder(path)
+    texts = [t or "" for _, t in rows]
+    assert not coder.by_piece
+    assert _encoded_by(coder, texts) == [[*e.ids, 1] for e in coder.tokenizer.encode_batch(texts, add_special_tokens=False)]
+    got = {r.doc_id: (r.start, r.n_tokens, r.ids_crc32) for r in token_files.digest(docs, path).collect()}
+    assert got == token_files.brute_force(rows, path)
 
 
 def test_sharding(spark, docs, rows):
