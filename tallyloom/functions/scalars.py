@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -34,9 +36,19 @@ def all_numbers(c: Column) -> Column:
     return F.transform(F.regexp_extract_all(c, F.lit(r"(-?[0-9]+\.?[0-9]*)"), F.lit(1)), lambda x: x.cast("double"))
 
 
+_SHAPES = (("yyyy", "[0-9]{4}"), ("MMMM", "[A-Za-z]+"), ("MMM", "[A-Za-z]+"), ("MM", "[0-9]{2}"), ("dd", "[0-9]{2}"), ("M", "[0-9]{1,2}"), ("d", "[0-9]{1,2}"), ("HH", "[0-9]{2}"), ("mm", "[0-9]{2}"), ("ss", "[0-9]{2}"))
+
+
+def date_shape(format_: str) -> str:
+    """A pattern that every text of a date format has."""
+    return "^" + re.sub("|".join(k for k, _ in _SHAPES), lambda m: dict(_SHAPES)[m.group()], re.escape(format_).replace("\\-", "-").replace("\\ ", " ")) + "$"
+
+
 def parse_date(c: Column, formats=DATE_FORMATS) -> Column:
-    """The date by the first format that fits."""
-    return F.coalesce(*[F.try_to_date(F.trim(c), f) for f in formats])
+    """The date by the first format that fits; a format is only tried on texts of its shape, and none on texts that no date is like."""
+    text = F.trim(c)
+    like = F.length(text).between(6, 40) & text.rlike("[0-9][-/ ,:]|[-/ ][0-9]")
+    return F.when(like, F.coalesce(*[F.when(text.rlike(date_shape(f)), F.try_to_date(text, f)) for f in formats]))
 
 
 def parse_currency(c: Column) -> Column:

@@ -7,6 +7,8 @@ from itertools import combinations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import ranks
+
 _AGG = {"sum": F.sum, "avg": F.avg, "mean": F.avg, "count": F.count, "min": F.min, "max": F.max, "median": F.median}
 
 
@@ -62,19 +64,20 @@ def correlations(df: DataFrame, columns: list[str], least: float = 0.0) -> DataF
 
 def box(df: DataFrame, column: str) -> DataFrame:
     """Quartiles and whiskers (least and greatest value within 1.5 times the middle half)."""
-    q = df.agg(F.percentile(column, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q"))  # one row
-    q = q.select(F.col("q")[0].alias("q1"), F.col("q")[1].alias("median"), F.col("q")[2].alias("q3"))
-    inside = df.crossJoin(F.broadcast(q)).where(F.col(column).between(F.expr("q1 - 1.5 * (q3 - q1)"), F.expr("q3 + 1.5 * (q3 - q1)")))
-    return inside.groupBy("q1", "median", "q3").agg(F.min(column).alias("low"), F.max(column).alias("high"))
+    q1, middle, q3 = ranks.quantiles(df, [column], [0.25, 0.5, 0.75])[column]
+    reach = 1.5 * (q3 - q1) if q1 is not None else None
+    inside = df.where(F.col(column).between(q1 - reach, q3 + reach)) if q1 is not None else df.where(F.lit(False))
+    facts = inside.agg(F.min(column).alias("low"), F.max(column).alias("high")).where("low IS NOT NULL")
+    return facts.select(*[F.lit(v).cast("double").alias(k) for k, v in (("q1", q1), ("median", middle), ("q3", q3))], "low", "high")
 
 
 def summary(df: DataFrame, columns: list[str]) -> DataFrame:
     """count, mean, std, min, quartiles and max of each column, one row a column."""
-    aggs = []
+    aggs, quartiles = [], ranks.quantiles(df, columns, [0.25, 0.5, 0.75])
     for c in columns:
         aggs.append(F.struct(
             F.lit(c).alias("name"), F.count(c).alias("count"), F.avg(c).alias("mean"), F.stddev_samp(c).alias("std"), F.min(c).cast("double").alias("min"),
-            F.percentile(c, F.lit(0.25)).alias("p25"), F.percentile(c, F.lit(0.5)).alias("p50"), F.percentile(c, F.lit(0.75)).alias("p75"), F.max(c).cast("double").alias("max"),
+            *[F.lit(q).cast("double").alias(k) for k, q in zip(("p25", "p50", "p75"), quartiles[c], strict=True)], F.max(c).cast("double").alias("max"),
         ).alias(c))
     return df.agg(*aggs).select(F.inline(F.array(*columns)))
 

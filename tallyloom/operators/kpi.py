@@ -126,11 +126,50 @@ def comparisons(current: DataFrame, base: DataFrame, key: str = "kpi_id", better
 
 
 def insights(rows: DataFrame, key: str = "kpi_id") -> DataFrame:
-    """One row for each rule that fires on (value, percent, strength, direction)."""
+    """One row (insight, severity, confidence) for each rule that fires on a KPI.
+
+    ``rows``: value; percent and improved against the period before; strength and direction of the trend;
+    target_percent and target_met against a target. What is null fires nothing.
+    """
+    strong = F.col("strength") > 0.7
+    met = F.col("target_met")
+    better = F.when(F.col("improved"), "success").otherwise("warning")
     rules = [
-        (F.col("strength") > 0.7, "strong_trend"), (F.col("direction") == "VOLATILE", "volatile"), (F.col("value") == 0, "zero_value"), (F.abs("percent") > 20, "large_change"),
+        (strong & (F.col("direction") == "UP"), "upward_trend", F.lit("success"), F.col("strength")), (strong & (F.col("direction") == "DOWN"), "downward_trend", F.lit("warning"), F.col("strength")),
+        (F.col("direction") == "VOLATILE", "volatile", F.lit("info"), F.lit(0.8)), (F.col("value") == 0, "zero_value", F.lit("warning"), F.lit(0.9)),
+        (met, "target_exceeded", F.lit("success"), F.lit(0.95)), (~met, "target_missed", F.lit("warning"), F.lit(0.95)),
+        (F.abs("percent") > 20, "large_change", better, F.lit(0.9)),
     ]
-    return rows.select(key, F.explode(F.array_compact(F.array(*[F.when(test, F.lit(name)) for test, name in rules]))).alias("insight"))
+    fired = [F.when(test, F.struct(F.lit(name).alias("insight"), severity.alias("severity"), confidence.cast("double").alias("confidence"))) for test, name, severity, confidence in rules]
+    return rows.select(key, F.inline(F.array_compact(F.array(*fired))))
+
+
+def against_targets(values: DataFrame, targets: DataFrame, key: str = "kpi_id") -> DataFrame:
+    """KPIs with target_percent (0 at a target of zero) and target_met (at least the target), null without one."""
+    diff = F.col("value") - F.col("target")
+    return values.join(targets.select(key, "target"), key, "left").select(
+        *values.columns, F.when(F.col("target").isNotNull(), F.coalesce(F.try_divide(diff * 100.0, F.col("target")), F.lit(0.0))).alias("target_percent"), (diff >= 0).alias("target_met")
+    )
+
+
+def gauges(values: DataFrame, targets: DataFrame, key: str = "kpi_id") -> DataFrame:
+    """Per cent of the target that is reached, within 0 and 100."""
+    share = F.coalesce(F.try_divide(F.col("value") * 100.0, F.col("target")), F.lit(0.0))
+    return values.join(targets.select(key, "target"), key).select(key, "value", "target", F.greatest(F.lit(0.0), F.least(F.lit(100.0), share)).alias("progress"))
+
+
+def summary(values: DataFrame, compared: DataFrame, found: DataFrame) -> DataFrame:
+    """One row: KPIs, comparisons, improvements, and insights by severity."""
+    by = found.agg(*[F.count_if(F.col("severity") == s).alias(s) for s in ("success", "warning", "info")], F.count("*").alias("insights"))
+    return values.agg(F.count("*").alias("kpis")).crossJoin(compared.agg(F.count("*").alias("comparisons"), F.count_if("improved").alias("improved"))).crossJoin(by)  # one row each
+
+
+def custom(df: DataFrame, measures: dict[str, Column]) -> DataFrame:
+    """(kpi_id, value) of KPIs of one's own, each an aggregate over the rows; a null aggregate is no KPI."""
+    if not measures:
+        return df.sparkSession.createDataFrame([], "kpi_id string, value double")
+    row = df.agg(*[m.cast("double").alias(f"m{i}") for i, m in enumerate(measures.values())])
+    return row.select(F.inline(F.array(*[F.struct(F.lit(k).alias("kpi_id"), F.col(f"m{i}").alias("value")) for i, k in enumerate(measures)]))).where("value IS NOT NULL")
 
 
 def alerts(values: DataFrame, thresholds: DataFrame, key: str = "kpi_id") -> DataFrame:
@@ -144,9 +183,8 @@ def alerts(values: DataFrame, thresholds: DataFrame, key: str = "kpi_id") -> Dat
 
 def sparkline(df: DataFrame, key: str, order: str, value: str) -> DataFrame:
     """Values scaled to 0..100 in each series; 50 where all are equal."""
-    w = Window.partitionBy(key)
-    lo, hi = F.min(value).over(w), F.max(value).over(w)
-    return df.select(key, order, F.coalesce(F.try_divide((F.col(value) - lo) * 100.0, hi - lo), F.lit(50.0)).alias("scaled"))
+    ends = df.groupBy(key).agg(F.min(value).alias("_lo"), F.max(value).alias("_hi"))
+    return df.join(ends, key).select(key, order, F.coalesce(F.try_divide((F.col(value) - F.col("_lo")) * 100.0, F.col("_hi") - F.col("_lo")), F.lit(50.0)).alias("scaled"))
 
 
 def history(df: DataFrame, key: str, order: str, keep: int = 50) -> DataFrame:

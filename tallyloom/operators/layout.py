@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -21,21 +23,24 @@ def lines(words: DataFrame, keys: list[str], order: list[str], gap: float = 10)
 def rows_by_running_mean(words: DataFrame, keys: list[str], gap: float = 15) -> DataFrame:
     """Sorted by y, a word joins the row if it is within ``gap`` of the mean y of the row so far.
 
-    The words of a page are a bounded group.
+    Words pass sorted by page; a task keeps the mean of one row.
     """
 
-    def assign(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["y", "x"], kind="stable")
-        row, total, n, out = 0, 0.0, 0, []
-        for y in pdf["y"]:
-            if n and abs(y - total / n) > gap:
-                row, total, n = row + 1, 0.0, 0
-            total, n = total + y, n + 1
-            out.append(row)
-        return pdf.assign(row_no=out)
+    def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        page, row, total, n = None, 0, 0.0, 0
+        for pdf in batches:
+            out = []
+            for key, y in zip(zip(*[pdf[k] for k in keys], strict=True), pdf["y"].tolist(), strict=True):
+                if key != page:
+                    page, row, total, n = key, 0, 0.0, 0
+                elif abs(y - total / n) > gap:
+                    row, total, n = row + 1, 0.0, 0
+                total, n = total + y, n + 1
+                out.append(row)
+            yield pdf.assign(row_no=out)
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in words.schema)
-    return words.groupBy(*keys).applyInPandas(assign, f"{fields}, row_no int")
+    return words.repartition(*keys).sortWithinPartitions(*keys, "y", "x").mapInPandas(assign, f"{fields}, row_no int")
 
 
 def column_bounds(words: DataFrame, keys: list[str], gap: float = 30) -> DataFrame:
@@ -53,18 +58,30 @@ def words_in_regions(words: DataFrame, regions: DataFrame, keys: list[str]) -> D
 
 def to_cells(words: DataFrame, keys: list[str], row: str, gap: float = 30) -> DataFrame:
     """Cells (row, column, text, confidence) of each page: a word goes to the last bound not right of its centre."""
-    bounds = column_bounds(words, keys, gap).groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("bound", "col_no"))).alias("_b"))
+    # the words of a page are a bounded group
+    word = F.struct("x", "width", F.col(row).alias("row_no"), "text", "confidence")
+    pages = words.groupBy(*keys).agg(F.collect_list(word).alias("_w"), F.array_sort(F.collect_set("x")).alias("_x"))
+    # starts that begin a cluster, and the whole-number mean of each
+    begins = F.filter("_x", lambda x, i: (i == 0) | (x - F.get("_x", i - 1) > gap))
+    cluster = lambda b, i: F.filter("_x", lambda x: (x >= b) & F.coalesce(x < F.get("_b", i + 1), F.lit(True)))
+    mean = lambda xs: F.floor(F.aggregate(xs, F.lit(0.0), lambda a, x: a + x) / F.size(xs))
+    bounded = pages.withColumn("_b", begins).withColumn("_m", F.transform("_b", lambda b, i: mean(cluster(b, i))))
     centre = F.col("x") + F.floor(F.col("width") / 2)
-    placed = words.join(bounds, keys).withColumn("col_no", F.greatest(F.size(F.filter("_b", lambda b: b["bound"] <= centre)) - 1, F.lit(0)))
-    return placed.groupBy(*keys, F.col(row).alias("row_no"), "col_no").agg(
+    placed = bounded.select(*keys, "_m", F.inline("_w")).withColumn("col_no", F.greatest(F.size(F.filter("_m", lambda m: m <= centre)) - 1, F.lit(0)))
+    return placed.groupBy(*keys, "row_no", "col_no").agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("x", "text"))), lambda w: w["text"]), " ").alias("text"), F.avg("confidence").alias("confidence"),
     )
 
 
 def grid(cells: DataFrame, keys: list[str]) -> DataFrame:
     """Cells with empty ones where a row has no word under a column."""
-    rows, cols = cells.select(*keys, "row_no").distinct(), cells.select(*keys, "col_no").distinct()
-    return rows.join(cols, keys).join(cells, [*keys, "row_no", "col_no"], "left").withColumn("text", F.coalesce("text", F.lit(""))).withColumn("confidence", F.coalesce("confidence", F.lit(0.0)))
+    # the cells of a page are a bounded group
+    pages = cells.groupBy(*keys).agg(
+        F.collect_set("row_no").alias("_r"), F.collect_set("col_no").alias("_c"), F.map_from_entries(F.collect_list(F.struct(F.struct("row_no", "col_no"), F.struct("text", "confidence")))).alias("_m")
+    )
+    spread = pages.select(*keys, "_c", "_m", F.explode("_r").alias("row_no")).select(*keys, "_m", "row_no", F.explode("_c").alias("col_no"))
+    own = F.try_element_at("_m", F.struct("row_no", "col_no"))
+    return spread.select(*keys, "row_no", "col_no", F.coalesce(own["text"], F.lit("")).alias("text"), F.coalesce(own["confidence"], F.lit(0.0)).alias("confidence"))
 
 
 def table_regions(words: DataFrame, keys: list[str], row: str, least: float = 0.5) -> DataFrame:
@@ -110,10 +127,14 @@ def word_confidence(text: Column, confidence: Column, width: Column, height: Col
 
 
 def page_confidence(words: DataFrame, keys: list[str]) -> DataFrame:
-    """Mean word confidence scaled by the number of words and its spread."""
-    facts = words.groupBy(*keys).agg(F.avg("confidence").alias("m"), F.stddev_pop("confidence").alias("s"), F.count("*").alias("n"))
-    factor = F.when(F.col("n") < 3, 0.8).when(F.col("n") > 20, 1.1).otherwise(1.0) * F.when(F.col("s") > 0.3, 0.9).otherwise(1.0)
-    return facts.select(*keys, F.col("n").alias("words"), F.least(F.lit(1.0), F.col("m") * factor).alias("confidence"))
+    """Mean word confidence scaled by the length of the text, the number of words and the spread, within 0..1."""
+    facts = words.groupBy(*keys).agg(
+        F.avg("confidence").alias("m"), F.stddev_pop("confidence").alias("s"), F.count("*").alias("n"), (F.sum(F.length(F.trim("text"))) + F.count("*") - 1).alias("chars")
+    )
+    factor = F.when(F.col("chars") > 10, 1.05).when(F.col("chars") < 3, 0.8).otherwise(1.0)
+    factor = factor * F.when(F.col("n") > 5, 1.02).when(F.col("n") == 1, 0.9).otherwise(1.0)
+    factor = factor * F.when(F.col("s") < 0.1, 1.05).when(F.col("s") > 0.3, 0.95).otherwise(1.0)
+    return facts.select(*keys, F.col("n").alias("words"), F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("m") * factor)).alias("confidence"))
 
 
 def confidence_band(c: Column) -> Column:
@@ -128,8 +149,19 @@ def better_result(results: DataFrame, keys: list[str], engine: str = "engine") -
 
 
 def structure_confidence(cells: DataFrame, keys: list[str]) -> DataFrame:
-    """Mean of cell confidence, evenness of row widths, and size."""
-    rows = cells.groupBy(*keys, "row_no").agg(F.count("*").alias("n"), F.sum("confidence").alias("c"))
-    facts = rows.groupBy(*keys).agg((F.sum("c") / F.sum("n")).alias("cell"), F.greatest(F.lit(0.0), 1 - F.coalesce(F.try_divide(F.stddev_pop("n"), F.avg("n")), F.lit(0.0))).alias("even"), F.count("*").alias("r"), F.max("n").alias("k"))
-    size = F.when((F.col("r") >= 3) & (F.col("k") >= 2), 0.9).when(F.col("r") >= 2, 0.7).otherwise(0.5)
-    return facts.select(*keys, F.least(F.lit(1.0), (F.col("cell") + F.col("even") + size) / 3).alias("confidence"))
+    """Mean of cell confidence (of cells that have some), evenness of filled cells a row, headers, and size.
+
+    ``is_header``, if the cells have it, marks header cells.
+    """
+    sure = F.col("confidence") > 0
+    head = F.col("is_header") if "is_header" in cells.columns else F.lit(False)
+    rows = cells.groupBy(*keys, "row_no").agg(
+        F.count_if(F.trim("text") != "").alias("n"), F.sum(F.when(sure, F.col("confidence"))).alias("c"), F.count_if(sure).alias("k"), F.max("col_no").alias("last"), F.bool_or(head).alias("head")
+    )
+    facts = rows.groupBy(*keys).agg(
+        F.try_divide(F.sum("c"), F.sum("k")).alias("cell"), F.greatest(F.lit(0.0), F.coalesce(1 - F.try_divide(F.stddev_pop("n"), F.avg("n")), F.lit(0.0))).alias("even"),
+        F.when(F.bool_or("head"), 0.8).otherwise(0.5).alias("headed"), F.count("*").alias("rows"), (F.max("last") + 1).alias("width"),
+    )
+    size = F.when(F.col("width") < 2, 0.5).when(F.col("rows") >= 3, 0.9).when(F.col("rows") >= 2, 0.7).otherwise(0.5)
+    factors = F.array_compact(F.array(F.col("cell"), F.col("even"), F.col("headed"), size))
+    return facts.select(*keys, F.least(F.lit(1.0), F.aggregate(factors, F.lit(0.0), lambda a, x: a + x) / F.size(factors)).alias("confidence"))

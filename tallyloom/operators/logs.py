@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import ranks
+
 
 def percentiles(df: DataFrame, keys: list[str], value: str, order: list[str], shares=(0.5, 0.95, 0.99), keep: int = 1000, rule: str = "upper") -> DataFrame:
     """count, min, max, avg and ranks ``sorted[int(n * p)]`` of the latest ``keep`` values of each key.
@@ -41,8 +43,12 @@ def error_statistics(df: DataFrame, keys: list[str], n: int = 10) -> DataFrame:
     return df.groupBy(*keys).agg(F.count("*").alias("errors")).orderBy(F.desc("errors"), *keys).limit(n)
 
 
-# The risk of an event by its type.
-RISKS = {"error": "high", "purchase": "medium", "signup": "medium"}
+# The risk of an event by its type; low for all others.
+RISKS = {
+    "login_failed": "medium", "account_locked": "high", "access_denied": "medium", "data_deleted": "high", "data_exported": "medium", "permission_changed": "high",
+    "config_changed": "high", "error_occurred": "medium", "api_key_created": "medium", "user_created": "medium", "user_deleted": "high",
+    "login_success": "low", "data_accessed": "low", "data_created": "low", "data_modified": "medium", "session_created": "low",
+}
 
 
 def risk_level(kind: str = "event_type", risks: dict[str, str] = RISKS) -> Column:
@@ -131,15 +137,20 @@ def execution_statistics(df: DataFrame, millis: str, rows: str) -> DataFrame:
 
 def result_summary(df: DataFrame, column: str) -> DataFrame:
     """total, mean, upper median, population deviation and distinct values of a result column."""
-    ranked = df.where(F.col(column).isNotNull()).select(F.col(column).alias("v"))
-    facts = ranked.agg(F.count("v").alias("n"), F.sum("v").alias("total"), F.avg("v").alias("mean"), F.stddev_pop("v").alias("std"), F.countDistinct("v").alias("distinct"), F.sort_array(F.collect_list("v")).alias("_s"))
-    return facts.select("n", "total", "mean", "std", "distinct", F.get("_s", F.floor(F.col("n") / 2).cast("int")).alias("upper_median"))
+    n = ranks.counts(df, [column])[column]
+    middle = ranks.at_ranks(df, {column: [n // 2]})[column][n // 2] if n else None
+    facts = df.agg(F.count(column).alias("n"), F.sum(column).alias("total"), F.avg(column).alias("mean"), F.stddev_pop(column).alias("std"), F.countDistinct(column).alias("distinct"))
+    return facts.withColumn("upper_median", F.lit(middle).cast("double"))
 
 
 def answer_quality(df: DataFrame) -> DataFrame:
-    """1 - 0.5 * share of missing cells of a result: one row."""
-    missing = sum((F.count_if(F.col(c).isNull()) for c in df.columns), F.lit(0))
-    return df.agg((1 - 0.5 * F.coalesce(F.try_divide(missing.cast("double"), F.count("*") * len(df.columns)), F.lit(0.0))).alias("quality"))
+    """1 - 0.5 * share of missing or empty cells of a result, 0 without rows: one row.
+
+    A column of a DataFrame has one type, so that nothing is taken off for mixed ones.
+    """
+    missing = sum((F.count_if(F.col(c).isNull() | (F.col(c).cast("string") == "")) for c in df.columns), F.lit(0))
+    row = df.agg(F.count("*").alias("n"), missing.alias("missing"))
+    return row.select(F.when(F.col("n") == 0, 0.0).otherwise(1 - 0.5 * F.try_divide(F.col("missing").cast("double"), F.col("n") * len(df.columns))).alias("quality"))
 
 
 def upsert(old: DataFrame, new: DataFrame, key: str) -> DataFrame:

@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import ranks
 from .templates import numeric_columns
 from .types import SENTINELS
 
@@ -22,12 +23,16 @@ def _with_statistic(df: DataFrame, column: str, statistic: Column) -> DataFrame:
     return df.crossJoin(F.broadcast(row)).withColumn(column, F.coalesce(F.col(column), F.col("_fill"))).drop("_fill")
 
 
+def _with_value(df: DataFrame, column: str, value: float | None) -> DataFrame:
+    return df.withColumn(column, F.coalesce(F.col(column), F.lit(value).cast("double")))
+
+
 def fill_mean(df: DataFrame, column: str) -> DataFrame:
     return _with_statistic(df, column, F.avg(column))
 
 
 def fill_median(df: DataFrame, column: str) -> DataFrame:
-    return _with_statistic(df, column, F.median(column))
+    return _with_value(df, column, ranks.median(df, column))
 
 
 def fill_mode(df: DataFrame, column: str) -> DataFrame:
@@ -47,10 +52,9 @@ def drop_missing(df: DataFrame, column: str) -> DataFrame:
 
 def fill_outlier_median(df: DataFrame, column: str, limit: float = 3.0) -> DataFrame:
     """Median of the values within ``limit`` population deviations; the plain median below three values."""
-    facts = df.agg(F.avg(column).alias("_m"), F.stddev_pop(column).alias("_s"), F.count(column).alias("_n"))  # one row
-    near = (F.col("_n") < 3) | F.coalesce(F.try_divide(F.abs(F.col(column) - F.col("_m")), F.col("_s")) < limit, F.lit(True))
-    row = df.crossJoin(F.broadcast(facts)).where(near).agg(F.median(column).alias("_fill"))
-    return df.crossJoin(F.broadcast(row)).withColumn(column, F.coalesce(F.col(column), F.col("_fill"))).drop("_fill")
+    mean, spread, n = df.agg(F.avg(column), F.stddev_pop(column), F.count(column)).first()
+    near = df if n < 3 or not spread else df.where(F.abs(F.col(column) - F.lit(mean)) / F.lit(spread) < limit)
+    return _with_value(df, column, ranks.median(near, column))
 
 
 def _known(column: str, order: list[str], before: bool) -> Column:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 # Patterns, confidence and category, in the order in which masking takes them.
 PATTERNS = (
     ("card", r"\b[0-9]{4}[- ]?[0-9]{4}[- ]?[0-9]{4}[- ]?[0-9]{4}\b", 0.9), ("ssn", r"\b[0-9]{3}-[0-9]{2}-[0-9]{4}\b", 0.95),
-    ("phone", r"\b[0-9]{3}[-.][0-9]{3}[-.][0-9]{4}\b", 0.8), ("email", r"\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}\b", 0.9),
+    ("phone", r"\b[0-9]{3}[-.]?[0-9]{3}[-.]?[0-9]{4}\b", 0.8), ("email", r"\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}\b", 0.9),
     ("ip", r"\b[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\b", 0.7), ("name", r"\b[A-Z][a-z]+ [A-Z][a-z]+\b", 0.6),
 )
 #: Days that data is kept; permanent is for ever.

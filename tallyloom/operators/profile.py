@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
+from . import ranks
 from .templates import numeric_columns
 
 PER_AGGREGATE = 40
@@ -22,10 +23,20 @@ def _per_column(df: DataFrame, columns: list[str], fields) -> DataFrame:
     return out
 
 
+def distinct_counts(df: DataFrame, names: list[str]) -> DataFrame:
+    """name, unique_values: values of each column are combined before they are sent, in rows of one value."""
+    cells = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("name"), F.col(f"`{c}`").cast("string").alias("v")) for c in names])).alias("x")).select("x.*")
+    return cells.where("v IS NOT NULL").distinct().groupBy("name").agg(F.count("*").alias("unique_values"))
+
+
 def columns(df: DataFrame, names: list[str] | None = None, approximate: bool = False) -> DataFrame:
     """total, nulls, distinct, shares, nullable (over 5 % null), primary-key candidate, categorical."""
-    distinct = F.approx_count_distinct if approximate else F.countDistinct
-    raw = _per_column(df, names or df.columns, lambda c: {"total": F.count("*"), "non_nulls": F.count(c), "unique_values": distinct(c)})
+    names = names or df.columns
+    if approximate:
+        raw = _per_column(df, names, lambda c: {"total": F.count("*"), "non_nulls": F.count(c), "unique_values": F.approx_count_distinct(c)})
+    else:
+        raw = _per_column(df, names, lambda c: {"total": F.count("*"), "non_nulls": F.count(c)})
+        raw = raw.join(distinct_counts(df, names), "name", "left").na.fill(0, ["unique_values"])
     share = lambda a, b: F.coalesce(F.try_divide(a * 100.0, b), F.lit(0.0))
     nulls = F.col("total") - F.col("non_nulls")
     return raw.select(
@@ -39,9 +50,14 @@ def columns(df: DataFrame, names: list[str] | None = None, approximate: bool = F
 def numbers(df: DataFrame, names: list[str] | None = None) -> DataFrame:
     def fields(c: str) -> dict[str, Column]:
         v = F.col(c).cast("double")
-        return {"min": F.min(v), "max": F.max(v), "mean": F.avg(v), "median": F.median(v), "std": F.stddev_samp(v), "is_integer": F.bool_and(v == F.floor(v))}
-
-    return _per_column(df, names or numeric_columns(df), fields)
+        return {"min": F.min(v), "max": F.max(v), "mean": F.avg(v), "std": F.stddev_samp(v), "is_integer": F.bool_and(v == F.floor(v)), "has_decimals": F.bool_or(v != F.floor(v))}
+
+    names = names or numeric_columns(df)
+    if not names:
+        return _per_column(df, names, fields)
+    middle = ranks.quantiles(df, names, [0.5])
+    known = F.create_map(*[x for c in names for x in (F.lit(c), F.lit(middle[c][0]).cast("double"))])
+    return _per_column(df, names, fields).withColumn("median", known[F.col("name")])
 
 
 # Shapes of text that are reported.

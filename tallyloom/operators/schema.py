@@ -51,11 +51,16 @@ def diff(old: DataFrame, new: DataFrame) -> DataFrame:
 
 
 def compatibility(changes: DataFrame) -> DataFrame:
-    """One row: level (identical, minor, major), changes and breaking changes, with what to do."""
-    row = changes.agg(F.count("*").alias("changes"), F.count_if(F.col("severity") == "major").alias("breaking"))
-    level = F.when(F.col("changes") == 0, "identical").when(F.col("breaking") == 0, "minor").otherwise("major")
-    advice = F.when(F.col("changes") == 0, "none").when(F.col("breaking") == 0, "add columns with defaults").otherwise("migrate data")
-    return row.select(level.alias("level"), "changes", "breaking", advice.alias("strategy"))
+    """One row: level, number of changes, of major and of breaking ones, with what to do.
+
+    identical without changes, incompatible with a breaking one, major or minor by the worst severity,
+    compatible if none of them is more than that.
+    """
+    count = lambda s: F.count_if(F.col("severity") == s)
+    row = changes.agg(F.count("*").alias("changes"), count("breaking").alias("breaking"), count("major").alias("major"), count("minor").alias("minor"))
+    level = F.when(F.col("changes") == 0, "identical").when(F.col("breaking") > 0, "incompatible").when(F.col("major") > 0, "major").when(F.col("minor") > 0, "minor").otherwise("compatible")
+    advice = F.when(F.col("changes") == 0, "none").when(F.col("breaking") + F.col("major") == 0, "add columns with defaults").otherwise("migrate data")
+    return row.select(level.alias("level"), "changes", "major", "breaking", advice.alias("strategy"))
 
 
 def drift(old: DataFrame, new: DataFrame) -> DataFrame:

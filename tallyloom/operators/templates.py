@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import ranks
 from .filters import where_all
 
 _FUNCTIONS = {
-    "SUM": F.sum, "AVG": F.avg, "MIN": F.min, "MAX": F.max, "MEDIAN": F.median, "STDDEV": F.stddev_samp, "COUNT": F.count,
+    "SUM": F.sum, "AVG": F.avg, "MIN": F.min, "MAX": F.max, "STDDEV": F.stddev_samp, "COUNT": F.count,
 }
 _NUMERIC = ("int", "bigint", "smallint", "tinyint", "double", "float")
 
@@ -23,8 +24,12 @@ def aggregate(df: DataFrame, function: str | None = None, columns: list[str] | N
     if columns is not None and not columns:
         return df.agg(F.count("*").alias("total_count"))
     numbers = numeric_columns(df)
+    chosen = columns or numbers
+    if function == "MEDIAN":
+        middle = ranks.quantiles(df, chosen, [0.5])
+        return df.sparkSession.range(1).select(*[F.lit(middle[c][0]).cast("double").alias(f"median_{c}") for c in chosen])
     out: list[Column] = []
-    for c in columns or numbers:
+    for c in chosen:
         name = function or ("SUM" if c in numbers else "COUNT")
         out.append(_FUNCTIONS[name](c).alias(f"{name.lower()}_{c}"))
     return df.agg(*out)

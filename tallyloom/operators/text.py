@@ -10,17 +10,43 @@ from pyspark.sql import functions as F
 
 from ..functions.similarity import similarity
 
-# Keyword families in the order in which they are tried.
+# Keywords of each aggregation, and keyword families, in the order in which they are tried.
+FUNCTIONS = (
+    ("SUM", ("sum", "total", "add")), ("COUNT", ("count", "number", "how many")), ("AVG", ("average", "avg", "mean")), ("MIN", ("minimum", "min", "lowest")),
+    ("MAX", ("maximum", "max", "highest")), ("MEDIAN", ("median", "middle")), ("STD", ("standard deviation", "std")),
+)
 FAMILIES = (
-    ("AGGREGATION", ("sum", "total", "count", "average", "mean", "maximum", "minimum", "how many", "how much")),
-    ("COMPARISON", ("compare", "versus", " vs ", "difference", "between")),
-    ("TREND", ("trend", "over time", "growth", "change", "monthly", "daily", "yearly")),
-    ("FILTERING", ("where", "filter", "with", "only", "show me")),
-    ("RANKING", ("top", "bottom", "highest", "lowest", "best", "worst", "rank")),
-    ("DISTRIBUTION", ("distribution", "breakdown", "spread", "percentage", "proportion")),
-    ("STATISTICAL", ("correlation", "standard deviation", "variance", "statistics")),
+    ("AGGREGATION", tuple(w for _, words in FUNCTIONS for w in words)),
+    ("COMPARISON", ("compare", "versus", "vs", "against", "difference", "between")),
+    ("TREND", ("trend", "over time", "change", "growth", "decline", "pattern")),
+    ("FILTERING", ("where", "filter", "show", "only", "exclude", "include")),
+    ("RANKING", ("top", "bottom", "best", "worst", "highest", "lowest", "rank")),
+    ("DISTRIBUTION", ("distribution", "spread", "breakdown", "proportion", "percentage")),
+    ("STATISTICAL", ("describe", "summary", "statistics", "stats")),
 )
-FUNCTIONS = (("SUM", ("sum", "total")), ("AVG", ("average", "mean")), ("COUNT", ("count", "how many", "number of")), ("MAX", ("maximum", "highest", "max")), ("MIN", ("minimum", "lowest", "min")), ("MEDIAN", ("median",)))
+# Keywords and patterns that weigh for each class of question.
+WEIGHTED = (
+    ("AGGREGATION", ("sum", "total", "add up", "count", "how many", "number of", "average", "mean", "avg", "minimum", "min", "maximum", "max", "median", "standard deviation", "std"),
+     (r"what.*(is|are).*(total|sum|count|average|mean)", r"how many.*", r"calculate.*(sum|total|average|mean)", r"find.*(minimum|maximum|min|max)")),
+    ("FILTERING", ("where", "filter", "show", "display", "only", "exclude", "include", "with", "without", "having"),
+     (r"show.*where.*", r"filter.*by.*", r"only.*with.*", r"exclude.*", r"records.*where.*")),
+    ("COMPARISON", ("compare", "versus", "vs", "against", "difference", "between", "higher", "lower", "better", "worse", "more", "less"),
+     (r"compare.*with.*", r".*vs.*", r"difference between.*", r"which.*higher.*", r".*better than.*")),
+    ("TREND", ("trend", "over time", "change", "growth", "decline", "increase", "decrease", "pattern", "evolution", "monthly", "yearly", "daily", "weekly"),
+     (r".*over time.*", r"trend.*", r"change.*over.*", r"growth.*", r".*monthly.*", r".*yearly.*")),
+    ("RANKING", ("top", "bottom", "best", "worst", "highest", "lowest", "rank", "first", "last", "leading", "trailing"),
+     (r"top \d+.*", r"bottom \d+.*", r"best.*", r"worst.*", r"highest.*", r"lowest.*")),
+    ("DISTRIBUTION", ("distribution", "spread", "breakdown", "proportion", "percentage", "share", "composition", "split"),
+     (r"distribution.*", r"breakdown.*", r"what percentage.*", r"proportion.*", r"how.*distributed.*")),
+    ("STATISTICAL", ("describe", "summary", "statistics", "stats", "overview", "analysis", "insights", "correlation", "relationship"),
+     (r"describe.*", r"summary.*", r"statistics.*", r"correlation.*", r"relationship.*")),
+)
+# What makes a question simple (-1), harder (+1) or hard (+2), and what joins conditions.
+INDICATORS = (
+    (-1, ("count", "sum", "show", "list", "what is")), (1, ("average", "compare", "filter", "group by", "where")),
+    (2, ("correlation", "trend", "distribution", "statistical", "multiple", "join", "relationship")),
+)
+CONDITIONS = ("and", "or", "where", "having", "group by")
 
 
 def _any(text: Column, words) -> Column:
@@ -37,24 +63,50 @@ def _first(text: Column, table) -> Column:
     return out
 
 
+def _first_word(text: Column, table) -> Column:
+    """The name of the first word, in the order of the words, that the text has."""
+    return _first(text, [(name, (w,)) for name, words in table for w in words])
+
+
 def intents(questions: DataFrame, text: str = "text") -> DataFrame:
     """question_type, aggregation and number of every question; keywords match inside words."""
     t = F.lower(text)
     return questions.select(
-        "*", _first(t, FAMILIES).otherwise("DESCRIPTIVE").alias("question_type"), _first(t, FUNCTIONS).alias("aggregation"),
+        "*", _first(t, FAMILIES).otherwise("DESCRIPTIVE").alias("question_type"), _first_word(t, FUNCTIONS).alias("aggregation"),
         F.try_to_number(F.nullif(F.regexp_extract(t, r"([0-9]+)", 1), F.lit("")), F.lit("9999999999")).cast("long").alias("number"),
     )
 
 
 def weighted_types(questions: DataFrame, key: str, text: str = "text") -> DataFrame:
-    """Best class by keywords (0.2 each, at most 0.6); DESCRIPTIVE with 0.5 below 0.3... and its score."""
-    t = F.lower(text)
-    scores = [
-        F.struct(F.least(F.lit(0.6), sum((t.contains(w).cast("int") for w in words), F.lit(0)) * 0.2).alias("score"), F.lit(-i).alias("place"), F.lit(name).alias("kind"))
-        for i, (name, words) in enumerate(FAMILIES)
-    ]
-    best = F.array_max(F.array(*scores))
-    return questions.select(key, F.when(best["score"] < 0.3, "DESCRIPTIVE").otherwise(best["kind"]).alias("kind"), F.when(best["score"] < 0.3, 0.5).otherwise(best["score"]).alias("score"))
+    """Best class by keywords (0.2 each, at most 0.6) and patterns (0.3 each, at most 0.4), and its score.
+
+    DESCRIPTIVE with 0.5 where none reaches 0.3; of equal classes the one that is listed first.
+    """
+    t = F.lower(F.trim(text))
+
+    def weight(words, patterns) -> Column:
+        by_word = F.least(F.lit(0.6), sum((t.contains(w).cast("int") for w in words), F.lit(0)) * F.lit(0.2))
+        return by_word + F.least(F.lit(0.4), sum((t.rlike(p).cast("int") for p in patterns), F.lit(0)) * F.lit(0.3))
+
+    scores = [F.struct(F.round(weight(words, patterns), 6).alias("score"), F.lit(-i).alias("place"), F.lit(name).alias("kind")) for i, (name, words, patterns) in enumerate(WEIGHTED)]
+    rated = questions.select(key, F.array_max(F.array(*scores)).alias("best"))
+    return rated.select(key, F.when(F.col("best.score") < 0.3, "DESCRIPTIVE").otherwise(F.col("best.kind")).alias("kind"), F.when(F.col("best.score") < 0.3, 0.5).otherwise(F.col("best.score")).alias("score"))
+
+
+def complexity(text: Column, columns: list[str]) -> Column:
+    """simple, medium or complex by indicators, more than two columns, and more than one condition."""
+    t = F.lower(F.trim(text))
+    score = sum((F.when(_any(t, words), weight).otherwise(0) for weight, words in INDICATORS), F.lit(0))
+    score = score + F.when(sum((t.contains(c.lower()).cast("int") for c in columns), F.lit(0)) > 2, 1).otherwise(0)
+    score = score + F.when(sum((t.contains(c).cast("int") for c in CONDITIONS), F.lit(0)) > 1, 1).otherwise(0)
+    return F.when(score <= 0, "simple").when(score <= 2, "medium").otherwise("complex")
+
+
+def aggregation_targets(mentioned: DataFrame, questions: DataFrame, key: str, numeric: list[str], text: str = "text") -> DataFrame:
+    """The mentioned columns of questions that ask for an aggregation; a number's confidence counts 1.2 times, at most 1."""
+    asked = questions.select(key, _first_word(F.lower(text), FUNCTIONS).alias("aggregation")).where("aggregation IS NOT NULL")
+    raised = F.when(F.col("name").isin(numeric), F.least(F.lit(1.0), F.col("confidence") * 1.2)).otherwise(F.col("confidence"))
+    return mentioned.join(asked, key).select(key, "name", "aggregation", raised.alias("confidence"))
 
 
 def features(questions: DataFrame, key: str, text: str = "text") -> DataFrame:

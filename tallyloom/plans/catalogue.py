@@ -5,6 +5,8 @@ Dirty inputs are views made by the same expressions on both sides.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -54,10 +56,18 @@ DIRTY = """SELECT concat('t', lpad(CAST(CAST(floor(p_partkey / 5) AS INT) AS VAR
   FROM part CROSS JOIN (VALUES (0), (1), (2), (3), (4)) AS v(k) WHERE NOT (k = 4 AND p_partkey % 55 = 0)"""
 WORDS = """SELECT CAST(floor(p_partkey / 20) AS INT) AS page, CAST(p_partkey AS INT) AS word_no, CAST(100 * k + p_partkey % 3 AS INT) AS x, CAST(30 * (p_partkey % 20) + k AS INT) AS y, 40 AS width, 12 AS height, CASE WHEN k = 0 THEN p_name WHEN k = 1 THEN p_brand ELSE p_type END AS text,
   0.5 + (p_partkey % 5) / 10.0 AS confidence, k FROM part CROSS JOIN (VALUES (0), (1), (2)) AS v(k)"""
+# words of uneven pages, unsure and empty ones among them
+SCANS = """SELECT page, word_no, x, y, width, height, k, CASE WHEN word_no % 23 = 5 AND k = 2 THEN ' ' WHEN page % 9 = 4 THEN left(text, 1) ELSE text END AS text, CASE WHEN page % 3 = 1 THEN 0.9 WHEN word_no % 4 = 1 THEN 0.05 WHEN word_no % 29 = 3 THEN 0.0 ELSE confidence END AS confidence
+  FROM (WORDS_) WHERE page % 9 <> 4 OR (word_no % 20 < page % 4 AND k <= page % 3)"""
 QUESTIONS = """SELECT o_orderkey AS qid, CASE o_orderkey % 7 WHEN 0 THEN concat('What is the total o_totalprice for customer ', CAST(o_custkey AS VARCHAR(12)), '?') WHEN 1 THEN 'Compare order status versus priority' WHEN 2 THEN 'Show the trend of sales over time'
   WHEN 3 THEN concat('where o_custkey > ', CAST(o_custkey AS VARCHAR(12)), ' and o_orderstatus = F') WHEN 4 THEN concat('top ', CAST(o_custkey % 20 AS VARCHAR(12)), ' customers by o_totalprice') WHEN 5 THEN 'distribution of order priority'
   ELSE concat('Use SELECT o_custkey, SUM(o_totalprice) FROM orders WHERE o_custkey = ', CAST(o_custkey AS VARCHAR(12)), ' GROUP BY o_custkey; it took ', CAST(o_orderkey % 60 AS VARCHAR(12)), ' seconds') END AS text FROM orders"""
+# what is said in conversations, and questions of many kinds
+ASKED = """SELECT qid, text FROM (QUESTIONS_) UNION ALL SELECT conv_id * 1000 + turn + 100000000 AS qid, text FROM conversations UNION ALL SELECT o_orderkey + 1000000000 AS qid, concat(CASE o_orderkey % 9 WHEN 0 THEN 'what is the standard deviation of ' WHEN 1 THEN 'exclude rows without ' WHEN 2 THEN 'is there a decline in ' WHEN 3 THEN 'how many have the highest '
+  WHEN 4 THEN 'which is higher, more or less: ' WHEN 5 THEN 'describe the relationship between ' WHEN 6 THEN 'breakdown of share by ' WHEN 7 THEN 'top 5 and bottom 3 where ' ELSE 'list ' END, o_orderpriority, CASE o_orderkey % 4 WHEN 0 THEN ' having o_custkey and o_totalprice or o_orderstatus' WHEN 1 THEN ' over time' ELSE '' END) AS text FROM orders"""
 REGISTRY = """SELECT doc_id, concat('u', CAST(doc_id % 50 AS VARCHAR(9))) AS user_id, TEXT_ AS text, DATE '2024-01-01' AS created, CASE doc_id % 4 WHEN 0 THEN 'short' WHEN 1 THEN 'medium' WHEN 2 THEN 'long' ELSE 'permanent' END AS retention FROM documents"""
+SCANS = SCANS.replace("WORDS_", WORDS)
+ASKED = ASKED.replace("QUESTIONS_", QUESTIONS)
 # word boundaries differ between the engines beside letters outside ASCII, which therefore become one that is inside
 ASCII = "regexp_replace(text, '[^\\x20-\\x7E]', 'q', 'g')"
 REGISTRY = REGISTRY.replace("TEXT_", ASCII)
@@ -65,10 +75,9 @@ REGISTRY = REGISTRY.replace("TEXT_", ASCII)
 
 def _view(spark: SparkSession, d: str, sql: str) -> DataFrame:
     """A view's rows; its tables are taken from the folder ``d``."""
-    names = [n for n in ("lineitem", "orders", "part", "documents", "events") if f"FROM {n}" in sql]
+    names = [n for n in ("lineitem", "orders", "part", "documents", "events", "conversations") if f"FROM {n}" in sql]
     for n in names:
-        head, _, tail = sql.rpartition(f"FROM {n}")
-        sql = f"{head}FROM {{{n}}}{tail}"
+        sql = re.sub(rf"FROM {n}\b(?! WHERE o_custkey = ')", f"FROM {{{n}}}", sql)  # the text of a question holds a FROM too
     sql = sql.replace(ASCII, ASCII.replace(", 'g')", ")").replace("\\x", "\\\\x"))
     return spark.sql(sql, **{n: table(spark, d, n) for n in names})
 
@@ -167,9 +176,30 @@ def _(spark, d):
 _KIND = {"price": "CURRENCY", "discount": "PERCENTAGE", "quantity": "NUMBER", "returned": "BOOLEAN", "status": "TEXT", "day": "DATE"}
 
 
-@query("type_detect", "SELECT * FROM (VALUES " + ", ".join(f"('{k}', '{v}')" for k, v in _KIND.items()) + ") AS t(name, data_type)")
+_MIXED = f"SELECT *, CASE WHEN l_orderkey % 4 = 1 THEN price WHEN l_orderkey % 40 = 2 THEN 'n/a' ELSE quantity END AS amounts, CASE WHEN l_orderkey % 5 = 1 THEN quantity ELSE day END AS days, CASE WHEN l_orderkey % 3 = 1 THEN 'Jan 5, 2024' WHEN l_orderkey % 3 = 2 THEN '31/12/2023' ELSE '1/2/2024' END AS dates FROM ({TEXTS})"
+_SEEN = [*_KIND, "amounts", "days", "dates"]
+_READS = {
+    "BOOLEAN": "lower(v) IN ('true', 'yes', 'y', '1', 'on', 'false', 'no', 'n', '0', 'off')", "CURRENCY": "regexp_matches(v, '^-?[$€£¥₹]\\s*-?[0-9][0-9,]*(\\.[0-9]+)?$')", "PERCENTAGE": "regexp_matches(v, '^-?[0-9]+(\\.[0-9]+)?\\s*%$')",
+    "DATE": "coalesce(" + ", ".join(f"try_strptime(v, '{f}')" for f in ("%Y-%m-%d", "%m/%d/%Y", "%d/%m/%Y", "%b %d, %Y")) + ") IS NOT NULL", "NUMBER": "regexp_matches(replace(v, ',', ''), '^[+-]?[0-9]+(\\.[0-9]+)?$')",
+}
+_ALL_CELLS = " UNION ALL ".join(f"SELECT '{c}' AS name, CASE WHEN trim({c}) NOT IN ('', 'N/A', 'n/a') THEN trim({c}) END AS v FROM ({_MIXED})" for c in _SEEN)
+
+
+def _detected_sql(least: float) -> str:
+    shares = ", ".join(f"avg(CASE WHEN {test} THEN 1.0 ELSE 0.0 END) FILTER (v IS NOT NULL) AS {k}" for k, test in _READS.items())
+    top = f"greatest({', '.join(_READS)})"
+    pick = " ".join(f"WHEN {k} = {top} THEN '{k}'" for k in _READS)
+    return f"WITH s AS (SELECT name, count(v) AS non_missing, {shares} FROM ({_ALL_CELLS}) GROUP BY 1) SELECT name, CASE WHEN {top} < {least} THEN 'TEXT' {pick} END AS data_type, round(CASE WHEN {top} < {least} THEN 1.0 ELSE {top} END, 6)::DOUBLE AS confidence, non_missing FROM s"
+
+
+@query("type_detect", _detected_sql(1.0))
+def _(spark, d):
+    return _rounded(types.detect(_view(spark, d, _MIXED), _SEEN))
+
+
+@query("type_detect_most", _detected_sql(0.6))
 def _(spark, d):
-    return types.detect(_view(spark, d, TEXTS), list(_KIND)).select("name", "data_type")
+    return _rounded(types.detect(_view(spark, d, _MIXED), _SEEN, types.TypeConfig(threshold=0.6)))
 
 
 @query("type_convert", f"""SELECT l_orderkey, l_linenumber, round(CAST(replace(price, '$', '') AS DOUBLE), 6) AS price, round(CAST(replace(discount, '%', '') AS DOUBLE) / 100, 6) AS discount, CAST(quantity AS DOUBLE) AS quantity, returned = 'yes' AS returned,
@@ -193,7 +223,7 @@ def _(spark, d):
     return _rounded(profile.columns(_view(spark, d, ORDERS)))
 
 
-@query("profile_numbers", " UNION ALL ".join(f"SELECT '{c}' AS name, CAST(min({c}) AS DOUBLE) AS min, CAST(max({c}) AS DOUBLE) AS max, round(avg({c}), 6) AS mean, round(median({c}), 6) AS median, round(stddev_samp({c}), 6) AS std, bool_and({c} = floor({c})) AS is_integer FROM ({ORDERS})" for c in ("customer", "total")))
+@query("profile_numbers", " UNION ALL ".join(f"SELECT '{c}' AS name, CAST(min({c}) AS DOUBLE) AS min, CAST(max({c}) AS DOUBLE) AS max, round(avg({c}), 6) AS mean, round(median({c}), 6) AS median, round(stddev_samp({c}), 6) AS std, bool_and({c} = floor({c})) AS is_integer, bool_or({c} <> floor({c})) AS has_decimals FROM ({ORDERS})" for c in ("customer", "total")))
 def _(spark, d):
     return _rounded(profile.numbers(_view(spark, d, ORDERS), ["customer", "total"]))
 
@@ -386,10 +416,42 @@ def _(spark, d):
     return _rounded(kpi.comparisons(_view(spark, d, _YEAR.format(1998)), _view(spark, d, _YEAR.format(1997))), 2)
 
 
-@query("kpi_insights", f"""WITH c AS (SELECT kpi_id, a.value, (a.value - b.value) * 100 / b.value AS percent FROM ({_YEAR.format(1998)}) a JOIN ({_YEAR.format(1997)}) b USING (kpi_id)) SELECT kpi_id, 'strong_trend' AS insight FROM c WHERE value > 0 UNION ALL SELECT kpi_id, 'large_change' FROM c WHERE abs(percent) > 20""")
+_TREND = f"""SELECT kpi_id, abs(corr(i, value)) AS strength, CASE WHEN stddev_pop(value) / abs(avg(value)) > 0.3 THEN 'VOLATILE' WHEN abs((arg_max(value, i) - arg_min(value, i)) * 100 / arg_min(value, i)) < 5 THEN 'STABLE' WHEN arg_max(value, i) > arg_min(value, i) THEN 'UP' ELSE 'DOWN' END AS direction
+  FROM (SELECT *, row_number() OVER (PARTITION BY kpi_id ORDER BY month) AS i FROM ({_MONTHS})) GROUP BY 1"""
+_RATED = f"""WITH c AS (SELECT kpi_id, a.value, b.value AS base, (a.value - b.value) * 100 / b.value AS percent, a.value > b.value AS improved FROM ({_YEAR.format(1998)}) a JOIN ({_YEAR.format(1997)}) b USING (kpi_id)),
+  r AS (SELECT *, CASE WHEN kpi_id < '3' THEN value >= base * 0.5 END AS met FROM c JOIN ({_TREND}) USING (kpi_id))"""
+_INSIGHTS = """SELECT kpi_id, CASE direction WHEN 'UP' THEN 'upward_trend' ELSE 'downward_trend' END AS insight, CASE direction WHEN 'UP' THEN 'success' ELSE 'warning' END AS severity, round(strength, 4) AS confidence FROM r WHERE strength > 0.7 AND direction IN ('UP', 'DOWN')
+  UNION ALL SELECT kpi_id, 'volatile', 'info', 0.8 FROM r WHERE direction = 'VOLATILE' UNION ALL SELECT kpi_id, 'zero_value', 'warning', 0.9 FROM r WHERE value = 0
+  UNION ALL SELECT kpi_id, CASE WHEN met THEN 'target_exceeded' ELSE 'target_missed' END, CASE WHEN met THEN 'success' ELSE 'warning' END, 0.95 FROM r WHERE met IS NOT NULL
+  UNION ALL SELECT kpi_id, 'large_change', CASE WHEN improved THEN 'success' ELSE 'warning' END, 0.9 FROM r WHERE abs(percent) > 20"""
+
+
+def _insights(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Values, comparisons and insights of the year's totals by priority."""
+    compared = kpi.comparisons(_view(spark, d, _YEAR.format(1998)), _view(spark, d, _YEAR.format(1997)))
+    values = compared.withColumn("value", F.col("current")).join(kpi.trends(_view(spark, d, _MONTHS), ["kpi_id"], "month", "value").drop("percent"), "kpi_id")
+    targets = compared.where("kpi_id < '3'").selectExpr("kpi_id", "base * 0.5 AS target")
+    return values, compared, kpi.insights(kpi.against_targets(values, targets))
+
+
+@query("kpi_insights", f"{_RATED} SELECT kpi_id, insight, severity, confidence::DOUBLE AS confidence FROM ({_INSIGHTS})")
 def _(spark, d):
-    c = kpi.comparisons(_view(spark, d, _YEAR.format(1998)), _view(spark, d, _YEAR.format(1997))).withColumn("value", F.col("current"))
-    return kpi.insights(c.withColumns({"strength": F.lit(0.9), "direction": F.lit("UP")}))
+    return _rounded(_insights(spark, d)[2], 4)
+
+
+@query("kpi_summary", f"{_RATED} SELECT (SELECT count(*) FROM r) AS kpis, (SELECT count(*) FROM c) AS comparisons, (SELECT count(*) FROM c WHERE improved) AS improved, count(CASE WHEN severity = 'success' THEN 1 END) AS success, count(CASE WHEN severity = 'warning' THEN 1 END) AS warning, count(CASE WHEN severity = 'info' THEN 1 END) AS info, count(*) AS insights FROM ({_INSIGHTS})")
+def _(spark, d):
+    return kpi.summary(*_insights(spark, d))
+
+
+@query("kpi_targets", f"SELECT kpi_id, a.value, b.value AS target, round(greatest(0, least(100, a.value * 100 / b.value)), 4) AS progress FROM ({_YEAR.format(1998)}) a JOIN ({_YEAR.format(1997)}) b USING (kpi_id)")
+def _(spark, d):
+    return _rounded(kpi.gauges(_view(spark, d, _YEAR.format(1998)), _view(spark, d, _YEAR.format(1997)).withColumnRenamed("value", "target")), 4)
+
+
+@query("kpi_custom", "SELECT 'share_of_open' AS kpi_id, round(count(CASE WHEN o_orderstatus = 'O' THEN 1 END) * 100.0 / count(*), 6) AS value FROM orders UNION ALL SELECT 'largest', max(o_totalprice) FROM orders")
+def _(spark, d):
+    return _rounded(kpi.custom(table(spark, d, "orders"), {"share_of_open": F.count_if(F.col("o_orderstatus") == "O") * 100.0 / F.count("*"), "largest": F.max("o_totalprice"), "none": F.max(F.lit(None).cast("double"))}))
 
 
 @query("kpi_alerts", "SELECT c_custkey AS kpi_id, c_acctbal AS value, CASE WHEN c_acctbal <= 0 OR c_acctbal >= 9500 THEN 'critical' WHEN c_acctbal <= 1000 OR c_acctbal >= 9000 THEN 'warning' ELSE 'normal' END AS status FROM customer")
@@ -469,10 +531,6 @@ def _(spark, d):
 
 # --- schemas ------------------------------------------------------------------------------------------------
 
-_OLD = "SELECT * FROM (VALUES ('id', 'NUMBER', false, 100), ('name', 'TEXT', false, 90), ('age', 'NUMBER', true, 40), ('city', 'TEXT', false, 10)) AS t(name, data_type, nullable, unique_values)"
-_NEW = "SELECT * FROM (VALUES ('id', 'NUMBER', false, 100), ('name', 'TEXT', true, 90), ('age', 'TEXT', true, 40), ('mail', 'TEXT', true, 300)) AS t(name, data_type, nullable, unique_values)"
-
-
 def _columns_of(spark: SparkSession, d: str, dirty: bool) -> DataFrame:
     """Profile rows of ``orders``, as it is or with holes and a column that turned to text."""
     v = _view(spark, d, ORDERS) if dirty else table(spark, d, "orders").selectExpr("o_orderkey", "o_custkey AS customer", "o_orderstatus AS status", "o_totalprice AS total", "o_orderdate AS placed")
@@ -484,7 +542,7 @@ def _(spark, d):
     return schema.diff(_columns_of(spark, d, False), _columns_of(spark, d, True))
 
 
-@query("schema_compat", "SELECT 'major' AS level, 4::BIGINT AS changes, 1::BIGINT AS breaking, 'migrate data' AS strategy")
+@query("schema_compat", "SELECT 'major' AS level, 4::BIGINT AS changes, 1::BIGINT AS major, 0::BIGINT AS breaking, 'migrate data' AS strategy")
 def _(spark, d):
     return schema.compatibility(schema.diff(_columns_of(spark, d, False), _columns_of(spark, d, True)))
 
@@ -595,9 +653,19 @@ def _case(table_: tuple, c: str = "lower(text)") -> str:
     return "CASE " + " ".join(f"WHEN {' OR '.join(f"contains({c}, '{w}')" for w in words)} THEN '{k}'" for k, words in table_)
 
 
-@query("question_intent", f"SELECT qid, {_case(text.FAMILIES)} ELSE 'DESCRIPTIVE' END AS question_type, {_case(text.FUNCTIONS)} END AS aggregation, TRY_CAST(regexp_extract(text, '([0-9]+)', 1) AS BIGINT) AS number FROM ({QUESTIONS})")
+def _words_case(table_: tuple, c: str = "lower(text)") -> str:
+    return "CASE " + " ".join(f"WHEN contains({c}, '{w}') THEN '{k}'" for k, words in table_ for w in words)
+
+
+@query("question_intent", f"SELECT qid, {_case(text.FAMILIES)} ELSE 'DESCRIPTIVE' END AS question_type, {_words_case(text.FUNCTIONS)} END AS aggregation, TRY_CAST(regexp_extract(text, '([0-9]+)', 1) AS BIGINT) AS number FROM ({ASKED})")
+def _(spark, d):
+    return text.intents(_view(spark, d, ASKED)).drop("text")
+
+
+@query("question_complexity", f"""SELECT qid, CASE WHEN s <= 0 THEN 'simple' WHEN s <= 2 THEN 'medium' ELSE 'complex' END AS complexity FROM (SELECT qid, {' + '.join(f"CASE WHEN {' OR '.join(f"contains(lower(text), '{w}')" for w in words)} THEN {weight} ELSE 0 END" for weight, words in text.INDICATORS)}
+  + CASE WHEN {' + '.join(f"contains(lower(text), '{c}')::INT" for c in ('o_custkey', 'o_totalprice', 'o_orderstatus'))} > 2 THEN 1 ELSE 0 END + CASE WHEN {' + '.join(f"contains(lower(text), '{c}')::INT" for c in text.CONDITIONS)} > 1 THEN 1 ELSE 0 END AS s FROM ({ASKED}))""")
 def _(spark, d):
-    return text.intents(_view(spark, d, QUESTIONS)).drop("text")
+    return _view(spark, d, ASKED).select("qid", text.complexity(F.col("text"), ["o_custkey", "o_totalprice", "o_orderstatus"]).alias("complexity"))
 
 
 @query("question_features", f"""SELECT qid, length(text) AS length, len(regexp_split_to_array(trim(text), '\\s+')) AS words, regexp_matches(text, '[0-9]') AS has_number, contains(text, '?') AS has_mark, families, CASE WHEN families = 0 THEN 'simple' WHEN families <= 2 THEN 'moderate' ELSE 'complex' END AS complexity
@@ -606,10 +674,10 @@ def _(spark, d):
     return text.features(_view(spark, d, QUESTIONS), "qid")
 
 
-@query("question_scores", f"""WITH s AS (SELECT qid, {', '.join(f"least(0.6::DOUBLE, ({' + '.join(f"CAST(contains(lower(text), '{w}') AS INT)" for w in words)}) * 0.2::DOUBLE) AS {k}" for k, words in text.FAMILIES)} FROM ({QUESTIONS})), m AS (SELECT *, greatest({', '.join(k for k, _ in text.FAMILIES)}) AS g FROM s)
-  SELECT qid, CASE WHEN g < 0.3 THEN 'DESCRIPTIVE' {' '.join(f"WHEN {k} = g THEN '{k}'" for k, _ in text.FAMILIES)} END AS kind, round(CASE WHEN g < 0.3 THEN 0.5::DOUBLE ELSE g END, 6) AS score FROM m""")
+@query("question_scores", f"""WITH s AS (SELECT qid, {', '.join(f"round(least(0.6::DOUBLE, ({' + '.join(f"CAST(contains(lower(trim(text)), '{w}') AS INT)" for w in words)}) * 0.2::DOUBLE) + least(0.4::DOUBLE, ({' + '.join(f"CAST(regexp_matches(lower(trim(text)), '{r}') AS INT)" for r in patterns)}) * 0.3::DOUBLE), 6) AS {k}" for k, words, patterns in text.WEIGHTED)} FROM ({ASKED})), m AS (SELECT *, greatest({', '.join(k for k, _, _ in text.WEIGHTED)}) AS g FROM s)
+  SELECT qid, CASE WHEN g < 0.3 THEN 'DESCRIPTIVE' {' '.join(f"WHEN {k} = g THEN '{k}'" for k, _, _ in text.WEIGHTED)} END AS kind, round(CASE WHEN g < 0.3 THEN 0.5::DOUBLE ELSE g END, 6) AS score FROM m""")
 def _(spark, d):
-    return _rounded(text.weighted_types(_view(spark, d, QUESTIONS), "qid"))
+    return _rounded(text.weighted_types(_view(spark, d, ASKED), "qid"))
 
 
 @query("column_mentions", f"SELECT qid, name, CAST(CASE WHEN contains(lower(text), name) THEN 1.0 ELSE 0.9 END AS DOUBLE) AS confidence FROM ({QUESTIONS}) CROSS JOIN (VALUES ('o_totalprice'), ('o_custkey'), ('order_status')) AS t(name) WHERE contains(lower(text), name) OR contains(lower(text), replace(name, '_', ' '))")
@@ -643,10 +711,10 @@ def _(spark, d):
     return text.entities(_view(spark, d, QUESTIONS), "qid")
 
 
-@query("filter_conditions", f"SELECT qid, 'o_custkey' AS name, '>' AS operator, regexp_extract(text, '> ([0-9]+)', 1) AS value FROM ({QUESTIONS}) WHERE qid % 7 = 3")
+@query("filter_conditions")
 def _(spark, d):
-    q = _view(spark, d, QUESTIONS).where("qid % 7 = 3")
-    named = q.select("qid", F.lit("o_custkey").alias("name"), (F.locate("o_custkey", "text") + 8).alias("last"))
+    q = _view(spark, d, QUESTIONS)
+    named = q.where("locate('o_custkey', text) > 0").select("qid", F.lit("o_custkey").alias("name"), (F.locate("o_custkey", "text") + 8).alias("last"))
     return text.filter_conditions(text.entities(q, "qid"), named, "qid")
 
 
@@ -703,12 +771,14 @@ def _(spark, d):
     return logs.error_statistics(table(spark, d, "events"), ["user_id", "event_type"])
 
 
-_RISK = "CASE event_type WHEN 'error' THEN 'high' WHEN 'purchase' THEN 'medium' WHEN 'signup' THEN 'medium' ELSE 'low' END"
+# the events as audit events of several kinds
+AUDIT = "SELECT event_id, value, CASE event_type WHEN 'error' THEN CASE WHEN event_id % 3 = 0 THEN 'error_occurred' WHEN event_id % 3 = 1 THEN 'login_failed' ELSE 'account_locked' END WHEN 'purchase' THEN CASE WHEN event_id % 2 = 0 THEN 'data_exported' ELSE 'data_deleted' END WHEN 'signup' THEN 'user_created' WHEN 'view' THEN 'data_accessed' ELSE 'logout' END AS event_type FROM events"
+_RISK = "CASE WHEN event_type IN ('account_locked', 'data_deleted') THEN 'high' WHEN event_type IN ('error_occurred', 'login_failed', 'data_exported', 'user_created') THEN 'medium' ELSE 'low' END"
 
 
-@query("audit_report", f"SELECT 'type' AS dimension, event_type AS value, count(*) AS events FROM events GROUP BY 2 UNION ALL SELECT 'risk', {_RISK}, count(*) FROM events GROUP BY 2 UNION ALL SELECT 'result', CASE WHEN value < 5 THEN 'failure' ELSE 'success' END, count(*) FROM events GROUP BY 2")
+@query("audit_report", f"SELECT 'type' AS dimension, event_type AS value, count(*) AS events FROM ({AUDIT}) GROUP BY 2 UNION ALL SELECT 'risk', {_RISK}, count(*) FROM ({AUDIT}) GROUP BY 2 UNION ALL SELECT 'result', CASE WHEN value < 5 THEN 'failure' ELSE 'success' END, count(*) FROM ({AUDIT}) GROUP BY 2")
 def _(spark, d):
-    e = table(spark, d, "events").select("event_type", logs.risk_level().alias("risk"), F.when(F.col("value") < 5, "failure").otherwise("success").alias("result"))
+    e = _view(spark, d, AUDIT).select("event_type", logs.risk_level().alias("risk"), F.when(F.col("value") < 5, "failure").otherwise("success").alias("result"))
     return logs.audit_counts(e, "event_type", "risk", "result")
 
 
@@ -768,9 +838,10 @@ def _(spark, d):
     return _rounded(logs.result_summary(table(spark, d, "customer"), "c_acctbal"), 4)
 
 
-@query("answer_quality", f"SELECT round(1 - 0.5 * (count(*) * 5 - count(o_orderkey) - count(customer) - count(status) - count(total) - count(priority)) / (count(*) * 5.0), 6) AS quality FROM ({ORDERS})")
+@query("answer_quality", f"SELECT round(1 - 0.5 * (count(*) * 6 - count(l_orderkey) - count(quantity) - count(price) - count(flag) - count(status) - count(CASE WHEN note <> '' THEN 1 END)) / (count(*) * 6.0), 6)::DOUBLE AS quality FROM (SELECT *, CASE WHEN l_orderkey % 5 = 0 THEN '' ELSE 'x' END AS note FROM ({HOLES}))")
 def _(spark, d):
-    return _rounded(logs.answer_quality(_view(spark, d, ORDERS)))
+    v = _view(spark, d, HOLES).drop("l_linenumber", "l_partkey")
+    return _rounded(logs.answer_quality(v.withColumn("note", F.when(F.col("l_orderkey") % 5 == 0, "").otherwise("x"))))
 
 
 @query("execution_stats", "SELECT round(avg(value), 4) AS avg_value, max(value) AS max_value, min(value) AS min_value, round(avg(user_id), 4) AS avg_user_id, max(user_id) AS max_user_id, min(user_id) AS min_user_id, sum(user_id)::BIGINT AS total_user_id FROM events")
@@ -895,9 +966,18 @@ def _(spark, d):
     return layout.words_in_regions(w, regions, ["page"]).select("page", "word_no", "k", "region_id")
 
 
-@query("page_confidence", f"SELECT page, count(*) AS words, round(least(1.0, avg(confidence) * CASE WHEN count(*) < 3 THEN 0.8 WHEN count(*) > 20 THEN 1.1 ELSE 1.0 END), 6) AS confidence FROM ({WORDS}) GROUP BY 1")
+@query("page_confidence", f"""SELECT page, words, round(greatest(0, least(1, m * CASE WHEN chars > 10 THEN 1.05 WHEN chars < 3 THEN 0.8 ELSE 1 END * CASE WHEN words > 5 THEN 1.02 WHEN words = 1 THEN 0.9 ELSE 1 END * CASE WHEN s < 0.1 THEN 1.05 WHEN s > 0.3 THEN 0.95 ELSE 1 END)), 6)::DOUBLE AS confidence
+  FROM (SELECT page, count(*) AS words, avg(confidence)::DOUBLE AS m, stddev_pop(confidence) AS s, length(string_agg(trim(text), ' ')) AS chars FROM ({SCANS}) GROUP BY 1)""")
+def _(spark, d):
+    return _rounded(layout.page_confidence(_view(spark, d, SCANS), ["page"]))
+
+
+@query("structure_confidence", f"""WITH c AS (SELECT page, CAST(word_no % 20 AS INT) AS row_no, k AS col_no, text, confidence, word_no % 20 = 0 AND page % 2 = 0 AS is_header FROM ({SCANS})), r AS (SELECT page, row_no, count(CASE WHEN trim(text) <> '' THEN 1 END) AS n, sum(CASE WHEN confidence > 0 THEN confidence END) AS s, count(CASE WHEN confidence > 0 THEN 1 END) AS k, max(col_no) AS last, bool_or(is_header) AS h FROM c GROUP BY 1, 2),
+  f AS (SELECT page, sum(s) / sum(k) AS cell, greatest(0, 1 - stddev_pop(n) / avg(n)) AS even, CASE WHEN bool_or(h) THEN 0.8 ELSE 0.5 END AS headed, CASE WHEN max(last) < 1 THEN 0.5 WHEN count(*) >= 3 THEN 0.9 WHEN count(*) >= 2 THEN 0.7 ELSE 0.5 END AS size FROM r GROUP BY 1)
+  SELECT page, round(least(1, (cell + even + headed + size) / 4), 6)::DOUBLE AS confidence FROM f""")
 def _(spark, d):
-    return _rounded(layout.page_confidence(_view(spark, d, WORDS), ["page"]))
+    scans = _view(spark, d, SCANS).selectExpr("page", "CAST(word_no % 20 AS INT) AS row_no", "k AS col_no", "text", "confidence", "word_no % 20 = 0 AND page % 2 = 0 AS is_header")
+    return _rounded(layout.structure_confidence(scans, ["page"]))
 
 
 @query("fragment_merge", "SELECT l_linenumber AS table_id, CASE WHEN l_linenumber % 2 = 0 THEN 2 ELSE 1 END AS leader FROM (SELECT DISTINCT l_linenumber FROM lineitem)")
@@ -952,9 +1032,14 @@ def _(spark, d):
     return streams.quota(table(spark, d, "events"), 3)
 
 
-@query("rate_limit")
+# one request an hour for each user and type, and a burst of none: allowed are those an hour after the last allowed one
+@query("rate_limit", """WITH RECURSIVE r AS (SELECT user_id, event_type AS endpoint, event_id, epoch_us(ts) / 1000000 AS "at", row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS i FROM events),
+  s AS (SELECT user_id, endpoint, event_id, "at", i, true AS allowed, 'ok' AS reason, "at" AS last, CAST(-1 AS DOUBLE) AS blocked FROM r WHERE i = 1
+    UNION ALL SELECT user_id, endpoint, event_id, "at", i, reason = 'ok', reason, CASE WHEN reason = 'ok' THEN "at" ELSE last END, CASE WHEN hasty THEN "at" + 60 ELSE blocked END
+      FROM (SELECT r.*, s.last, s.blocked, r."at" >= s.blocked AND s.last > r."at" - 3600 AND r."at" - s.last < 1 AS hasty, CASE WHEN r."at" < s.blocked OR (s.last > r."at" - 3600 AND r."at" - s.last < 1) THEN 'blocked' WHEN s.last > r."at" - 3600 THEN 'limit' ELSE 'ok' END AS reason FROM s JOIN r ON r.user_id = s.user_id AND r.endpoint = s.endpoint AND r.i = s.i + 1))
+  SELECT user_id, endpoint, event_id, round("at", 3) AS "at", allowed, reason FROM s""")
 def _(spark, d):
-    return streams.rate_limited(table(spark, d, "events"), 1)
+    return _rounded(streams.rate_limited(table(spark, d, "events"), streams.Limit(1)), 3)
 
 
 @query("change_detect", "SELECT event_type, count(*) AS n FROM events GROUP BY 1")

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import math
+from collections import deque
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -39,8 +42,11 @@ def stale_clients(df: DataFrame, client: str = "user_id", idle: str = "5 minutes
 
 
 def routed(df: DataFrame, subscribers: DataFrame, kind: str = "event_type") -> DataFrame:
-    """Events to subscribers (subscriber, types): those of the type, or all for an empty list."""
-    return df.join(F.broadcast(subscribers), (F.size("types") == 0) | F.expr(f"array_contains(types, {kind})"))
+    """Events to subscribers (subscriber, types): those of the type, or all for an empty list; an equi-join on types."""
+    everything = "\x00all"
+    wanted = subscribers.withColumn("_type", F.explode(F.when(F.size("types") == 0, F.array(F.lit(everything))).otherwise(F.array_distinct("types"))))
+    offered = df.withColumn("_type", F.explode(F.array(F.col(kind), F.lit(everything))))
+    return offered.join(wanted, "_type").drop("_type")
 
 
 def alert_events(df: DataFrame, limit: float, kind: Column | None = None) -> DataFrame:
@@ -50,54 +56,87 @@ def alert_events(df: DataFrame, limit: float, kind: Column | None = None) -> Dat
 
 # --- rate limit ---------------------------------------------------------------------------------
 
-SPAN = 3600.0
+@dataclass(frozen=True)
+class Limit:
+    """``requests`` in ``window`` seconds, ``burst`` beyond them, and a block of ``BLOCK`` seconds for hasty excess."""
+
+    requests: int
+    window: float = 3600.0
+    burst: int = 0
+
+
+# The limits of each class of endpoint; api for all others.
+LIMITS = {"upload": Limit(10, burst=2), "export": Limit(50, burst=5), "chat": Limit(100, burst=10), "dashboard": Limit(20, burst=3), "api": Limit(1000, burst=50)}
 BLOCK = 60.0
 DECISION = "user_id long, endpoint string, event_id long, at double, allowed boolean, reason string"
 
 
-def decide(times: list[float], blocked_until: float, at: float, limit: int) -> tuple[bool, str, list[float], float]:
-    """One request: counts allowed ones of the last hour; too many within a second blocks for a minute."""
-    times = [t for t in times if t > at - SPAN]
-    if at < blocked_until:
-        return False, "blocked", times, blocked_until
-    if len(times) >= limit:
-        if sum(t > at - 1 for t in times) > limit:
-            return False, "blocked", times, at + BLOCK
-        return False, "limit", times, blocked_until
-    return True, "ok", [*times, at], blocked_until
+class Requests:
+    """What one user did at one endpoint: times of allowed requests in the window, and the end of a block."""
+
+    def __init__(self, times=(), last: float = -math.inf, blocked: float = -math.inf):
+        self.times, self.last, self.blocked = deque(times), last, blocked
+
+    def decide(self, at: float, cost: int, limit: Limit) -> tuple[bool, str]:
+        if at < self.blocked:
+            return False, "blocked"
+        while self.times and self.times[0] <= at - limit.window:
+            self.times.popleft()
+        if len(self.times) + cost > limit.requests + limit.burst:
+            if at - self.last >= 1:
+                return False, "limit"
+            self.blocked = at + BLOCK
+            return False, "blocked"
+        self.times.extend([at] * cost)
+        self.last = at
+        return True, "ok"
+
 
+def _limit_of(limits, endpoint: str) -> Limit:
+    return limits if isinstance(limits, Limit) else limits.get(endpoint, limits["api"])
 
-def _decided(key, pdf: pd.DataFrame, times: list[float], blocked: float, limit: int):
-    out = []
-    for event_id, at in pdf.sort_values(["at", "event_id"])[["event_id", "at"]].itertuples(index=False):
-        ok, reason, times, blocked = decide(times, blocked, float(at), limit)
-        out.append((*key, event_id, at, ok, reason))
-    return out, times, blocked
 
+def _requests(df: DataFrame, cost: Column | None) -> DataFrame:
+    return df.select("user_id", F.col("event_type").alias("endpoint"), "event_id", (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("at"), (F.lit(1) if cost is None else cost).cast("int").alias("cost"))
 
-def _requests(df: DataFrame) -> DataFrame:
-    return df.select("user_id", F.col("event_type").alias("endpoint"), "event_id", (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("at"))
 
+def rate_limited(df: DataFrame, limits: Limit | dict[str, Limit] = LIMITS, cost: Column | None = None) -> DataFrame:
+    """Decisions for a table of requests, in the order of time and event_id of each user and endpoint.
 
-def rate_limited(df: DataFrame, limit: int) -> DataFrame:
-    """Decisions for a table of requests; one (user, endpoint) is one group."""
+    Requests pass sorted; a task keeps the allowed times of one window of one user and endpoint.
+    """
 
-    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame(_decided(key, pdf, [], 0.0, limit)[0], columns=[c.split()[0] for c in DECISION.split(", ")])
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, state = None, Requests()
+        for pdf in batches:
+            out = []
+            for user, endpoint, event_id, at, c in pdf.itertuples(index=False):
+                if (user, endpoint) != key:
+                    key, state = (user, endpoint), Requests()
+                out.append((user, endpoint, event_id, at, *state.decide(at, c, _limit_of(limits, endpoint))))
+            yield pd.DataFrame(out, columns=[c.split()[0] for c in DECISION.split(", ")])
 
-    return _requests(df).groupBy("user_id", "endpoint").applyInPandas(run, DECISION)
+    asked = _requests(df, cost)
+    return asked.repartition("user_id", "endpoint").sortWithinPartitions("user_id", "endpoint", "at", "event_id").mapInPandas(run, DECISION)
 
 
-def rate_limited_stream(df: DataFrame, limit: int) -> DataFrame:
-    """The same for a stream: state holds the times of the last hour; requests are ordered within a batch."""
+def rate_limited_stream(df: DataFrame, limits: Limit | dict[str, Limit] = LIMITS, cost: Column | None = None) -> DataFrame:
+    """The same for a stream; requests are ordered within a batch, and a state is dropped once its window has passed without a request."""
 
     def run(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        times, blocked = state.get if state.exists else ([], 0.0)
-        out, times, blocked = _decided(key, pd.concat(list(batches)), list(times), blocked, limit)
-        state.update((times, blocked))
+        if state.hasTimedOut:
+            state.remove()
+            return
+        limit = _limit_of(limits, key[1])
+        own = Requests(*state.get) if state.exists else Requests()
+        out = []
+        for event_id, at, c in pd.concat(list(batches)).sort_values(["at", "event_id"])[["event_id", "at", "cost"]].itertuples(index=False):
+            out.append((*key, event_id, at, *own.decide(float(at), int(c), limit)))
+        state.update((list(own.times), own.last, own.blocked))
+        state.setTimeoutDuration(int(1000 * (limit.window + BLOCK)))
         yield pd.DataFrame(out, columns=[c.split()[0] for c in DECISION.split(", ")])
 
-    return _requests(df).groupBy("user_id", "endpoint").applyInPandasWithState(run, DECISION, "times array<double>, blocked double", "append", GroupStateTimeout.NoTimeout)
+    return _requests(df, cost).groupBy("user_id", "endpoint").applyInPandasWithState(run, DECISION, "times array<double>, last double, blocked double", "append", GroupStateTimeout.ProcessingTimeTimeout)
 
 
 def quota(df: DataFrame, limit: int) -> DataFrame:

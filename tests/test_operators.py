@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tallyloom.functions import scalars as S
 from tallyloom.functions.similarity import similarity
-from tallyloom.operators import cells, charts, dedup, filters, kpi, layout, logs, missing, privacy, schema, templates, text, types
+from tallyloom.operators import cells, charts, dedup, filters, kpi, layout, logs, missing, privacy, ranks, schema, templates, text, types
 from tallyloom.plans import catalogue, questions, standardise
 from tallyloom.sources import io
 from tallyloom.streaming import streams
@@ -142,6 +142,48 @@ def test_scalars(spark):
     assert (row.n, row.f, row.k, row.e, row.s, row.d) == ([-1.5, 20.0], "1.5 KB", "$2.5M", "secret", "col_2nd_name", None)
 
 
+def test_order_statistics_of_whole_columns(spark):
+    rng = random.Random(2)
+    values = [rng.choice([rng.gauss(0, 1), 7.0, float(rng.randint(-5, 5)), 1e300]) for _ in range(5000)] + [None, float("nan")]
+    df = spark.createDataFrame([(v, 3, None) for v in values], "a double, b int, c double")
+    known = sorted(v for v in values if v is not None and v == v)
+    for few in (10, 100_000):
+        got = ranks.at_ranks(df, {"a": [0, 1, 2499, 2500, 4998, 4999], "b": [17]}, few)
+        assert got == {"a": {k: known[k] for k in (0, 1, 2499, 2500, 4998, 4999)}, "b": {17: 3.0}}
+    import numpy as np
+
+    q = ranks.quantiles(df, ["a", "b", "c"], [0.25, 0.5, 0.9], few=50)
+    assert q["a"] == pytest.approx(np.quantile(known, [0.25, 0.5, 0.9]).tolist()) and q["b"] == [3.0] * 3 and q["c"] == [None] * 3
+
+
+def test_plans_hold_no_whole_column_in_one_aggregate(spark, testdata):
+    """No percentile, median or list over an ungrouped table."""
+    for name in ("fill_median", "fill_outlier", "profile_numbers", "agg_median_std", "chart_box", "summary_statistics", "result_summary", "policies"):
+        plan = catalogue.QUERIES[name](spark, f"{testdata}/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+        assert not any(f in plan for f in ("percentile(", "median(", "collect_list(")), name
+
+
+def test_date_shapes(spark):
+    texts = ["2024-01-05", "1/5/2024", "31/12/2023", "2024/3/4", "5-1-2024", "January 5, 2024", "5 January 2024", "Jan 5, 2024", "5 Jan 2024", "12345.67", "2024-13-45", "$1,234.00", "soon", "1-2", ""]
+    got = [r.d for r in spark.createDataFrame([(t,) for t in texts], "t string").select(S.parse_date(F.col("t")).alias("d")).collect()]
+    plain = [r.d for r in spark.createDataFrame([(t,) for t in texts], "t string").select(F.coalesce(*[F.try_to_date("t", f) for f in S.DATE_FORMATS]).alias("d")).collect()]
+    assert got == plain and sum(d is not None for d in got) == 9
+
+
+def test_question_rules(spark):
+    asked = {
+        "what is the total sales": ("AGGREGATION", "SUM"), "where customer_name is 'john smith'": ("FILTERING", None), "compare products": ("COMPARISON", None), "decline of orders": ("TREND", None),
+        "the median age": ("AGGREGATION", "MEDIAN"), "standard deviation of age": ("AGGREGATION", "STD"), "breakdown by region": ("DISTRIBUTION", None), "describe it": ("STATISTICAL", None), "hello": ("DESCRIPTIVE", None),
+    }
+    got = {r.text: (r.question_type, r.aggregation) for r in text.intents(spark.createDataFrame([(t,) for t in asked], "text string")).collect()}
+    assert got == asked
+    rated = text.weighted_types(spark.createDataFrame([(1, "What is the total sales count?"), (2, "top 5 customers"), (3, "hello there")], "k int, text string"), "k").collect()
+    assert {r.k: (r.kind, round(r.score, 6)) for r in rated} == {1: ("AGGREGATION", 0.7), 2: ("RANKING", 0.5), 3: ("DESCRIPTIVE", 0.5)}
+    mentioned = spark.createDataFrame([(1, "sales", 0.9), (1, "name", 0.9), (2, "sales", 1.0)], "k int, name string, confidence double")
+    targets = text.aggregation_targets(mentioned, spark.createDataFrame([(1, "total sales by name"), (2, "list sales")], "k int, text string"), "k", ["sales"]).collect()
+    assert {(r.name, r.confidence) for r in targets} == {("sales", 1.0), ("name", 0.9)}
+
+
 def test_percentile_rules(spark):
     df = spark.createDataFrame([("a", float(v), v) for v in range(10, 101, 10)], "name string, v double, t int")
     code, test = (logs.percentiles(df, ["name"], "v", ["t"], rule=r).first() for r in ("upper", "lower"))
@@ -197,20 +239,24 @@ def test_questions(spark):
 
 
 def test_rate_limit_and_stream(spark, tmp_path, testdata):
-    times, blocked, allowed = [], 0.0, 0
-    for k in range(13):
-        ok, _, times, blocked = streams.decide(times, blocked, 100.0 * k, 12)
-        allowed += ok
-    assert allowed == 12
+    upload = streams.LIMITS["upload"]
+    state = streams.Requests()
+    assert [state.decide(100.0 * k, 1, upload)[0] for k in range(13)] == [True] * 12 + [False]  # ten and a burst of two
+    state = streams.Requests()
+    assert [state.decide(0.1 * k, 1, upload) for k in range(12)][-1] == (True, "ok")
+    assert state.decide(1.2, 1, upload) == (False, "blocked") and state.decide(61.1, 1, upload) == (False, "blocked")  # hasty
+    assert state.decide(61.3, 1, upload) == (False, "limit") and state.decide(3600.05, 1, upload) == (True, "ok")
+    state = streams.Requests()
+    assert [state.decide(100.0 * k, 5, upload)[0] for k in range(3)] == [True, True, False]  # cost
     source = spark.read.parquet(f"{testdata}/sf0.001/events.parquet")
     source.coalesce(1).write.parquet(str(tmp_path / "in"))
     for f in (tmp_path / "in").glob("part-*.parquet"):
         f.rename(f.with_name("events-" + f.name))
     live = streams.events(spark, str(tmp_path / "in"))
-    run = streams.rate_limited_stream(live, 1).writeStream.format("memory").queryName("decisions").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+    run = streams.rate_limited_stream(live, streams.Limit(1)).writeStream.format("memory").queryName("decisions").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
     run.awaitTermination(120)
     key = ["event_id", "allowed", "reason"]
-    assert sorted(map(tuple, spark.table("decisions").select(key).collect())) == sorted(map(tuple, streams.rate_limited(source, 1).select(key).collect()))
+    assert sorted(map(tuple, spark.table("decisions").select(key).collect())) == sorted(map(tuple, streams.rate_limited(source, streams.Limit(1)).select(key).collect()))
     seen = []
     refresh = streams.Refresher(lambda df, i: seen.append(i))
     a, b = spark.createDataFrame([(1,), (2,), (3,)], "test int"), spark.createDataFrame([(4,), (5,), (6,)], "test int")
