@@ -6,13 +6,16 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def checkpoint_root(spark: SparkSession) -> str:
-    """The shared folder that the cluster names; a local one only where none is set, as in tests."""
+    """The shared folder that the cluster names; a local one only where none is set and all runs in one process, as in tests."""
     sc = spark.sparkContext
     root = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not root:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = tempfile.mkdtemp(prefix="tallyloom-")
         sc.setCheckpointDir(root)
         root = sc.getCheckpointDir()
@@ -35,6 +38,17 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Most bytes that a lookup may send to every executor.
+MOST_SENT = 64 << 20
+ROW_BYTES = 64
+
+
+def lookup(df: DataFrame, name: str) -> DataFrame:
+    """Narrow rows to join with: sent to all executors if they are few enough, else met by a shuffle."""
+    rows = staged(df, name)
+    return F.broadcast(rows) if rows.count() * ROW_BYTES <= MOST_SENT else rows
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """An eager reliable checkpoint in the shared folder."""
     checkpoint_root(df.sparkSession)

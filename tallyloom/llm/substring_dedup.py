@@ -52,8 +52,7 @@ def removed_words(docs: DataFrame, width: int = WINDOW) -> DataFrame:
     """
     if width < 1:
         raise ValueError("a window has one word at least")
-    parts, n = exchange.in_parts(docs, "doc_id")
-    buckets = 2 * n
+    parts, _, buckets = exchange.in_parts(docs, "doc_id")
 
     def ask(pdf: pd.DataFrame) -> pd.DataFrame:
         values, _, _, routed = _distinct(pdf["text"], width, buckets)

@@ -4,18 +4,25 @@ Every string of ``LENGTH`` bytes has an anchor, the least hash among its ``GRAM`
 which depends on the string alone. Equal strings thus meet at equal anchors, and only the suffixes
 that begin near anchors found in several documents are ever sorted:
 
-1. A part of the documents asks which of its anchor hashes occur in another part.
+1. A part of the documents asks which of its anchor hashes occur in another part, and says at which of
+   them ``HOT`` different stretches of its own hang.
 2. For anchors in several documents it sends the stretch of text whose strings hang on the anchor,
-   equal stretches once with their smallest doc_id, to the bucket of the anchor.
-3. A bucket sorts the suffixes of its stretches. Initial 8-byte buckets are refined by sorting on
-   the bucket identifiers of later offsets, and the refined identifiers are used again: 8 -> 16 ->
-   32 -> ``LENGTH`` bytes. Comparison is exact; hashes only route. It answers, for each string of a
-   stretch, whether a smaller doc_id holds it.
+   equal stretches once with their smallest doc_id, to the bucket of the anchor. At an anchor that a
+   part finds hot, as at the edges of boilerplate, each string goes by its own hash instead, so that no
+   bucket gets all contexts of a common phrase; at any other anchor there are at most ``HOT`` a part.
+3. A bucket orders the suffixes of its stretches by bucket-pointer refinement (Schuermann and Stoye,
+   2005). Suffixes with one ``Q``-gram are a bucket, and each suffix points to its bucket. Buckets are
+   refined one group after another: members are sorted by the pointers of the suffixes that lie as far
+   on as the bucket is deep, and the finer pointers are written back at once, so that the next level of
+   the same group, and all groups after it, sort by them. Neighbours in the order are then compared
+   byte by byte; hashes only route. The bucket answers, for each string of a stretch, whether a smaller
+   doc_id holds it.
 4. The part removes the bytes that flagged strings cover.
 
-Defined results: null and empty texts have no bytes; texts shorter than ``LENGTH`` lose nothing;
-rows with one doc_id are one document and do not remove each other's bytes; a null doc_id counts as
-smaller than any other; other columns are ignored.
+Defined results: null and empty texts have no bytes; texts shorter than ``LENGTH`` lose nothing; very
+long texts are judged whole; rows with one doc_id, repeated rows too, are one document and do not
+remove each other's bytes; a null doc_id counts as smaller than any other; an empty table gives no
+rows; other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -25,15 +32,27 @@ import struct
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
+import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from . import exchange, textblocks
 from .textblocks import encoded
 
 LENGTH = 50
 GRAM = 20
+#: Length of the strings of the initial buckets.
+Q = 8
+#: Different stretches of one part at an anchor from which on its strings are routed one by one.
+HOT = 64
+#: Bytes of stretches that are ordered at once; those of one anchor are never parted.
+ORDERED = 1 << 20
+#: Suffixes whose buckets are refined together.
+GROUP = 1 << 16
 NULL_ID = -(2**63)
 RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary"
 MESSAGE = "round int, part int, bucket int, payload binary"
@@ -50,36 +69,35 @@ def _sliding_least(keys: np.ndarray, width: int) -> np.ndarray:
 
 
 def anchors(block: textblocks.Block, length: int, gram: int):
-    """(document, anchor hash, first and last string start) of each anchor of the block, in order."""
+    """(document, anchor hash, first and last string start, hash of the stretch) of each anchor of the block, in order."""
+    none = tuple(np.zeros(0, t) for t in (np.int64, np.uint64, np.int64, np.int64, np.uint64))
     sums, downs = textblocks.prefix_hash(textblocks.BYTE_VALUES[0][block.data], textblocks.BASE)
     n = len(block.data)
-    if n < length:
-        return (np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64))
+    # a document ends with a line feed that is not its own
+    fits = textblocks.window_starts(block.offsets, length + 1)
+    if not len(fits):
+        return none
     h = textblocks.mix((sums[gram:] - sums[:-gram]) * downs[: n - gram + 1])
     # 32 bits of the hash above the place: of equal ones the first is taken, in every document alike
     low = np.uint64(32)
     place = np.arange(len(h), dtype=np.uint64)
     least = _sliding_least((h >> low << low) | place, length - gram + 1)
-    at = (least & np.uint64(0xFFFFFFFF)).astype(np.int64)
-    # a document ends with a line feed that is not its own
-    fits = textblocks.window_starts(block.offsets, length + 1)
-    if not len(fits):
-        return (np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64))
-    at = at[fits]
+    at = (least & np.uint64(0xFFFFFFFF)).astype(np.int64)[fits]
     new = np.ones(len(at), bool)
     new[1:] = (at[1:] != at[:-1]) | (fits[1:] != fits[:-1] + 1)
     begin = np.flatnonzero(new)
     end = np.append(begin[1:], len(at)) - 1
-    first = fits[begin]
-    return np.searchsorted(block.offsets, first, "right") - 1, h[at[begin]], first, fits[end]
+    first, last = fits[begin], fits[end]
+    stretch = textblocks.mix((sums[last + length] - sums[first]) * downs[first] ^ (last - first).astype(np.uint64))
+    return np.searchsorted(block.offsets, first, "right") - 1, h[at[begin]], first, last, stretch
 
 
 def _anchors_of(pdf: pd.DataFrame, length: int, gram: int):
-    """Anchors of all texts: document number, hash, first and last start within the document."""
+    """Anchors of all texts: document number, hash, first and last start within the document, hash of the stretch."""
     out = []
     for block in textblocks.blocks(pdf["text"]):
-        doc, h, first, last = anchors(block, length, gram)
-        out.append((doc + block.first, h, first - block.offsets[doc], last - block.offsets[doc]))
+        doc, h, first, last, stretch = anchors(block, length, gram)
+        out.append((doc + block.first, h, first - block.offsets[doc], last - block.offsets[doc], stretch))
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
@@ -89,7 +107,7 @@ def _ids(pdf: pd.DataFrame) -> np.ndarray:
 
 def _asked(pdf: pd.DataFrame, found, buckets: int):
     """Distinct anchor hashes, whether several documents here have them, order, counts and routes."""
-    doc, h, _, _ = found
+    doc, h = found[:2]
     values, _, counts, order = textblocks.distinct(h)
     ids = _ids(pdf)[doc][order]
     begins = np.concatenate([[0], np.cumsum(counts)[:-1]]).astype(np.int64)
@@ -97,39 +115,76 @@ def _asked(pdf: pd.DataFrame, found, buckets: int):
     return values, several, order, counts, exchange.by_bucket((values >> np.uint64(16)).astype(np.uint32) % np.uint32(buckets))
 
 
-def _shared(pdf: pd.DataFrame, found, answers: dict, buckets: int) -> np.ndarray:
-    """Numbers of the anchors that occur in several documents."""
+def _crowded(found, order: np.ndarray, counts: np.ndarray, most: int) -> np.ndarray:
+    """Whether ``most`` different stretches or more hang on each distinct anchor."""
+    out = np.zeros(len(counts), bool)
+    many = np.flatnonzero(counts >= most)
+    if len(many):
+        begin = np.cumsum(counts) - counts
+        for k in many.tolist():
+            out[k] = len(np.unique(found[4][order[begin[k] : begin[k] + counts[k]]])) >= most
+    return out
+
+
+def _question(values: np.ndarray, crowded: np.ndarray) -> bytes:
+    own = exchange.pack(values)
+    return struct.pack("<I", len(own)) + own + exchange.pack(values[crowded])
+
+
+def _answered(pdf: pd.DataFrame) -> list[bytes]:
+    """For each message: a bit per anchor for those that another part sent too, then one for the hot ones."""
+    sent = [(exchange.unpack(p[4 : 4 + (n := struct.unpack_from("<I", p)[0])]), exchange.unpack(p[4 + n :])) for p in pdf["payload"]]
+    shared = exchange.repeated(np.concatenate([a for a, _ in sent]), 2)
+    hot = np.unique(np.concatenate([b for _, b in sent]))
+    return [np.packbits(np.concatenate([exchange.among(a, shared), exchange.among(a, hot)])).tobytes() for a, _ in sent]
+
+
+def _shared(pdf: pd.DataFrame, found, answers: dict, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers of the anchors that occur in several documents, and whether they are hot."""
     values, several, order, counts, routed = _asked(pdf, found, buckets)
+    hot = np.zeros(len(values), bool)
     for b, x in routed:
-        several[x] |= exchange.bits(answers[b], len(x))
-    return np.sort(order[np.repeat(several, counts)])
+        said = exchange.bits(answers[b], 2 * len(x))
+        several[x] |= said[: len(x)]
+        hot[x] = said[len(x) :]
+    chosen = order[np.repeat(several, counts)]
+    often = np.repeat(hot, counts)[np.repeat(several, counts)]
+    place = np.argsort(chosen)
+    return chosen[place], often[place]
 
 
 class Stretches:
-    """Distinct (anchor hash, text) of a part's shared anchors, each with its smallest doc_id."""
+    """Distinct stretches of a part's shared anchors, each with a routing hash and its smallest doc_id.
+
+    ``doc``, ``first`` and ``of`` give document, start and stretch of every occurrence. A stretch of a
+    hot anchor is cut into its strings.
+    """
 
-    def __init__(self, pdf: pd.DataFrame, found, chosen: np.ndarray, length: int, buckets: int):
-        doc, h, first, last = found
+    def __init__(self, pdf: pd.DataFrame, found, chosen: np.ndarray, hot: np.ndarray, length: int, buckets: int):
+        doc, h, first, last, _ = found
         ids = _ids(pdf)
         number: dict[bytes, int] = {}
         self.texts: list[bytes] = []
-        self.hashes: list[int] = []
+        hashes: list[int] = []
         self.least: list[int] = []
-        self.of = np.empty(len(chosen), np.int64)
+        self.doc, self.first, self.of = [], [], []
         current, raw = -1, b""
-        for n, (d, v, a, z) in enumerate(zip(doc[chosen].tolist(), h[chosen].tolist(), first[chosen].tolist(), last[chosen].tolist(), strict=True)):
+        for d, v, a, z, often in zip(doc[chosen].tolist(), h[chosen].tolist(), first[chosen].tolist(), last[chosen].tolist(), hot.tolist(), strict=True):
             if d != current:
                 current, raw, own = d, encoded(pdf["text"].iat[d]), int(ids[d])
-            text = raw[a : z + length]
-            k = number.setdefault(text, len(self.texts))
-            if k == len(self.texts):
-                self.texts.append(text)
-                self.hashes.append(v)
-                self.least.append(own)
-            elif own < self.least[k]:
-                self.least[k] = own
-            self.of[n] = k
-        self.hash_array = np.array(self.hashes, np.uint64)
+            for begin, end in [(k, k) for k in range(a, z + 1)] if often else [(a, z)]:
+                text = raw[begin : end + length]
+                k = number.setdefault(text, len(self.texts))
+                if k == len(self.texts):
+                    self.texts.append(text)
+                    hashes.append(xxhash.xxh64_intdigest(text) if often else v)
+                    self.least.append(own)
+                elif own < self.least[k]:
+                    self.least[k] = own
+                self.doc.append(d)
+                self.first.append(begin)
+                self.of.append(k)
+        self.hash_array = np.array(hashes, np.uint64)
         self.routed = exchange.by_bucket((self.hash_array >> np.uint64(16)).astype(np.uint32) % np.uint32(buckets))
 
     def payload(self, x: np.ndarray) -> bytes:
@@ -151,33 +206,64 @@ def _unpacked(payload: bytes):
     return ids, hashes, sizes, np.frombuffer(payload, np.uint8, offset=4 + 14 * n)
 
 
-def _ranked(keys: np.ndarray) -> np.ndarray:
-    """Bucket identifiers in the order of the keys."""
-    order = np.argsort(keys)
-    s = keys[order]
-    rank = np.zeros(len(s), np.uint32)
-    np.cumsum(s[1:] != s[:-1], out=rank[1:])
-    out = np.empty(len(s), np.uint32)
-    out[order] = rank
-    return out
-
+def refined_order(data: np.ndarray, depth: int, group: int = GROUP) -> tuple[np.ndarray, np.ndarray]:
+    """The suffixes of ``data`` ordered by their first ``depth`` bytes at least, and their ``Q``-grams.
 
-def _renumbered(first: np.ndarray, second: np.ndarray) -> np.ndarray:
-    """Bucket identifiers refined by those at a later offset."""
-    return _ranked((first.astype(np.uint64) << np.uint64(32)) | second)
+    Past the end all bytes are zero. By bucket-pointer refinement: ``pointer`` leads from a suffix to the
+    place of its bucket in the order, and ``deep`` says how many bytes the members of a bucket share.
+    """
+    n = len(data)
+    padded = np.concatenate([data, np.zeros(depth + 2 * Q, np.uint8)])
+    grams = np.lib.stride_tricks.sliding_window_view(padded, Q).copy().view(">u8").ravel().astype(np.uint64)
+    order = np.argsort(grams[:n])
+    head = np.ones(n, bool)
+    head[1:] = grams[order[1:]] != grams[order[:-1]]
+    place = np.flatnonzero(head)
+    size = np.diff(np.append(place, n))
+    # suffixes past the end are one bucket behind all others, as deep as need be
+    pointer = np.full(n + depth + Q, n, np.int32)
+    pointer[order] = np.repeat(place, size)
+    deep = np.full(n + 1, Q, np.int32)
+    deep[n] = depth
+    open_place, open_size = place[size > 1], size[size > 1]
+    for few in np.split(np.arange(len(open_place)), np.flatnonzero(np.diff(np.cumsum(open_size) // group)) + 1):
+        place, size = open_place[few], open_size[few]
+        while len(place):
+            # the members of the buckets of this group, and what their suffixes further on point to
+            spot = np.repeat(place - (np.cumsum(size) - size), size) + np.arange(size.sum())
+            own = np.repeat(place, size)
+            member = order[spot]
+            target = pointer[member + np.repeat(deep[place], size)]
+            by = np.argsort((own.astype(np.uint64) << np.uint64(32)) | target.astype(np.uint64))
+            member, target = member[by], target[by]
+            order[spot] = member
+            head = np.ones(len(spot), bool)
+            head[1:] = (own[1:] != own[:-1]) | (target[1:] != target[:-1])
+            at = np.flatnonzero(head)
+            fresh, many = spot[at], np.diff(np.append(at, len(spot)))
+            further = deep[own[at]] + deep[target[at]]
+            pointer[member] = np.repeat(fresh, many)
+            deep[fresh] = further
+            left = (many > 1) & (further < depth)
+            place, size = fresh[left], many[left]
+    return order, grams
 
 
 def string_classes(data: np.ndarray, starts: np.ndarray, length: int) -> np.ndarray:
-    """Equal numbers for equal strings of ``length`` bytes at ``starts``, by bucket-pointer refinement."""
-    if length < 8:
-        raise ValueError("strings have 8 bytes at least")
-    eight = np.lib.stride_tricks.sliding_window_view(data, 8).copy().view(np.uint64).ravel()
-    bucket = _ranked(eight)
-    done = 8
-    while 2 * done < length:
-        bucket = _renumbered(bucket[:-done], bucket[done:])
-        done *= 2
-    return _renumbered(bucket[starts], bucket[starts + (length - done)])
+    """Equal numbers for equal strings of ``length`` bytes at ``starts``, from the refined order."""
+    if length < Q:
+        raise ValueError(f"strings have {Q} bytes at least")
+    order, grams = refined_order(data, length, GROUP)
+    wanted = np.zeros(len(data), bool)
+    wanted[starts] = True
+    chosen = order[wanted[order]]
+    new = np.zeros(len(chosen), bool)
+    for k in {*range(0, length - Q + 1, Q), length - Q}:
+        g = grams[chosen + k]
+        new[1:] |= g[1:] != g[:-1]
+    of = np.empty(len(data), np.int64)
+    of[chosen] = np.cumsum(new)
+    return of[starts]
 
 
 def _refine(pdf: pd.DataFrame, length: int) -> list[bytes]:
@@ -200,78 +286,95 @@ def _refine(pdf: pd.DataFrame, length: int) -> list[bytes]:
     contested[order] = np.repeat(counts > 1, counts)
     room = np.array([len(t) - length + 1 for t in texts], np.int64)
     best = np.repeat(least, room)
+    begin = np.concatenate([[0], np.cumsum(room)])
     held = np.flatnonzero(contested)
-    if len(held):
-        joined = np.frombuffer(b"".join(texts[i] for i in held.tolist()), np.uint8)
-        bounds = np.concatenate([[0], np.cumsum(room[held] + length - 1)])
-        starts = textblocks.window_starts(bounds, length)
-        classes = string_classes(joined, starts, length)
-        own = np.repeat(least[held], room[held])
+    held = held[np.argsort(text_hash[held], kind="stable")]
+    new = np.ones(len(held), bool)
+    new[1:] = text_hash[held[1:]] != text_hash[held[:-1]]
+    # whole anchors, of about ORDERED bytes together
+    group = (np.cumsum(room[held] + length - 1) // ORDERED)[np.flatnonzero(new)][np.cumsum(new) - 1] if len(held) else held
+    for some in np.split(held, np.flatnonzero(np.diff(group)) + 1):
+        if not len(some):
+            continue
+        joined = np.frombuffer(b"".join([texts[i] for i in some.tolist()]), np.uint8)
+        bounds = np.concatenate([[0], np.cumsum(room[some] + length - 1)])
+        classes = string_classes(joined, textblocks.window_starts(bounds, length), length)
+        n = room[some]
         smallest = np.full(int(classes.max()) + 1, np.iinfo(np.int64).max)
-        np.minimum.at(smallest, classes, own)
-        best[np.repeat(contested, room)] = smallest[classes]
-    first = np.concatenate([[0], np.cumsum(room)])
+        np.minimum.at(smallest, classes, np.repeat(least[some], n))
+        best[np.repeat(begin[some] - (np.cumsum(n) - n), n) + np.arange(n.sum())] = smallest[classes]
     out, at = [], 0
     for own, _, _, _ in sent:
         these = text_of[at : at + len(own)]
         at += len(own)
         n = room[these]
-        index = np.repeat(first[these] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
+        index = np.repeat(begin[these] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
         out.append(np.packbits(best[index] < np.repeat(own, n)).tobytes())
     return out
 
 
+class _Exchange:
+    """Parts of the documents and the answers to both of their messages."""
+
+    def __init__(self, docs: DataFrame, columns: list[str], length: int, gram: int):
+        if not Q <= gram <= length:
+            raise ValueError(f"{Q} <= gram <= length")
+        named = docs.withColumn("doc_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)))
+        parts, _, buckets = exchange.in_parts(named, "doc_id", *columns)
+        buckets *= 2
+        hot = HOT
+
+        def sent_by(pdf: pd.DataFrame, said: dict) -> Stretches:
+            found = _anchors_of(pdf, length, gram)
+            return Stretches(pdf, found, *_shared(pdf, found, said, buckets), length, buckets)
+
+        def ask(pdf: pd.DataFrame) -> pd.DataFrame:
+            found = _anchors_of(pdf, length, gram)
+            values, _, order, counts, routed = _asked(pdf, found, buckets)
+            crowded = _crowded(found, order, counts, hot)
+            return exchange.messages(int(pdf["part"].iloc[0]), [(b, _question(values[x], crowded[x])) for b, x in routed]).assign(round=np.int32(1))
+
+        def answer_asked(pdf: pd.DataFrame) -> pd.DataFrame:
+            return pd.DataFrame({"round": np.int32(1), "part": pdf["part"].to_numpy(), "bucket": pdf["bucket"].to_numpy(), "payload": _answered(pdf)})
+
+        def send(pdf: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
+            if not len(pdf):
+                return pd.DataFrame({"round": [], "part": [], "bucket": [], "payload": []})
+            sent = sent_by(pdf, dict(zip(answers["bucket"], answers["payload"], strict=True)))
+            return exchange.messages(int(pdf["part"].iloc[0]), [(b, sent.payload(x)) for b, x in sent.routed]).assign(round=np.int32(2))
+
+        def answer_sent(pdf: pd.DataFrame) -> pd.DataFrame:
+            return pd.DataFrame({"round": np.int32(2), "part": pdf["part"].to_numpy(), "bucket": pdf["bucket"].to_numpy(), "payload": _refine(pdf, length)})
+
+        def cut(pdf: pd.DataFrame, answers: pd.DataFrame) -> list[tuple]:
+            """doc_id, n_bytes, n_removed, n_spans and kept bytes of each document of a part."""
+            said = {r: dict(zip(x["bucket"], x["payload"], strict=True)) for r, x in answers.groupby("round")}
+            return list(_without(pdf, sent_by(pdf, said.get(1, {})), said.get(2, {}), length))
+
+        asking = parts.select("doc_id", "text", "part").groupBy("part")
+        names = ["round", "part", "bucket", "payload"]
+        first = asking.applyInPandas(ask, MESSAGE).groupBy("bucket").applyInPandas(answer_asked, MESSAGE)
+        second = asking.cogroup(first.groupBy("part")).applyInPandas(send, MESSAGE).groupBy("bucket").applyInPandas(answer_sent, MESSAGE)
+        self.cut = cut
+        self.met = parts.groupBy("part").cogroup(first.select(names).unionByName(second).groupBy("part"))
+
+
 def removed_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     """Every document with the bytes left after strings held by smaller doc_ids are removed.
 
     A byte goes if a string of ``length`` bytes that covers it also starts in a document with a
     smaller doc_id. Strings are judged on the input.
     """
-    if not 8 <= gram <= length:
-        raise ValueError("8 <= gram <= length")
-    named = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("doc_id"), "text")
-    parts, n = exchange.in_parts(named, "doc_id")
-    buckets = 4 * n
-
-    def ask(pdf: pd.DataFrame) -> pd.DataFrame:
-        values, _, _, _, routed = _asked(pdf, _anchors_of(pdf, length, gram), buckets)
-        return exchange.messages(int(pdf["part"].iloc[0]), [(b, exchange.pack(values[x])) for b, x in routed]).assign(round=np.int32(1))
-
-    def answer_asked(pdf: pd.DataFrame) -> pd.DataFrame:
-        return exchange.in_several(pdf).assign(round=np.int32(1))
-
-    def send(pdf: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
-        if not len(pdf):
-            return pd.DataFrame({"round": [], "part": [], "bucket": [], "payload": []})
-        found = _anchors_of(pdf, length, gram)
-        chosen = _shared(pdf, found, dict(zip(answers["bucket"], answers["payload"], strict=True)), buckets)
-        sent = Stretches(pdf, found, chosen, length, buckets)
-        return exchange.messages(int(pdf["part"].iloc[0]), [(b, sent.payload(x)) for b, x in sent.routed]).assign(round=np.int32(2))
-
-    def answer_sent(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"round": np.int32(2), "part": pdf["part"].to_numpy(), "bucket": pdf["bucket"].to_numpy(), "payload": _refine(pdf, length)})
+    exchanged = _Exchange(docs.select("doc_id", "text"), [], length, gram)
+    cut = exchanged.cut
 
     def remove(pdf: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
-        columns = [c.split()[0] for c in RESULT.split(", ")]
-        if not len(pdf):
-            return pd.DataFrame({c: [] for c in columns})
-        said = {r: dict(zip(x["bucket"], x["payload"], strict=True)) for r, x in answers.groupby("round")}
-        found = _anchors_of(pdf, length, gram)
-        chosen = _shared(pdf, found, said.get(1, {}), buckets)
-        sent = Stretches(pdf, found, chosen, length, buckets)
-        return pd.DataFrame(_without(pdf, found, chosen, sent, said.get(2, {}), length), columns=columns)
-
-    by_part = parts.groupBy("part")
-    columns = ["round", "part", "bucket", "payload"]
-    first = by_part.applyInPandas(ask, MESSAGE).groupBy("bucket").applyInPandas(answer_asked, MESSAGE)
-    second = by_part.cogroup(first.groupBy("part")).applyInPandas(send, MESSAGE).groupBy("bucket").applyInPandas(answer_sent, MESSAGE)
-    return by_part.cogroup(first.select(columns).unionByName(second).groupBy("part")).applyInPandas(remove, RESULT).withColumn(
-        "doc_id", F.when(F.col("doc_id") != NULL_ID, F.col("doc_id"))
-    )
-
-
-def _without(pdf: pd.DataFrame, found, chosen: np.ndarray, sent: Stretches, answers: dict, length: int):
-    doc, _, first, _ = found
+        return pd.DataFrame(cut(pdf, answers) if len(pdf) else [], columns=[c.split()[0] for c in RESULT.split(", ")])
+
+    return exchanged.met.applyInPandas(remove, RESULT).withColumn("doc_id", F.when(F.col("doc_id") != NULL_ID, F.col("doc_id")))
+
+
+def _without(pdf: pd.DataFrame, sent: Stretches, answers: dict, length: int):
     ids = _ids(pdf)
     room = np.array([len(t) - length + 1 for t in sent.texts], np.int64)
     flags: list = [None] * len(room)
@@ -280,7 +383,7 @@ def _without(pdf: pd.DataFrame, found, chosen: np.ndarray, sent: Stretches, answ
         for i, piece in zip(x.tolist(), np.split(exchange.bits(answers[b], int(n.sum())), np.cumsum(n)[:-1]), strict=True):
             flags[i] = piece
     starts: dict[int, list[np.ndarray]] = {}
-    for d, a, k in zip(doc[chosen].tolist(), first[chosen].tolist(), sent.of.tolist(), strict=True):
+    for d, a, k in zip(sent.doc, sent.first, sent.of, strict=True):
         hit = np.arange(room[k]) if ids[d] > sent.least[k] else np.flatnonzero(flags[k])
         if len(hit):
             starts.setdefault(d, []).append(hit + a)
@@ -304,24 +407,30 @@ def digest(kept: DataFrame) -> DataFrame:
 def without_repeats(docs: DataFrame) -> DataFrame:
     """The documents with repeated spans cut out of their texts; ``n_chars``, if there, counts anew.
 
-    A character of which some bytes stay while others go is dropped whole. All columns and rows
-    stay, those with a null doc_id untouched; rows with one doc_id must hold equal texts.
+    A character of which some bytes stay while others go is dropped whole. All columns and rows stay.
+    Each row loses what smaller doc_ids hold of its own text, other rows of its doc_id notwithstanding;
+    rows with a null doc_id, null or empty texts stay as they are; an empty table stays empty.
     """
-    cut = (
-        removed_spans(docs.select("doc_id", "text"))
-        .where("n_removed > 0 AND doc_id IS NOT NULL")
-        .select(F.col("doc_id").alias("__id"), F.col("kept").alias("__kept"))
-        .dropDuplicates(["__id"])
-    )
-
-    def as_text(kept: pd.Series) -> pd.Series:
-        return kept.map(lambda x: None if x is None else x.decode("utf-8", "ignore"))
-
-    text = F.pandas_udf(as_text, "string")(F.col("__kept"))
-    joined = docs.join(cut, docs["doc_id"] == cut["__id"], "left").withColumn("text", F.when(F.col("__kept").isNull(), F.col("text")).otherwise(text))
+    own = [f"c{i}" for i in range(len(docs.columns))]
+    renamed = docs.select(*[F.col(f"`{c}`").alias(o) for c, o in zip(docs.columns, own, strict=True)])
+    text_at, id_at = docs.columns.index("text"), docs.columns.index("doc_id")
+    others = [o for i, o in enumerate(own) if i != text_at]
+    exchanged = _Exchange(renamed.withColumnsRenamed({own[text_at]: "text"}).withColumn("doc_id", F.col(own[id_at])), others, LENGTH, GRAM)
+    cut = exchanged.cut
+    schema = StructType([StructField(o, f.dataType) for o, f in zip(own, docs.schema.fields, strict=True)])
+
+    def remove(rows: pa.Table, answers: pa.Table) -> pa.Table:
+        text = rows["text"]
+        if len(rows):
+            done = cut(rows.select(["doc_id", "text", "part"]).to_pandas(), answers.to_pandas())
+            kept = [x.decode("utf-8", "ignore") if n and d != NULL_ID else None for d, _, n, _, x in done]
+            text = pc.coalesce(pa.array(kept, text.type), text)
+        return pa.table([text if i == text_at else rows[o] for i, o in enumerate(own)], names=own)
+
+    out = exchanged.met.applyInArrow(remove, schema).withColumnsRenamed(dict(zip(own, docs.columns, strict=True)))
     if "n_chars" in docs.columns:
-        joined = joined.withColumn("n_chars", F.when(F.col("__kept").isNull(), F.col("n_chars")).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType))
-    return joined.select(*docs.columns)
+        out = out.withColumn("n_chars", F.when(F.col("text").isNotNull(), F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+    return out
 
 
 def brute_force(rows: list[tuple], length: int = LENGTH) -> dict:
