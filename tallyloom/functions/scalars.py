@@ -128,3 +128,33 @@ def endpoint_class(path: Column) -> Column:
 def weighted_confidence(scores: Column) -> Column:
     """Aggregate: each score weighs as much as it says."""
     return F.coalesce(F.try_divide(F.sum(scores * scores), F.sum(scores)), F.lit(0.0))
+
+
+def trend_text(direction: Column) -> Column:
+    """increasing, decreasing, stable or volatile; stable for anything else."""
+    return F.when(direction == "UP", "increasing").when(direction == "DOWN", "decreasing").when(direction == "VOLATILE", "volatile").otherwise("stable")
+
+
+def comparison_text(kind: Column, difference: Column, percent: Column, improved: Column) -> Column:
+    """'increased by 5.0%', or how far above or below a target a value lies."""
+    size = F.format_string("%.1f%%", F.abs(percent))
+    moved = F.concat(F.when(difference > 0, "increased by ").otherwise("decreased by "), size)
+    target = F.when(improved, F.concat(F.lit("Target exceeded by "), F.format_string("%.1f%%", percent))).otherwise(F.concat(F.lit("Below target by "), size))
+    return F.when(percent.isNull(), "No comparison available").when(kind == "target", target).otherwise(moved)
+
+
+# Words in a column's name that say how its values are written.
+CURRENCY_WORDS = ("revenue", "sales", "price", "cost", "profit", "income", "fee")
+PERCENT_WORDS = ("rate", "percent", "ratio")
+
+
+def format_kind(name: Column, most: Column) -> Column:
+    """currency by the column's name, percentage by name or where no value exceeds 1, else number."""
+    has = lambda words: sum((F.lower(name).contains(w).cast("int") for w in words), F.lit(0)) > 0
+    return F.when(has(CURRENCY_WORDS), "currency").when(has(PERCENT_WORDS) | (most <= 1.0), "percentage").otherwise("number")
+
+
+def merged_maps(left: Column, right: Column) -> Column:
+    """Both maps in one; the right one wins."""
+    left, right = F.coalesce(left, F.create_map().cast("map<string,string>")), F.coalesce(right, F.create_map().cast("map<string,string>"))
+    return F.map_concat(F.map_filter(left, lambda k, _: ~F.map_contains_key(right, k)), right)

@@ -151,3 +151,19 @@ def meaningful_names(df: DataFrame, order: str) -> DataFrame:
 def report(before: DataFrame, after: DataFrame) -> DataFrame:
     """Rows before, after and removed: one row."""
     return before.agg(F.count("*").alias("rows_before")).crossJoin(after.agg(F.count("*").alias("rows_after"))).withColumn("removed", F.col("rows_before") - F.col("rows_after"))
+
+
+def pipeline(df: DataFrame, order: str, threshold: float = 0.85, block: Column | None = None) -> tuple[DataFrame, DataFrame]:
+    """Names, exact copies, repeated headers and similar rows, one after another, and a row for each step (step, rows_before, rows_after, removed)."""
+    names = [c for c in df.columns if c != order]
+    log, n = [], df.count()
+    for step, run in (
+        ("names", lambda d: meaningful_names(d, order)), ("exact", lambda d: exact(d, order, [c for c in d.columns if c != order])),
+        ("headers", lambda d: without_headers(d, [c for c in d.columns if c != order])), ("fuzzy", lambda d: fuzzy(d, order, [c for c in d.columns if c != order], threshold, block)),
+    ):
+        if names:
+            df = run(df)
+        left = df.count()
+        log.append((step, n, left, n - left))
+        n = left
+    return df, df.sparkSession.createDataFrame(log, "step string, rows_before long, rows_after long, removed long")  # four rows

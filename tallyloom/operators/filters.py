@@ -121,3 +121,51 @@ def query_checks(queries: DataFrame, columns: list[str]) -> DataFrame:
         (sql.contains("SELECT *") & ~sql.contains("LIMIT")).alias("unbounded"), (errors == 0).alias("valid"),
         F.greatest(F.lit(0.0), 1 - 0.2 * errors).alias("confidence"),
     )
+
+
+def without_rows(df: DataFrame, number: str, rows: list[int]) -> DataFrame:
+    """Without the rows of these numbers; the others are numbered anew, in order, from 0 in each range of the order."""
+    return renumbered(df.where(~F.col(number).isin(rows)) if rows else df, number)
+
+
+def renumbered(df: DataFrame, number: str) -> DataFrame:
+    """Rows numbered 0, 1, 2 ... in the order of ``number``, by ranges of it and the rows of those before."""
+    sorted_rows = df.repartitionByRange(F.col(number)).sortWithinPartitions(number).withColumn("_p", F.spark_partition_id()).withColumn("_m", F.monotonically_increasing_id())
+    counts = {r["_p"]: r["count"] for r in sorted_rows.groupBy("_p").count().collect()}  # a row for each range
+    before, total = {}, 0
+    for p in sorted(counts):
+        before[p], total = total, total + counts[p]
+    if not before:
+        return df
+    start = F.create_map(*[F.lit(x) for kv in before.items() for x in kv])
+    inside = F.col("_m").bitwiseAND(F.lit((1 << 33) - 1))
+    return sorted_rows.withColumn(number, (start[F.col("_p")] + inside).cast(df.schema[number].dataType)).drop("_p", "_m")
+
+
+def with_default_column(df: DataFrame, name: str, value=None) -> DataFrame:
+    """A column of one value; an existing name is refused."""
+    if name in df.columns:
+        raise ValueError(f"there is a column {name}")
+    return df.withColumn(name, F.lit(value))
+
+
+def renamed(df: DataFrame, names: dict[str, str]) -> DataFrame:
+    """Columns renamed; unknown ones and names that clash are refused."""
+    unknown = [c for c in names if c not in df.columns]
+    after = [names.get(c, c) for c in df.columns]
+    if unknown or len(set(after)) < len(after):
+        raise ValueError(f"unknown columns {unknown}, or names that clash in {after}")
+    return df.withColumnsRenamed(names)
+
+
+def with_row(df: DataFrame, values: dict) -> DataFrame:
+    """One more row; columns not named are null."""
+    row = df.sparkSession.range(1).select(*[F.lit(values.get(f.name)).cast(f.dataType).alias(f.name) for f in df.schema.fields])
+    return df.unionByName(row)
+
+
+def safe_limit(sql: Column, most: int = 1000) -> Column:
+    """A limit after statements that take every column and have none."""
+    bare = F.regexp_replace(F.trim(sql), r";\s*$", "")
+    open_ended = sql.rlike(r"(?is)^\s*SELECT\s+\*") & ~sql.rlike(r"(?i)\bLIMIT\b")
+    return F.when(open_ended, F.concat(bare, F.lit(f" LIMIT {most}"))).otherwise(sql)

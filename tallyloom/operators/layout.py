@@ -111,6 +111,66 @@ def rectangular(tables: DataFrame, headers: list[str], cells: str = "cells") ->
     return tables.select("*", *[F.get(cells, F.lit(i)).alias(h) for i, h in enumerate(headers)]).drop(cells)
 
 
+# Words that make a cell of the first row a header.
+HEADER_WORDS = (
+    "name", "title", "description", "type", "category", "id", "number", "date", "time", "amount", "price", "cost", "total", "sum", "count",
+    "quantity", "status", "state", "location", "address", "phone", "email",
+)
+
+
+def marked_headers(cells: DataFrame, keys: list[str]) -> DataFrame:
+    """Cells with ``is_header``: those of row 0 that read like headers, else those that are set like them, else all filled ones.
+
+    Like headers read cells with a header word, a final colon, or at most 20 letters and blanks that are no
+    personal name; set like them are cells in capitals (two characters or more) or with every word begun by one.
+    """
+    t = F.trim("text")
+    word = F.lit(False)
+    for w in HEADER_WORDS:
+        word = word | F.lower(t).contains(w)
+    reads = (t != "") & (word | t.endswith(":") | ((F.length(t) <= 20) & ~t.rlike("^[A-Z][a-z]+ [A-Z][a-z]+$") & t.rlike(r"^[a-zA-Z\s]+$")))
+    cased = F.upper(t) != F.lower(t)
+    looks = cased & (((t == F.upper(t)) & (F.length(t) > 1)) | (t.rlike("[A-Z]") & ~t.rlike("[A-Za-z][A-Z]") & ~t.rlike("(^|[^A-Za-z])[a-z]")))
+    over = Window.partitionBy(*keys)
+    top = F.col("row_no") == 0
+    judged = cells.withColumn("_a", top & reads).withColumn("_b", top & looks).withColumn("_any_a", F.bool_or("_a").over(over)).withColumn("_any_b", F.bool_or("_b").over(over))
+    chosen = F.when(F.col("_any_a"), F.col("_a")).when(F.col("_any_b"), F.col("_b")).otherwise(top & (t != ""))
+    return judged.withColumn("is_header", chosen).drop("_a", "_b", "_any_a", "_any_b")
+
+
+def header_names(marked: DataFrame, keys: list[str]) -> DataFrame:
+    """The name of each column up to the last header; Column_i where it has none."""
+    heads = marked.where("is_header").groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("col_no", F.trim("text")))).alias("_h"), F.max("col_no").alias("_last"))
+    spread = heads.select(*keys, "_h", F.explode(F.sequence(F.lit(0), F.col("_last").cast("int"))).alias("col_no"))
+    own = F.nullif(F.try_element_at("_h", F.col("col_no")), F.lit(""))
+    return spread.select(*keys, "col_no", F.coalesce(own, F.concat(F.lit("Column_"), (F.col("col_no") + 1).cast("string"))).alias("header"))
+
+
+def merged_fragments(tables: DataFrame, rows: DataFrame, least: float = 0.8) -> DataFrame:
+    """Rows (table_id, row_no, cells) of matching fragments under their leader, numbered on, with the mean confidence of the fragments.
+
+    ``tables``: table_id, headers and confidence.
+    """
+    led = fragments(tables, least).join(tables.select("table_id", "confidence"), "table_id")
+    facts = led.groupBy("leader").agg(F.avg("confidence").alias("confidence"), F.count("*").alias("fragments"))
+    own = rows.join(led.select("table_id", "leader"), "table_id")
+    number = F.row_number().over(Window.partitionBy("leader").orderBy("table_id", "row_no")) - 1
+    return own.select(F.col("leader").alias("table_id"), number.alias("row_no"), "cells", F.col("leader")).join(facts, "leader").drop("leader")
+
+
+def union_of(parts: list[DataFrame]) -> DataFrame:
+    """All rows of tables whose columns differ; what a table lacks is null."""
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p, allowMissingColumns=True)
+    return out
+
+
+def sure_words(words: DataFrame, least: float = 0.3) -> DataFrame:
+    """Words with a confidence above ``least`` (0 to 1) and some text."""
+    return words.where((F.col("confidence") > least) & (F.trim("text") != ""))
+
+
 def header_cells(cells: DataFrame, keys: list[str]) -> DataFrame:
     """Names of the columns from row 0; blank ones are Column_i."""
     return cells.where("row_no = 0").select(*keys, "col_no", F.when(F.trim("text") == "", F.concat(F.lit("Column_"), F.col("col_no").cast("string"))).otherwise(F.trim("text")).alias("header"))

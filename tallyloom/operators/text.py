@@ -198,3 +198,15 @@ def last_turns(messages: DataFrame, conv: str, turn: str, text: str, n: int = 5)
     w = Window.partitionBy(conv).orderBy(F.desc(turn))
     recent = messages.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= n).groupBy(conv).agg(F.array_sort(F.collect_list(F.struct(turn, text))).alias("_l"))
     return messages.groupBy(conv).agg(F.count("*").alias("interactions")).join(recent, conv).select(conv, "interactions", F.transform("_l", lambda x: x[text]).alias("recent"))
+
+
+def combined_answers(answers: DataFrame, key: str, numbers: list[str], most: int = 5) -> DataFrame:
+    """One row per ``key``: sums of the numeric fields, mean confidence and the first ``most`` different suggestions.
+
+    ``answers``: key, place, confidence, suggestions (an array) and the numbers.
+    """
+    said = answers.select(key, "place", F.posexplode("suggestions").alias("i", "s")).groupBy(key, "s").agg(F.min(F.struct("place", "i")).alias("at"))
+    rank = F.row_number().over(Window.partitionBy(key).orderBy("at"))
+    first = said.withColumn("_r", rank).where(F.col("_r") <= most).groupBy(key).agg(F.array_sort(F.collect_list(F.struct("_r", "s"))).alias("_s"))
+    facts = answers.groupBy(key).agg(*[F.sum(c).alias(c) for c in numbers], F.avg("confidence").alias("confidence"), F.count("*").alias("answers"))
+    return facts.join(first, key, "left").withColumn("suggestions", F.coalesce(F.transform("_s", lambda x: x["s"]), F.array().cast("array<string>"))).drop("_s")

@@ -90,3 +90,20 @@ def profile_type(df: DataFrame, columns: list[str], least: float = 0.8) -> DataF
     for k in KINDS[1:4]:
         kind = kind.when(F.col(k) >= least, k)
     return rows.select("name", kind.when((F.col("NUMBER") >= least) & ~F.col("identifier"), "NUMBER").otherwise("TEXT").alias("data_type"))
+
+
+def coerce_numbers(df: DataFrame, least: float = 0.8) -> DataFrame:
+    """Text columns of which more than ``least`` of the present values are numbers become numbers; others stay as they are."""
+    texts = [c for c, t in df.dtypes if t == "string"]
+    if not texts:
+        return df
+    number = {c: S.plain_double(F.replace(present(c), F.lit(","), F.lit(""))) for c in texts}
+    row = df.agg(*[F.try_divide(F.count(number[c]), F.count(present(c))).alias(f"s{i}") for i, c in enumerate(texts)]).first()
+    chosen = {c for i, c in enumerate(texts) if (row[i] or 0) > least}
+    return df.select(*[number[c].alias(c) if c in chosen else F.col(f"`{c}`") for c in df.columns])
+
+
+def quick_numeric(cells: DataFrame, keys: list[str], first: int = 10, least: float = 0.7) -> DataFrame:
+    """Columns of which more than ``least`` of the filled cells in the first rows are numbers, by (keys, col_no)."""
+    head = cells.where((F.col("row_no") < first) & (F.trim("value") != ""))
+    return head.groupBy(*keys, "col_no").agg((F.avg(S.number_from_text(F.col("value")).isNotNull().cast("double")) > least).alias("numeric"))

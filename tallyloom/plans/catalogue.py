@@ -7,11 +7,11 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
-from ..operators import cells, charts, dedup, filters, kpi, layout, logs, missing, privacy, profile, schema, templates, text, types
+from ..operators import cells, charts, dedup, filters, kpi, layout, logs, missing, privacy, profile, recommend, schema, templates, text, types
 from ..sources.io import table
 from ..streaming import streams
 from . import standardise
@@ -997,6 +997,108 @@ def _(spark, d):
     return cells.split_span(table(spark, d, "part").selectExpr("p_partkey", "p_name AS text", "10 AS x", "200 AS width"), "p_partkey")
 
 
+# --- charts to choose, headlines, reports ------------------------------------------------------------------------
+
+_PARTS = {"p_name": ("text", 1), "p_brand": ("text", 1), "p_type": ("text", 1), "p_size": ("number", 0), "p_retailprice": ("number", 0)}
+
+
+@query("chart_roles", " UNION ALL ".join(f"SELECT '{c}' AS name, {i} AS place, '{k}' AS kind, count(DISTINCT {c}) AS unique_values, count(*) - count({c}) AS nulls, round(count(DISTINCT {c}) / count(*), 6)::DOUBLE AS cardinality, {'true' if t else f'count(DISTINCT {c}) <= 10 AND count(DISTINCT {c}) <= 0.5 * count(*)'} AS categorical, {'false' if t else 'true'} AS numerical, false AS temporal FROM part" for i, (c, (k, t)) in enumerate(_PARTS.items())))
+def _(spark, d):
+    return _rounded(recommend.column_roles(table(spark, d, "part").select(*_PARTS)))
+
+
+@query("chart_choice", """WITH n AS (SELECT (SELECT count(DISTINCT x) <= 8 FROM (SELECT o_orderstatus AS x FROM orders))::INT + (SELECT count(DISTINCT o_orderpriority) <= 8 FROM orders)::INT AS few, (SELECT count(DISTINCT o_orderstatus) > 10 FROM orders)::INT + (SELECT count(DISTINCT o_orderpriority) > 10 FROM orders)::INT AS many),
+  s AS (SELECT 'bar' AS chart, 0 AS i, (0.9 + 0.8) / 2 AS score FROM n UNION ALL SELECT 'line', 1, 0.9 * 1.5 FROM n UNION ALL SELECT 'pie', 2, 0.7 * 1.2 ** few * 0.5 ** many FROM n UNION ALL SELECT 'histogram', 4, 0.8 FROM n UNION ALL SELECT 'heatmap', 5, 0.6 FROM n)
+  SELECT chart, round(score, 6)::DOUBLE AS score, CAST(row_number() OVER (ORDER BY score DESC, i) AS INT) AS place FROM s ORDER BY place LIMIT 5""")
+def _(spark, d):
+    o = table(spark, d, "orders").select("o_orderdate", "o_orderstatus", "o_orderpriority", "o_totalprice")
+    return _rounded(recommend.recommendations(recommend.column_roles(o)))
+
+
+@query("dashboard_headline", f"SELECT count(*) AS rows, round(avg(o_orderkey), 4) AS mean, max(o_orderkey)::DOUBLE AS most, round(100 - (count(*) * 5 - count(o_orderkey) - count(customer) - count(status) - count(total) - count(priority)) * 100.0 / (count(*) * 5), 6)::DOUBLE AS quality FROM ({ORDERS})")
+def _(spark, d):
+    return _rounded(_rounded(recommend.headline(_view(spark, d, ORDERS))).withColumn("mean", F.round("mean", 4)))
+
+
+@query("imputation_report", f"""SELECT 'customer' AS name, 'remove' AS strategy, count(*) - count(customer) AS missing_before, 0::BIGINT AS missing_after, count(*) - count(customer) AS rows_removed, 0::BIGINT AS imputed, 1.0::DOUBLE AS improvement, NULL AS warning FROM ({ORDERS})
+  UNION ALL SELECT 'total', 'median', count(*) - count(total), 0, 0, count(*) - count(total), 1.0, CASE WHEN (count(*) - count(total)) / count(*) > 0.3 THEN 'total: over 30 % missing, median instead of mean' END FROM ({ORDERS}) WHERE customer IS NOT NULL""")
+def _(spark, d):
+    policies = {"customer": missing.Policy("remove"), "total": missing.Policy("mean", threshold=0.3, fallback="median")}
+    return _rounded(missing.imputation_report(_view(spark, d, ORDERS), policies)[1])
+
+
+# three known points around each gap by joins on their numbers
+@query("interpolate_quadratic", f"""WITH r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id)::DOUBLE AS i FROM ({EVENT_HOLES})), k AS (SELECT user_id, i, value, row_number() OVER (PARTITION BY user_id ORDER BY i) AS n, count(*) OVER (PARTITION BY user_id) AS m FROM r WHERE value IS NOT NULL),
+  g AS (SELECT r.event_id, r.user_id, r.i, r.value, (SELECT max(k.n) FROM k WHERE k.user_id = r.user_id AND k.i <= r.i) AS p, (SELECT min(k.n) FROM k WHERE k.user_id = r.user_id AND k.i >= r.i) AS q FROM r),
+  h AS (SELECT g.event_id, g.i, g.value, g.p, g.q, a.i AS ai, a.value AS av, b.i AS bi, b.value AS bv, CASE WHEN g.i - a.i <= b.i - g.i THEN CASE WHEN g.p > 1 THEN g.p - 1 WHEN g.q < a.m THEN g.q + 1 END ELSE CASE WHEN g.q < a.m THEN g.q + 1 WHEN g.p > 1 THEN g.p - 1 END END AS cn, g.user_id FROM g LEFT JOIN k a ON a.user_id = g.user_id AND a.n = g.p LEFT JOIN k b ON b.user_id = g.user_id AND b.n = g.q)
+  SELECT event_id, round(CASE WHEN h.value IS NOT NULL THEN h.value WHEN p IS NULL THEN NULL WHEN q IS NULL THEN av WHEN c.i IS NULL THEN av + (bv - av) * (h.i - ai) / (bi - ai) ELSE av * (h.i - bi) * (h.i - c.i) / ((ai - bi) * (ai - c.i)) + bv * (h.i - ai) * (h.i - c.i) / ((bi - ai) * (bi - c.i)) + c.value * (h.i - ai) * (h.i - bi) / ((c.i - ai) * (c.i - bi)) END, 6) AS value FROM h LEFT JOIN k c ON c.user_id = h.user_id AND c.n = h.cn""")
+def _(spark, d):
+    return _rounded(missing.interpolate_quadratic(_view(spark, d, EVENT_HOLES), "value", ["ts", "event_id"], ["user_id"]).select("event_id", "value"))
+
+
+HEADS = """SELECT CAST(floor(p_partkey / 10) AS INT) AS page, CAST(p_partkey % 10 AS INT) AS row_no, k AS col_no, CASE WHEN p_partkey % 10 > 0 THEN p_name WHEN k = 0 THEN CASE p_partkey % 50 WHEN 0 THEN 'Unit Price' WHEN 10 THEN 'JOHN 12' WHEN 20 THEN 'John Smith' WHEN 30 THEN '12:' ELSE '34' END
+  WHEN k = 1 THEN CASE p_partkey % 50 WHEN 0 THEN '99' WHEN 10 THEN '77x9' WHEN 20 THEN '$5' WHEN 30 THEN '' ELSE '3a5' END ELSE CASE p_partkey % 50 WHEN 40 THEN '' WHEN 20 THEN '7-7' ELSE '12345' END END AS text FROM part CROSS JOIN (VALUES (0), (1), (2)) AS v(k)"""
+
+
+@query("header_marks", f"""WITH c AS ({HEADS}), j AS (SELECT *, row_no = 0 AND text <> '' AND ({' OR '.join(f"contains(lower(text), '{w}')" for w in layout.HEADER_WORDS)} OR right(text, 1) = ':' OR (length(text) <= 20 AND regexp_full_match(text, '[A-Za-z\\s]+') AND NOT regexp_full_match(text, '[A-Z][a-z]+ [A-Z][a-z]+'))) AS a,
+  row_no = 0 AND regexp_matches(text, '[A-Za-z]') AND ((text = upper(text) AND length(text) > 1) OR text IN ('John Smith')) AS b FROM c)
+  SELECT page, row_no, col_no, CASE WHEN bool_or(a) OVER (PARTITION BY page) THEN a WHEN bool_or(b) OVER (PARTITION BY page) THEN b ELSE row_no = 0 AND text <> '' END AS is_header FROM j""")
+def _(spark, d):
+    return layout.marked_headers(_view(spark, d, HEADS), ["page"]).select("page", "row_no", "col_no", "is_header")
+
+
+@query("fragment_rows", """WITH f AS (SELECT o_custkey, o_orderkey AS table_id, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS i FROM orders), l AS (SELECT table_id, min(table_id) OVER (PARTITION BY o_custkey, i % 2) AS leader FROM f), r AS (SELECT l_orderkey AS table_id, l_linenumber AS row_no, sum(l_quantity) AS q FROM lineitem GROUP BY 1, 2),
+  s AS (SELECT leader, avg(0.5 + (table_id % 5) / 10.0) AS confidence, count(*) AS fragments FROM l GROUP BY 1)
+  SELECT leader AS table_id, row_number() OVER (PARTITION BY leader ORDER BY l.table_id, row_no) - 1 AS row_no, q AS first_cell, round(confidence, 6)::DOUBLE AS confidence, fragments FROM l JOIN r USING (table_id) JOIN s USING (leader)""")
+def _(spark, d):
+    w = Window.partitionBy("o_custkey").orderBy("o_orderkey")
+    tables = table(spark, d, "orders").withColumn("i", F.row_number().over(w) % 2).selectExpr("o_orderkey AS table_id", "array(concat('customer ', o_custkey), IF(i = 0, 'Price', 'Weight'), 'tax ') AS headers", "0.5 + (o_orderkey % 5) / 10.0D AS confidence")
+    rows = table(spark, d, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.sum("l_quantity").alias("q")).selectExpr("l_orderkey AS table_id", "l_linenumber AS row_no", "array(q, 0) AS cells")
+    return _rounded(layout.merged_fragments(tables, rows, 1.0).select("table_id", "row_no", F.col("cells")[0].alias("first_cell"), "confidence", "fragments"))
+
+
+@query("union_parts", "SELECT c_custkey AS id, c_name AS name, NULL AS size FROM customer UNION ALL SELECT p_partkey, p_name, p_size FROM part")
+def _(spark, d):
+    return layout.union_of([table(spark, d, "customer").selectExpr("c_custkey AS id", "c_name AS name"), table(spark, d, "part").selectExpr("p_partkey AS id", "p_name AS name", "p_size AS size")])
+
+
+@query("coerce_numbers", f"SELECT l_orderkey, l_linenumber, TRY_CAST(quantity AS DOUBLE) AS quantity, price FROM ({TEXTS})")
+def _(spark, d):
+    return types.coerce_numbers(_view(spark, d, TEXTS).select("l_orderkey", "l_linenumber", "quantity", "price"))
+
+
+@query("quick_numeric", f"SELECT table_id, col_no, avg(CASE WHEN regexp_matches(regexp_replace(trim(value), '[$%,]', '', 'g'), '^[+-]?[0-9]+(\\.[0-9]*)?$') THEN 1.0 ELSE 0.0 END) > 0.7 AS numeric FROM ({DIRTY}) WHERE trim(value) <> '' AND row_no < 4 GROUP BY 1, 2")
+def _(spark, d):
+    return types.quick_numeric(_view(spark, d, DIRTY), ["table_id"], 4)
+
+
+@query("rows_removed", "SELECT c_custkey, row_number() OVER (ORDER BY c_custkey) - 1 AS place FROM customer WHERE c_custkey NOT IN (3, 7, 11)")
+def _(spark, d):
+    c = table(spark, d, "customer").selectExpr("c_custkey", "c_custkey AS place")
+    return filters.without_rows(c, "place", [3, 7, 11])
+
+
+@query("combined_answers", """WITH s AS (SELECT o_custkey, 'try ' || o_orderpriority AS s, min(o_orderkey) AS seen FROM orders GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY seen) AS i FROM s)
+  SELECT o_custkey, round(t, 2) AS o_totalprice, round(c, 6) AS confidence, n AS answers, (SELECT string_agg(r.s, '|' ORDER BY r.i) FROM r WHERE r.o_custkey = f.o_custkey AND r.i <= 3) AS suggestions FROM (SELECT o_custkey, sum(o_totalprice) AS t, avg((o_orderkey % 10) / 10.0)::DOUBLE AS c, count(*) AS n FROM orders GROUP BY 1) f""")
+def _(spark, d):
+    a = table(spark, d, "orders").selectExpr("o_custkey", "o_orderkey AS place", "(o_orderkey % 10) / 10.0D AS confidence", "array(concat('try ', o_orderpriority)) AS suggestions", "o_totalprice")
+    out = text.combined_answers(a, "o_custkey", ["o_totalprice"], 3).withColumn("suggestions", F.array_join("suggestions", "|"))
+    return _rounded(out).withColumn("o_totalprice", F.round("o_totalprice", 2))
+
+
+@query("kpi_texts", f"""WITH c AS (SELECT kpi_id, a.value - b.value AS d, (a.value - b.value) * 100 / b.value AS p FROM ({_YEAR.format(1998)}) a JOIN ({_YEAR.format(1997)}) b USING (kpi_id)) SELECT kpi_id, CASE WHEN d > 0 THEN 'increased by ' ELSE 'decreased by ' END || printf('%.1f%%', abs(p)) AS text, CASE WHEN d > 0 THEN 'Target exceeded by ' || printf('%.1f%%', p) ELSE 'Below target by ' || printf('%.1f%%', abs(p)) END AS target FROM c""")
+def _(spark, d):
+    c = kpi.comparisons(_view(spark, d, _YEAR.format(1998)), _view(spark, d, _YEAR.format(1997)))
+    text_of = lambda kind: S.comparison_text(F.lit(kind), F.col("difference"), F.col("percent"), F.col("improved"))
+    return c.select("kpi_id", text_of("previous_period").alias("text"), text_of("target").alias("target"))
+
+
+@query("session_log")
+def _(spark, d):
+    e = table(spark, d, "events").selectExpr("user_id", "event_id", "ts", "user_id * 100 + CAST(datediff(ts, DATE '2024-01-01') AS INT) DIV 2 AS session_id", "concat('10.0.0.', event_id % 3) AS address")
+    return streams.session_log(e)
+
+
 # --- streams, in batch form -----------------------------------------------------------------------------------
 
 
@@ -1027,9 +1129,9 @@ def _(spark, d):
     return streams.alert_events(table(spark, d, "events"), 90.0).select("event_id")
 
 
-@query("quota", "SELECT event_id, user_id, event_type, used, greatest(0, 3 - used) AS remaining FROM (SELECT *, count(*) OVER (PARTITION BY user_id, event_type ORDER BY ts RANGE BETWEEN INTERVAL 1 HOUR PRECEDING AND CURRENT ROW) AS used FROM events)")
+@query("quota", "SELECT event_id, user_id, event_type, used, greatest(0, 3 - used) AS remaining, round(epoch(first) + 3600 - epoch(ts), 3) AS reset_after FROM (SELECT *, count(*) OVER w AS used, min(ts) OVER w AS first FROM events WINDOW w AS (PARTITION BY user_id, event_type ORDER BY ts RANGE BETWEEN INTERVAL 1 HOUR PRECEDING AND CURRENT ROW))")
 def _(spark, d):
-    return streams.quota(table(spark, d, "events"), 3)
+    return _rounded(streams.quota(table(spark, d, "events"), 3), 3)
 
 
 # one request an hour for each user and type, and a burst of none: allowed are those an hour after the last allowed one

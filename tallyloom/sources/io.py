@@ -86,3 +86,31 @@ def load_versions(spark: SparkSession, root: str, schema: str) -> DataFrame:
 def records(df: DataFrame, order: list[str]) -> DataFrame:
     """Rows as JSON texts in order."""
     return df.orderBy(*order).select(F.to_json(F.struct(*df.columns)).alias("json"))
+
+
+def dashboard_json(parts: dict[str, DataFrame], about: dict[str, str]) -> DataFrame:
+    """One JSON text of a dashboard: what it is about, and the rows of each part (KPIs, charts, filters) as arrays.
+
+    Parts are results of reports: each is packed into one array, so give them limits of their own.
+    """
+    spark = next(iter(parts.values())).sparkSession
+    out = spark.range(1).select(F.struct(*[F.lit(v).alias(k) for k, v in about.items()]).alias("config"))
+    for name, df in parts.items():
+        rows = df.agg(F.array_sort(F.collect_list(F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"}))).alias(name))
+        out = out.crossJoin(rows)  # one row each
+    named = F.map_from_arrays(F.array(*[F.lit(n) for n in parts]), F.array(*[F.concat(F.lit("["), F.array_join(n, ","), F.lit("]")) for n in parts]))
+    body = F.array_join(F.transform(F.map_entries(named), lambda e: F.concat(F.lit('"'), e["key"], F.lit('":'), e["value"])), ",")
+    return out.select(F.concat(F.lit('{"config":'), F.to_json("config"), F.lit(","), body, F.lit("}")).alias("json"))
+
+
+def export_skipping(tables: dict[str, DataFrame], path: str, kind: str = "json") -> dict[str, str]:
+    """Each table to a file set ``table_{i}_{name}``; those that cannot be exported are passed over and named with the reason."""
+    failed = {}
+    for i, (name, df) in enumerate(tables.items()):
+        try:
+            exportable(df, kind)
+            writer = df.write.mode("overwrite")
+            (writer.option("header", True).csv if kind == "csv" else writer.json)(f"{path}/table_{i}_{name}.{kind}")
+        except ValueError as reason:
+            failed[name] = str(reason)
+    return failed

@@ -140,11 +140,88 @@ def rate_limited_stream(df: DataFrame, limits: Limit | dict[str, Limit] = LIMITS
 
 
 def quota(df: DataFrame, limit: int) -> DataFrame:
-    """Requests of the last hour, and what remains, at each request."""
+    """Requests of the last hour, what remains, and the seconds until the oldest of them no longer counts, at each request."""
     from pyspark.sql import Window
 
-    w = Window.partitionBy("user_id", "event_type").orderBy(F.unix_micros(F.col("ts").cast("timestamp"))).rangeBetween(-3_600_000_000, 0)
-    return df.select("event_id", "user_id", "event_type", F.count("*").over(w).alias("used")).withColumn("remaining", F.greatest(F.lit(0), F.lit(limit) - F.col("used")))
+    at = F.unix_micros(F.col("ts").cast("timestamp"))
+    w = Window.partitionBy("user_id", "event_type").orderBy(at).rangeBetween(-3_600_000_000, 0)
+    return df.select(
+        "event_id", "user_id", "event_type", F.count("*").over(w).alias("used"), ((F.min(at).over(w) + 3_600_000_000 - at) / 1e6).alias("reset_after")
+    ).withColumn("remaining", F.greatest(F.lit(0), F.lit(limit) - F.col("used")))
+
+
+# --- sessions -------------------------------------------------------------------------------------
+
+#: Seconds that a session lasts, the rest of them below which a use renews it, and how many a user may have.
+SESSION, RENEW, MOST_SESSIONS = 86_400.0, 3_600.0, 5
+SESSION_EVENT = "user_id long, event_id long, at double, session_id long, outcome string, ip_differs boolean, expires double, evicted long"
+
+
+class Sessions:
+    """The open sessions of one user: session_id to (last use, end, address)."""
+
+    def __init__(self, held: dict | None = None):
+        self.held = dict(held or {})
+
+    def use(self, session_id: int, at: float, address: str) -> tuple[str, bool, float | None, int | None]:
+        """Outcome (created, used, renewed or expired), another address, end, and the session that had to go."""
+        if session_id in self.held:
+            last, end, first = self.held[session_id]
+            if at > end:
+                del self.held[session_id]
+                return "expired", False, None, None
+            renewed = end - at < RENEW
+            end = at + SESSION if renewed else end
+            self.held[session_id] = (at, end, first)
+            return "renewed" if renewed else "used", address != first, end, None
+        self.held = {k: v for k, v in self.held.items() if v[1] >= at}
+        evicted = min(self.held, key=lambda k: (self.held[k][0], k)) if len(self.held) >= MOST_SESSIONS else None
+        self.held.pop(evicted, None)
+        self.held[session_id] = (at, at + SESSION, address)
+        return "created", False, at + SESSION, evicted
+
+
+def _uses(df: DataFrame) -> DataFrame:
+    """user_id, event_id, at, session_id and address of a table that has ``ts`` and the rest."""
+    return df.select("user_id", "event_id", (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("at"), F.col("session_id").cast("long"), "address")
+
+
+def session_log(df: DataFrame) -> DataFrame:
+    """What becomes of each use of a session, in the order of time and event_id of each user; a task keeps the sessions of one user."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        user, own = None, Sessions()
+        for pdf in batches:
+            out = []
+            for u, event_id, at, session_id, address in pdf.itertuples(index=False):
+                if u != user:
+                    user, own = u, Sessions()
+                out.append((u, event_id, at, session_id, *own.use(session_id, at, address)))
+            made = pd.DataFrame(out, columns=[c.split()[0] for c in SESSION_EVENT.split(", ")])
+            yield made.assign(evicted=made["evicted"].astype("Int64"), expires=made["expires"].astype("Float64"))
+
+    return _uses(df).repartition("user_id").sortWithinPartitions("user_id", "at", "event_id").mapInPandas(run, SESSION_EVENT)
+
+
+def session_log_stream(df: DataFrame) -> DataFrame:
+    """The same for a stream; a user's state goes once all of their sessions have ended."""
+
+    def run(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        own = Sessions({k: (a, b, c) for k, a, b, c in zip(*state.get, strict=True)} if state.exists else None)
+        out = []
+        for event_id, at, session_id, address in pd.concat(list(batches)).sort_values(["at", "event_id"])[["event_id", "at", "session_id", "address"]].itertuples(index=False):
+            out.append((*key, event_id, at, session_id, *own.use(session_id, at, address)))
+        ids = list(own.held)
+        state.update((ids, *([own.held[k][j] for k in ids] for j in range(3))))
+        state.setTimeoutDuration(int(1000 * (SESSION + RENEW)))
+        made = pd.DataFrame(out, columns=[c.split()[0] for c in SESSION_EVENT.split(", ")])
+        yield made.assign(evicted=made["evicted"].astype("Int64"), expires=made["expires"].astype("Float64"))
+
+    held = "ids array<long>, last array<double>, ends array<double>, addresses array<string>"
+    return _uses(df).groupBy("user_id").applyInPandasWithState(run, SESSION_EVENT, held, "append", GroupStateTimeout.ProcessingTimeTimeout)
 
 
 # --- change detection and refresh ---------------------------------------------------------------

@@ -1,5 +1,6 @@
 """Small tables with known results, and every catalogue query against DuckDB."""
 
+import json
 import math
 import os
 import random
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 
 from tallyloom.functions import scalars as S
 from tallyloom.functions.similarity import similarity
-from tallyloom.operators import cells, charts, dedup, filters, kpi, layout, logs, missing, privacy, ranks, schema, templates, text, types
+from tallyloom.operators import cells, charts, dedup, filters, kpi, layout, logs, missing, privacy, ranks, recommend, schema, templates, text, types
 from tallyloom.plans import catalogue, questions, standardise
 from tallyloom.sources import io
 from tallyloom.streaming import streams
@@ -326,3 +327,78 @@ def test_knn_takes_all_donors_and_ancestry_all_parents(spark):
     assert got == pytest.approx(want)
     chain = spark.createDataFrame([(i, i - 1 if i else None) for i in range(70)], "version long, parent_version long")
     assert {(r.version, r.depth) for r in schema.ancestry(chain, 69).collect()} == {(69 - d, d) for d in range(70)}
+
+
+def test_session_rules(spark, testdata, tmp_path):
+    hour = 3600.0
+    own = streams.Sessions()
+    assert own.use(1, 0.0, "a") == ("created", False, 24 * hour, None)
+    assert own.use(1, 5 * hour, "b") == ("used", True, 24 * hour, None)
+    assert own.use(1, 23.5 * hour, "a") == ("renewed", False, 47.5 * hour, None)
+    assert own.use(1, 48 * hour, "a") == ("expired", False, None, None)
+    own = streams.Sessions()
+    for k in range(5):
+        own.use(k, float(k), "a")
+    own.use(0, 10.0, "a")
+    assert own.use(9, 11.0, "a") == ("created", False, 11.0 + 24 * hour, 1)  # the one used longest ago goes
+    # the batch form, the stream and plain loops agree
+    made = spark.read.parquet(f"{testdata}/sf0.001/events.parquet").selectExpr("user_id", "event_id", "ts", "user_id * 100 + CAST(datediff(ts, DATE '2024-01-01') AS INT) DIV 2 AS session_id", "concat('10.0.0.', event_id % 3) AS address")
+    want, users = [], {}
+    for r in sorted(made.collect(), key=lambda r: (r.user_id, r.ts, r.event_id)):
+        at = r.ts.timestamp() if r.ts.tzinfo else (r.ts - datetime(1970, 1, 1)).total_seconds()
+        want.append((r.event_id, *users.setdefault(r.user_id, streams.Sessions()).use(r.session_id, at, r.address)[:2]))
+    key = ["event_id", "outcome", "ip_differs"]
+    got = streams.session_log(made).select(key)
+    assert sorted(map(tuple, got.collect())) == sorted(want)
+    made.coalesce(1).write.parquet(str(tmp_path / "in"))
+    live = spark.readStream.schema(made.schema).parquet(str(tmp_path / "in"))
+    run = streams.session_log_stream(live).writeStream.format("memory").queryName("session_uses").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+    run.awaitTermination(120)
+    assert sorted(map(tuple, spark.table("session_uses").select(key).collect())) == sorted(want)
+
+
+def test_charts_that_suit(spark):
+    df = spark.createDataFrame([(f"2024-01-{i % 28 + 1:02d}", "abcde"[i % 5], float(i), i * 7 % 100) for i in range(60)], "day string, kind string, v double, w int")
+    roles = {r.name: (r.kind, r.categorical, r.numerical, r.temporal) for r in recommend.column_roles(df).collect()}
+    assert roles == {"day": ("date", False, False, True), "kind": ("text", True, False, False), "v": ("number", False, True, False), "w": ("number", False, True, False)}
+    configs = recommend.configurations(df)
+    assert [c.chart for c in configs] == ["line", "scatter", "bar"]
+    assert configs[0] == recommend.ChartConfig("line", "day", "v", aggregation="avg") and configs[1].colour == "kind"
+    assert recommend.drawn(df, configs[2]).count() == 5
+    one = recommend.recommendations(recommend.column_roles(df.select("v"))).orderBy("place").first()
+    assert one.chart == "histogram"
+    assert recommend.headline(df).first().quality == 100
+
+
+def test_header_and_fragment_rules(spark):
+    rows = [("a", 0, 0, "Name"), ("a", 0, 1, "77"), ("a", 1, 0, "John"), ("b", 0, 0, "JOHN 12"), ("b", 0, 1, "x9"), ("c", 0, 0, "12"), ("c", 0, 1, ""), ("c", 0, 2, "34")]
+    marked = layout.marked_headers(spark.createDataFrame(rows, "page string, row_no int, col_no int, text string"), ["page"])
+    assert {(r.page, r.col_no) for r in marked.where("is_header").collect()} == {("a", 0), ("b", 0), ("c", 0), ("c", 2)}
+    assert sorted(tuple(r) for r in layout.header_names(marked, ["page"]).collect()) == [("a", 0, "Name"), ("b", 0, "JOHN 12"), ("c", 0, "12"), ("c", 1, "Column_2"), ("c", 2, "34")]
+    whole = layout.union_of([spark.createDataFrame([(1, "x")], "id int, name string"), spark.createDataFrame([(2, 3)], "id int, size int")])
+    assert sorted(map(tuple, whole.collect())) == [(1, "x", None), (2, None, 3)]
+
+
+def test_edits_reports_and_exports(spark, tmp_path):
+    df = spark.createDataFrame([(i, f"v{i}") for i in range(20)], "place int, v string").repartition(4)
+    assert [tuple(r) for r in filters.without_rows(df, "place", [0, 7]).orderBy("place").collect()] == [(k, f"v{i}") for k, i in enumerate(i for i in range(20) if i not in (0, 7))]
+    assert filters.with_row(df, {"v": "new"}).where("place IS NULL").first().v == "new"
+    with pytest.raises(ValueError):
+        filters.renamed(df, {"v": "place"})
+    sql = spark.createDataFrame([("SELECT * FROM t;",), ("SELECT * FROM t LIMIT 5",), ("SELECT a FROM t",)], "s string").select(filters.safe_limit(F.col("s")).alias("s"))
+    assert [r.s for r in sql.collect()] == ["SELECT * FROM t LIMIT 1000", "SELECT * FROM t LIMIT 5", "SELECT a FROM t"]
+    dirty = spark.createDataFrame([(0, "John", "25"), (1, "John", "25"), (2, "name", "age"), (3, "Jon", "25"), (4, "Mary Poppins", "61")], "row_id int, name string, age string")
+    clean, log = dedup.pipeline(dirty, "row_id", 0.8)
+    assert [r.row_id for r in clean.orderBy("row_id").collect()] == [0, 4]
+    assert {r.step: r.removed for r in log.collect()} == {"names": 0, "exact": 1, "headers": 1, "fuzzy": 1}
+    out = io.dashboard_json({"kpis": spark.createDataFrame([("a", 1.5)], "kpi_id string, value double"), "charts": spark.createDataFrame([], "x int")}, {"title": "Sales"}).first().json
+    assert json.loads(out) == {"config": {"title": "Sales"}, "kpis": [{"kpi_id": "a", "value": 1.5}], "charts": []}
+    failed = io.export_skipping({"flat": df, "nested": df.withColumn("a", F.array("v"))}, str(tmp_path), "csv")
+    assert list(failed) == ["nested"] and (tmp_path / "table_0_flat.csv").exists()
+    filled, report = missing.imputation_report(spark.createDataFrame([(1.0,), (None,), (3.0,)], "v double"), {"v": missing.Policy("mean")})
+    r = report.first()
+    assert (r.missing_before, r.missing_after, r.imputed, r.rows_removed, r.improvement, r.warning) == (1, 0, 1, 0, 1.0, None) and filled.where("v = 2.0").count() == 1
+    kinds = spark.createDataFrame([("unit_price", 5.0), ("success_rate", 50.0), ("share", 0.5), ("size", 9.0)], "n string, m double").select(S.format_kind(F.col("n"), F.col("m")).alias("k"))
+    assert [r.k for r in kinds.collect()] == ["currency", "percentage", "percentage", "number"]
+    merged = spark.range(1).select(S.merged_maps(F.create_map(F.lit("a"), F.lit("1"), F.lit("b"), F.lit("2")), F.create_map(F.lit("b"), F.lit("3"))).alias("m")).first().m
+    assert merged == {"a": "1", "b": "3"}
