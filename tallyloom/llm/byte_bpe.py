@@ -11,7 +11,9 @@ The slices are those of the pattern of the public rank files: contractions after
 runs of letters, numbers or other characters with one space before them, and white space.
 
 Defined results: null and empty texts have no tokens and decode to no bytes; special tokens are
-never made; very long texts are encoded whole, in blocks; other columns are ignored.
+ordinary text; very long texts are encoded whole; of pairs of equal rank the leftmost is merged first;
+every row, repeated ones and those without a doc_id too, is encoded on its own; an empty table gives
+no rows; other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations

@@ -5,7 +5,8 @@ verdict is integer arithmetic. A null text has no words. Words are maximal runs
 ``\\x20 \\x09-\\x0D``; lines are split at ``\\n`` and count only if they hold a word.
 
 Defined results: null, empty and white-space texts have zero counts and fail the base rule; very
-long texts are measured whole; repeated rows are judged alike; other columns do not matter.
+long texts are measured whole; repeated rows, with a doc_id or without, are judged alike; a count on the
+bound of a rule passes; an empty table gives no rows; other columns, whatever their names, do not matter.
 """
 
 from __future__ import annotations

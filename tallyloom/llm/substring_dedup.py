@@ -4,11 +4,13 @@ Two passes over evenly dealt parts of the documents. The first sends the distinc
 a part to the bucket of each hash, where the parts that hold it are counted; the second makes the
 hashes again, reads off which windows occur elsewhere, merges repeated windows into maximal
 intervals and removes their words. Hashes have 64 bits, and two hashes are only compared within a
-bucket chosen by an independent second hash, so that the key grows with the corpus.
+bucket chosen by an independent second hash, so that the key grows with the corpus. At 100 TB, some
+2e13 windows in 8e5 buckets, about ten windows in all are expected to be taken for repeated ones.
 
 Defined results: null and empty texts have no words and lose none; a text shorter than a window
-loses nothing; repeated rows are separate documents, each of which loses what it shares with the
-other; other columns, whatever their names, are ignored.
+loses nothing; very long texts are judged whole; repeated rows, with a doc_id or without, are separate
+documents, each of which loses what it shares with the other; an empty table gives no rows; other
+columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
