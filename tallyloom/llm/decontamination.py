@@ -8,12 +8,15 @@ Karp-Rabin with a falling search length and marked, longest first, until none of
 tokens is left. Passages cut up and reordered are thus still covered. A document is contaminated by
 an item if tiles cover ``THRESHOLD`` of the item's tokens.
 
-Benchmarks are small beside a corpus: if all items together have at most ``SMALL_BYTES`` bytes they
-go to the executors whole; a larger benchmark is joined with the documents by seed in Spark.
-
-Defined results: items of fewer than ``MIN_MATCH`` tokens are not tested; null and empty texts share
-nothing; repeated rows of a document or an item give repeated pairs; very long texts are tested
-whole; other columns are ignored.
+Items go to the executors in blocks of about ``BLOCK_BYTES``, each of which is held against all
+documents in turn, so that a benchmark of any size is tested by the same steps.
+
+Defined results: items of fewer than ``MIN_MATCH`` tokens, null and empty ones too, are not tested;
+items of one item_id and different texts are items of their own, equal rows are one item, and an item
+without an id is tested like any other; null and empty documents share nothing; very long texts are
+tested whole; repeated rows of a document give repeated pairs; of tiles of equal length the first of
+the item, then of the document, is marked; an empty table on either side gives no pairs; other columns,
+whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -26,10 +29,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textblocks
+from .scratch import lookup
 
 MIN_MATCH = 5
 THRESHOLD = 0.8
-SMALL_BYTES = 32 << 20
+#: Bytes of items that the executors hold at once, and the least that an item counts.
+BLOCK_BYTES = 16 << 20
+LEAST_ITEM = 64
 PAIRS = "doc_id long, item_id long, item_tokens long, covered_tokens long, n_tiles long, coverage double"
 
 _BREAK = np.arange(256, dtype=np.uint8)
@@ -146,7 +152,10 @@ class Items:
 
     def candidates(self, seeds: np.ndarray, least: int, threshold: float) -> list[int]:
         """Items of which the given seeds cover enough."""
-        shared = np.flatnonzero(np.isin(self.seeds, seeds))
+        own = np.unique(seeds)
+        low, high = np.searchsorted(self.seeds, own, "left"), np.searchsorted(self.seeds, own, "right")
+        n = high - low
+        shared = np.repeat(low - (np.cumsum(n) - n), n) + np.arange(n.sum())
         out = []
         for k in np.unique(self.of[shared]).tolist():
             starts = self.at[shared[self.of[shared] == k]]
@@ -157,18 +166,34 @@ class Items:
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, least: int = MIN_MATCH, threshold: float = THRESHOLD) -> DataFrame:
     """Pairs of documents and benchmark items that they contain, with the tiles' coverage of the item."""
+    return _pairs(docs.select(F.col("doc_id").cast("long"), "text"), benchmark, least, threshold).drop("text_hash", "text_size")
+
+
+def _blocks(benchmark: DataFrame, least: int) -> Iterator[list[tuple]]:
+    """The distinct items that may hold ``least`` tokens, in blocks of about BLOCK_BYTES by hash."""
+    size = F.octet_length("text")
+    items = benchmark.select(F.col("item_id").cast("long"), "text").where(size >= 2 * least - 1).distinct()
+    weight = items.agg(F.coalesce(F.sum(F.greatest(size, F.lit(LEAST_ITEM))), F.lit(0)).alias("b")).first()["b"]
+    n = -(-weight // BLOCK_BYTES)
+    for i in range(n):
+        yield [tuple(r) for r in items.where(F.pmod(F.xxhash64("text", "item_id"), F.lit(n)) == i).collect()]  # about BLOCK_BYTES
+
+
+def _pairs(docs: DataFrame, benchmark: DataFrame, least: int, threshold: float) -> DataFrame:
+    """PAIRS and hash and size of the document's text."""
     if least < 1 or not 0 < threshold <= 1:
         raise ValueError("a match has one token at least, a threshold is in (0, 1]")
-    named = docs.select(F.col("doc_id").cast("long"), "text")
-    items = benchmark.select(F.col("item_id").cast("long"), "text")
-    size = items.select(F.sum(F.octet_length("text"))).first()[0] or 0
-    if size <= SMALL_BYTES:
-        return _small(named, items, least, threshold)
-    return _large(named, items, least, threshold)
+    rows = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash"), F.coalesce(F.octet_length("text"), F.lit(-1)).alias("text_size"))
+    schema = PAIRS + ", text_hash long, text_size int"
+    out = None
+    for items in _blocks(benchmark, least):
+        found = rows.mapInPandas(_tester(docs.sparkSession.sparkContext.broadcast(Items(items, least)), least, threshold, schema), schema)
+        out = found if out is None else out.unionByName(found)
+    return docs.sparkSession.createDataFrame([], schema) if out is None else out
 
 
-def _small(docs: DataFrame, items: DataFrame, least: int, threshold: float) -> DataFrame:
-    table = docs.sparkSession.sparkContext.broadcast(Items([tuple(r) for r in items.collect()], least))  # at most SMALL_BYTES
+def _tester(table, least: int, threshold: float, schema: str):
+    """Tiles the documents of a batch with the items of ``table`` (a broadcast) that they may contain."""
 
     def test(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known: Items = table.value
@@ -183,70 +208,27 @@ def _small(docs: DataFrame, items: DataFrame, least: int, threshold: float) -> D
                     if not len(x):
                         continue
                     d = int(doc_of[x[0]])
-                    doc = h[bounds[d] : bounds[d + 1]]
+                    doc, row = h[bounds[d] : bounds[d + 1]], pdf.iloc[first + d]
                     for k in known.candidates(seeds[hit[x]], least, threshold):
                         n = len(known.tokens[k])
                         covered, tiles = _judged(known.tokens[k], doc, least)
                         if covered >= threshold * n:
-                            rows.append((pdf["doc_id"].iat[first + d], known.ids[k], n, covered, tiles, covered / n))
-            yield pd.DataFrame(rows, columns=[c.split()[0] for c in PAIRS.split(", ")])
-
-    return docs.mapInPandas(test, PAIRS)
-
-
-def _large(docs: DataFrame, items: DataFrame, least: int, threshold: float) -> DataFrame:
-    """The same pairs by a join of seeds, for a benchmark of any size."""
-    rows = docs.select("doc_id", "text", F.xxhash64("text").alias("h"), F.octet_length("text").alias("size"))
-    key = ["doc_id", "h", "size"]
-
-    def seeds_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            out = []
-            for _, bounds, h in _tokens(pdf["text"]):
-                starts = textblocks.window_starts(bounds, least)
-                hashes = textblocks.window_hashes(h, starts, least).view(np.int64)
-                cuts = np.searchsorted(starts, bounds)
-                out += [np.unique(hashes[a:b]) for a, b in zip(cuts, cuts[1:], strict=False)]
-            yield pdf.drop(columns="text").assign(seed=out)
-
-    def coverage_of(items_pdf: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in items_pdf:
-            out = []
-            for _, bounds, h in _tokens(pdf["text"]):
-                for a, b in zip(bounds, bounds[1:], strict=False):
-                    starts = np.arange(max(b - a - least + 1, 0))
-                    out.append((textblocks.window_hashes(h[a:b], starts, least).view(np.int64), starts, b - a))
-            yield pdf.drop(columns="text").assign(seed=[s for s, _, _ in out], at=[p for _, p, _ in out], n=[int(n) for _, _, n in out])
-
-    distinct = rows.distinct()
-    doc_seeds = distinct.mapInPandas(seeds_of, "doc_id long, h long, size int, seed array<long>").withColumn("seed", F.explode("seed"))
-    item_seeds = (
-        items.distinct().mapInPandas(coverage_of, "item_id long, seed array<long>, at array<long>, n long")
-        .where(F.col("n") >= least).withColumn("x", F.explode(F.arrays_zip("seed", "at"))).select("item_id", "n", "x.seed", "x.at")
-    )
-    shared = doc_seeds.join(item_seeds, "seed").groupBy(*key, "item_id", "n").agg(F.count("*").alias("k"))
-    # k seeds cover at most k * least tokens
-    wanted = shared.where(F.col("k") * least >= threshold * F.col("n")).select(*key, "item_id")
-    same = F.expr("doc_id <=> d AND h <=> e AND size <=> f")
-    pairs = wanted.toDF("d", "e", "f", "item_id").join(rows, same).join(items.withColumnRenamed("text", "item"), "item_id")
-
-    def test(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            out = []
-            for d, i, text, item in zip(pdf["doc_id"], pdf["item_id"], pdf["text"], pdf["item"], strict=True):
-                (_, _, a), (_, _, b) = (next(_tokens([t])) for t in (item, text))
-                covered, tiles = _judged(a, b, least)
-                if covered >= threshold * len(a):
-                    out.append((d, i, len(a), covered, tiles, covered / len(a)))
-            yield pd.DataFrame(out, columns=[c.split()[0] for c in PAIRS.split(", ")])
+                            rows.append((row["doc_id"], known.ids[k], n, covered, tiles, covered / n, row["text_hash"], row["text_size"]))
+            yield pd.DataFrame(rows, columns=[c.split()[0] for c in schema.split(", ")])
 
-    return pairs.select("doc_id", "item_id", "text", "item").mapInPandas(test, PAIRS)
+    return test
 
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The documents that contain no benchmark item; rows with one doc_id stay or go together."""
-    leaks = contaminated(docs, benchmark).select("doc_id").where("doc_id IS NOT NULL").distinct()
-    return docs.join(leaks, "doc_id", "left_anti").select(*docs.columns)
+    """The documents that contain no benchmark item; columns and other rows stay as they are.
+
+    Each row is judged by its own text, whatever other rows of its doc_id hold and if it has none; null
+    and empty texts stay; an empty table stays empty.
+    """
+    leaks = _pairs(docs.select(F.col("doc_id").cast("long"), "text"), benchmark, MIN_MATCH, THRESHOLD)
+    gone = lookup(leaks.select(F.col("doc_id").alias("_leak_id"), F.col("text_hash").alias("_leak_hash"), F.col("text_size").alias("_leak_size")).distinct(), "leaks")
+    same = docs["doc_id"].cast("long").eqNullSafe(gone["_leak_id"]) & (F.xxhash64(docs["text"]) == gone["_leak_hash"]) & (F.octet_length(docs["text"]) == gone["_leak_size"])
+    return docs.join(gone, same, "left_anti")
 
 
 def brute_force(rows: list[tuple], items: list[tuple], least: int = MIN_MATCH, threshold: float = THRESHOLD) -> set:

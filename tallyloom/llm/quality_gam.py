@@ -5,13 +5,16 @@ shallow tree over the bins of one feature fits the gradient of the logistic loss
 small step, to the feature's lookup table. Then the pairs whose quadrants explain most of what is
 left get two-dimensional tables in the same way. A score is a sum of looked-up numbers.
 
-Labels are learned from at most ``TRAIN_ROWS`` labelled rows, those of the least hash, whose
-crc32(doc_id) mod 5 is not 0; their features (a few numbers a row) are all that reaches the driver.
+Labels are learned from at most ``TRAIN_ROWS`` labelled doc_ids, those of the least hash, whose
+crc32(doc_id) mod 5 is not 0; their features (a few numbers each) are all that reaches the driver.
 Labels, lang, source and doc_id are not features.
 
 Defined results: null and empty texts have features of zero and are scored; a null doc_id counts as
 held out; without usable labels every score is 0.5; labels without a document, and null labels, are
-passed over; a doc_id labelled twice counts with its larger label; other columns are ignored.
+passed over; a doc_id labelled twice counts with its larger label; of documents that repeat a doc_id
+the text of the least hash is learned from, and every row is scored; very long texts are measured whole;
+equal gains of two cuts take the earlier bin; an empty table gives no rows; other columns, whatever
+their names, are ignored.
 """
 
 from __future__ import annotations
@@ -230,13 +233,15 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
         .groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("quality").cast("int").alias("quality"))
         .orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
     )
-    texts = docs.select(F.col("doc_id").cast("long"), "text").join(F.broadcast(chosen), "doc_id")  # at most ``rows`` rows
+    texts = docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("h")).join(F.broadcast(chosen), "doc_id")  # at most ``rows`` rows
 
     def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "quality": pdf["quality"], "x": list(features(pdf["text"]))})
+            yield pd.DataFrame({"doc_id": pdf["doc_id"], "quality": pdf["quality"], "h": pdf["h"], "x": list(features(pdf["text"]))})
 
-    got = texts.mapInPandas(measure, "doc_id long, quality int, x array<float>").toPandas().sort_values("doc_id", kind="stable")
+    measured = texts.mapInPandas(measure, "doc_id long, quality int, h long, x array<float>")
+    one = measured.groupBy("doc_id").agg(F.first("quality").alias("quality"), F.min_by("x", "h").alias("x"))
+    got = one.toPandas().sort_values("doc_id", kind="stable")  # at most ``rows`` rows
     x = np.array(got["x"].tolist(), np.float32).reshape(len(got), len(FEATURES))
     return fit(x, got["quality"].to_numpy(np.float64))
 
