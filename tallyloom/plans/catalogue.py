@@ -701,9 +701,11 @@ def _(spark, d):
     return text.metrics(_view(spark, d, QUESTIONS), "qid")
 
 
-@query("answer_features")
+@query("answer_features", """WITH c AS (SELECT concat_ws('-', conv_id, turn) AS k, len(list_filter(regexp_split_to_array(text, '[.!?]+\\s*'), lambda s: length(trim(s)) > 0)) AS sentences, len(list_filter(regexp_split_to_array(text, '\\s+'), lambda s: s <> '')) AS words, len(regexp_extract_all(text, '(?m)^\\s*(?:[0-9]+\\.|[-*])\\s')) AS steps,
+  contains(lower(text), 'because') OR contains(lower(text), 'therefore') OR contains(lower(text), 'due to') AS explains FROM conversations)
+  SELECT k, sentences::INT AS sentences, words::INT AS words, steps::INT AS steps, explains, round(least(1.0, 0.5 + CASE WHEN sentences > 0 AND words / sentences BETWEEN 5 AND 25 THEN 0.3 ELSE 0 END + CASE WHEN steps > 0 THEN 0.2 ELSE 0 END), 6)::DOUBLE AS clarity FROM c""")
 def _(spark, d):
-    return text.answer_features(table(spark, d, "conversations").withColumn("k", F.concat_ws("-", "conv_id", "turn")), "k")
+    return _rounded(text.answer_features(table(spark, d, "conversations").withColumn("k", F.concat_ws("-", "conv_id", "turn")), "k"))
 
 
 @query("entities")
@@ -992,7 +994,8 @@ def _(spark, d):
     return layout.rectangular(t, ["name", "brand", "type"])
 
 
-@query("word_boxes")
+@query("word_boxes", """WITH t AS (SELECT p_partkey, list_filter(regexp_split_to_array(trim(p_name), '\\s+'), lambda w: w <> '') AS ws FROM part), u AS (SELECT p_partkey, ws, unnest(generate_series(1, len(ws))) AS i, list_sum(list_transform(ws, lambda w: length(w))) AS chars FROM t),
+  v AS (SELECT *, coalesce(list_sum(list_transform(ws[1:i - 1], lambda w: length(w))), 0) AS before FROM u) SELECT p_partkey, CAST(i - 1 AS INT) AS place, ws[i] AS word, CAST(10 + floor(200.0::DOUBLE * before / chars + 4.0::DOUBLE * (i - 1)) AS INT) AS x, CAST(floor(200.0::DOUBLE * length(ws[i]) / chars) AS INT) AS width FROM v""")
 def _(spark, d):
     return cells.split_span(table(spark, d, "part").selectExpr("p_partkey", "p_name AS text", "10 AS x", "200 AS width"), "p_partkey")
 
