@@ -402,3 +402,65 @@ def test_edits_reports_and_exports(spark, tmp_path):
     assert [r.k for r in kinds.collect()] == ["currency", "percentage", "percentage", "number"]
     merged = spark.range(1).select(S.merged_maps(F.create_map(F.lit("a"), F.lit("1"), F.lit("b"), F.lit("2")), F.create_map(F.lit("b"), F.lit("3"))).alias("m")).first().m
     assert merged == {"a": "1", "b": "3"}
+
+
+def _python_similarity(a, b):
+    from difflib import SequenceMatcher
+
+    if a == b:
+        return 1.0
+    if not a or not b:
+        return 0.0
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        row, old = [i], row
+        for j, y in enumerate(b, 1):
+            row.append(min(old[j] + 1, row[-1] + 1, old[j - 1] + (x != y)))
+    edit = 1 - row[-1] / max(len(a), len(b)) if len(a) <= 50 and len(b) <= 50 else 0.0
+    return max(SequenceMatcher(None, a, b).ratio(), edit)
+
+
+def test_fuzzy_rows_and_values_against_all_pairs(spark):
+    rng = random.Random(12)
+    base = ["".join(rng.choices("abcdefg ", k=rng.randint(4, 12))).strip() + "x" for _ in range(15)]
+    texts = []
+    for _ in range(120):
+        t = list(rng.choice(base))
+        for _ in range(rng.randint(0, 2)):
+            t[rng.randrange(len(t))] = rng.choice("abcdefghij")
+        texts.append("".join(t))
+    squeezed = [" ".join(t.lower().split()) for t in texts]
+    taken: dict = {}
+    for i in range(len(texts)):
+        if i not in taken:
+            for j in range(i + 1, len(texts)):
+                if j not in taken and _python_similarity(squeezed[i], squeezed[j]) >= 0.8:
+                    taken[j] = i
+    got = dedup.fuzzy(spark.createDataFrame(list(enumerate(texts)), "row_id long, t string"), "row_id", ["t"], 0.8)
+    assert {r.row_id for r in got.collect()} == set(range(len(texts))) - set(taken)
+    groups = dedup.similar_values(spark.createDataFrame([("New York",), ("new york",), ("New  York ",), ("Boston",), ("Bostom",), ("Lima",)], "city string"), "city", 0.8).collect()
+    assert sorted(tuple(sorted(g.spellings)) for g in groups) == [("Bostom", "Boston"), ("New  York ", "New York", "new york")]
+
+
+def test_spans_entities_and_conditions(spark):
+    one = lambda t: spark.createDataFrame([(1, t)], "k int, text string")
+    found = {(r.kind, r.value, r.first) for r in privacy.spans(one("call 5551234567 or 555-123-4567, mail a.b@c.org, ssn 123-45-6789"), "k").collect()}
+    assert found == {("phone", "5551234567", 5), ("phone", "555-123-4567", 19), ("email", "a.b@c.org", 38), ("ssn", "123-45-6789", 53)}
+    question = one("show age > 30 and name = 'Ann' since 2024-01-05")
+    spans = text.entities(question, "k")
+    assert [(r.kind, r.text) for r in spans.orderBy("first", "kind").collect() if r.kind != "number"] == [("operator", ">"), ("operator", "="), ("quoted", "'Ann'"), ("date", "2024-01-05")]
+    named = spark.createDataFrame([(1, "age", 8), (1, "name", 22)], "k int, name string, last int")
+    assert {(r.name, r.operator, r.value) for r in text.filter_conditions(spans, named, "k").collect()} == {("age", ">", "30"), ("name", "=", "'Ann'")}
+    columns = spark.createDataFrame([("total_price",), ("customer",)], "name string")
+    close = {r.name: r.similarity for r in text.fuzzy_columns(one("totl_price of custmer"), columns, "k", "text").collect()}
+    assert close.keys() == {"total_price", "customer"} and all(abs(close[n] - _python_similarity(w, n)) < 1e-9 for n, w in (("total_price", "totl_price"), ("customer", "custmer")))
+
+
+def test_schema_descriptions(spark):
+    df = spark.createDataFrame([(i, f"${i}.50", None if i == 3 else "2024-01-05") for i in range(10)], "id int, price string, day string")
+    rows = {r.name: r for r in schema.describe(df, order="id").collect()}
+    assert (rows["price"].data_type, rows["price"].samples, rows["price"].unique_values) == ("CURRENCY", [f"${i}.50" for i in range(5)], 10)
+    assert (rows["day"].data_type, rows["day"].nullable, rows["day"].samples) == ("DATE", True, ["2024-01-05"] * 5)
+    said = {r.name: (r.description, r.question) for r in schema.prompt_rows(schema.describe(df, order="id")).collect()}
+    assert said["id"] == ("id: number, identifies rows", "What is the total of id?")
+    assert said["day"] == ("day: date, may be missing", "How do records change over day?")
