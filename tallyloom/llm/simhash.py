@@ -9,8 +9,9 @@ key are compared in tasks of bounded blocks, and each task returns a spanning fo
 found, never all pairs. Components come from large-star / small-star rounds on the links.
 
 Defined results: null, empty and white-space texts have no words and the fingerprint zero, which
-links like any other; repeated rows and equal texts share a fingerprint; a null doc_id is passed
-over as a name unless all are null; other columns are ignored.
+links like any other; very long texts are read whole; repeated rows and equal texts share a
+fingerprint; a null doc_id is passed over as a name unless all are null; a bit that exactly half the
+shingles set is 0; an empty table gives no rows; other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -58,10 +59,10 @@ def shingle_hashes(texts, width: int) -> Iterator[tuple[np.ndarray, np.ndarray]]
 
 def _simhashes(texts, width: int) -> np.ndarray:
     """The unsigned 64-bit fingerprint of each text."""
-    return np.concatenate([np.zeros(0, np.uint64), *[_majority(h, room) for h, room in shingle_hashes(texts, width)]])
+    return np.concatenate([np.zeros(0, np.uint64), *[majority(h, room) for h, room in shingle_hashes(texts, width)]])
 
 
-def _majority(h: np.ndarray, room: np.ndarray) -> np.ndarray:
+def majority(h: np.ndarray, room: np.ndarray) -> np.ndarray:
     """For each run of ``room`` hashes, the bits set in over half of them."""
     prints = np.zeros(len(room), np.uint64)
     full = np.flatnonzero(room)
@@ -139,7 +140,22 @@ def _forest(prints: np.ndarray, side: np.ndarray, first: int, bits: int) -> list
     return out
 
 
-def _blocks_in(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def dealt(seeds: DataFrame) -> DataFrame:
+    """The members (key, name, ...) of every key of several, sorted by (key, pair), with their side in the pair.
+
+    A key of more than ``MEMBERS`` is dealt into blocks; a member of block b meets block c in the pair
+    (min, max) of them.
+    """
+    sizes = seeds.groupBy("key").agg(F.count("*").alias("_n")).where("_n > 1")
+    grouped = seeds.join(sizes, "key").withColumn("_pieces", F.ceil(F.col("_n") / MEMBERS).cast("int"))
+    own = F.pmod(F.xxhash64("name"), F.col("_pieces")).cast("int")
+    other = F.explode(F.sequence(F.lit(0), F.col("_pieces") - 1)).alias("_other")
+    pair = F.least("_own", "_other").cast("long") * F.col("_pieces") + F.greatest("_own", "_other")
+    met = grouped.withColumn("_own", own).select("*", other).select(*seeds.columns, pair.alias("pair"), (F.col("_own") > F.col("_other")).cast("int").alias("side"))
+    return met.repartition("key", "pair").sortWithinPartitions("key", "pair")
+
+
+def blocks_in(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Whole runs of equal (key, pair) from batches sorted by them."""
     rest = None
     for pdf in batches:
@@ -163,19 +179,9 @@ def links(named: DataFrame, bits: int = BITS) -> DataFrame:
     if not 0 <= bits < len(SEGMENTS) / 2:
         raise ValueError("two equal segments are only certain for at most two bits")
     seeds = named.select("name", "print", F.explode(_keys("print")).alias("key"))
-    sizes = seeds.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    grouped = seeds.join(sizes, "key").withColumn("pieces", F.ceil(F.col("n") / MEMBERS).cast("int"))
-    own = F.pmod(F.xxhash64("name"), F.col("pieces")).cast("int")
-    # a member of block b meets block c in the pair (min, max)
-    dealt = grouped.withColumn("own", own).select(
-        "key", "name", "print", "own", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)).alias("other"), "pieces"
-    ).select(
-        "key", "name", "print",
-        (F.least("own", "other").cast("long") * F.col("pieces") + F.greatest("own", "other")).alias("pair"),
-        (F.col("own") > F.col("other")).cast("int").alias("side"),
-    )
+
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in _blocks_in(batches):
+        for pdf in blocks_in(batches):
             key, pair = pdf["key"].to_numpy(), pdf["pair"].to_numpy()
             names, prints, side = pdf["name"].to_numpy(), pdf["print"].to_numpy().view(np.uint64), pdf["side"].to_numpy()
             cuts = np.flatnonzero((key[1:] != key[:-1]) | (pair[1:] != pair[:-1])) + 1
@@ -185,7 +191,7 @@ def links(named: DataFrame, bits: int = BITS) -> DataFrame:
                 found += [(names[x[i]], names[x[j]]) for i, j in _forest(prints[x], side[x], first, bits)]
             yield pd.DataFrame(found, columns=["src", "dst"], dtype="int64")
 
-    return dealt.repartition("key", "pair").sortWithinPartitions("key", "pair").mapInPandas(compare, "src long, dst long")
+    return dealt(seeds).mapInPandas(compare, "src long, dst long")
 
 
 def near_duplicates(docs: DataFrame, width: int = SHINGLE, bits: int = BITS) -> DataFrame:

@@ -1,6 +1,7 @@
 """Every operator against a brute-force version, the library it must agree with, or held-out labels."""
 
 import base64
+import collections
 import hashlib
 import math
 import random
@@ -10,6 +11,7 @@ import numpy as np
 import pytest
 import public_tokenizers
 import tiktoken
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tallyloom.llm import (
@@ -114,6 +116,24 @@ def test_substring_dedup(docs, rows, width):
     assert got == substring_dedup.brute_force(rows, width)
 
 
+@pytest.fixture
+def small_parts(monkeypatch):
+    """Many parts and buckets for the small tables of these tests."""
+    monkeypatch.setattr(exchange, "PART_BYTES", 4000)
+    monkeypatch.setattr(exchange, "BUCKET_BYTES", 9000)
+
+
+def test_substring_dedup_of_many_parts(small_parts, docs, rows):
+    test_substring_dedup(docs, rows, 35)
+
+
+@pytest.mark.parametrize("hot", [1, 2, 64])
+def test_suffix_dedup_of_many_parts(small_parts, monkeypatch, docs, rows, hot):
+    monkeypatch.setattr(suffix_dedup, "HOT", hot)
+    monkeypatch.setattr(suffix_dedup, "ORDERED", 300)
+    test_suffix_dedup(docs, rows, 50, 20)
+
+
 @pytest.mark.parametrize("length,gram", [(50, 20), (20, 8), (33, 33)])
 def test_suffix_dedup(docs, rows, length, gram):
     got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.digest(suffix_dedup.removed_spans(docs, length, gram)).collect()}
@@ -130,15 +150,53 @@ def test_suffix_dedup_keeps_columns_and_whole_characters(docs, rows):
     assert sum(len(t or "") for t, _ in got.values()) < sum(len(t or "") for t in want.values())
 
 
-def test_string_classes():
+def test_suffix_dedup_of_repeated_doc_ids(spark):
+    shared = "a passage that is well over fifty bytes long, and that three rows hold alike. "
+    rows = [(1, "head " + shared), (2, "first row " + shared + "end one"), (2, "SECOND row " + shared + "end two"), (2, "SECOND row " + shared + "end two"), (None, shared + "x"), (3, None), (4, ""), (5, "nothing shared")]
+    out = suffix_dedup.without_repeats(spark.createDataFrame([(*r, 7, "x") for r in rows], "doc_id long, text string, _cut_id int, part string"))
+    got = sorted((str(r.doc_id), str(r.text)) for r in out.collect())
+    # the null doc_id is the smallest, so that doc 1 loses the passage too
+    assert got == sorted([("1", "head "), ("2", "first rowend one"), ("2", "SECOND rowend two"), ("2", "SECOND rowend two"), ("None", shared + "x"), ("3", "None"), ("4", ""), ("5", "nothing shared")])
+
+
+def test_suffix_dedup_of_very_long_texts(spark):
+    rng = np.random.default_rng(5)
+    long = bytes(rng.integers(97, 123, 3_000_000).astype(np.uint8)).decode()
+    rows = [(1, long), (2, "x" * 60 + long[1_000_000:2_000_000] + "y"), (3, "ab" * 1_000_000)]
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans) for r in suffix_dedup.removed_spans(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: (3_000_000, 0, 0), 2: (1_000_061, 1_000_000, 1), 3: (2_000_000, 0, 0)}
+
+
+@pytest.mark.parametrize("group", [1, 40, 1 << 16])
+def test_string_classes(group, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "GROUP", group)
     rng = np.random.default_rng(2)
-    data = rng.integers(0, 2, 3000).astype(np.uint8)
-    for length in (8, 12, 17):
-        starts = np.arange(len(data) - length + 1)
-        classes = suffix_dedup.string_classes(data, starts, length)
+    for data in (rng.integers(0, 2, 3000).astype(np.uint8), np.zeros(300, np.uint8), np.tile(rng.integers(0, 255, 30).astype(np.uint8), 30)):
         raw = data.tobytes()
-        pairs = {(raw[i : i + length], int(c)) for i, c in zip(starts, classes, strict=True)}
-        assert len({s for s, _ in pairs}) == len({c for _, c in pairs}) == len(pairs)
+        for length in (8, 12, 17, 50):
+            starts = np.arange(len(data) - length + 1)
+            classes = suffix_dedup.string_classes(data, starts, length)
+            pairs = {(raw[i : i + length], int(c)) for i, c in zip(starts, classes, strict=True)}
+            assert len({s for s, _ in pairs}) == len({c for _, c in pairs}) == len(pairs)
+            order, _ = suffix_dedup.refined_order(data, length, group)
+            seen = [raw[i : i + length] for i in order if i + length <= len(raw)]
+            assert seen == sorted(seen)
+
+
+def test_parts_keep_messages_long():
+    assert exchange.sizes(0, 200) == (1, 1)
+    assert exchange.sizes(500 << 20, 6) == (32, 63)
+    parts, buckets = exchange.sizes(1 << 40, 200)
+    assert (1 << 40) / parts / 6 / buckets > 1000  # hashes of word windows in a message
+    parts, buckets = exchange.sizes(100 << 40, 200)
+    assert (100 << 40) / parts <= 64 << 20 and (100 << 40) / parts / 6 / buckets > 10
+
+
+def test_rows_without_a_doc_id_and_of_one_length_spread_over_parts(spark, small_parts):
+    rows = [(None, f"{i:05d} text") for i in range(2000)] + [(1, "the same row")] * 2000
+    parts, n, _ = exchange.in_parts(spark.createDataFrame(rows, "doc_id long, text string").repartition(40), "doc_id")
+    counts = [r["count"] for r in parts.groupBy("part").count().collect()]
+    assert n > 5 and max(counts) < 3 * sum(counts) / n
 
 
 def _tiktoken():
@@ -230,14 +288,34 @@ def test_sharding(spark, docs, rows):
     assert loads.max() - loads.min() <= 2 * got["size"].max()
 
 
-def test_sharding_heals_cut_groups_and_splits_what_does_not_fit(spark):
-    rng = random.Random(3)
-    rows = [(i, f"text {i // 2} " + "x" * (i // 2 % 40)) for i in range(4000)] + [(10_000 + i, "hot " * 20) for i in range(2500)]
-    got = sharding.assigned(frame(spark, rows).repartition(3)).toPandas()
-    loads = got.groupby("shard")["size"].sum()
-    assert len(loads) == 8 and loads.max() / loads.mean() < 1.01
-    cut = got.groupby(["text_crc32", "size"]).shard.nunique()
-    assert (cut > 1).sum() == 1, rng
+def _cut(got, column="shard"):
+    return int((got.groupby(["text_crc32", "size"])[column].nunique() > 1).sum())
+
+
+def test_sharding_joins_groups_and_splits_what_does_not_fit(spark):
+    pairs = [(i, f"text {i // 2} " + "x" * (i // 2 % 40)) for i in range(4000)]
+    alone = [(5000 + i, f"alone {i} " + "y" * (i % 50)) for i in range(1500)]
+    hot = [(10_000 + i, "hot " * 20) for i in range(2500)]
+    for rows, most in ((pairs + alone + hot, 1), (pairs, 60), (pairs + hot, 60)):
+        got = sharding.assigned(frame(spark, rows).repartition(3)).toPandas()
+        loads = got.groupby("shard")["size"].sum()
+        assert len(loads) == 8 and loads.max() / loads.mean() < 1.01
+        # nearly every group is cut before the first round, hardly any after the last
+        assert _cut(got, "first_shard") > 1600 and _cut(got) <= most
+        assert (got["shard"] != got["first_shard"]).sum() > 1500
+
+
+def test_sharding_does_not_depend_on_input_splits(spark):
+    rows = [(i, f"text {i // 3}") for i in range(900)] + [(None, "a"), (7, "text 2")]
+    got = [{tuple(r)[:5] for r in sharding.assigned(frame(spark, rows).repartition(n)).drop("slot").collect()} for n in (1, 6)]
+    assert got[0] == got[1]
+
+
+def test_sharding_of_a_small_graph(spark):
+    """Against a search of all placements: three groups of three and three documents alone fit three shards uncut."""
+    rows = [(3 * g + i, "abc"[g] * 9) for g in range(3) for i in range(3)] + [(20 + i, "alone"[i:] + "-" * (4 + i)) for i in range(3)]
+    got = sharding.assigned(frame(spark, rows), shards=3, slack=0.2).toPandas()
+    assert _cut(got) == 0 and got.groupby("shard").size().tolist() == [4, 4, 4]
 
 
 def test_decontamination(spark, docs, rows):
@@ -252,13 +330,80 @@ def test_decontamination(spark, docs, rows):
     short = [(d, t) for d, t in rows + leaks if len(t or "") < 3000]
     assert pairs == decontamination.brute_force(short, items)
     assert {p[:2] for p in pairs} == {(900, 0), (901, 1), (902, 2)}
-    named = made.select("doc_id", "text")
-    large = decontamination._large(named, bench.select("item_id", "text"), 5, 0.8).collect()
-    assert {(r.doc_id, r.item_id, r.covered_tokens) for r in large} == pairs
     kept = decontamination.without_leaks(made, bench)
     assert kept.columns == made.columns and kept.count() == len(rows) + 1
 
 
+def _odd_benchmark(spark):
+    items = [(None, "an item without any id at all but ten tokens"), (7, "one of two items that share their id seven"), (7, "the other of two items that share their id"), (8, None), (9, ""), (10, "too few tokens here"), (11, "Repeated row of the benchmark, given twice."), (11, "Repeated row of the benchmark, given twice.")]
+    return spark.createDataFrame([(*x, "x") for x in items], "item_id long, text string, doc_id string"), items
+
+
+@pytest.mark.parametrize("block", [200, 16 << 20])
+def test_decontamination_of_odd_rows_and_any_block(spark, monkeypatch, block):
+    monkeypatch.setattr(decontamination, "BLOCK_BYTES", block)
+    benchmark, items = _odd_benchmark(spark)
+    docs = [(i, f"before {t} after", i) for i, (_, t) in enumerate(items) if t] + [(None, "so AN ITEM, without any id at all: but ten tokens", 1), (0, "clean words under an id that another row shares", 2), (50, None, 3), (51, "", 4)]
+    long = " ".join(f"w{i}" for i in range(300_000)) + " one of two items that share their id seven"
+    frame = spark.createDataFrame([*docs, (60, long, 5)], "doc_id long, text string, item_id int")
+    got = [(r.doc_id, r.item_id) for r in decontamination.contaminated(frame, benchmark).collect()]
+    want = [(0, None), (1, 7), (2, 7), (6, 11), (7, 11), (None, None), (60, 7)]
+    assert sorted(map(str, got)) == sorted(map(str, want))
+    kept = decontamination.without_leaks(frame, benchmark)
+    assert kept.columns == frame.columns
+    clean = [(0, "clean words under an id that another row shares"), (5, "before too few tokens here after"), (50, None), (51, "")]
+    assert sorted(str((r.doc_id, r.text)) for r in kept.collect()) == sorted(map(str, clean))
+
+
+def test_quality_model_scores_as_its_tables_add_up():
+    rng = np.random.default_rng(8)
+    x = rng.random((1500, 4)).astype(np.float32)
+    y = ((x[:, 0] > 0.5) ^ (x[:, 1] > 0.5)).astype(float)  # nothing but an interaction of two features
+    model = quality_gam.fit(x, y)
+    for row, score in zip(x[:200], model.score(x[:200]), strict=True):
+        bins = [int(sum(v >= e for e in edges)) for v, edges in zip(row, model.edges, strict=True)]
+        odds = model.base + sum(t[b] for t, b in zip(model.tables, bins, strict=True))
+        odds += sum(t[bins[i] * quality_gam.PAIR_BINS // quality_gam.BINS, bins[j] * quality_gam.PAIR_BINS // quality_gam.BINS] for i, j, t in model.pairs)
+        assert score == pytest.approx(1 / (1 + math.exp(-odds)), rel=1e-6)
+    assert ((model.score(x) >= 0.5) == (y > 0)).mean() > 0.9
+    assert {(0, 1), (1, 0)} & {(i, j) for i, j, _ in model.pairs}
+
+
+def test_quality_trees_cut_where_brute_force_does():
+    rng = np.random.default_rng(9)
+    for _ in range(20):
+        g, h = rng.normal(size=8), rng.random(8)
+        value = quality_gam._tree(g, h, leaves=2)
+        gain = lambda a, b: g[a:b].sum() ** 2 / (h[a:b].sum() + 1)
+        best = max(range(1, 8), key=lambda c: gain(0, c) + gain(c, 8))
+        if gain(0, best) + gain(best, 8) <= gain(0, 8) + 1e-6:
+            best = 8
+        parts = [(0, best), (best, 8)]
+        assert all(np.allclose(value[a:b], g[a:b].sum() / (h[a:b].sum() + 1)) for a, b in parts)
+
+
+def test_quality_features_count_what_they_say():
+    text = "The cat THE cat, ran!\nran ran 12% é\n\nThe cat THE cat, ran!"
+    f = dict(zip(quality_gam.FEATURES, quality_gam.features([None, text, ""])[1], strict=True))
+    words = text.lower().split()
+    raw = text.encode()
+    assert f["log_words"] == pytest.approx(math.log1p(len(words))) and f["lines"] == pytest.approx(3 / len(words))
+    assert f["word_length"] == pytest.approx(sum(len(w.encode()) for w in words) / len(words)) and f["longest_word"] == 4
+    assert f["symbols"] == pytest.approx(1 / len(raw)) and f["digits"] == pytest.approx(2 / len(raw)) and f["marks"] == pytest.approx(2 / len(raw))
+    assert f["capitals"] == pytest.approx(sum(c.isupper() for c in text if c < "\x80") / len(raw)) and f["beyond_ascii"] == pytest.approx(2 / len(raw))
+    assert f["distinct_words"] == pytest.approx(len(set(words)) / len(words)) and f["repeated_lines"] == pytest.approx(1 / 3)
+    assert f["doubled_words"] == pytest.approx(sum(a == b for a, b in zip(words, words[1:], strict=False)) / len(words))
+    triples = list(zip(words, words[1:], words[2:], strict=False))
+    assert f["distinct_triples"] == pytest.approx(len(set(triples)) / len(triples))
+
+
+def test_quality_training_takes_one_row_of_a_doc_id(spark):
+    docs = spark.createDataFrame([(1, f"text {i}") for i in range(200)] + [(2, "good words"), (3, "bad # #")], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in (1, 2, 3, 4, 6)], "doc_id long, quality int")
+    got = quality_gam.classified(docs, labels).collect()
+    assert len(got) == 202 and all(0 <= r.score <= 1 for r in got)
+
+
 def test_quality_classifier(spark, testdata):
     d = f"{testdata}/sf0.1"
     labels = spark.read.parquet(f"{d}/labels.parquet")
@@ -289,6 +434,61 @@ def test_language_model_beats_counts_on_held_out_documents(spark, testdata):
     assert got.score.sum() > got.base_score.sum() * 0.99 and (got.score > got.base_score).mean() > 0.9
 
 
+def test_language_model_score_follows_from_its_weights(spark, docs, rows):
+    """Every token by plain loops over the kinds, whose probabilities sum to one."""
+    named = docs.select("doc_id", "text", (F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(10)) == 0).alias("held_out"))
+    parts, _, buckets = exchange.in_parts(named, "doc_id", "held_out")
+    _, model, room, all_tokens, _ = maxent_lm._learned(named, parts, buckets)
+    assert model.outer.any() and model.inner.any() and model.rows >= maxent_lm.LEAST_ROWS
+    got = {r.doc_id: r.score for r in maxent_lm.scores(docs).collect()}
+    split = {d: bytes(textblocks.LOWER[np.frombuffer(textblocks.encoded(t), np.uint8)]).split() for d, t in rows}
+    counts = collections.Counter(w for d, words in split.items() if zlib.crc32(str(d).encode()) % 10 for w in words)
+    kinds = {}
+    for w in {w for words in split.values() for w in words}:
+        _, _, h, _, ending = next(maxent_lm._tokens([w.decode("utf-8")]))
+        kinds[w] = int(model.kinds(h, ending)[0])
+    mass = collections.Counter()
+    for w, c in counts.items():
+        mass[kinds[w]] += c + maxent_lm.SMOOTH
+    for kind, m in mass.items():
+        if kind < maxent_lm.END_ENDING:  # what is left is for tokens never seen
+            assert m + maxent_lm.SMOOTH == pytest.approx(10 ** room[kind])
+        else:
+            assert sum(kinds[w] == kind for w in counts) == 1
+
+    def softmax(table, rows):
+        z = [sum(float(table[r, k]) for r in rows) for k in range(maxent_lm.CLASSES)]
+        top = sum(math.exp(x) for x in z)
+        return [math.exp(x) / top for x in z]
+
+    for d, words in list(split.items())[:25]:
+        total, before = 0.0, [maxent_lm.END_ENDING] * 3
+        for w in [*words[:60], None] if len(words) <= 60 else []:
+            kind = maxent_lm.END_ENDING if w is None else kinds[w]
+            history = maxent_lm.histories(np.array([*before, kind]), np.array([0, 4]))[3:]
+            of = model.class_of[kind : kind + 1]
+            classes = softmax(model.outer, model.features(history)[0])
+            inner = softmax(model.inner, model.features(history, of)[0])
+            assert sum(classes) == pytest.approx(1) and sum(inner) == pytest.approx(1)
+            total += math.log10(classes[of[0]] * inner[model.inner_of[kind]])
+            if w is not None and kind < maxent_lm.END_ENDING:
+                total += math.log10(counts[w] + maxent_lm.SMOOTH) - room[kind]
+            before = [*before[1:], kind]
+        if len(words) <= 60:
+            assert got[d] == pytest.approx(total, rel=1e-4)
+
+
+def test_language_model_learns_what_follows_what(spark):
+    """The likelier of two tokens of one count is told by the history alone."""
+    rng = random.Random(1)
+    rows = [(i, " ".join(x for _ in range(60) for x in rng.choice([("salt", "pepper"), ("hammer", "nail")]))) for i in range(3000)]
+    rows += [(10_000, "salt pepper " * 5), (10_001, "salt nail " * 5), (10_002, "hammer nail " * 5), (10_003, "hammer pepper " * 5)]
+    got = {r.doc_id: r for r in maxent_lm.scores(frame(spark, rows)).collect()}
+    for good in (10_000, 10_002):
+        assert all(got[good].score > got[bad].score + 3 for bad in (10_001, 10_003))
+    assert got[10_000].score > got[10_000].base_score + 1
+
+
 def test_packed_messages():
     rng = np.random.default_rng(1)
     for values in (np.zeros(0, np.uint64), np.array([7], np.uint64), np.array([0, 2**64 - 1], np.uint64), np.sort(rng.integers(0, 2**63, 999, dtype=np.uint64))):
@@ -332,8 +532,8 @@ def test_pipeline(spark, testdata):
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{d}/documents.parquet").collect()]
     kept = {r.doc_id for r in quality_rules.report(spark.read.parquet(f"{d}/documents.parquet")).collect() if r.kept}
     rows = [r for r in rows if r[0] in kept]
-    component = simhash.brute_force(rows)
-    rows = [r for r in rows if component[r[0]][1] == r[0]]
+    first = near_copies.brute_force(rows)
+    rows = [r for r in rows if r[0] in first]
     least = {}
     for i, t in rows:
         raw = t.encode()
@@ -355,7 +555,7 @@ def test_pipeline(spark, testdata):
     assert got == want
 
 
-def test_near_copies_of_similarity_08_go(spark, testdata):
+def test_near_copies_of_similarity_08_go(spark, testdata, monkeypatch):
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{testdata}/sf0.01/documents.parquet").select("doc_id", "text").collect()]
     rng = random.Random(3)
     words = [f"w{i}" for i in range(100)]
@@ -366,5 +566,18 @@ def test_near_copies_of_similarity_08_go(spark, testdata):
         rows.append((10_000 + i, " ".join(changed)))
     rows += [(20_000, ""), (20_001, " \n"), (20_002, "one two"), (20_003, "one  TWO")]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    got = {r.doc_id for r in near_copies.keep_first(docs).collect()}
-    assert got == near_copies.brute_force(rows)
+    want = near_copies.brute_force(rows)
+    assert {r.doc_id for r in near_copies.keep_first(docs).collect()} == want
+    # nothing known of what is common, and keys dealt into small blocks
+    monkeypatch.setattr(near_copies, "COMMON", 0)
+    monkeypatch.setattr(simhash, "MEMBERS", 5)
+    assert {r.doc_id for r in near_copies.keep_first(docs).collect()} == want
+
+
+def test_near_copies_of_odd_rows(spark):
+    long = " ".join(f"w{i}" for i in range(400_000))
+    rows = [(1, "a b c d e f"), (1, "quite another text of some words"), (1, "a b c d e f"), (None, "A b c d e f"), (None, None), (5, ""), (6, None), (None, "words that nobody else has at all"), (8, long), (9, long + " x")]
+    got = near_copies.keep_first(spark.createDataFrame([(*r, 1, "x") for r in rows], "doc_id long, text string, node int, _gone_id string")).collect()
+    assert sorted((str(r.doc_id), (r.text or "")[:20]) for r in got) == sorted(
+        [("1", "a b c d e f"), ("1", "a b c d e f"), ("1", "quite another text o"), ("5", ""), ("None", "words that nobody el"), ("8", long[:20])]
+    )
