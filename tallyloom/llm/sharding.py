@@ -38,7 +38,8 @@ GROUP = ("h", "crc", "size")
 
 def _running(df: DataFrame, scope: list[str], cell: Column, order: list[str | Column], value: Column, out: str) -> DataFrame:
     """``out``: the sum of ``value`` over the rows before each one, in order of cell and ``order``."""
-    rows = df.withColumn("_cell", cell).withColumn("_value", value)
+    # dealt by cell, so that rows that came together for a join of the scope part again
+    rows = df.withColumn("_cell", cell).withColumn("_value", value).repartition(*scope, "_cell")
     inside = Window.partitionBy(*scope, "_cell").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumn(out, F.coalesce(F.sum("_value").over(inside), F.lit(0)))
     cells = df.withColumn("_cell", cell).groupBy(*scope, "_cell").agg(F.sum(value).alias("_sum"))
