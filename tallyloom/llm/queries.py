@@ -7,7 +7,9 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, decontamination, maxent_lm, quality_gam, quality_rules, sharding, simhash, substring_dedup, suffix_dedup, token_files
+from . import (
+    byte_bpe, decontamination, exact_dedup, filter_audit, maxent_lm, quality_gam, quality_rules, sharding, simhash, spelling, substring_dedup, suffix_dedup, token_files,
+)
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -54,6 +56,18 @@ def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return maxent_lm.scores(_docs(spark, sf_dir))
 
 
+def op11_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.deduplicated(_docs(spark, sf_dir))
+
+
+def op12_filter_interaction_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audited(_docs(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def op13_spelling_variant_grouping(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.grouped(_docs(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_benchmark_decontamination": op2_benchmark_decontamination,
@@ -65,6 +79,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_substring_dedup": op8_substring_dedup,
     "op9_token_id_output": op9_token_id_output,
     "op10_lm_scoring": op10_lm_scoring,
+    "op11_exact_dedup": op11_exact_dedup,
+    "op12_filter_interaction_audit": op12_filter_interaction_audit,
+    "op13_spelling_variant_grouping": op13_spelling_variant_grouping,
 }
 
-SQL: dict[str, str] = {"op1_quality_rules": quality_rules.ORACLE_SQL}
+SQL: dict[str, str] = {
+    "op1_quality_rules": quality_rules.ORACLE_SQL,
+    "op11_exact_dedup": exact_dedup.ORACLE_SQL,
+    "op12_filter_interaction_audit": filter_audit.ORACLE_SQL,
+}
