@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 _COMPARE = {
@@ -123,23 +123,38 @@ def query_checks(queries: DataFrame, columns: list[str]) -> DataFrame:
     )
 
 
-def without_rows(df: DataFrame, number: str, rows: list[int]) -> DataFrame:
-    """Without the rows of these numbers; the others are numbered anew, in order, from 0 in each range of the order."""
-    return renumbered(df.where(~F.col(number).isin(rows)) if rows else df, number)
+#: Cells of the span of row numbers that are numbered apart.
+CELLS = 4096
+
+
+def without_rows(df: DataFrame, number: str, rows: list[int] | DataFrame) -> DataFrame:
+    """Without the rows of these numbers (a list, or a frame of one column); the others are numbered anew, in order, from 0."""
+    gone = rows if isinstance(rows, DataFrame) else df.sparkSession.createDataFrame([(int(r),) for r in rows], "n long")
+    gone = gone.select(F.col(gone.columns[0]).cast("long").alias("_gone"))
+    left = df.join(gone, F.col(number).cast("long") == F.col("_gone"), "left_anti")
+    return renumbered(left, number)
 
 
 def renumbered(df: DataFrame, number: str) -> DataFrame:
-    """Rows numbered 0, 1, 2 ... in the order of ``number``, by ranges of it and the rows of those before."""
-    sorted_rows = df.repartitionByRange(F.col(number)).sortWithinPartitions(number).withColumn("_p", F.spark_partition_id()).withColumn("_m", F.monotonically_increasing_id())
-    counts = {r["_p"]: r["count"] for r in sorted_rows.groupBy("_p").count().collect()}  # a row for each range
-    before, total = {}, 0
-    for p in sorted(counts):
-        before[p], total = total, total + counts[p]
-    if not before:
-        return df
-    start = F.create_map(*[F.lit(x) for kv in before.items() for x in kv])
-    inside = F.col("_m").bitwiseAND(F.lit((1 << 33) - 1))
-    return sorted_rows.withColumn(number, (start[F.col("_p")] + inside).cast(df.schema[number].dataType)).drop("_p", "_m")
+    """Rows numbered 0, 1, 2 ... in the order of ``number``, a whole number.
+
+    The span of the numbers is cut into CELLS even stretches. A row's stretch follows from its number alone, so
+    that the count of the stretches and the numbering inside them, which are jobs of their own, cannot differ. Rows
+    without a number come last; equal numbers come in no fixed order, and belong to one stretch.
+    """
+    low, high = df.agg(F.min(number), F.max(number)).first()
+    if low is None:
+        low = high = 0
+    width = (int(high) - int(low)) // CELLS + 1
+    cell = F.coalesce(F.expr(f"(CAST(`{number}` AS BIGINT) - {int(low)}L) DIV {width}L"), F.lit(CELLS + 1).cast("long"))
+    placed = df.withColumn("_cell", cell)
+    # CELLS + 1 rows at most
+    before = placed.groupBy("_cell").agg(F.count("*").alias("_n")).select(
+        "_cell", F.coalesce(F.sum("_n").over(Window.orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before")
+    )
+    inside = F.row_number().over(Window.partitionBy("_cell").orderBy(number)) - 1
+    fresh = (F.col("_before") + F.col("_inside")).cast(df.schema[number].dataType)
+    return placed.withColumn("_inside", inside).join(F.broadcast(before), "_cell").withColumn(number, fresh).select(*df.columns)
 
 
 def with_default_column(df: DataFrame, name: str, value=None) -> DataFrame:

@@ -1075,10 +1075,11 @@ def _(spark, d):
     return types.quick_numeric(_view(spark, d, DIRTY), ["table_id"], 4)
 
 
-@query("rows_removed", "SELECT c_custkey, row_number() OVER (ORDER BY c_custkey) - 1 AS place FROM customer WHERE c_custkey NOT IN (3, 7, 11)")
+@query("rows_removed", "SELECT l_orderkey, l_linenumber, row_number() OVER (ORDER BY l_orderkey, l_linenumber) - 1 AS place FROM lineitem WHERE l_orderkey * 8 + l_linenumber NOT IN (9, 16, 25) AND l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'P')")
 def _(spark, d):
-    c = table(spark, d, "customer").selectExpr("c_custkey", "c_custkey AS place")
-    return filters.without_rows(c, "place", [3, 7, 11])
+    rows = table(spark, d, "lineitem").selectExpr("l_orderkey", "l_linenumber", "l_orderkey * 8 + l_linenumber AS place")
+    pending = table(spark, d, "orders").where("o_orderstatus = 'P'").selectExpr("explode(sequence(o_orderkey * 8, o_orderkey * 8 + 7)) AS place")
+    return filters.without_rows(rows, "place", pending.unionByName(spark.createDataFrame([(9,), (16,), (25,)], "place long")))
 
 
 @query("combined_answers", """WITH s AS (SELECT o_custkey, 'try ' || o_orderpriority AS s, min(o_orderkey) AS seen FROM orders GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY seen) AS i FROM s)
