@@ -203,3 +203,21 @@ def ranked(kpis: DataFrame, scores: dict[str, float], most: int = 10) -> DataFra
     """The KPIs of the highest category score, ties by id."""
     table = F.create_map(*[x for k, v in scores.items() for x in (F.lit(k), F.lit(float(v)))])
     return kpis.withColumn("score", F.coalesce(table[F.col("category")], F.lit(0.0))).orderBy(F.desc("score"), "kpi_id").limit(most)
+
+
+def rolling_trend(df: DataFrame, keys: list[str], order: list[str], value: str, last: int = 10, keep: int = 50) -> DataFrame:
+    """Every point of a KPI's history with points (``keep`` at most) and the trend of the latest ``last`` values up to it."""
+    upto = Window.partitionBy(*keys).orderBy(*order)
+    numbered = df.withColumn("_i", F.row_number().over(upto)).withColumn("_v", F.col(value).cast("double"))
+    w = Window.partitionBy(*keys).orderBy("_i").rowsBetween(1 - last, 0)
+    change = F.col("_v") - F.first("_v").over(w)
+    percent = F.coalesce(F.try_divide(change * 100.0, F.first("_v").over(w)), F.lit(0.0))
+    volatility = F.coalesce(F.try_divide(F.stddev_pop("_v").over(w), F.abs(F.avg("_v").over(w))), F.lit(0.0))
+    strength = F.coalesce(F.nanvl(F.abs(F.corr(F.col("_i").cast("double"), F.col("_v")).over(w)), F.lit(0.0)), F.lit(0.0))
+    facts = numbered.select(*df.columns, "_i", change.alias("change"), percent.alias("percent"), volatility.alias("volatility"), strength.alias("strength"))
+    short = F.col("_i") < 3
+    zero = lambda c: F.when(short, 0.0).otherwise(F.col(c)).alias(c)
+    return facts.select(
+        *df.columns, F.least(F.col("_i"), F.lit(keep)).alias("points"), zero("change"), zero("percent"), zero("volatility"), zero("strength"),
+        F.when(short, "STABLE").when(F.col("volatility") > 0.3, "VOLATILE").when(F.abs("percent") < 5, "STABLE").when(F.col("percent") > 0, "UP").otherwise("DOWN").alias("direction"),
+    )

@@ -91,6 +91,16 @@ class Requests:
         self.last = at
         return True, "ok"
 
+    def info(self, at: float, limit: Limit) -> tuple[int, int, float, float | None]:
+        """limit, what remains of it without the burst, when the oldest request stops to count, and the whole seconds that a block still lasts."""
+        while self.times and self.times[0] <= at - limit.window:
+            self.times.popleft()
+        reset = (self.times[0] if self.times else at) + limit.window
+        return limit.requests, max(0, limit.requests - len(self.times)), reset, float(int(self.blocked - at)) if at < self.blocked else None
+
+
+LIMIT_INFO = DECISION + ", request_limit int, remaining int, reset_at double, retry_after double"
+
 
 def _limit_of(limits, endpoint: str) -> Limit:
     return limits if isinstance(limits, Limit) else limits.get(endpoint, limits["api"])
@@ -100,11 +110,20 @@ def _requests(df: DataFrame, cost: Column | None) -> DataFrame:
     return df.select("user_id", F.col("event_type").alias("endpoint"), "event_id", (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("at"), (F.lit(1) if cost is None else cost).cast("int").alias("cost"))
 
 
+def _names(schema: str) -> list[str]:
+    return [c.split()[0] for c in schema.split(", ")]
+
+
 def rate_limited(df: DataFrame, limits: Limit | dict[str, Limit] = LIMITS, cost: Column | None = None) -> DataFrame:
     """Decisions for a table of requests, in the order of time and event_id of each user and endpoint.
 
     Requests pass sorted; a task keeps the allowed times of one window of one user and endpoint.
     """
+    return limit_details(df, limits, cost).select(*_names(DECISION))
+
+
+def limit_details(df: DataFrame, limits: Limit | dict[str, Limit] = LIMITS, cost: Column | None = None) -> DataFrame:
+    """The same with what a caller is told after each request: limit, remaining, reset_at and retry_after."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         key, state = None, Requests()
@@ -113,15 +132,53 @@ def rate_limited(df: DataFrame, limits: Limit | dict[str, Limit] = LIMITS, cost:
             for user, endpoint, event_id, at, c in pdf.itertuples(index=False):
                 if (user, endpoint) != key:
                     key, state = (user, endpoint), Requests()
-                out.append((user, endpoint, event_id, at, *state.decide(at, c, _limit_of(limits, endpoint))))
-            yield pd.DataFrame(out, columns=[c.split()[0] for c in DECISION.split(", ")])
+                limit = _limit_of(limits, endpoint)
+                out.append((user, endpoint, event_id, at, *state.decide(at, c, limit), *state.info(at, limit)))
+            made = pd.DataFrame(out, columns=_names(LIMIT_INFO))
+            yield made.assign(retry_after=made["retry_after"].astype("Float64"))
 
     asked = _requests(df, cost)
-    return asked.repartition("user_id", "endpoint").sortWithinPartitions("user_id", "endpoint", "at", "event_id").mapInPandas(run, DECISION)
+    return asked.repartition("user_id", "endpoint").sortWithinPartitions("user_id", "endpoint", "at", "event_id").mapInPandas(run, LIMIT_INFO)
+
+
+STATE = "user_id long, endpoint string, times array<double>, last double, blocked double"
+
+
+def limit_states(df: DataFrame, limits: Limit | dict[str, Limit] = LIMITS, cost: Column | None = None) -> DataFrame:
+    """What is held of each user and endpoint after all requests of a table: the state that a stream may start from."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, state = None, Requests()
+        for pdf in batches:
+            out = []
+            for user, endpoint, _, at, c in pdf.itertuples(index=False):
+                if (user, endpoint) != key:
+                    if key is not None:
+                        out.append((*key, list(state.times), state.last, state.blocked))
+                    key, state = (user, endpoint), Requests()
+                state.decide(at, c, _limit_of(limits, endpoint))
+            yield pd.DataFrame(out, columns=_names(STATE))
+        if key is not None:
+            yield pd.DataFrame([(*key, list(state.times), state.last, state.blocked)], columns=_names(STATE))
+
+    asked = _requests(df, cost)
+    return asked.repartition("user_id", "endpoint").sortWithinPartitions("user_id", "endpoint", "at", "event_id").mapInPandas(run, STATE)
+
+
+def user_statistics(states: DataFrame, at: float, limits: dict[str, Limit] = LIMITS) -> DataFrame:
+    """Of every user and class of endpoint at a time: limit, remaining, reset_at, retry_after; classes without requests too."""
+    rows = [F.struct(F.lit(k).alias("endpoint"), F.lit(v.requests).alias("request_limit"), F.lit(v.window).alias("window"), F.lit(v.burst).alias("burst")) for k, v in limits.items()]
+    users = states.select("user_id").distinct().select("user_id", F.inline(F.array(*rows)))
+    held = F.filter("times", lambda t: t > F.lit(at) - F.col("window"))
+    return users.join(states, ["user_id", "endpoint"], "left").withColumn("held", F.coalesce(held, F.array().cast("array<double>"))).select(
+        "user_id", "endpoint", "request_limit", F.greatest(F.lit(0), F.col("request_limit") - F.size("held")).alias("remaining"),
+        (F.coalesce(F.get("held", F.lit(0)), F.lit(float(at))) + F.col("window")).alias("reset_at"),
+        F.when(F.lit(at) < F.col("blocked"), F.floor(F.col("blocked") - at).cast("double")).alias("retry_after"),
+    )
 
 
 def rate_limited_stream(df: DataFrame, limits: Limit | dict[str, Limit] = LIMITS, cost: Column | None = None) -> DataFrame:
-    """The same for a stream; requests are ordered within a batch, and a state is dropped once its window has passed without a request."""
+    """Decisions for a stream at once: requests are ordered within a batch only. ``inorder.rate_limited`` waits for the watermark instead."""
 
     def run(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
@@ -158,10 +215,26 @@ SESSION_EVENT = "user_id long, event_id long, at double, session_id long, outcom
 
 
 class Sessions:
-    """The open sessions of one user: session_id to (last use, end, address)."""
-
-    def __init__(self, held: dict | None = None):
-        self.held = dict(held or {})
+    """The open sessions of one user: session_id to (last use, end, address); revoked: session_id to the end it would have had."""
+
+    def __init__(self, held: dict | None = None, revoked: dict | None = None):
+        self.held, self.revoked = dict(held or {}), dict(revoked or {})
+
+    def revoke(self, session_id: int | None, at: float, everything: bool = False) -> str:
+        """End one session, or all but that one; revoked if any was open."""
+        self.revoked = {k: end for k, end in self.revoked.items() if end >= at}
+        gone = [k for k, v in self.held.items() if v[1] >= at and (k != session_id if everything else k == session_id)]
+        for k in gone:
+            self.revoked[k] = self.held.pop(k)[1]
+        return "revoked" if gone else "unknown"
+
+    def act(self, action: str | None, session_id: int, at: float, address: str) -> tuple[str, bool, float | None, int | None]:
+        """A use (also for no action), ``revoke`` or ``revoke_others``; a session that was revoked is refused until its end."""
+        if action in ("revoke", "revoke_others"):
+            return self.revoke(session_id, at, action == "revoke_others"), False, None, None
+        if self.revoked.get(session_id, -math.inf) >= at:
+            return "refused", False, None, None
+        return self.use(session_id, at, address)
 
     def use(self, session_id: int, at: float, address: str) -> tuple[str, bool, float | None, int | None]:
         """Outcome (created, used, renewed or expired), another address, end, and the session that had to go."""
@@ -182,8 +255,9 @@ class Sessions:
 
 
 def _uses(df: DataFrame) -> DataFrame:
-    """user_id, event_id, at, session_id and address of a table that has ``ts`` and the rest."""
-    return df.select("user_id", "event_id", (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("at"), F.col("session_id").cast("long"), "address")
+    """user_id, event_id, at, session_id, address and action of a table that has ``ts`` and the rest, action or not."""
+    action = F.col("action") if "action" in df.columns else F.lit(None).cast("string").alias("action")
+    return df.select("user_id", "event_id", (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("at"), F.col("session_id").cast("long"), "address", action)
 
 
 def session_log(df: DataFrame) -> DataFrame:
@@ -193,10 +267,10 @@ def session_log(df: DataFrame) -> DataFrame:
         user, own = None, Sessions()
         for pdf in batches:
             out = []
-            for u, event_id, at, session_id, address in pdf.itertuples(index=False):
+            for u, event_id, at, session_id, address, action in pdf.itertuples(index=False):
                 if u != user:
                     user, own = u, Sessions()
-                out.append((u, event_id, at, session_id, *own.use(session_id, at, address)))
+                out.append((u, event_id, at, session_id, *own.act(action, session_id, at, address)))
             made = pd.DataFrame(out, columns=[c.split()[0] for c in SESSION_EVENT.split(", ")])
             yield made.assign(evicted=made["evicted"].astype("Int64"), expires=made["expires"].astype("Float64"))
 
@@ -204,24 +278,25 @@ def session_log(df: DataFrame) -> DataFrame:
 
 
 def session_log_stream(df: DataFrame) -> DataFrame:
-    """The same for a stream; a user's state goes once all of their sessions have ended."""
+    """What becomes of uses in a stream, at once: they are ordered within a batch only. ``inorder.session_log`` waits for the watermark instead."""
 
     def run(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
             state.remove()
             return
-        own = Sessions({k: (a, b, c) for k, a, b, c in zip(*state.get, strict=True)} if state.exists else None)
+        *held, gone, until = state.get if state.exists else ([],) * 6
+        own = Sessions({k: (a, b, c) for k, a, b, c in zip(*held, strict=True)}, dict(zip(gone, until, strict=True)))
         out = []
-        for event_id, at, session_id, address in pd.concat(list(batches)).sort_values(["at", "event_id"])[["event_id", "at", "session_id", "address"]].itertuples(index=False):
-            out.append((*key, event_id, at, session_id, *own.use(session_id, at, address)))
+        for event_id, at, session_id, address, action in pd.concat(list(batches)).sort_values(["at", "event_id"])[["event_id", "at", "session_id", "address", "action"]].itertuples(index=False):
+            out.append((*key, event_id, at, session_id, *own.act(action, session_id, at, address)))
         ids = list(own.held)
-        state.update((ids, *([own.held[k][j] for k in ids] for j in range(3))))
+        state.update((ids, *([own.held[k][j] for k in ids] for j in range(3)), list(own.revoked), list(own.revoked.values())))
         state.setTimeoutDuration(int(1000 * (SESSION + RENEW)))
         made = pd.DataFrame(out, columns=[c.split()[0] for c in SESSION_EVENT.split(", ")])
         yield made.assign(evicted=made["evicted"].astype("Int64"), expires=made["expires"].astype("Float64"))
 
-    held = "ids array<long>, last array<double>, ends array<double>, addresses array<string>"
-    return _uses(df).groupBy("user_id").applyInPandasWithState(run, SESSION_EVENT, held, "append", GroupStateTimeout.ProcessingTimeTimeout)
+    schema = "ids array<long>, last array<double>, ends array<double>, addresses array<string>, gone array<long>, gone_until array<double>"
+    return _uses(df).groupBy("user_id").applyInPandasWithState(run, SESSION_EVENT, schema, "append", GroupStateTimeout.ProcessingTimeTimeout)
 
 
 # --- change detection and refresh ---------------------------------------------------------------
