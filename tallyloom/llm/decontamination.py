@@ -3,9 +3,10 @@
 Tokens are lower-cased (A-Z) runs of ASCII letters, digits and bytes outside ASCII, so that case,
 punctuation and line breaks do not hide a copy. A document and an item that share seeds (windows of
 ``MIN_MATCH`` tokens) are candidates if the seeds cover enough of the item, which no tiling can
-exceed. Candidates are tiled: the longest common runs of tokens not yet marked are found by running
-Karp-Rabin with a falling search length and marked, longest first, until none of ``MIN_MATCH``
-tokens is left. Passages cut up and reordered are thus still covered. A document is contaminated by
+exceed. Candidates are tiled: the length of the longest common run of tokens not yet marked is found by
+running Karp-Rabin with search lengths that close in on it, all runs of that length are marked in the order
+of their places, and so on with the next length, until no run of ``MIN_MATCH`` tokens is left. Places
+are never paired: equal windows share a queue of places in the document. Passages cut up and reordered are thus still covered. A document is contaminated by
 an item if tiles cover ``THRESHOLD`` of the item's tokens.
 
 Items go to the executors in blocks of about ``BLOCK_BYTES``, each of which is held against all
@@ -64,52 +65,75 @@ def _windows(tokens: np.ndarray, marked: np.ndarray, width: int) -> tuple[np.nda
     return starts, textblocks.window_hashes(tokens, starts, width)
 
 
-def _matches(item, item_marked, doc, doc_marked, width: int) -> list[tuple[int, int, int]]:
-    """(length, item start, document start) of the maximal unmarked common runs of ``width`` or more."""
-    a, ha = _windows(item, item_marked, width)
-    b, hb = _windows(doc, doc_marked, width)
-    keep = np.isin(hb, ha)
-    b, hb = b[keep], hb[keep]
-    if not len(b):
-        return []
-    order = np.argsort(ha, kind="stable")
-    low, high = np.searchsorted(ha[order], hb, "left"), np.searchsorted(ha[order], hb, "right")
-    places = [(int(a[k]), int(j)) for j, lo, hi in zip(b.tolist(), low.tolist(), high.tolist(), strict=True) for k in order[lo:hi]]
-    hits = set(places)
-    out = []
-    for i, j in places:
-        if (i - 1, j - 1) in hits:
-            continue
-        n = 0
-        while (i + n, j + n) in hits:
-            n += 1
-        n += width - 1
-        if (item[i : i + n] == doc[j : j + n]).all():
-            out.append((n, i, j))
-    return out
+class _Sides:
+    """The tokens of an item and a document, which of them are marked, and the windows both have unmarked."""
+
+    def __init__(self, item: np.ndarray, doc: np.ndarray):
+        self.item, self.doc = item, doc
+        self.item_marked, self.doc_marked = np.zeros(len(item), bool), np.zeros(len(doc), bool)
+
+    def common(self, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Starts and hashes of the item's windows that the document has too, and of those in the document."""
+        a, ha = _windows(self.item, self.item_marked, width)
+        b, hb = _windows(self.doc, self.doc_marked, width)
+        in_item, in_doc = np.isin(ha, hb), np.isin(hb, ha)
+        return a[in_item], ha[in_item], b[in_doc], hb[in_doc]
+
+    def only(self, width: int) -> np.ndarray:
+        """Leave what can be in a run of ``width``, and a marked token between the stretches; the places that are left."""
+        _, _, b, _ = self.common(width)
+        use = textblocks.covered(b, width, len(self.doc))
+        left = np.flatnonzero(use | np.concatenate([[False], use[:-1]]))
+        self.doc, self.doc_marked = self.doc[left], ~use[left]
+        return left
+
+    def longest(self, least: int, most: int) -> int:
+        """The length of the longest common run, at most ``most``, or 0 if there is none of ``least``."""
+        low, high = least - 1, most
+        step = least
+        while low < high:  # short runs are the rule: lengths double until one fails, and are halved from there
+            width = min(step, high) if step else (low + high + 1) // 2
+            if len(self.common(width)[0]):
+                low, step = width, 2 * step
+            else:
+                high, step = width - 1, 0
+        return low if low >= least else 0
+
+    def mark(self, width: int) -> list[tuple[int, int]]:
+        """Mark all runs of ``width``, by their place in the item, then in the document."""
+        a, ha, b, hb = self.common(width)
+        order = np.argsort(hb, kind="stable")
+        places, hashes = b[order], hb[order]
+        low, high = np.searchsorted(hashes, ha, "left").tolist(), np.searchsorted(hashes, ha, "right").tolist()
+        next_of: dict[int, int] = {}  # of each hash, the first place that may still be free
+        out = []
+        free_from = 0
+        for i, lo, hi in zip(a.tolist(), low, high, strict=True):
+            if i < free_from:
+                continue
+            k = next_of.get(lo, lo)
+            while k < hi:
+                j = int(places[k])
+                if not self.doc_marked[j : j + width].any() and (self.item[i : i + width] == self.doc[j : j + width]).all():
+                    break
+                k += 1
+            next_of[lo] = k
+            if k < hi:
+                self.item_marked[i : i + width] = self.doc_marked[j : j + width] = True
+                free_from = i + width
+                out.append((i, j))
+        return out
 
 
 def tile(item: np.ndarray, doc: np.ndarray, least: int = MIN_MATCH) -> list[tuple[int, int, int]]:
     """Greedy tiles (length, item start, document start), longest first, none overlapping."""
-    item_marked, doc_marked = np.zeros(len(item), bool), np.zeros(len(doc), bool)
-    tiles = []
-    width = max(least, min(len(item), 20))
-    while True:
-        found = _matches(item, item_marked, doc, doc_marked, width)
-        longest = max((n for n, _, _ in found), default=0)
-        if longest > 2 * width:
-            width = longest
-            continue
-        marked = False
-        for n, i, j in sorted(found, key=lambda m: (-m[0], m[1], m[2])):
-            if not item_marked[i : i + n].any() and not doc_marked[j : j + n].any():
-                item_marked[i : i + n] = doc_marked[j : j + n] = True
-                tiles.append((n, i, j))
-                marked = True
-        if not marked:
-            if width == least:
-                return tiles
-            width = max(least, width // 2)
+    sides = _Sides(item, doc)
+    places = sides.only(least)
+    tiles, most = [], min(len(item), len(sides.doc))
+    while width := sides.longest(least, most):
+        tiles += [(width, i, int(places[j])) for i, j in sides.mark(width)]
+        most = width - 1
+    return tiles
 
 
 def _judged(item: np.ndarray, doc: np.ndarray, least: int) -> tuple[int, int]:
@@ -231,6 +255,26 @@ def without_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     return docs.join(gone, same, "left_anti")
 
 
+def brute_tile(item: list, doc: list, least: int = MIN_MATCH) -> list[tuple[int, int, int]]:
+    """The tiles by looking for the longest run of unmarked tokens anew each time, for tests."""
+    used_item, used_doc, out = [False] * len(item), [False] * len(doc), []
+    while True:
+        best = (0, 0, 0)
+        run = [0] * (len(doc) + 1)  # of the item's next token: the length of the run that begins at each place
+        for a in range(len(item) - 1, -1, -1):
+            new = [0] * (len(doc) + 1)
+            for b in range(len(doc) - 1, -1, -1):
+                if item[a] == doc[b] and not used_item[a] and not used_doc[b]:
+                    new[b] = run[b + 1] + 1
+                    best = max(best, (new[b], -a, -b))
+            run = new
+        n, a, b = best[0], -best[1], -best[2]
+        if n < least:
+            return out
+        used_item[a : a + n] = used_doc[b : b + n] = [True] * n
+        out.append((n, a, b))
+
+
 def brute_force(rows: list[tuple], items: list[tuple], least: int = MIN_MATCH, threshold: float = THRESHOLD) -> set:
     """(doc_id, item_id, covered_tokens) by tiling every pair with plain lists, for tests."""
     import re
@@ -242,28 +286,12 @@ def brute_force(rows: list[tuple], items: list[tuple], least: int = MIN_MATCH, t
     out = set()
     for d, text in rows:
         doc = split(text)
+        grams = {tuple(doc[k : k + least]) for k in range(len(doc) - least + 1)}
         for i, other in items:
             item = split(other)
-            if len(item) < least:
+            if len(item) < least or not any(tuple(item[k : k + least]) in grams for k in range(len(item) - least + 1)):
                 continue
-            grams = {tuple(doc[k : k + least]) for k in range(len(doc) - least + 1)}
-            if not any(tuple(item[k : k + least]) in grams for k in range(len(item) - least + 1)):
-                continue
-            used_item, used_doc, covered = [False] * len(item), [False] * len(doc), 0
-            while True:
-                best = (0, 0, 0)
-                for a in range(len(item)):
-                    for b in range(len(doc)):
-                        n = 0
-                        while a + n < len(item) and b + n < len(doc) and item[a + n] == doc[b + n] and not used_item[a + n] and not used_doc[b + n]:
-                            n += 1
-                        if n > best[0]:
-                            best = (n, a, b)
-                if best[0] < least:
-                    break
-                n, a, b = best
-                used_item[a : a + n] = used_doc[b : b + n] = [True] * n
-                covered += n
+            covered = sum(n for n, _, _ in brute_tile(item, doc, least))
             if covered >= threshold * len(item):
                 out.add((d, i, covered))
     return out

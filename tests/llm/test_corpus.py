@@ -79,8 +79,25 @@ def test_quality_rules_table(spark):
 
 
 def test_simhash(docs, rows):
-    got = {r.doc_id: (r.fingerprint, r.component_id) for r in simhash.near_duplicates(docs).collect()}
-    assert got == simhash.brute_force(rows)
+    got = sorted(map(tuple, simhash.near_duplicates(docs).collect()))
+    assert got == sorted(simhash.brute_force(rows))
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_simhash_rows_without_an_id(spark, monkeypatch, seed):
+    """Rows without a doc_id link others, and have the component that they link."""
+    rng = random.Random(seed)
+    prints = [rng.getrandbits(64) for _ in range(6)]
+    for _ in range(60):
+        prints.append(rng.choice(prints) ^ (1 << rng.randrange(64)) ^ (1 << rng.randrange(64)))
+    ids = [None if rng.random() < 0.5 else k for k in range(len(prints))]
+    prints += [0, 3, 15]
+    ids += [1000, None, 1002]
+    made = spark.createDataFrame([(d, p - 2**64 if p >= 2**63 else p) for d, p in zip(ids, prints, strict=True)], "doc_id long, print long")
+    monkeypatch.setattr(simhash, "fingerprints", lambda docs, width: made)
+    got = simhash.near_duplicates(made).collect()
+    want = zip(ids, prints, simhash.components_of(ids, prints), strict=True)
+    assert sorted(map(str, map(tuple, got))) == sorted(str((d, f"{p:016x}", c)) for d, p, c in want)
 
 
 def test_simhash_links_every_pair_within_two_bits(spark, monkeypatch):
@@ -327,7 +344,7 @@ def test_decontamination(spark, docs, rows):
     made = frame(spark, rows + leaks)
     bench = spark.createDataFrame([(i, t, "x") for i, t in items], "item_id long, text string, doc_id string")
     pairs = {(r.doc_id, r.item_id, r.covered_tokens) for r in decontamination.contaminated(made, bench).collect()}
-    short = [(d, t) for d, t in rows + leaks if len(t or "") < 3000]
+    short = rows + leaks  # documents of every length
     assert pairs == decontamination.brute_force(short, items)
     assert {p[:2] for p in pairs} == {(900, 0), (901, 1), (902, 2)}
     kept = decontamination.without_leaks(made, bench)

@@ -1,12 +1,14 @@
 """Exact dedup, the filter audit and spelling variants against brute force and DuckDB."""
 
 import random
+import time
 
 import duckdb
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tallyloom.llm import exact_dedup, filter_audit, queries, spelling
+from tallyloom.llm import decontamination, exact_dedup, filter_audit, queries, spelling
 from tallyloom.llm.scratch import new_folder, staged
 
 SCHEMA = "doc_id long, text string, source string, n long, row long, digest string, part string, mask int, key string, word string, first_id long"
@@ -140,3 +142,26 @@ def test_spelling_chain_and_empty(spark):
     assert want["abcdefg"][1] == "abcdjih" and "zzzzzz" not in want
     assert {r.word: (r.form, r.root, r.n, r.n_near, r.form_n) for r in spelling.grouped(frame(spark, rows)).collect()} == want
     assert spelling.grouped(frame(spark, [(1, "s", None), (2, "s", "")])).count() == 0
+
+
+def hashed(tokens):
+    return np.array([hash((t, 17)) & (2**64 - 1) for t in tokens], np.uint64)
+
+
+@pytest.mark.parametrize("letters", [1, 2, 3, 4, 6])
+def test_tiling_is_longest_first(letters):
+    rng = random.Random(letters)
+    for _ in range(2000):
+        item, doc = ([rng.randrange(letters) for _ in range(rng.randint(0, n))] for n in (40, 60))
+        least = rng.choice([1, 2, 5])
+        assert decontamination.tile(hashed(item), hashed(doc), least) == decontamination.brute_tile(item, doc, least)
+
+
+def test_tiling_of_long_runs():
+    """A token many times over pairs no places, and a long document only costs where it shares something."""
+    began = time.process_time()
+    assert decontamination.tile(hashed([1] * 2000), hashed([1] * 20_000)) == [(2000, 0, 0)]
+    assert decontamination.tile(hashed([1, 2] * 1000), hashed([1] * 20_000)) == []
+    doc = [k % 5000 for k in range(400_000)]
+    assert decontamination.tile(hashed(list(range(100, 160))), hashed(doc)) == [(60, 0, 100)]
+    assert time.process_time() - began < 5
