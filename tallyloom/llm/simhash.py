@@ -1,6 +1,6 @@
 """SimHash near-dedup with pigeonring filtering.
 
-Fingerprints are reduced to distinct ones, each named by its smallest doc_id. The 64 bits form a
+Fingerprints are reduced to distinct ones, which are the nodes. The 64 bits form a
 ring of five segments. If two fingerprints differ in at most two bits, then (pigeonring principle)
 from some segment on, every chain of consecutive segments differs in no more than its share of the
 budget: chains of 1..5 segments in at most 0, 0, 1, 1, 2 bits. Two whole equal segments are thus
@@ -10,8 +10,8 @@ found, never all pairs. Components come from large-star / small-star rounds on t
 
 Defined results: null, empty and white-space texts have no words and the fingerprint zero, which
 links like any other; very long texts are read whole; repeated rows and equal texts share a
-fingerprint; a null doc_id is passed over as a name unless all are null; a bit that exactly half the
-shingles set is 0; an empty table gives no rows; other columns, whatever their names, are ignored.
+fingerprint; rows without a doc_id link like any other and belong to the component of the smallest doc_id
+that they reach, null if none of it has one; a bit that exactly half the shingles set is 0; an empty table gives no rows; other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -197,32 +197,37 @@ def links(named: DataFrame, bits: int = BITS) -> DataFrame:
 def near_duplicates(docs: DataFrame, width: int = SHINGLE, bits: int = BITS) -> DataFrame:
     """doc_id, fingerprint (16 hexadecimal digits) and component_id of every document."""
     prints = staged(fingerprints(docs, width), "prints")
-    named = staged(prints.groupBy("print").agg(F.min("doc_id").alias("name")).where("name IS NOT NULL"), "names")
-    component = component_ids(links(named, bits))
-    by_print = named.join(component, named["name"] == component["node"], "left").select(
-        "print", F.coalesce("component", "name").alias("component_id")
-    )
+    nodes = staged(prints.groupBy("print").agg(F.min("doc_id").alias("least")).withColumn("name", F.col("print")), "names")
+    component = component_ids(links(nodes.select("name", "print"), bits))
+    labelled = nodes.join(component, nodes["name"] == component["node"], "left").select("print", "least", F.coalesce("component", "name").alias("label"))
+    first = labelled.groupBy("label").agg(F.min("least").alias("component_id"))
+    by_print = staged(labelled.join(first, "label").select("print", "component_id"), "components")
     return prints.join(by_print, "print", "left").select(
         "doc_id", F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"), "component_id"
     )
 
 
-def brute_force(rows: list[tuple], width: int = SHINGLE, bits: int = BITS) -> dict:
-    """doc_id → (fingerprint, component_id) by comparing all pairs, for tests."""
+def brute_force(rows: list[tuple], width: int = SHINGLE, bits: int = BITS) -> list[tuple]:
+    """(doc_id, fingerprint, component_id) of each row (doc_id, text) by comparing all pairs, for tests."""
     prints = []
     for _, text in rows:
         w = bytes(textblocks.LOWER[np.frombuffer(textblocks.encoded(text), np.uint8)]).split()
         shingles = [b" ".join(w[i : i + width]) for i in range(max(1, len(w) - width + 1))] if w else []
         hs = [xxhash.xxh64_intdigest(s, 42) for s in shingles]
         prints.append(sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hs) > len(hs)))
-    ids = [d for d, _ in rows]
-    comp = list(range(len(rows)))
-    changed = True
-    while changed:
-        changed = False
-        for i in range(len(rows)):
-            for j in range(len(rows)):
-                if (prints[i] ^ prints[j]).bit_count() <= bits and comp[i] != comp[j]:
-                    comp[i] = comp[j] = min(comp[i], comp[j], key=lambda k: ids[k])
-                    changed = True
-    return {ids[i]: (f"{prints[i]:016x}", ids[comp[i]]) for i in range(len(rows))}
+    return [(d, f"{p:016x}", c) for (d, _), p, c in zip(rows, prints, components_of([d for d, _ in rows], prints, bits), strict=True)]
+
+
+def components_of(ids: list, prints: list[int], bits: int = BITS) -> list:
+    """The smallest id, null if there is none, that each fingerprint reaches by links of all pairs, for tests."""
+    comp = list(range(len(prints)))
+    for i in range(len(prints)):
+        for j in range(i):
+            if (prints[i] ^ prints[j]).bit_count() <= bits and comp[i] != comp[j]:
+                old, new = comp[i], comp[j]
+                comp = [new if c == old else c for c in comp]
+    least = {}
+    for d, c in zip(ids, comp, strict=True):
+        if d is not None:
+            least[c] = min(d, least.get(c, d))
+    return [least.get(c) for c in comp]
