@@ -585,12 +585,42 @@ def test_near_copies_of_similarity_08_go(spark, testdata, monkeypatch):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     want = near_copies.brute_force(rows)
     assert {r.doc_id for r in near_copies.keep_first(docs).collect()} == want
-    # nothing known of what is common, and keys dealt into small blocks
-    monkeypatch.setattr(near_copies, "COMMON", 0)
-    monkeypatch.setattr(simhash, "MEMBERS", 5)
+    # groups dealt into small blocks
+    monkeypatch.setattr(near_copies, "MEMBERS", 5)
     assert {r.doc_id for r in near_copies.keep_first(docs).collect()} == want
 
 
+def test_near_copies_with_repeats(spark):
+    """Repeated words and lines decide nothing: documents of the same words, each with a tail of its own many times."""
+    base = " ".join(f"w{i}" for i in range(100))
+    rows = [(i, f"{base} " + f"x{i} " * 300) for i in range(8)] + [(20 + i, (f"line {i} of some words\n" * 40) + base) for i in range(6)]
+    want = near_copies.brute_force(rows)
+    assert len(want) < 5
+    assert {r.doc_id for r in near_copies.keep_first(spark.createDataFrame(rows, "doc_id long, text string")).collect()} == want
+
+
+@pytest.mark.parametrize("low, high", [(1, 9), (4, 20), (30, 60), (200, 400), (1500, 3000)])
+def test_similar_sets_share_a_key(low, high):
+    """Pairs exactly at 0.8 and a little over it, of every size: a key in common, a link, a distance within the bound."""
+    rng = np.random.default_rng(low)
+    for _ in range(300 if high < 1000 else 40):
+        a = int(rng.integers(low, high))
+        b = int(rng.integers(a, 5 * a // 4 + 1))
+        both = -(-4 * (a + b) // 9)
+        if both > a:
+            continue
+        h = rng.integers(0, 2**64, a + b - both, dtype=np.uint64)
+        pair = [np.sort(h[:a]), np.sort(np.concatenate([h[:both], h[a:]]))]
+        owner, key = near_copies.ring_keys(pair)
+        assert set(key[owner == 0].tolist()) & set(key[owner == 1].tolist())
+        prints = near_copies.parity(pair)
+        assert np.bitwise_count(prints[0] ^ prints[1]).sum() <= (a + b) // 9
+        assert near_copies.similar_forest(pair, np.zeros(2, int)) and near_copies.similar_forest(pair, np.array([1, 0]))
+        less = [pair[0], np.sort(np.concatenate([pair[1][pair[1] != h[0]], rng.integers(0, 2**64, 1, dtype=np.uint64)]))]
+        if 9 * (both - 1) < 4 * (a + b):
+            assert not near_copies.similar_forest(less, np.zeros(2, int))
+
+
 def test_near_copies_of_odd_rows(spark):
     long = " ".join(f"w{i}" for i in range(400_000))
     rows = [(1, "a b c d e f"), (1, "quite another text of some words"), (1, "a b c d e f"), (None, "A b c d e f"), (None, None), (5, ""), (6, None), (None, "words that nobody else has at all"), (8, long), (9, long + " x")]
