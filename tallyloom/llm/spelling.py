@@ -114,6 +114,8 @@ def near_pairs(words: DataFrame) -> DataFrame:
     word = F.col("word")
     pivot_keys = F.concat(_keys(word, F.col("pivots.first"), True), _keys(word, F.col("pivots.second"), False))
     prefix_keys = F.flatten(F.transform("prefix", lambda g: F.concat(_keys(word, g["at"], True), _keys(word, g["at"], False))))
+    # few rows that cost much are read in few pieces: dealt out first
+    chosen = chosen.repartition(int(words.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     keyed = staged(chosen.select("word", "n", pivot_keys.alias("own"), prefix_keys.alias("all")), "gram-keys")
     own = keyed.select(F.explode("own").alias("key"), F.col("word").alias("a"), F.col("n").alias("a_n"))
     index = keyed.select(F.explode("all").alias("key"), F.col("word").alias("b"), F.col("n").alias("b_n"))
@@ -125,10 +127,8 @@ def near_pairs(words: DataFrame) -> DataFrame:
 
 def forms(words: DataFrame) -> DataFrame:
     """word, n, n_near, form and form_n of every word."""
-    pairs = near_pairs(words)
-    both = pairs.select(F.col("a").alias("word"), F.col("b").alias("near"), F.col("b_n").alias("near_n")).unionByName(
-        pairs.select(F.col("b").alias("word"), F.col("a").alias("near"), F.col("a_n").alias("near_n"))
-    )
+    sides = [F.struct(F.col(x).alias("word"), F.col(y).alias("near"), F.col(f"{y}_n").alias("near_n")) for x, y in ("ab", "ba")]
+    both = near_pairs(words).select(F.inline(F.array(*sides)))
     best = both.groupBy("word").agg(F.count("*").alias("n_near"), F.min(F.struct((-F.col("near_n")).alias("less"), "near")).alias("best"))
     taken = -F.col("best.less") >= FORM_RATIO * F.col("n")
     return words.join(best, "word", "left").select(
