@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tallyloom.operators import kpi
-from tallyloom.streaming import inorder, streams
+from tallyloom.streaming import inorder, running, streams
 
 START = datetime(2024, 3, 1)
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -163,3 +163,44 @@ def test_kpi_trends(rocks, tmp_path):
         t = kpi.trends(series, ["k"], "i", "v").first()
         mine = [r for r in want.where(F.col("kpi_id") == n).orderBy(F.desc("event_id")).limit(1).collect()][0]
         assert (round(t.change, 6), round(t.percent, 6), round(t.strength, 6), t.direction) == (round(mine.change, 6), round(mine.percent, 6), round(mine.strength, 6), mine.direction)
+
+
+def _all_kpis(df, numbers, kinds, date):
+    rows = [(r.kpi_id, None, r.value) for r in kpi.numeric_kpis(df, numbers).collect()]
+    rows += [(r.kpi_id, r.label, r.value) for r in kpi.categorical_kpis(df, kinds).collect()]
+    rows += [(r.kpi_id, None, r.value) for r in [*kpi.time_kpis(df, date).collect(), *kpi.quality_kpis(df).collect()]]
+    return sorted((k, str(label), round(v, 6)) for k, label, v in rows)
+
+
+def test_running_kpis(spark, tmp_path, testdata):
+    """After every batch the merged KPIs equal those over all rows so far; a batch that comes again counts once."""
+    orders = spark.read.parquet(f"{testdata}/sf0.001/orders.parquet").select("o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority", "o_orderkey")
+    orders = orders.withColumn("o_totalprice", F.when(F.col("o_orderkey") % 3 > 0, F.col("o_totalprice"))).withColumn("late", -F.col("o_orderkey") % 4)
+    orders = orders.drop("o_orderkey").withColumn("o_custkey", F.col("o_custkey") % 40).cache()
+    numbers, kinds = ["o_totalprice", "o_custkey", "late"], ["o_orderstatus", "o_orderpriority", "o_custkey"]
+    own = running.RunningKpis(spark, str(tmp_path / "kpis"), numbers, kinds, "o_orderdate")
+    parts = [orders.where(F.pmod(F.xxhash64("o_totalprice", "o_orderdate"), F.lit(3)) == k) for k in range(3)]
+    so_far = orders.limit(0)
+    for k, part in enumerate(parts):
+        own.update(part, k)
+        own.update(part, k)
+        so_far = so_far.unionByName(part)
+        assert sorted((r.kpi_id, str(r.label), round(r.value, 6)) for r in own.kpis().collect()) == _all_kpis(so_far, numbers, kinds, "o_orderdate")
+    # repeated rows across batches count as duplicates
+    own.update(parts[0], 3)
+    got = {r.kpi_id: r.value for r in own.kpis().collect()}
+    assert got["duplicate_rate"] > 10 and got["total_records"] == orders.count() + parts[0].count()
+
+
+def test_running_kpis_of_a_stream(spark, tmp_path):
+    schema = "kind string, n double, at timestamp"
+    rows = [("ab"[k % 2], float(k), START + timedelta(hours=7 * k)) for k in range(90)]
+    (tmp_path / "in").mkdir()
+    batches(spark, tmp_path / "in", schema, [rows[:30], rows[30:60], rows[60:]])
+    own = running.RunningKpis(spark, str(tmp_path / "kpis"), ["n"], ["kind"], "at")
+    for _ in range(2):  # a second start finds nothing new
+        q = read(spark, tmp_path / "in", schema).writeStream.foreachBatch(own.update).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+        q.awaitTermination(300)
+    assert own.store.version() == 3
+    got = sorted((r.kpi_id, str(r.label), round(r.value, 6)) for r in own.kpis().collect())
+    assert got == _all_kpis(spark.createDataFrame(rows, schema), ["n"], ["kind"], "at")
