@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.similarity import similarity
+from . import mentions as column_names
 
 # Keywords of each aggregation, and keyword families, in the order in which they are tried.
 FUNCTIONS = (
@@ -121,20 +121,12 @@ def features(questions: DataFrame, key: str, text: str = "text") -> DataFrame:
 
 def mentions(questions: DataFrame, columns: DataFrame, key: str, text: str = "text") -> DataFrame:
     """Columns (``name``) that a question names: as they are 1.0, with spaces 0.9, by words (half or more) 0.7 of the share."""
-    t = F.lower(text)
-    spaced = F.replace(F.lower("name"), F.lit("_"), F.lit(" "))
-    words = F.split(spaced, " ")
-    share = F.size(F.array_intersect(F.split(F.regexp_replace(t, "[^a-z0-9 ]", " "), " +"), words)) / F.size(F.array_distinct(words))
-    score = F.when(t.contains(F.lower("name")), 1.0).when(t.contains(spaced), 0.9).when(share >= 0.5, share * 0.7)
-    # the columns of one table are a handful of rows
-    return questions.crossJoin(F.broadcast(columns.select("name"))).select(key, "name", score.alias("confidence")).where("confidence IS NOT NULL")
+    return column_names.named(questions, columns, key, text)
 
 
 def fuzzy_columns(questions: DataFrame, columns: DataFrame, key: str, text: str, least: float = 0.6) -> DataFrame:
     """The best similarity of any word of a question to each column name."""
-    words = questions.select(key, F.explode(F.array_distinct(F.split(F.lower(text), "[^a-z0-9_]+"))).alias("word")).where(F.length("word") > 2)
-    found = words.crossJoin(F.broadcast(columns.select("name"))).select(key, "name", similarity(F.col("word"), F.lower("name")).alias("s"))
-    return found.where(F.col("s") >= least).groupBy(key, "name").agg(F.max("s").alias("similarity"))
+    return column_names.alike(questions, columns, key, text, least)
 
 
 def filter_phrases(questions: DataFrame, key: str, text: str = "text") -> DataFrame:
@@ -157,9 +149,14 @@ def sql_blocks(messages: DataFrame, key: str, text: str = "text") -> DataFrame:
 
 def metrics(messages: DataFrame, key: str, text: str = "text") -> DataFrame:
     """Numbers with a unit (%, $, K, M, units of time) in a text, in order."""
-    pattern = r"([0-9]+(?:\.[0-9]+)?)\s*(%|percent|dollars|seconds|minutes|hours|days|rows|records)"
-    zipped = F.arrays_zip(F.regexp_extract_all(text, F.lit(pattern), F.lit(1)), F.regexp_extract_all(text, F.lit(pattern), F.lit(2)))
-    return messages.select(key, F.posexplode(zipped).alias("place", "m")).select(key, "place", F.col("m.0").cast("double").alias("value"), F.col("m.1").alias("unit"))
+    pattern = r"(\$?)\s*([0-9]+(?:,[0-9]{3})*(?:\.[0-9]+)?)\s*(?:(%|percent\b|dollars\b|seconds\b|minutes\b|hours\b|days\b|rows\b|records\b)|([KM])\b)?"
+    part = lambda i: F.regexp_extract_all(text, F.lit(pattern), F.lit(i))
+    zipped = F.arrays_zip(part(1).alias("sign"), part(2).alias("digits"), part(3).alias("unit"), part(4).alias("scale"))
+    told = F.filter(zipped, lambda m: (m["sign"] != "") | (m["unit"] != "") | (m["scale"] != ""))
+    rows = messages.select(key, F.posexplode(told).alias("place", "m"))
+    scale = F.when(F.col("m.scale") == "K", 1e3).when(F.col("m.scale") == "M", 1e6).otherwise(1.0)
+    unit = F.when(F.col("m.unit") != "", F.col("m.unit")).when(F.col("m.sign") != "", "$").otherwise(F.col("m.scale"))
+    return rows.select(key, "place", (F.replace(F.col("m.digits"), F.lit(","), F.lit("")).cast("double") * scale).alias("value"), unit.alias("unit"))
 
 
 def answer_features(messages: DataFrame, key: str, text: str = "text") -> DataFrame:
@@ -180,8 +177,11 @@ def _entity_spans(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: [] if not isinstance(t, str) else sorted(({"kind": k, "text": m.group(0), "first": m.start(), "last": m.end()} for k, p in _SPANS for m in p.finditer(t)), key=lambda x: (x["first"], x["kind"])))
 
 
-def entities(questions: DataFrame, key: str, text: str = "text") -> DataFrame:
-    """Numbers, dates, operators and quoted values with their places."""
+def entities(questions: DataFrame, key: str, text: str = "text", columns: DataFrame | None = None) -> DataFrame:
+    """Numbers, dates, operators and quoted values with their places, and the columns that are named if ``columns`` is given."""
+    if columns is not None:
+        found = column_names.spans(questions, columns, key, text).select(key, "kind", "text", "first", "last")
+        return entities(questions, key, text).unionByName(found)
     return questions.select(key, F.explode(F.pandas_udf(_entity_spans, "array<struct<kind:string,text:string,first:int,last:int>>")(F.col(text))).alias("e")).select(key, "e.*")
 
 

@@ -11,9 +11,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
-from ..operators import cells, charts, dedup, filters, kpi, layout, logs, missing, privacy, profile, recommend, schema, templates, text, types
+from ..operators import cells, charts, dedup, filters, kpi, layout, logs, mentions, missing, privacy, profile, recommend, schema, templates, text, types
+from ..sources import commits, shared
 from ..sources.io import table
-from ..streaming import streams
+from ..streaming import running, streams
 from . import standardise
 
 QUERIES: dict = {}
@@ -680,10 +681,23 @@ def _(spark, d):
     return _rounded(text.weighted_types(_view(spark, d, ASKED), "qid"))
 
 
-@query("column_mentions", f"SELECT qid, name, CAST(CASE WHEN contains(lower(text), name) THEN 1.0 ELSE 0.9 END AS DOUBLE) AS confidence FROM ({QUESTIONS}) CROSS JOIN (VALUES ('o_totalprice'), ('o_custkey'), ('order_status')) AS t(name) WHERE contains(lower(text), name) OR contains(lower(text), replace(name, '_', ' '))")
+_NAMES = ("o_totalprice", "o_custkey", "order_status", "order_priority", "trend_of_sales", "total")
+
+
+@query("column_mentions", f"""WITH q AS (SELECT qid, lower(text) AS t, list_distinct(regexp_split_to_array(regexp_replace(lower(text), '[^a-z0-9 ]', ' ', 'g'), ' +')) AS w FROM ({ASKED})), n AS (SELECT name, replace(name, '_', ' ') AS spaced, list_distinct(string_split(replace(name, '_', ' '), ' ')) AS parts FROM (VALUES {', '.join(f"('{n}')" for n in _NAMES)}) AS t(name))
+  SELECT qid, name, round(c, 6)::DOUBLE AS confidence FROM (SELECT qid, name, CASE WHEN contains(t, name) THEN 1.0 WHEN contains(t, spaced) THEN 0.9 WHEN len(list_intersect(w, parts)) / len(parts) >= 0.5 THEN 0.7 * len(list_intersect(w, parts)) / len(parts) END AS c FROM q CROSS JOIN n) WHERE c IS NOT NULL""")
+def _(spark, d):
+    names = spark.createDataFrame([(n,) for n in _NAMES], "name string")
+    return _rounded(text.mentions(_view(spark, d, ASKED), names, "qid"))
+
+
+# names that are all of one text and do not overlap in it: the longer ones take what shorter ones hold too
+@query("column_spans", f"""WITH q AS (SELECT qid, lower(text) AS t FROM ({QUESTIONS})), f AS (SELECT * FROM (VALUES ('order_status', 'order status', 0.9), ('order_priority', 'order priority', 0.9), ('priority', 'priority', 1.0), ('o_totalprice', 'o_totalprice', 1.0), ('total', 'total', 1.0), ('sales', 'sales', 1.0)) AS t(name, form, confidence)),
+  h AS (SELECT qid, name, form, confidence, instr(t, form) - 1 AS first FROM q JOIN f ON contains(t, form) WHERE name <> 'total' AND name <> 'priority' UNION ALL SELECT qid, 'total', 'total', 1.0, instr(t, 'total ') - 1 FROM q WHERE contains(t, 'total ') UNION ALL SELECT qid, 'priority', 'priority', 1.0, instr(t, 'priority') - 1 FROM q WHERE contains(t, 'priority') AND NOT contains(t, 'order priority'))
+  SELECT qid, 'column' AS kind, form AS text, name, first::INT AS first, (first + length(form))::INT AS last, confidence::DOUBLE AS confidence FROM h""")
 def _(spark, d):
-    names = table(spark, d, "orders").limit(1).select(F.explode(F.array(F.lit("o_totalprice"), F.lit("o_custkey"), F.lit("order_status"))).alias("name"))
-    return text.mentions(_view(spark, d, QUESTIONS), names, "qid").where(F.col("confidence") >= 0.9)
+    names = spark.createDataFrame([(n,) for n in ("order_status", "order_priority", "priority", "o_totalprice", "total", "sales")], "name string")
+    return mentions.spans(_view(spark, d, QUESTIONS), names, "qid")
 
 
 @query("filter_phrases", f"SELECT qid, 'o_custkey' AS \"column\", '>' AS operator, regexp_extract(text, '> ([0-9]+)', 1) AS value FROM ({QUESTIONS}) WHERE qid % 7 = 3 UNION ALL SELECT qid, 'o_orderstatus', '=', 'F' FROM ({QUESTIONS}) WHERE qid % 7 = 3 UNION ALL SELECT qid, 'o_custkey', '=', regexp_extract(text, '= ([0-9]+)', 1) FROM ({QUESTIONS}) WHERE qid % 7 = 6")
@@ -1128,6 +1142,15 @@ def _(spark, d):
     return streams.routed(e, subs).groupBy("subscriber").agg(F.count("*").alias("events"))
 
 
+@query("event_routing_boards", """WITH e AS (SELECT event_id, event_type, CASE user_id % 4 WHEN 0 THEN NULL WHEN 1 THEN '' ELSE concat('d', CAST(user_id % 6 AS VARCHAR)) END AS board FROM events),
+  s AS (SELECT * FROM (VALUES ('all', NULL, NULL), ('errors', 'error', ''), ('sales2', 'purchase', 'd2'), ('board3', NULL, 'd3'), ('views3', 'view', 'd3')) AS t(subscriber, kind, board))
+  SELECT subscriber, count(*) AS events, CAST(sum(event_id) AS BIGINT) AS ids FROM e JOIN s ON (s.kind IS NULL OR s.kind = event_type) AND (coalesce(e.board, '') = '' OR coalesce(s.board, '') = '' OR e.board = s.board) GROUP BY 1""")
+def _(spark, d):
+    e = table(spark, d, "events").selectExpr("event_id", "event_type", "CASE user_id % 4 WHEN 0 THEN NULL WHEN 1 THEN '' ELSE concat('d', user_id % 6) END AS dashboard_id")
+    subs = spark.createDataFrame([("all", [], None), ("errors", ["error"], ""), ("sales2", ["purchase"], "d2"), ("board3", None, "d3"), ("views3", ["view"], "d3")], "subscriber string, types array<string>, dashboard_id string")
+    return streams.routed_boards(e, subs).groupBy("subscriber").agg(F.count("*").alias("events"), F.sum("event_id").alias("ids"))
+
+
 @query("alert_events", "SELECT event_id FROM events WHERE event_type = 'error' OR value >= 90")
 def _(spark, d):
     return streams.alert_events(table(spark, d, "events"), 90.0).select("event_id")
@@ -1152,3 +1175,71 @@ def _(spark, d):
 def _(spark, d):
     e = table(spark, d, "events")
     return e.groupBy("event_type").agg(F.count("*").alias("n")) if streams.fingerprint(e) == streams.fingerprint(e.repartition(7)) else e.limit(0)
+
+
+# three batches, of which one comes twice; what was committed is there once, and whole
+@query("committed_tables", """SELECT o_orderkey, CAST(count(l_orderkey) AS BIGINT) AS n_tables, 1::BIGINT AS n_logs, CAST(1 + o_orderkey % 3 AS BIGINT) AS version
+  FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY o_orderkey""")
+def _(spark, d):
+    store = commits.Store(spark, shared.folder(spark, "store"))
+    orders, lines = table(spark, d, "orders"), table(spark, d, "lineitem")
+    for k in (0, 1, 1, 2):
+        own = orders.where(f"o_orderkey % 3 = {k}")
+        store.commit(f"upload-{k}", {
+            "documents": own.select("o_orderkey", F.lit(k + 1).cast("long").alias("version")), "tables": lines.where(f"l_orderkey % 3 = {k}").select("l_orderkey", "l_linenumber"),
+            "logs": own.select(F.col("o_orderkey").alias("log_key"), F.lit("uploaded").alias("stage")),
+        })
+    tables = store.read("tables").groupBy("l_orderkey").agg(F.count("*").alias("n_tables"))
+    logged = store.read("logs").groupBy("log_key").agg(F.count("*").alias("n_logs"))
+    documents = store.read("documents")
+    return documents.join(tables, documents["o_orderkey"] == tables["l_orderkey"], "left").join(logged, documents["o_orderkey"] == logged["log_key"], "left").select(
+        "o_orderkey", F.coalesce("n_tables", F.lit(0).cast("long")).alias("n_tables"), F.coalesce("n_logs", F.lit(0).cast("long")).alias("n_logs"), "version"
+    )
+
+
+_AUDITED = "CASE event_type WHEN 'error' THEN 'account_locked' WHEN 'signup' THEN 'user_created' WHEN 'purchase' THEN 'data_modified' WHEN 'click' THEN 'api_key_created' ELSE 'page_viewed' END"
+
+
+@query("audit_log", f"SELECT {_AUDITED} AS kind, CASE event_type WHEN 'error' THEN 'high' WHEN 'view' THEN 'low' ELSE 'medium' END AS risk_level, count(*) AS events, 100.0::DOUBLE AS integrity FROM events GROUP BY 1, 2")
+def _(spark, d):
+    store = commits.Store(spark, shared.folder(spark, "audit"))
+    events = table(spark, d, "events").selectExpr("event_id", "user_id", f"{_AUDITED} AS event_type", "value")
+    for k in (0, 1, 1):
+        commits.log_events(store, events.where(f"event_id % 2 = {k}"), f"batch-{k}")
+    kept = commits.audit(store)
+    return kept.groupBy(F.col("event_type").alias("kind"), "risk_level").agg(F.count("*").alias("events")).crossJoin(logs.integrity(kept).select("integrity"))  # one row
+
+
+_RUNNING = "SELECT o_orderstatus, o_orderpriority, o_totalprice, o_custkey % 30 AS segment, o_orderdate FROM orders"
+
+
+@query("kpi_incremental", f"""WITH o AS ({_RUNNING}) SELECT 'total_o_totalprice' AS kpi_id, NULL::VARCHAR AS label, round(sum(o_totalprice), 2)::DOUBLE AS value FROM o UNION ALL SELECT 'avg_o_totalprice', NULL, round(avg(o_totalprice), 2) FROM o UNION ALL SELECT 'max_o_totalprice', NULL, max(o_totalprice) FROM o
+  UNION ALL SELECT 'total_segment', NULL, sum(segment) FROM o UNION ALL SELECT 'avg_segment', NULL, round(avg(segment), 2) FROM o UNION ALL SELECT 'max_segment', NULL, max(segment) FROM o
+  UNION ALL (SELECT 'top_o_orderstatus', o_orderstatus, count(*) FROM o GROUP BY 2 ORDER BY 3 DESC, 2 LIMIT 1) UNION ALL SELECT 'unique_o_orderstatus', NULL, count(DISTINCT o_orderstatus) FROM o
+  UNION ALL (SELECT 'top_o_orderpriority', o_orderpriority, count(*) FROM o GROUP BY 2 ORDER BY 3 DESC, 2 LIMIT 1) UNION ALL SELECT 'unique_o_orderpriority', NULL, count(DISTINCT o_orderpriority) FROM o
+  UNION ALL SELECT 'completeness', NULL, 100 UNION ALL SELECT 'total_records', NULL, count(*) FROM o UNION ALL SELECT 'duplicate_rate', NULL, round((count(*) - (SELECT count(*) FROM (SELECT DISTINCT * FROM o))) * 100.0 / count(*), 2) FROM o
+  UNION ALL SELECT 'records_per_day', NULL, round(count(*) / greatest(1, floor((epoch_us(max(o_orderdate)::TIMESTAMP) - epoch_us(min(o_orderdate)::TIMESTAMP)) / 86400000000)), 2) FROM o
+  UNION ALL SELECT 'recent_records', NULL, count(*) FROM o WHERE o_orderdate >= (SELECT max(o_orderdate) FROM o) - INTERVAL 7 DAY""")
+def _(spark, d):
+    own = running.RunningKpis(spark, shared.folder(spark, "kpis"), ["o_totalprice", "segment"], ["o_orderstatus", "o_orderpriority", "segment"], "o_orderdate")
+    orders = _view(spark, d, _RUNNING)
+    for k in range(3):
+        own.update(orders.where(F.pmod(F.datediff("o_orderdate", F.lit("1990-01-01")), F.lit(3)) == k), k)
+    return _rounded(own.kpis(), 2)
+
+
+_DAYS = "SELECT o_orderstatus AS kpi_id, CAST(o_orderdate AS DATE) AS day, round(sum(o_totalprice), 2) AS value FROM orders GROUP BY 1, 2"
+
+
+@query("kpi_rolling_trend", f"""WITH p AS (SELECT *, row_number() OVER (PARTITION BY kpi_id ORDER BY day) AS i FROM ({_DAYS})), f AS (SELECT *, value - first_value(value) OVER w AS c, first_value(value) OVER w AS f, coalesce(stddev_pop(value) OVER w / abs(avg(value) OVER w), 0) AS vol, coalesce(abs(corr(i, value) OVER w), 0) AS str FROM p WINDOW w AS (PARTITION BY kpi_id ORDER BY i ROWS BETWEEN 9 PRECEDING AND CURRENT ROW))
+  SELECT kpi_id, day, value, least(i, 50)::INT AS points, round(CASE WHEN i < 3 THEN 0 ELSE c END, 4) AS change, round(CASE WHEN i < 3 THEN 0 ELSE c * 100 / f END, 4) AS percent, round(CASE WHEN i < 3 THEN 0 ELSE vol END, 4) AS volatility, round(CASE WHEN i < 3 THEN 0 ELSE str END, 4) AS strength,
+  CASE WHEN i < 3 THEN 'STABLE' WHEN vol > 0.3 THEN 'VOLATILE' WHEN abs(c * 100 / f) < 5 THEN 'STABLE' WHEN c > 0 THEN 'UP' ELSE 'DOWN' END AS direction FROM f""")
+def _(spark, d):
+    return _rounded(kpi.rolling_trend(_view(spark, d, _DAYS), ["kpi_id"], ["day"], "value"), 4)
+
+
+# limits that are never reached within a block, so that windows can count what was allowed
+@query("limit_details", """WITH e AS (SELECT *, epoch_us(ts) AS us, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS i FROM events)
+  SELECT a.event_id, 1000000 AS request_limit, 1000000 - count(*)::INT AS remaining, round(min(b.us) / 1000000 + 3600, 3) AS reset_at, NULL::DOUBLE AS retry_after FROM e a JOIN e b ON a.user_id = b.user_id AND a.event_type = b.event_type AND b.i <= a.i AND b.us > a.us - 3600000000 GROUP BY a.event_id""")
+def _(spark, d):
+    return _rounded(streams.limit_details(table(spark, d, "events"), streams.Limit(1_000_000)).select("event_id", "request_limit", "remaining", "reset_at", "retry_after"), 3)

@@ -49,6 +49,25 @@ def routed(df: DataFrame, subscribers: DataFrame, kind: str = "event_type") -> D
     return offered.join(wanted, "_type").drop("_type")
 
 
+def routed_boards(df: DataFrame, subscribers: DataFrame, kind: str = "event_type", board: str = "dashboard_id") -> DataFrame:
+    """Events to subscribers (subscriber, types, dashboard_id) of the type and the dashboard, each pair once.
+
+    No types, and a blank or null dashboard on either side, mean all of them. The cases exclude each other, and
+    each is a key of its own: an event without a dashboard goes to ``all``, which every subscriber takes; one with a
+    dashboard goes to its own and to ``open``, which those without one take. What is left is an equi-join.
+    """
+    everything, of_all, open_ = "\x00all", "\x00every board", "\x00open board"
+    blank = lambda c: F.col(c).isNull() | (F.col(c).cast("string") == "")
+    own = F.concat(F.lit("="), F.col(board).cast("string"))
+    wanted = subscribers.select(
+        "subscriber", F.explode(F.when(F.coalesce(F.size("types"), F.lit(0)) <= 0, F.array(F.lit(everything))).otherwise(F.array_distinct("types"))).alias("_type"),
+        F.when(blank("dashboard_id"), F.array(F.lit(open_), F.lit(of_all))).otherwise(F.array(F.concat(F.lit("="), F.col("dashboard_id").cast("string")), F.lit(of_all))).alias("_boards"),
+    ).withColumn("_board", F.explode("_boards")).drop("_boards")
+    offered = df.withColumn("_type", F.explode(F.array(F.col(kind), F.lit(everything)))).where("_type IS NOT NULL")
+    offered = offered.withColumn("_board", F.explode(F.when(blank(board), F.array(F.lit(of_all))).otherwise(F.array(own, F.lit(open_)))))
+    return offered.join(wanted, ["_type", "_board"]).drop("_type", "_board")
+
+
 def alert_events(df: DataFrame, limit: float, kind: Column | None = None) -> DataFrame:
     bad = F.col("event_type") == "error" if kind is None else kind
     return df.where(bad | (F.col("value") >= limit))
