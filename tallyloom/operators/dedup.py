@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import squeeze
 from ..functions.similarity import edit_similarity, similarity
+from ..sources import shared
 
 
 def exact(df: DataFrame, order: str, columns: list[str] | None = None) -> DataFrame:
@@ -38,26 +39,71 @@ def without_headers(df: DataFrame, columns: list[str], least: float = 0.9) -> Da
 def similar_pairs(df: DataFrame, key: str, text: str, threshold: float = 0.85, block: Column | None = None, edit_only: bool = False) -> DataFrame:
     """Pairs (a, b, similarity) with a before b, of texts in one block.
 
-    Rows meet if their blocks are equal, their lengths allow the threshold and they share a character
-    key. Neither measure exceeds twice the characters in common (with repeats) over both lengths, so
-    only lengths within a factor meet, in steps of a geometric scale. A text's characters, numbered by
-    occurrence, are read in one order, high numbers first; two texts that reach the threshold share one
-    of the first ``n - ceil(low n) + 1``, and half the threshold of both lengths in all.
+    Neither measure exceeds twice the characters in common order over both lengths. The longer of two similar texts,
+    of n characters, thus differs from the other in at most ``2 (1 - threshold) n`` single insertions and deletions
+    (edits of any kind, and half as many, where only they count). It is cut into one stretch more than that: one of
+    them stands whole in the other text, not further off than the differences allow. Stretches are the keys, and
+    only where they would be single characters, at low thresholds, texts meet by characters instead.
     """
-    low = threshold / (2 - threshold)
-    n = F.length(text)
-    step = F.floor(F.log(F.greatest(n, F.lit(1))) / -F.log(F.lit(low)) + 1e-9).cast("int")
-    rows = df.select(F.col(key).alias("k"), F.col(text).alias("t"), (block if block is not None else F.lit(0)).alias("g"), step.alias("s"), _characters(F.col(text)).alias("c"))
-    rows = rows.withColumn("p", F.when(F.length("t") == 0, F.array(F.lit(0).cast("long"))).otherwise(F.slice("c", 1, (F.length("t") - F.ceil(F.lit(low) * F.length("t") - 1e-9) + 1).cast("int"))))
-    rows = rows.withColumn("m", F.explode("p"))
-    left = rows.select(F.col("k").alias("a"), F.col("t").alias("ta"), F.col("c").alias("ca"), F.col("p").alias("pa"), "g", "m", F.explode(F.array(F.col("s") - 1, F.col("s"), F.col("s") + 1)).alias("s"))
-    right = rows.select(F.col("k").alias("b"), F.col("t").alias("tb"), F.col("c").alias("cb"), F.col("p").alias("pb"), "g", "m", "s")
-    near = (F.least(F.length("ta"), F.length("tb")) >= F.lit(low) * F.greatest(F.length("ta"), F.length("tb")) - 1e-9) & (F.col("a") < F.col("b"))
-    once = F.array_max(F.array_intersect("pa", "pb")) == F.col("m")  # a pair that shares several keys counts at one
-    common = 2 * F.size(F.array_intersect("ca", "cb")) >= F.lit(threshold) * (F.length("ta") + F.length("tb")) - 1e-9
-    pairs = left.join(right, ["g", "s", "m"]).where(near & once & common).select("a", "b", "ta", "tb")
+    spoiled = lambda n: F.floor(F.lit((1 if edit_only else 2) * (1 - threshold)) * n + 1e-9).cast("int")
+    rows = df.select(F.col(key).alias("k"), F.col(text).alias("t"), (block if block is not None else F.lit(0)).alias("g"), F.length(text).alias("n")).where("t IS NOT NULL")
+    met = _by_stretches(rows, threshold, spoiled)
+    if any(n // (_spoiled(n, threshold, edit_only) + 1) < 2 for n in range(1, 400) if _spoiled(n, threshold, edit_only)):
+        met = met.unionByName(_by_characters(rows, threshold, spoiled))
+    pairs = met.distinct()
+    own, other = rows.select(F.col("k").alias("a"), F.col("t").alias("ta")), rows.select(F.col("k").alias("b"), F.col("t").alias("tb"))
+    whole = pairs.join(own, "a").join(other, "b")
+    common = 2 * F.size(F.array_intersect(_characters(F.col("ta")), _characters(F.col("tb")))) >= F.lit(threshold) * (F.length("ta") + F.length("tb")) - 1e-9
     score = edit_similarity(F.col("ta"), F.col("tb")) if edit_only else similarity(F.col("ta"), F.col("tb"))
-    return pairs.select("a", "b", score.alias("similarity")).where(F.col("similarity") >= threshold)
+    return whole.where(common).select("a", "b", score.alias("similarity")).where(F.col("similarity") >= threshold)
+
+
+def _spoiled(n: int, threshold: float, edit_only: bool) -> int:
+    return int((1 if edit_only else 2) * (1 - threshold) * n + 1e-9)
+
+
+def _least_share(threshold: float) -> float:
+    """How much shorter a text may be that is similar."""
+    return threshold / (2 - threshold)
+
+
+def _ordered(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).where("a < b")
+
+
+def _by_stretches(rows: DataFrame, threshold: float, spoiled) -> DataFrame:
+    """Candidates (a, b): a stretch of the longer text occurs in the other near its place."""
+    parts = spoiled(F.col("n")) + 1
+    width = lambda n: F.floor(n / (spoiled(n) + 1)).cast("int")
+    cut = F.transform(F.sequence(F.lit(0), parts - 1), lambda i: F.floor(i * F.col("n") / parts).cast("int"))
+    long_ = rows.where((width(F.col("n")) >= 2) | (spoiled(F.col("n")) == 0)).select(F.col("k").alias("x"), "g", F.col("n").alias("nx"), (parts - 1).alias("far"), width(F.col("n")).alias("w"), "t", F.explode(cut).alias("px"))
+    long_ = long_.select("x", "g", "nx", "far", "w", "px", F.substr("t", F.col("px") + 1, F.col("w")).alias("stretch"))
+    # the widths that texts as long as this one, or as much longer as they may be, are cut by
+    most = F.floor(F.col("n") / F.lit(_least_share(threshold)) + 1e-9).cast("int")
+    widths = F.array_distinct(F.transform(F.sequence(F.col("n"), most), lambda n: F.when((width(n) >= 2) | (spoiled(n) == 0), width(n)).otherwise(-1)))
+    short = rows.withColumn("w", F.explode(widths)).where("w >= 0 AND w <= n")
+    short = short.select(F.col("k").alias("y"), "g", F.col("n").alias("ny"), "w", "t", F.explode(F.sequence(F.lit(0), F.col("n") - F.col("w"))).alias("py"))
+    short = short.select("y", "g", "ny", "w", "py", F.substr("t", F.col("py") + 1, F.col("w")).alias("stretch"))
+    near = (F.col("ny") <= F.col("nx")) & (F.col("ny") >= F.lit(_least_share(threshold)) * F.col("nx") - 1e-9) & (F.abs(F.col("px") - F.col("py")) <= F.col("far"))
+    return _ordered(long_.join(short, ["g", "w", "stretch"]).where(near & (F.col("x") != F.col("y"))).select("x", "y"))
+
+
+def _by_characters(rows: DataFrame, threshold: float, spoiled) -> DataFrame:
+    """Candidates (a, b) of which the longer text would be cut into single characters.
+
+    A text's characters, numbered by occurrence, are read in one order, high numbers first; two texts that reach the
+    threshold share one of the first ``n - ceil(low n) + 1``, and meet in steps of a geometric scale of lengths.
+    """
+    low = _least_share(threshold)
+    step = F.floor(F.log(F.greatest(F.col("n"), F.lit(1))) / -F.log(F.lit(low)) + 1e-9).cast("int")
+    first = F.slice(_characters(F.col("t")), 1, (F.col("n") - F.ceil(F.lit(low) * F.col("n") - 1e-9) + 1).cast("int"))
+    keyed = rows.where("n > 0").select("k", "g", "n", step.alias("s"), F.explode(first).alias("m"))
+    left = keyed.select(F.col("k").alias("x"), "g", "m", F.col("n").alias("nx"), F.explode(F.array(F.col("s") - 1, F.col("s"), F.col("s") + 1)).alias("s"))
+    right = keyed.select(F.col("k").alias("y"), "g", "m", "s", F.col("n").alias("ny"))
+    longer = F.greatest("nx", "ny")
+    single = (spoiled(longer) > 0) & (F.floor(longer / (spoiled(longer) + 1)) < 2)
+    near = (F.least("nx", "ny") >= F.lit(low) * longer - 1e-9) & single & (F.col("x") < F.col("y"))
+    return _ordered(left.join(right, ["g", "s", "m"]).where(near).select("x", "y"))
 
 
 def _characters(text: Column) -> Column:
@@ -84,17 +130,28 @@ def _leaders(pdf: pd.DataFrame) -> pd.DataFrame:
 
 
 def leader_groups(pairs: DataFrame) -> DataFrame:
-    """(row, leader) by greedy clustering in row order within each connected component of the pairs."""
-    edges = pairs.select("a", "b").distinct()
-    label = edges.select(F.explode(F.array("a", "b")).alias("row")).distinct().withColumn("c", F.col("row"))
+    """(row, leader) by greedy clustering in row order within each connected component of the pairs.
+
+    Labels take the least of their neighbours and then that one's own, so that the rounds grow with the logarithm
+    of a component's width; each round is written to the shared folder, which cuts its lineage.
+    """
+    spark = pairs.sparkSession
+
+    def written(df: DataFrame) -> DataFrame:
+        path = shared.folder(spark, "labels")
+        df.write.parquet(path)
+        return spark.read.schema(df.schema).parquet(path)
+
+    edges = written(pairs.select("a", "b").distinct())
     both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    label = edges.select(F.explode(F.array("a", "b")).alias("row")).distinct().withColumn("c", F.col("row"))
     while True:
         least = both.join(label.withColumnRenamed("row", "b"), "b").groupBy("a").agg(F.min("c").alias("m"))
-        fresh = label.join(least, label["row"] == least["a"]).select("row", F.least("c", "m").alias("c"), (F.col("m") < F.col("c")).alias("moved"))
-        fresh = fresh.persist()
-        moved = fresh.where("moved").limit(1).count()
+        nearer = label.join(least, label["row"] == least["a"]).select("row", "c", F.least("c", "m").alias("m"))
+        of_label = label.select(F.col("row").alias("m"), F.col("c").alias("mm"))
+        fresh = written(nearer.join(of_label, "m").select("row", F.least("m", "mm").alias("c"), (F.least("m", "mm") < F.col("c")).alias("moved")))
         label = fresh.drop("moved")
-        if not moved:
+        if not fresh.where("moved").limit(1).count():
             break
     grouped = edges.join(label.withColumnRenamed("row", "a"), "a")
     return grouped.groupBy("c").applyInPandas(_leaders, "row long, leader long")

@@ -97,13 +97,22 @@ def table_regions(words: DataFrame, keys: list[str], row: str, least: float = 0.
 
 
 def fragments(tables: DataFrame, least: float = 0.8) -> DataFrame:
-    """(table_id, leader): tables of equal width of which ``least`` of the headers agree by place follow the first such."""
-    t = tables.select("table_id", F.transform("headers", lambda h: F.lower(F.trim(h))).alias("h")).withColumn("n", F.size("h"))
-    other = t.select(F.col("table_id").alias("leader"), F.col("h").alias("g"), "n")
+    """(table_id, leader): tables of equal width of which ``least`` of the headers agree by place follow the first such.
+
+    Equal lists of headers stand for one another. Lists of n that agree in ``least`` of their places differ in k at
+    most; the places are dealt into k + 1 groups, of which one agrees whole, and is the key.
+    """
+    t = tables.select("table_id", F.transform("headers", lambda h: F.lower(F.trim(h))).alias("h"))
+    lists = t.where(F.size("h") > 0).groupBy("h").agg(F.min("table_id").alias("first")).withColumn("n", F.size("h"))
+    groups = F.col("n") - F.ceil(F.lit(least) * F.col("n") - 1e-9).cast("int") + 1
+    group = lambda g: F.filter(F.col("h"), lambda _, i: i % groups == g)
+    keys = F.transform(F.sequence(F.lit(0), groups - 1), lambda g: F.when(~F.exists(group(g), lambda x: x.isNull()), F.to_json(group(g))))
+    keyed = lists.select("h", "first", "n", F.posexplode(keys).alias("group", "key")).where("key IS NOT NULL")
+    other = keyed.select(F.col("h").alias("g"), F.col("first").alias("leader"), "n", "group", "key")
     same = F.size(F.filter(F.arrays_zip("h", "g"), lambda p: p["h"] == p["g"]))
-    pairs = t.join(other, "n").where((F.col("leader") < F.col("table_id")) & (F.col("n") > 0) & (same >= least * F.col("n")))
-    lead = pairs.groupBy("table_id").agg(F.min("leader").alias("leader"))
-    return tables.select("table_id").join(lead, "table_id", "left").withColumn("leader", F.coalesce("leader", "table_id"))
+    pairs = keyed.join(other, ["n", "group", "key"]).where((F.col("leader") <= F.col("first")) & (same >= least * F.col("n") - 1e-9))
+    lead = pairs.groupBy("h").agg(F.min("leader").alias("leader"))
+    return t.join(lead, "h", "left").select("table_id", F.coalesce(F.least("leader", "table_id"), F.col("table_id")).alias("leader"))
 
 
 def rectangular(tables: DataFrame, headers: list[str], cells: str = "cells") -> DataFrame:
@@ -201,11 +210,23 @@ def confidence_band(c: Column) -> Column:
     return F.when(c >= 0.8, "high").when(c >= 0.6, "medium").otherwise("low")
 
 
-def better_result(results: DataFrame, keys: list[str], engine: str = "engine") -> DataFrame:
-    """The engine of the higher mean confidence plus a tenth of the relative length of its text."""
+#: Fixed value: by how much the score of another engine must be higher to be preferred to the first.
+DEAD_BAND = 0.05
+
+
+def better_result(results: DataFrame, keys: list[str], engine: str = "engine", preferred: str | None = None) -> DataFrame:
+    """The engine of the higher mean confidence plus a tenth of the relative length of its text.
+
+    With a ``preferred`` engine, another one is only taken if its score is higher by more than DEAD_BAND.
+    """
     longest = F.max("length").over(Window.partitionBy(*keys))
     score = F.col("confidence") + 0.1 * F.coalesce(F.try_divide(F.col("length").cast("double"), longest), F.lit(0.0))
-    return results.withColumn("_s", score).groupBy(*keys).agg(F.max_by(engine, F.struct("_s", engine)).alias("engine"), F.max("_s").alias("score"))
+    scored = results.withColumn("_s", score)
+    if preferred is None:
+        return scored.groupBy(*keys).agg(F.max_by(engine, F.struct("_s", engine)).alias("engine"), F.max("_s").alias("score"))
+    best = scored.groupBy(*keys).agg(F.max(F.struct("_s", engine)).alias("best"), F.max(F.when(F.col(engine) == preferred, F.struct("_s", engine))).alias("own"))
+    taken = F.when(F.col("best._s") - F.col("own._s") <= DEAD_BAND + 1e-12, F.col("own")).otherwise(F.col("best"))
+    return best.select(*keys, taken[engine].alias("engine"), taken["_s"].alias("score"))
 
 
 def structure_confidence(cells: DataFrame, keys: list[str]) -> DataFrame:
