@@ -221,3 +221,19 @@ def rolling_trend(df: DataFrame, keys: list[str], order: list[str], value: str,
         *df.columns, F.least(F.col("_i"), F.lit(keep)).alias("points"), zero("change"), zero("percent"), zero("volatility"), zero("strength"),
         F.when(short, "STABLE").when(F.col("volatility") > 0.3, "VOLATILE").when(F.abs("percent") < 5, "STABLE").when(F.col("percent") > 0, "UP").otherwise("DOWN").alias("direction"),
     )
+
+
+# What a KPI is worth by its category (3 for others), for a word in its name, and for a common type.
+RELEVANCE = {"business": 10, "summary": 8, "time_series": 7, "categorical": 6, "quality": 5}
+NAME_BONUS, NAME_WORDS = 5, ("revenue", "profit", "sales", "customer")
+TYPE_BONUS, COMMON_TYPES = 3, ("sum", "average", "count")
+
+
+def relevant(kpis: DataFrame, most: int = 10) -> DataFrame:
+    """The ``most`` KPIs (kpi_id, category, kpi_type) of the highest score by category, name and type, ties by id."""
+    table = F.create_map(*[x for k, v in RELEVANCE.items() for x in (F.lit(k), F.lit(v))])
+    named = F.lit(False)
+    for word in NAME_WORDS:
+        named = named | F.lower("kpi_id").contains(word)
+    score = F.coalesce(table[F.col("category")], F.lit(3)) + F.when(named, NAME_BONUS).otherwise(0) + F.when(F.col("kpi_type").isin(*COMMON_TYPES), TYPE_BONUS).otherwise(0)
+    return kpis.withColumn("score", score).orderBy(F.desc("score"), "kpi_id").limit(most)

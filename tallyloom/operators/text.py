@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import answers
 from . import mentions as column_names
 
 # Keywords of each aggregation, and keyword families, in the order in which they are tried.
@@ -160,14 +161,12 @@ def metrics(messages: DataFrame, key: str, text: str = "text") -> DataFrame:
 
 
 def answer_features(messages: DataFrame, key: str, text: str = "text") -> DataFrame:
-    """Sentences, steps, explanation words and a clarity score of an answer."""
+    """Sentences, words, steps, explanation words and the clarity of an answer."""
     t = F.col(text)
     sentences = F.size(F.filter(F.split(t, r"[.!?]+\s*"), lambda s: F.length(F.trim(s)) > 0))
     words = F.size(F.filter(F.split(t, r"\s+"), lambda s: s != ""))
     steps = F.regexp_count(t, F.lit(r"(?m)^\s*(?:[0-9]+\.|[-*])\s"))
-    per = F.coalesce(F.try_divide(words.cast("double"), sentences), F.lit(0.0))
-    clarity = F.least(F.lit(1.0), 0.5 + F.when(per.between(5, 25), 0.3).otherwise(0.0) + F.when(steps > 0, 0.2).otherwise(0.0))
-    return messages.select(key, sentences.alias("sentences"), words.alias("words"), steps.alias("steps"), _any(F.lower(t), ("because", "therefore", "due to")).alias("explains"), clarity.alias("clarity"))
+    return messages.select(key, sentences.alias("sentences"), words.alias("words"), steps.alias("steps"), _any(F.lower(t), ("because", "therefore", "due to")).alias("explains"), answers.clarity(t).alias("clarity"))
 
 
 _SPANS = (("number", re.compile(r"-?\d+(?:\.\d+)?")), ("quoted", re.compile(r"'([^']*)'|\"([^\"]*)\"")), ("date", re.compile(r"\d{4}-\d{2}-\d{2}")), ("operator", re.compile(r">=|<=|!=|=|>|<|\b(?:greater than|less than|equals|contains)\b", re.IGNORECASE)))
@@ -200,13 +199,13 @@ def last_turns(messages: DataFrame, conv: str, turn: str, text: str, n: int = 5)
     return messages.groupBy(conv).agg(F.count("*").alias("interactions")).join(recent, conv).select(conv, "interactions", F.transform("_l", lambda x: x[text]).alias("recent"))
 
 
-def combined_answers(answers: DataFrame, key: str, numbers: list[str], most: int = 5) -> DataFrame:
+def combined_answers(parts: DataFrame, key: str, numbers: list[str], most: int = 5) -> DataFrame:
     """One row per ``key``: sums of the numeric fields, mean confidence and the first ``most`` different suggestions.
 
-    ``answers``: key, place, confidence, suggestions (an array) and the numbers.
+    ``parts``: key, place, confidence, suggestions (an array) and the numbers.
     """
-    said = answers.select(key, "place", F.posexplode("suggestions").alias("i", "s")).groupBy(key, "s").agg(F.min(F.struct("place", "i")).alias("at"))
+    said = parts.select(key, "place", F.posexplode("suggestions").alias("i", "s")).groupBy(key, "s").agg(F.min(F.struct("place", "i")).alias("at"))
     rank = F.row_number().over(Window.partitionBy(key).orderBy("at"))
     first = said.withColumn("_r", rank).where(F.col("_r") <= most).groupBy(key).agg(F.array_sort(F.collect_list(F.struct("_r", "s"))).alias("_s"))
-    facts = answers.groupBy(key).agg(*[F.sum(c).alias(c) for c in numbers], F.avg("confidence").alias("confidence"), F.count("*").alias("answers"))
+    facts = parts.groupBy(key).agg(*[F.sum(c).alias(c) for c in numbers], F.avg("confidence").alias("confidence"), F.count("*").alias("answers"))
     return facts.join(first, key, "left").withColumn("suggestions", F.coalesce(F.transform("_s", lambda x: x["s"]), F.array().cast("array<string>"))).drop("_s")

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
-from ..operators import cells, charts, dedup, filters, kpi, layout, logs, mentions, missing, privacy, profile, recommend, schema, templates, text, types
+from ..operators import answers, cells, charts, dedup, filters, kpi, layout, logs, mentions, missing, privacy, profile, recommend, schema, templates, text, types
 from ..sources import commits, shared
 from ..sources.io import table
 from ..streaming import running, streams
@@ -716,12 +716,50 @@ def _(spark, d):
 
 
 @query("answer_features", """WITH c AS (SELECT concat_ws('-', conv_id, turn) AS k, len(list_filter(regexp_split_to_array(text, '[.!?]+\\s*'), lambda s: length(trim(s)) > 0)) AS sentences, len(list_filter(regexp_split_to_array(text, '\\s+'), lambda s: s <> '')) AS words, len(regexp_extract_all(text, '(?m)^\\s*(?:[0-9]+\\.|[-*])\\s')) AS steps,
-  contains(lower(text), 'because') OR contains(lower(text), 'therefore') OR contains(lower(text), 'due to') AS explains FROM conversations)
-  SELECT k, sentences::INT AS sentences, words::INT AS words, steps::INT AS steps, explains, round(least(1.0, 0.5 + CASE WHEN sentences > 0 AND words / sentences BETWEEN 5 AND 25 THEN 0.3 ELSE 0 END + CASE WHEN steps > 0 THEN 0.2 ELSE 0 END), 6)::DOUBLE AS clarity FROM c""")
+  contains(lower(text), 'because') OR contains(lower(text), 'therefore') OR contains(lower(text), 'due to') AS explains, list_sum(list_transform(regexp_split_to_array(text, '[.!?]+'), lambda p: len(list_filter(regexp_split_to_array(p, '\\s+'), lambda w: w <> '')))) / len(regexp_split_to_array(text, '[.!?]+')) AS mean FROM conversations)
+  SELECT k, sentences::INT AS sentences, words::INT AS words, steps::INT AS steps, explains, CASE WHEN mean BETWEEN 10 AND 25 THEN 0.8 WHEN mean BETWEEN 5 AND 35 THEN 0.6 ELSE 0.4 END::DOUBLE AS clarity FROM c""")
 def _(spark, d):
     return _rounded(text.answer_features(table(spark, d, "conversations").withColumn("k", F.concat_ws("-", "conv_id", "turn")), "k"))
 
 
+# answers in sections, bullets, paragraphs, steps, and with the fields of a diagnosis
+ANSWERS = """SELECT o_orderkey AS qid, CASE o_orderkey % 6 WHEN 0 THEN concat('1. Overview: total is ', CAST(o_custkey AS VARCHAR(12)), chr(10), '2. Insight: more of ', o_orderpriority, chr(10), '1. Overview: again, for example ', o_orderstatus) WHEN 1 THEN concat('- Trend: up by ', CAST(o_custkey % 90 AS VARCHAR(12)), chr(10), '  still rising', chr(10), '- We recommend: review prices')
+  WHEN 2 THEN concat('First of all.', chr(10), chr(10), 'The findings are clear because orders of ', o_orderpriority, ' fell. This shows it! Is it due to cost?', chr(10), chr(10), 'That is all') WHEN 3 THEN concat('Problem: column ', CAST(o_custkey AS VARCHAR(12)), ' is missing', chr(10), 'in the table', chr(10), 'Fix: add it', chr(10), 'Tips: check first')
+  WHEN 4 THEN concat('1. Compare regions of ', o_orderstatus, chr(10), '2. Track sales', chr(10), '10. Wait') ELSE concat('Nothing to say about ', CAST(o_custkey AS VARCHAR(12))) END AS text FROM orders"""
+
+
+@query("answer_sections", f"""WITH s AS (SELECT qid, qid % 6 AS c, text FROM ({ANSWERS}))
+  SELECT qid, 0 AS place, 'Overview' AS title, regexp_extract(text, 'again.*$') AS content FROM s WHERE c = 0 UNION ALL SELECT qid, 1, 'Insight', regexp_extract(text, 'more of [^\n]*') FROM s WHERE c = 0
+  UNION ALL SELECT qid, 0, 'Trend', concat(regexp_extract(text, 'up by [0-9]+'), chr(10), '  still rising') FROM s WHERE c = 1 UNION ALL SELECT qid, 1, 'We recommend', 'review prices' FROM s WHERE c = 1 UNION ALL SELECT qid, 0, 'Analysis 2', string_split(text, chr(10) || chr(10))[2] FROM s WHERE c = 2""")
+def _(spark, d):
+    return answers.sections(_view(spark, d, ANSWERS), "qid")
+
+
+@query("answer_suggestions", f"""WITH s AS (SELECT qid, qid % 6 AS c, text FROM ({ANSWERS})), l AS (SELECT qid, c, generate_subscripts(string_split(text, chr(10)), 1)::INT - 1 AS place, regexp_replace(unnest(string_split(text, chr(10))), '^[0-9]+[.] ', '') AS line FROM s WHERE c IN (0, 4)),
+  r AS (SELECT qid, place, line AS suggestion FROM l UNION ALL SELECT qid, 0, concat('Trend: ', regexp_extract(text, 'up by [0-9]+'), chr(10), '  still rising') FROM s WHERE c = 1 UNION ALL SELECT qid, 1, 'We recommend: review prices' FROM s WHERE c = 1)
+  SELECT qid, place, suggestion, contains(lower(suggestion), 'compare') OR contains(lower(suggestion), 'track') OR contains(lower(suggestion), 'review') AS actionable FROM r""")
+def _(spark, d):
+    return answers.suggestions(_view(spark, d, ANSWERS).where("qid % 6 <> 2"), "qid")
+
+
+@query("answer_diagnosis", f"SELECT qid, CASE WHEN qid % 6 = 3 THEN concat(regexp_extract(text, 'column [0-9]+ is missing'), chr(10), 'in the table') END AS cause, CASE WHEN qid % 6 = 3 THEN concat('add it', chr(10), 'Tips: check first') END AS solution, CASE WHEN qid % 6 = 3 THEN 'check first' END AS prevention, CASE WHEN qid % 6 = 3 THEN 1.0 ELSE 0.2 END::DOUBLE AS confidence FROM ({ANSWERS})")
+def _(spark, d):
+    return _rounded(answers.diagnosis(_view(spark, d, ANSWERS), "qid"))
+
+
+@query("kpi_relevant", """SELECT * FROM (SELECT *, (CASE category WHEN 'business' THEN 10 WHEN 'summary' THEN 8 WHEN 'categorical' THEN 6 ELSE 5 END + CASE WHEN contains(kpi_id, 'customer') OR contains(kpi_id, 'sales') THEN 5 ELSE 0 END + CASE WHEN kpi_type IN ('sum', 'average', 'count') THEN 3 ELSE 0 END)::INT AS score
+  FROM (SELECT * FROM (VALUES ('total_o_totalprice', 'summary', 'sum'), ('avg_o_totalprice', 'summary', 'average'), ('max_o_totalprice', 'summary', 'max'), ('total_o_custkey', 'summary', 'sum'), ('avg_o_custkey', 'summary', 'average'), ('max_o_custkey', 'summary', 'max'), ('completeness', 'quality', 'percentage'), ('duplicate_rate', 'quality', 'percentage'), ('total_records', 'quality', 'count')) AS t(kpi_id, category, kpi_type)
+    UNION ALL SELECT 'unique_customer_' || o_orderstatus, 'business', 'count' FROM (SELECT DISTINCT o_orderstatus FROM orders))) ORDER BY score DESC, kpi_id LIMIT 9""")
+def _(spark, d):
+    o = table(spark, d, "orders")
+    of = lambda rows, category, kind: rows.select("kpi_id", F.lit(category).alias("category"), kind.alias("kpi_type"))
+    first = F.substring_index("kpi_id", "_", 1)
+    numeric = of(kpi.numeric_kpis(o, ["o_totalprice", "o_custkey"]), "summary", F.when(first == "total", "sum").when(first == "avg", "average").otherwise("max"))
+    quality = of(kpi.quality_kpis(o), "quality", F.when(F.col("kpi_id") == "total_records", "count").otherwise("percentage"))
+    business = of(o.select(F.concat(F.lit("unique_customer_"), "o_orderstatus").alias("kpi_id")).distinct(), "business", F.lit("count"))
+    return kpi.relevant(numeric.unionByName(quality).unionByName(business), 9)
+
+
 @query("entities")
 def _(spark, d):
     return text.entities(_view(spark, d, QUESTIONS), "qid")
