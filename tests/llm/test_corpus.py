@@ -585,8 +585,9 @@ def test_near_copies_of_similarity_08_go(spark, testdata, monkeypatch):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     want = near_copies.brute_force(rows)
     assert {r.doc_id for r in near_copies.keep_first(docs).collect()} == want
-    # groups dealt into small blocks
-    monkeypatch.setattr(near_copies, "MEMBERS", 5)
+    # keys and groups dealt into small blocks
+    for name, value in (("MEMBERS", 5), ("FEW", 3), ("HOT", 4), ("KEYED_BYTES", 4000)):
+        monkeypatch.setattr(near_copies, name, value)
     assert {r.doc_id for r in near_copies.keep_first(docs).collect()} == want
 
 
@@ -613,8 +614,12 @@ def test_similar_sets_share_a_key(low, high):
         pair = [np.sort(h[:a]), np.sort(np.concatenate([h[:both], h[a:]]))]
         owner, key = near_copies.ring_keys(pair)
         assert set(key[owner == 0].tolist()) & set(key[owner == 1].tolist())
-        prints = near_copies.parity(pair)
+        wide = [near_copies.parity([p], near_copies.parity_bits(len(p)))[0] for p in pair]
+        words = min(len(p) for p in wide)
+        prints = [near_copies.folded(p, words) for p in wide]
+        assert [p.tolist() for p in prints] == near_copies.parity(pair, 64 * words).tolist()
         assert np.bitwise_count(prints[0] ^ prints[1]).sum() <= (a + b) // 9
+        assert near_copies._possible(wide, np.array([a, b]), np.zeros(2, int))
         assert near_copies.similar_forest(pair, np.zeros(2, int)) and near_copies.similar_forest(pair, np.array([1, 0]))
         less = [pair[0], np.sort(np.concatenate([pair[1][pair[1] != h[0]], rng.integers(0, 2**64, 1, dtype=np.uint64)]))]
         if 9 * (both - 1) < 4 * (a + b):
