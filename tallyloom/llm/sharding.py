@@ -174,3 +174,73 @@ def cut_groups(shards: DataFrame, shard: str = "shard") -> DataFrame:
     groups = shards.groupBy("text_crc32", "size").agg(F.min(shard).alias("a"), F.max(shard).alias("b"))
     loads = shards.groupBy(shard).agg(F.sum("size").alias("bytes"))
     return groups.agg(F.count_if(F.col("a") < F.col("b")).alias("cut")).crossJoin(loads.agg(F.min("bytes").alias("least"), F.max("bytes").alias("most")))
+
+
+def brute_force(rows: list[tuple], shards: int = SHARDS, slack: float = SLACK, rounds: int = ROUNDS) -> dict:
+    """(text, shard) → how many of the rows (doc_id, text) of distinct doc_ids lie there, by replaying the rounds, for tests."""
+    import math
+    import zlib
+
+    import xxhash
+
+    def chained(*parts: bytes) -> int:
+        seed = 42
+        for p in parts:
+            seed = xxhash.xxh64_intdigest(p, seed)
+        return seed - (1 << 64) if seed >> 63 else seed
+
+    long_, int_ = (lambda v: v.to_bytes(8, "little", signed=True)), (lambda v: v.to_bytes(4, "little", signed=True))
+    docs = []
+    for d, t in rows:
+        raw = (t or "").encode()
+        h, crc = chained(raw), zlib.crc32(raw)
+        docs.append({"text": t or "", "size": len(raw) + 1, "h": h, "crc": crc, "u": chained(*([] if d is None else [long_(d)]), long_(h), long_(crc))})
+    docs.sort(key=lambda x: (x["u"] % (1 << 64) >> 64 - CELL_BITS, x["u"], x["size"]))
+
+    def stretch(some: list, ends: list[float], out: str) -> None:
+        before = 0
+        for x in some:
+            x[out] = min(sum(e <= before + x["size"] / 2 for e in ends), len(ends) - 1)
+            before += x["size"]
+
+    total = sum(x["size"] for x in docs)
+    stretch(docs, [k * float(total) / shards for k in range(1, shards + 1)], "first")
+    groups: dict[str, list] = {}
+    for x in docs:
+        groups.setdefault(x["text"], []).append(x)
+    tally = {t: {s: n for s in range(shards) if (n := sum(x["first"] == s for x in g))} for t, g in groups.items() if len(g) > 1}
+    fact = {t: (g[0]["h"], g[0]["crc"], g[0]["size"]) for t, g in groups.items()}
+    load = lambda s: sum(n.get(s, 0) * fact[t][2] for t, n in tally.items())
+    for turn in range(rounds):
+        room = {s: int(total / shards * (1 + slack)) + 1 - load(s) for s in range(shards)}
+        wishes = []
+        for t, held in tally.items():
+            h, crc, size = fact[t]
+            rank = {s: (room[s] >= size, n, chained(long_(h), int_(s), int_(turn)), s) for s, n in held.items()}
+            for s in held if len(held) > 1 else ():
+                more = [r for r in rank.values() if r[1:3] > rank[s][1:3]]
+                if more:
+                    wishes.append((s, max(more)[3], held[s] * size, h, crc, size, held[s], t))
+        there: dict[tuple, int] = {}
+        for s, to, size, *_ in wishes:
+            there[s, to] = there.get((s, to), 0) + size
+        taken: dict[tuple, int] = {}
+        moves = []
+        for s, to, much, h, crc, size, n, t in sorted(wishes, key=lambda w: (math.floor(math.log2(w[2])) * (1 << CELL_BITS) + (w[3] % (1 << 64) >> 64 - CELL_BITS), *w[2:6])):
+            quota = min(there[s, to], there.get((to, s), 0)) + max(room[to], 0) // max(1, shards - 1)
+            may = min(n, max(quota - taken.get((s, to), 0), 0) // size)
+            taken[s, to] = taken.get((s, to), 0) + much
+            if may:
+                moves.append((t, s, to, may))
+        if not moves:
+            break
+        for t, s, to, n in moves:
+            tally[t][s] -= n
+            tally[t][to] = tally[t].get(to, 0) + n
+        tally = {t: {s: n for s, n in held.items() if n} for t, held in tally.items()}
+    alone = [x for x in docs if x["text"] not in tally]
+    left = [max(0.0, total / shards - load(s)) for s in range(shards)]
+    own, ends = float(sum(x["size"] for x in alone)), [sum(left[: s + 1]) for s in range(shards)]
+    stretch(alone, [e * own / ends[-1] if ends[-1] else 0.0 for e in ends], "shard")
+    out = {(t, s): n for t, held in tally.items() for s, n in held.items()}
+    return out | {(x["text"], x["shard"]): 1 for x in alone}

@@ -329,7 +329,7 @@ def test_sharding_does_not_depend_on_input_splits(spark):
 
 
 def test_sharding_of_a_small_graph(spark):
-    """Against a search of all placements: three groups of three and three documents alone fit three shards uncut."""
+    """Three groups of three and three documents alone fit three shards uncut."""
     rows = [(3 * g + i, "abc"[g] * 9) for g in range(3) for i in range(3)] + [(20 + i, "alone"[i:] + "-" * (4 + i)) for i in range(3)]
     got = sharding.assigned(frame(spark, rows), shards=3, slack=0.2).toPandas()
     assert _cut(got) == 0 and got.groupby("shard").size().tolist() == [4, 4, 4]

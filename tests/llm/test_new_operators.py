@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tallyloom.llm import decontamination, exact_dedup, filter_audit, queries, spelling
+from tallyloom.llm import decontamination, exact_dedup, filter_audit, queries, sharding, spelling
 from tallyloom.llm.scratch import new_folder, staged
 
 SCHEMA = "doc_id long, text string, source string, n long, row long, digest string, part string, mask int, key string, word string, first_id long"
@@ -165,3 +165,17 @@ def test_tiling_of_long_runs():
     doc = [k % 5000 for k in range(400_000)]
     assert decontamination.tile(hashed(list(range(100, 160))), hashed(doc)) == [(60, 0, 100)]
     assert time.process_time() - began < 5
+
+
+@pytest.mark.parametrize("seed, shards, slack", [(1, 8, 0.002), (2, 3, 0.05), (3, 5, 0.0), (4, 1, 0.1)])
+def test_sharding_by_replay(spark, seed, shards, slack):
+    """Every round, quota and tie as plain loops have them: the same number of each group in the same shards, documents alone where they belong."""
+    rng = random.Random(seed)
+    texts = [None, ""] + [f"text {k} " + "é" * rng.randrange(60) for k in range(90)]
+    rows = [(i, rng.choice(texts[: rng.choice([3, 20, 92])])) for i in range(700)] + [(1000 + i, f"alone {i} " + "z" * rng.randrange(80)) for i in range(150)]
+    got = sharding.assigned(frame(spark, [(d, "s", t) for d, t in rows]), shards, slack).select("doc_id", "shard").collect()
+    text, count = dict(rows), {}
+    for r in got:
+        key = (text[r.doc_id] or "", r.shard)
+        count[key] = count.get(key, 0) + 1
+    assert count == sharding.brute_force(rows, shards, slack)
