@@ -88,6 +88,39 @@ def dates(df: DataFrame, names: list[str]) -> DataFrame:
     return _per_column(df, names, fields)
 
 
+#: Formats of date texts with their shapes, in the order in which they win ties.
+DATE_FORMATS = (
+    ("yyyy-MM-dd", r"^\d{4}-\d{2}-\d{2}$"), ("MM/dd/yyyy", r"^\d{2}/\d{2}/\d{4}$"), ("dd/MM/yyyy", r"^\d{2}/\d{2}/\d{4}$"), ("yyyy/MM/dd", r"^\d{4}/\d{2}/\d{2}$"),
+    ("MM-dd-yyyy", r"^\d{2}-\d{2}-\d{4}$"), ("dd-MM-yyyy", r"^\d{2}-\d{2}-\d{4}$"), ("dd.MM.yyyy", r"^\d{2}\.\d{2}\.\d{4}$"), ("MMM d, yyyy", r"^[A-Z][a-z]{2} \d{1,2}, \d{4}$"), ("d MMM yyyy", r"^\d{1,2} [A-Z][a-z]{2} \d{4}$"),
+    ("yyyy-MM-dd HH:mm:ss", r"^\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2}$"),
+)
+
+
+def text_dates(df: DataFrame, names: list[str]) -> DataFrame:
+    """name, format, first, last, range_days, unread and mixed of columns of date texts.
+
+    Every value votes for the formats that read it, and the format of most votes reads the column: where days over 12
+    occur they settle whether days or months come first. ``unread`` is the share that it does not read, and
+    ``mixed`` says whether another format reads some of those. Equal values are read once. A column without a date has no row.
+    """
+    cells = df.select(F.inline(F.array(*[F.struct(F.lit(c).alias("name"), F.trim(F.col(f"`{c}`").cast("string")).alias("v")) for c in names]))).where("v <> ''")
+    distinct = cells.groupBy("name", "v").agg(F.count("*").alias("n"))
+    read = [F.when(F.col("v").rlike(shape), F.try_to_timestamp("v", F.lit(fmt))).cast("date") for fmt, shape in DATE_FORMATS]
+    voted = distinct.select("name", "n", *[r.alias(f"d{i}") for i, r in enumerate(read)])
+    mask = sum((F.when(F.col(f"d{i}").isNotNull(), 1 << i).otherwise(0) for i in range(len(read))), F.lit(0)).alias("mask")
+    ends = [f(f"d{i}").alias(f"{e}{i}") for i in range(len(read)) for e, f in (("lo", F.min), ("hi", F.max))]
+    kinds = voted.select("name", "n", mask, *[f"d{i}" for i in range(len(read))]).groupBy("name", "mask").agg(F.sum("n").alias("n"), *ends)  # a row for each set of formats
+    whole = [x for i in range(len(read)) for x in (F.sum(F.when(F.col("mask").bitwiseAND(1 << i) != 0, F.col("n")).otherwise(0)).alias(f"n{i}"), F.min(f"lo{i}").alias(f"lo{i}"), F.max(f"hi{i}").alias(f"hi{i}"))]
+    facts = kinds.groupBy("name").agg(F.sum("n").alias("total"), F.collect_list("mask").alias("masks"), *whole)
+    votes = F.array(*[F.struct(F.col(f"n{i}").alias("n"), F.lit(-i).alias("place"), F.lit(fmt).alias("format"), F.col(f"lo{i}").alias("lo"), F.col(f"hi{i}").alias("hi")) for i, (fmt, _) in enumerate(DATE_FORMATS)])
+    best = facts.withColumn("best", F.array_max(votes)).where("best.n > 0")
+    own = F.pow(F.lit(2.0), -F.col("best.place")).cast("int")
+    return best.select(
+        "name", "best.format", F.col("best.lo").alias("first"), F.col("best.hi").alias("last"), F.datediff("best.hi", "best.lo").cast("long").alias("range_days"),
+        (1 - F.col("best.n") / F.col("total")).alias("unread"), F.exists("masks", lambda m: (m != 0) & (m.bitwiseAND(own) == 0)).alias("mixed"),
+    )
+
+
 def missing_report(df: DataFrame) -> DataFrame:
     """missing, missing_percent and over_half of each column."""
     raw = _per_column(df, df.columns, lambda c: {"total": F.count("*"), "missing": F.count("*") - F.count(c)})

@@ -15,7 +15,7 @@ from ..operators import answers, cells, charts, dedup, filters, kpi, layout, log
 from ..sources import commits, shared
 from ..sources.io import table
 from ..streaming import running, streams
-from . import standardise
+from . import standardise, table_functions
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -1281,3 +1281,33 @@ def _(spark, d):
   SELECT a.event_id, 1000000 AS request_limit, 1000000 - count(*)::INT AS remaining, round(min(b.us) / 1000000 + 3600, 3) AS reset_at, NULL::DOUBLE AS retry_after FROM e a JOIN e b ON a.user_id = b.user_id AND a.event_type = b.event_type AND b.i <= a.i AND b.us > a.us - 3600000000 GROUP BY a.event_id""")
 def _(spark, d):
     return _rounded(streams.limit_details(table(spark, d, "events"), streams.Limit(1_000_000)).select("event_id", "request_limit", "remaining", "reset_at", "retry_after"), 3)
+
+
+_HITS = " UNION ALL ".join(f"SELECT doc_id, '{k}' AS kind, len(regexp_extract_all(text, '{p}')) AS n FROM ({REGISTRY})" for k, p, _ in privacy.PATTERNS)
+
+
+@query("udtf_pii_hits", f"SELECT doc_id, kind, n AS hits FROM ({_HITS}) WHERE n > 0")
+def _(spark, d):
+    table_functions.register(spark)
+    return spark.sql("SELECT r.doc_id, h.kind, count(*) AS hits FROM {r} r, LATERAL pii_hits(r.text) h GROUP BY ALL", r=_view(spark, d, REGISTRY))
+
+
+@query("udtf_page_cells", f"""WITH w AS (SELECT * FROM ({WORDS})), r AS (SELECT *, row_number() OVER (PARTITION BY page ORDER BY row_y) - 1 AS row_no FROM (SELECT DISTINCT page, word_no % 20 AS row_y FROM w))
+  SELECT w.page, r.row_no::INT AS row_no, w.k AS col_no, w.text, round(w.confidence, 6)::DOUBLE AS confidence FROM w JOIN r ON r.page = w.page AND r.row_y = w.word_no % 20""")
+def _(spark, d):
+    table_functions.register(spark)
+    out = spark.sql("SELECT * FROM page_cells(TABLE(SELECT CAST(page AS BIGINT) AS page, x, y, width, text, CAST(confidence AS DOUBLE) AS confidence FROM {w}) PARTITION BY page)", w=_view(spark, d, WORDS))
+    return _rounded(out)
+
+
+# days and months of which some tell the order, and two formats in one column
+_DATED = """SELECT o_orderkey, concat(lpad(CAST(1 + o_orderkey % 28 AS VARCHAR(2)), 2, '0'), '/', lpad(CAST(1 + o_custkey % 12 AS VARCHAR(2)), 2, '0'), '/2023') AS day_first, CASE WHEN o_orderkey % 10 = 7 THEN 'soon' ELSE concat('2022-', lpad(CAST(1 + o_custkey % 12 AS VARCHAR(2)), 2, '0'), '-', lpad(CAST(1 + o_orderkey % 28 AS VARCHAR(2)), 2, '0')) END AS iso,
+  CASE WHEN o_orderkey % 5 = 2 THEN '2021/03/04' ELSE concat(lpad(CAST(1 + o_custkey % 12 AS VARCHAR(2)), 2, '0'), '/', lpad(CAST(1 + o_orderkey % 28 AS VARCHAR(2)), 2, '0'), '/2021') END AS mixed FROM orders"""
+
+
+@query("profile_text_dates", f"""WITH d AS ({_DATED})
+  SELECT 'day_first' AS name, 'dd/MM/yyyy' AS format, min(strptime(day_first, '%d/%m/%Y'))::DATE AS first, max(strptime(day_first, '%d/%m/%Y'))::DATE AS last, (max(strptime(day_first, '%d/%m/%Y'))::DATE - min(strptime(day_first, '%d/%m/%Y'))::DATE)::BIGINT AS range_days, 0.0::DOUBLE AS unread, false AS mixed FROM d
+  UNION ALL SELECT 'iso', 'yyyy-MM-dd', min(try_strptime(iso, '%Y-%m-%d'))::DATE, max(try_strptime(iso, '%Y-%m-%d'))::DATE, max(try_strptime(iso, '%Y-%m-%d'))::DATE - min(try_strptime(iso, '%Y-%m-%d'))::DATE, round(count(*) FILTER (iso = 'soon') / count(*), 6), false FROM d
+  UNION ALL SELECT 'mixed', 'MM/dd/yyyy', min(try_strptime(mixed, '%m/%d/%Y'))::DATE, max(try_strptime(mixed, '%m/%d/%Y'))::DATE, max(try_strptime(mixed, '%m/%d/%Y'))::DATE - min(try_strptime(mixed, '%m/%d/%Y'))::DATE, round(count(*) FILTER (mixed = '2021/03/04') / count(*), 6), true FROM d""")
+def _(spark, d):
+    return _rounded(profile.text_dates(_view(spark, d, _DATED), ["day_first", "iso", "mixed"]))

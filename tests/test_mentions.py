@@ -104,3 +104,26 @@ def test_boards(spark, tmp_path):
     q = streams.routed_boards(spark.readStream.schema(e.schema).parquet(str(tmp_path / "in")), s).writeStream.format("memory").queryName("boards").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "c")).start()
     q.awaitTermination(120)
     assert sorted(map(tuple, spark.table("boards").select("event_id", "subscriber").collect())) == want
+
+
+def test_table_functions(spark):
+    """From SQL the same as from DataFrames."""
+    from tallyloom.operators import layout, privacy
+    from tallyloom.plans import table_functions
+
+    table_functions.register(spark)
+    said = spark.createDataFrame([(1, "mail a.b@c.org or call 555-123-4567, age > 30 and name = 'Ann' since 2024-01-05"), (2, None), (3, "")], "k int, text string")
+    said.createOrReplaceTempView("said")
+    hits = spark.sql("SELECT s.k, h.* FROM said s, LATERAL pii_hits(s.text) h")
+    assert sorted(map(tuple, hits.collect())) == sorted(map(tuple, privacy.spans(said, "k").collect()))
+    found = spark.sql("SELECT s.k, e.* FROM said s, LATERAL entities(s.text) e")
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, text.entities(said, "k").collect()))
+    rng = random.Random(4)
+    words = [(page, rng.randrange(0, 400, 7), rng.randrange(0, 300, 3), rng.randrange(5, 60), f"w{i}", rng.random()) for page in range(5) for i in range(60)]
+    words = [tuple(w) for w in {(w[0], w[1], w[2]): w for w in words}.values()]
+    frame = spark.createDataFrame(words, "page long, x int, y int, width int, text string, confidence double")
+    frame.createOrReplaceTempView("page_words")
+    cells = spark.sql("SELECT * FROM page_cells(TABLE(SELECT * FROM page_words) PARTITION BY page)")
+    want = layout.to_cells(layout.rows_by_running_mean(frame, ["page"]), ["page"], "row_no")
+    plain = lambda df: sorted((r.page, r.row_no, r.col_no, r.text, round(r.confidence, 6)) for r in df.collect())
+    assert plain(cells) == plain(want)
