@@ -36,6 +36,16 @@ def without_headers(df: DataFrame, columns: list[str], least: float = 0.9) -> Da
     return df.where(~repeated_headers(df, columns, least))
 
 
+def candidates(df: DataFrame, key: str, text: str, threshold: float, block: Column | None = None, edit_only: bool = False) -> DataFrame:
+    """Pairs (a, b), a before b, of texts of one block that may be similar: all that are, and others."""
+    spoiled = lambda n: F.floor(F.lit((1 if edit_only else 2) * (1 - threshold)) * n + 1e-9).cast("int")
+    rows = df.select(F.col(key).alias("k"), F.col(text).alias("t"), (block if block is not None else F.lit(0)).alias("g"), F.length(text).alias("n")).where("t IS NOT NULL")
+    met = _by_stretches(rows, threshold, spoiled)
+    if any(n // (_spoiled(n, threshold, edit_only) + 1) < 2 for n in range(1, 400) if _spoiled(n, threshold, edit_only)):
+        met = met.unionByName(_by_characters(rows, threshold, spoiled))
+    return met.distinct()
+
+
 def similar_pairs(df: DataFrame, key: str, text: str, threshold: float = 0.85, block: Column | None = None, edit_only: bool = False) -> DataFrame:
     """Pairs (a, b, similarity) with a before b, of texts in one block.
 
@@ -45,17 +55,41 @@ def similar_pairs(df: DataFrame, key: str, text: str, threshold: float = 0.85, b
     them stands whole in the other text, not further off than the differences allow. Stretches are the keys, and
     only where they would be single characters, at low thresholds, texts meet by characters instead.
     """
-    spoiled = lambda n: F.floor(F.lit((1 if edit_only else 2) * (1 - threshold)) * n + 1e-9).cast("int")
-    rows = df.select(F.col(key).alias("k"), F.col(text).alias("t"), (block if block is not None else F.lit(0)).alias("g"), F.length(text).alias("n")).where("t IS NOT NULL")
-    met = _by_stretches(rows, threshold, spoiled)
-    if any(n // (_spoiled(n, threshold, edit_only) + 1) < 2 for n in range(1, 400) if _spoiled(n, threshold, edit_only)):
-        met = met.unionByName(_by_characters(rows, threshold, spoiled))
-    pairs = met.distinct()
-    own, other = rows.select(F.col("k").alias("a"), F.col("t").alias("ta")), rows.select(F.col("k").alias("b"), F.col("t").alias("tb"))
-    whole = pairs.join(own, "a").join(other, "b")
-    common = 2 * F.size(F.array_intersect(_characters(F.col("ta")), _characters(F.col("tb")))) >= F.lit(threshold) * (F.length("ta") + F.length("tb")) - 1e-9
+    pairs = candidates(df, key, text, threshold, block, edit_only)
+    own, other = df.select(F.col(key).alias("a"), F.col(text).alias("ta")), df.select(F.col(key).alias("b"), F.col(text).alias("tb"))
+    whole = pairs.join(own, "a").join(other, "b").where(_may_reach(threshold))
     score = edit_similarity(F.col("ta"), F.col("tb")) if edit_only else similarity(F.col("ta"), F.col("tb"))
-    return whole.where(common).select("a", "b", score.alias("similarity")).where(F.col("similarity") >= threshold)
+    return whole.select("a", "b", score.alias("similarity")).where(F.col("similarity") >= threshold)
+
+
+#: Characters up to which edits are counted before Python looks at a pair.
+COUNTED = 200
+
+
+def _may_reach(threshold: float) -> Column:
+    """Whether texts ta and tb may be similar, by the characters in common and by edits.
+
+    Single insertions and deletions are never fewer than edits, so that the characters in common order are at most
+    half of what the edits leave of both lengths.
+    """
+    both = F.length("ta") + F.length("tb")
+    common = 2 * F.size(F.array_intersect(_characters(F.col("ta")), _characters(F.col("tb")))) >= F.lit(threshold) * both - 1e-9
+    long_ = F.greatest(F.length("ta"), F.length("tb")) > COUNTED
+    return (long_ | (F.levenshtein("ta", "tb") <= F.lit(1 - threshold) * both + 1e-9)) & common
+
+
+def _close_pairs(df: DataFrame, key: str, text: str, threshold: float, block: Column | None = None) -> DataFrame:
+    """The pairs (a, b) of ``similar_pairs`` without their measure: Python only looks at those that edits leave open."""
+    rows = df.select(F.col(key).alias("k"), F.col(text).alias("t"), (block if block is not None else F.lit(0)).alias("g"))
+    met = candidates(rows, "k", "t", threshold, F.col("g"))
+    own, other = rows.select(F.col("k").alias("a"), F.col("t").alias("ta")), rows.select(F.col("k").alias("b"), F.col("t").alias("tb"))
+    whole = met.join(own, "a").join(other, "b").where(_may_reach(threshold))
+    short = F.greatest(F.length("ta"), F.length("tb")) <= 50
+    path = shared.folder(df.sparkSession, "pairs")
+    whole.withColumn("sure", short & (edit_similarity(F.col("ta"), F.col("tb")) >= threshold)).write.parquet(path)
+    written = df.sparkSession.read.parquet(path)
+    left = written.where("NOT sure").where(similarity(F.col("ta"), F.col("tb")) >= threshold)
+    return written.where("sure").select("a", "b").unionByName(left.select("a", "b"))
 
 
 def _spoiled(n: int, threshold: float, edit_only: bool) -> int:
@@ -162,7 +196,7 @@ def fuzzy(df: DataFrame, order: str, columns: list[str], threshold: float = 0.85
     texts = df.select(F.col(order).alias("k"), row_text(columns).alias("t"), (block if block is not None else F.lit(0)).alias("g"))
     # equal rows have the same likes, so the first of them stands for all
     first = texts.groupBy("t", "g").agg(F.min("k").alias("f"))
-    follow = leader_groups(similar_pairs(first, "f", "t", threshold, F.col("g"))).where("row <> leader").select(F.col("row").alias("f"))
+    follow = leader_groups(_close_pairs(first, "f", "t", threshold, F.col("g"))).where("row <> leader").select(F.col("row").alias("f"))
     copies = texts.join(first, ["t", "g"]).where("k <> f").select("k")
     return df.join(copies.unionByName(follow.select(F.col("f").alias("k"))).withColumnRenamed("k", order), order, "left_anti")
 
@@ -171,7 +205,7 @@ def similar_values(df: DataFrame, column: str, threshold: float = 0.85) -> DataF
     """Groups of spellings of a column: leader, values and rows; a repeated value alone is a group."""
     counts = df.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("value")).agg(F.count("*").alias("n"))
     numbered = counts.withColumn("k", F.xxhash64("value")).withColumn("t", squeeze(F.col("value")))
-    lead = leader_groups(similar_pairs(numbered, "k", "t", threshold))
+    lead = leader_groups(_close_pairs(numbered, "k", "t", threshold))
     grouped = numbered.join(lead, numbered["k"] == lead["row"], "left").withColumn("leader", F.coalesce("leader", "k"))
     return grouped.groupBy("leader").agg(F.array_sort(F.collect_list("value")).alias("spellings"), F.sum("n").alias("rows")).where("rows > 1").drop("leader")
 

@@ -357,7 +357,7 @@ def _(spark, d):
 
 @query("similar_values")
 def _(spark, d):
-    return dedup.similar_values(table(spark, d, "customer").select("c_mktsegment"), "c_mktsegment", 0.85)
+    return dedup.similar_values(table(spark, d, "part").select("p_name"), "p_name", 0.85)
 
 
 @query("fuzzy_rows")
