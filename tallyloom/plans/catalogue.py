@@ -1297,7 +1297,7 @@ def _(spark, d):
 def _(spark, d):
     table_functions.register(spark)
     out = spark.sql("SELECT * FROM page_cells(TABLE(SELECT CAST(page AS BIGINT) AS page, x, y, width, text, CAST(confidence AS DOUBLE) AS confidence FROM {w}) PARTITION BY page)", w=_view(spark, d, WORDS))
-    return _rounded(out)
+    return _rounded(out.withColumn("page", F.col("page").cast("int")))
 
 
 # days and months of which some tell the order, and two formats in one column
