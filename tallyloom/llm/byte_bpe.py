@@ -30,6 +30,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .scratch import give_back
+
 LETTER, NUMBER, OTHER, SPACE_LAST, SPACE, WHITE_LAST, WHITE, SHORT, LONG, BREAK = range(10)
 APOSTROPHE = 39
 END = 0x110000
@@ -290,6 +292,7 @@ def encoded(docs: DataFrame, path: str, with_decoded: bool = False) -> DataFrame
                     out["decoded"] = [coder.decode(np.frombuffer(x, "<u4"))[0] for x in out["ids"]]
                 yield out
                 at += len(texts)
+        give_back()
 
     schema = "doc_id long, ids binary" + ", decoded binary" * with_decoded
     return docs.select(F.col("doc_id").cast("long"), "text").mapInPandas(run, schema)

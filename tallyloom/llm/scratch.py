@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import ctypes
+import inspect
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -38,6 +43,47 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def small_batches(spark: SparkSession, rows: int = 1000) -> Iterator[None]:
+    """Whole texts go to Python in Arrow batches of ``rows`` at most while jobs run inside; the session's own number holds again afterwards."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(min(rows, int(before)) if int(before) > 0 else rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
+def give_back() -> None:
+    """Memory that a Python worker has freed goes back to the system: workers live on, and the next stage needs it elsewhere."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of glibc
+    if trim:
+        trim(0)
+
+
+def giving_back(f):
+    """A function of one group, or of two, that gives back what it has freed."""
+    if len(inspect.signature(f).parameters) == 1:
+
+        def of_one(a):
+            try:
+                return f(a)
+            finally:
+                give_back()
+
+        return of_one
+
+    def of_two(a, b):
+        try:
+            return f(a, b)
+        finally:
+            give_back()
+
+    return of_two
+
+
 #: Most bytes that a lookup may send to every executor.
 MOST_SENT = 64 << 20
 ROW_BYTES = 64

@@ -41,6 +41,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
 from . import exchange, textblocks
+from .scratch import giving_back
 from .textblocks import encoded
 
 LENGTH = 50
@@ -353,8 +354,8 @@ class _Exchange:
 
         asking = parts.select("doc_id", "text", "part").groupBy("part")
         names = ["round", "part", "bucket", "payload"]
-        first = asking.applyInPandas(ask, MESSAGE).groupBy("bucket").applyInPandas(answer_asked, MESSAGE)
-        second = asking.cogroup(first.groupBy("part")).applyInPandas(send, MESSAGE).groupBy("bucket").applyInPandas(answer_sent, MESSAGE)
+        first = asking.applyInPandas(giving_back(ask), MESSAGE).groupBy("bucket").applyInPandas(giving_back(answer_asked), MESSAGE)
+        second = asking.cogroup(first.groupBy("part")).applyInPandas(giving_back(send), MESSAGE).groupBy("bucket").applyInPandas(giving_back(answer_sent), MESSAGE)
         self.cut = cut
         self.met = parts.groupBy("part").cogroup(first.select(names).unionByName(second).groupBy("part"))
 
@@ -371,7 +372,7 @@ def removed_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> Da
     def remove(pdf: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame(cut(pdf, answers) if len(pdf) else [], columns=[c.split()[0] for c in RESULT.split(", ")])
 
-    return exchanged.met.applyInPandas(remove, RESULT).withColumn("doc_id", F.when(F.col("doc_id") != NULL_ID, F.col("doc_id")))
+    return exchanged.met.applyInPandas(giving_back(remove), RESULT).withColumn("doc_id", F.when(F.col("doc_id") != NULL_ID, F.col("doc_id")))
 
 
 def _without(pdf: pd.DataFrame, sent: Stretches, answers: dict, length: int):
