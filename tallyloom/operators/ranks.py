@@ -8,9 +8,11 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources import shared
+
 #: Rows of a range that are sorted in one task.
 FEW = 100_000
 RANGES = 200
@@ -89,3 +91,19 @@ def quantiles(df: DataFrame, columns: list[str], shares: list[float], few: int =
 
 def median(df: DataFrame, column: str) -> float | None:
     return quantiles(df, [column], [0.5])[column][0]
+
+
+def numbered(df: DataFrame, order: list[str], name: str) -> DataFrame:
+    """Rows with their number from 0 in the order of some columns; ties in no fixed order.
+
+    Rows are sorted by ranges and written to the shared folder once, since the ranges of two jobs differ. A number is
+    the rows of the ranges before, one row a range, and the place inside.
+    """
+    path = shared.folder(df.sparkSession, "numbered")
+    placed = F.monotonically_increasing_id()  # the range in the upper bits, the place in the lower 33
+    df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_place", placed).write.parquet(path)
+    rows = df.sparkSession.read.parquet(path).withColumn("_range", F.shiftright("_place", 33))
+    sizes = rows.groupBy("_range").agg(F.count("*").alias("_rows"))
+    before = sizes.select("_range", F.coalesce(F.sum("_rows").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_start"))
+    number = F.col("_start") + F.col("_place").bitwiseAND((1 << 33) - 1)
+    return rows.join(F.broadcast(before), "_range").withColumn(name, number).drop("_place", "_range", "_start")

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
-from ..operators import answers, cells, charts, dedup, filters, kpi, layout, logs, mentions, missing, privacy, profile, recommend, schema, templates, text, types
+from ..operators import answers, cells, charts, dedup, filters, kpi, layout, logs, mentions, missing, privacy, profile, recommend, schema, spline, templates, text, types
 from ..sources import commits, shared
 from ..sources.io import table
 from ..streaming import running, streams
@@ -1091,6 +1091,19 @@ def _(spark, d):
     return _rounded(missing.interpolate_quadratic(_view(spark, d, EVENT_HOLES), "value", ["ts", "event_id"], ["user_id"]).select("event_id", "value"))
 
 
+# the same splines, each series swept forth and back one point at a time
+@query("interpolate_spline", f"""WITH RECURSIVE r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id)::DOUBLE AS i FROM ({EVENT_HOLES})),
+  k AS (SELECT user_id, i AS x, value AS y, row_number() OVER w AS n, count(*) OVER (PARTITION BY user_id) AS m, lag(i, 1) OVER w AS p1, lag(i, 2) OVER w AS p2, lag(i, 3) OVER w AS p3, lead(i, 1) OVER w AS n1, lead(i, 2) OVER w AS n2, lead(i, 3) OVER w AS n3 FROM r WHERE value IS NOT NULL WINDOW w AS (PARTITION BY user_id ORDER BY i)),
+  t AS (SELECT user_id, x, y, n, m, CASE WHEN p3 IS NOT NULL THEN (p2 + p1) / 2 ELSE coalesce(p2, p1) END AS a, CASE WHEN p2 IS NOT NULL THEN (p1 + x) / 2 ELSE p1 END AS b, CASE WHEN n2 IS NOT NULL THEN (x + n1) / 2 ELSE n1 END AS c, CASE WHEN n3 IS NOT NULL THEN (n1 + n2) / 2 ELSE coalesce(n2, n1) END AS d FROM k WHERE m >= 3),
+  e AS (SELECT *, CASE WHEN n IN (1, m) THEN 0.0::DOUBLE ELSE (c - x) * (c - x) / ((c - a) * (c - b)) END AS lo, CASE WHEN n IN (1, m) THEN 0.0::DOUBLE ELSE (x - b) * (x - b) / ((d - b) * (c - b)) END AS up FROM t),
+  f AS (SELECT user_id, n, 0.0::DOUBLE AS q, y AS g FROM e WHERE n = 1 UNION ALL SELECT e.user_id, e.n, e.up / (1 - e.lo - e.up - e.lo * f.q), (e.y - e.lo * f.g) / (1 - e.lo - e.up - e.lo * f.q) FROM f JOIN e ON e.user_id = f.user_id AND e.n = f.n + 1),
+  u AS (SELECT f.user_id, f.n, f.g AS u FROM f JOIN e ON e.user_id = f.user_id AND e.n = f.n WHERE e.n = e.m UNION ALL SELECT f.user_id, f.n, f.g - f.q * u.u FROM u JOIN f ON f.user_id = u.user_id AND f.n = u.n - 1),
+  v AS (SELECT e.*, w.u, p.u AS u0, s.u AS u2 FROM e JOIN u w ON w.user_id = e.user_id AND w.n = e.n JOIN u p ON p.user_id = e.user_id AND p.n = e.n - 1 JOIN u s ON s.user_id = e.user_id AND s.n = e.n + 1)
+  SELECT r.event_id, round(coalesce(r.value, v.u + (v.u0 - v.u) * (v.c - r.i) * (v.c - r.i) / ((v.c - v.a) * (v.c - v.b)) + (v.u2 - v.u) * (r.i - v.b) * (r.i - v.b) / ((v.d - v.b) * (v.c - v.b))), 6) AS value FROM r LEFT JOIN v ON v.user_id = r.user_id AND r.value IS NULL AND r.i >= v.b AND r.i < v.c""")
+def _(spark, d):
+    return _rounded(spline.interpolate_spline(_view(spark, d, EVENT_HOLES), "value", ["ts", "event_id"], ["user_id"]).select("event_id", "value"))
+
+
 HEADS = """SELECT CAST(floor(p_partkey / 10) AS INT) AS page, CAST(p_partkey % 10 AS INT) AS row_no, k AS col_no, CASE WHEN p_partkey % 10 > 0 THEN p_name WHEN k = 0 THEN CASE p_partkey % 50 WHEN 0 THEN 'Unit Price' WHEN 10 THEN 'JOHN 12' WHEN 20 THEN 'John Smith' WHEN 30 THEN '12:' ELSE '34' END
   WHEN k = 1 THEN CASE p_partkey % 50 WHEN 0 THEN '99' WHEN 10 THEN '77x9' WHEN 20 THEN '$5' WHEN 30 THEN '' ELSE '3a5' END ELSE CASE p_partkey % 50 WHEN 40 THEN '' WHEN 20 THEN '7-7' ELSE '12345' END END AS text FROM part CROSS JOIN (VALUES (0), (1), (2)) AS v(k)"""
 
