@@ -99,6 +99,23 @@ def replace_text(df: DataFrame, column: str, find: str, put: str) -> DataFrame:
     return df.withColumn(column, F.replace(F.col(column), F.lit(find), F.lit(put)))
 
 
+def replace_matched(df: DataFrame, column: str, pattern: str, put: str, literal: str | None = None) -> DataFrame:
+    """In rows whose text holds ``pattern`` every match, or every ``literal``, becomes ``put`` (taken as it is); a flag ``replaced``.
+
+    Nulls stay and are not counted. ``replaced_rows`` counts the flags.
+    """
+    t = F.col(column).cast("string")
+    hit = F.coalesce(t.rlike(pattern), F.lit(False))
+    as_is = put.replace("\\", "\\\\").replace("$", "\\$")
+    new = F.regexp_replace(t, pattern, as_is) if literal is None else F.replace(t, F.lit(literal), F.lit(put))
+    return df.withColumn("replaced", hit).withColumn(column, F.when(F.col("replaced"), new).otherwise(t))
+
+
+def replaced_rows(df: DataFrame) -> DataFrame:
+    """rows and replaced: one row."""
+    return df.agg(F.count("*").alias("rows"), F.count_if("replaced").alias("replaced"))
+
+
 def text_operation(column: str, kind: str) -> Column:
     c = F.col(column)
     return {

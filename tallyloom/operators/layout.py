@@ -49,6 +49,37 @@ def column_bounds(words: DataFrame, keys: list[str], gap: float = 30) -> DataFra
     return islands(starts, keys, ["x"], "x", gap, "col_no").groupBy(*keys, "col_no").agg(F.floor(F.avg("x")).cast("int").alias("bound"))
 
 
+def column_edges(words: DataFrame, keys: list[str], gap: float = 30, edge: float = 10) -> DataFrame:
+    """Column bounds of a page with its edges: col_no from 0, bound.
+
+    Clusters of word starts, a new one where the gap is over ``gap``, lie at the whole-number mean of their words. The first
+    start is put before them where it is over ``edge`` to the left, and the last end of a word after them likewise. Centres
+    are never within ``gap`` of each other, since their clusters are not.
+    """
+    starts = words.groupBy(*keys, "x").agg(F.count("*").alias("_n"))
+    mean = (F.sum(F.col("x") * F.col("_n")) / F.sum("_n")).cast("int")
+    centres = islands(starts, keys, ["x"], "x", gap, "_c").groupBy(*keys, "_c").agg(mean.alias("bound"))
+    extent = words.groupBy(*keys).agg(F.min("x").cast("int").alias("_lo"), F.max(F.col("x") + F.col("width")).cast("int").alias("_hi"))
+    inner = centres.groupBy(*keys).agg(F.array_sort(F.collect_list("bound")).alias("_b")).join(extent, keys)  # at most the width of a page over the gap
+    none = F.array().cast("array<int>")
+    left = F.when(F.element_at("_b", 1) > F.col("_lo") + edge, F.array("_lo")).otherwise(none)
+    right = F.when(F.element_at("_b", -1) < F.col("_hi") - edge, F.array("_hi")).otherwise(none)
+    return inner.select(*keys, F.posexplode(F.concat(left, F.col("_b"), right)).alias("col_no", "bound"))
+
+
+def block_tables(blocks: DataFrame, keys: list[str], gap: float = 20) -> DataFrame:
+    """The table region of a page of blocks: x, y, width, height, rows and blocks; pages without one have no row.
+
+    A block within ``gap`` of the y before it is in the same row. Rows of one block do not count; a table has two rows
+    or more, on a page of at least four blocks.
+    """
+    page = Window.partitionBy(*keys)
+    placed = islands(blocks.withColumn("_page", F.count("*").over(page)), keys, ["y", "x"], "y", gap, "_row")
+    wide = placed.withColumn("_blocks", F.count("*").over(Window.partitionBy(*keys, "_row"))).where("_blocks >= 2 AND _page >= 4")
+    ends = wide.groupBy(*keys).agg(F.min("x").alias("x"), F.min("y").alias("y"), F.max(F.col("x") + F.col("width")).alias("_right"), F.max(F.col("y") + F.col("height")).alias("_low"), F.countDistinct("_row").alias("rows"), F.count("*").alias("blocks"))
+    return ends.where("rows >= 2").select(*keys, "x", "y", (F.col("_right") - F.col("x")).alias("width"), (F.col("_low") - F.col("y")).alias("height"), "rows", "blocks")
+
+
 def words_in_regions(words: DataFrame, regions: DataFrame, keys: list[str]) -> DataFrame:
     """Words whose centre (whole-number halves) lies inside a region of the same page."""
     cx, cy = F.col("x") + F.floor(F.col("width") / 2), F.col("y") + F.floor(F.col("height") / 2)

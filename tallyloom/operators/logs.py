@@ -39,6 +39,14 @@ def health(df: DataFrame, status: str, bad: str) -> DataFrame:
     return df.agg(F.count("*").alias("total"), F.count_if(F.col(status) == bad).alias("failed")).withColumn("error_rate", F.col("failed") * 100.0 / F.greatest("total", F.lit(1)))
 
 
+def status_health(df: DataFrame, status: str, ts: str, key: str, pending: str, failed: str, n: int = 10) -> DataFrame:
+    """total, pending, failed, error_rate %, and the latest ``n`` failures (key, ts), newest first: one row."""
+    facts = df.agg(F.count("*").alias("total"), F.count_if(F.col(status) == pending).alias("pending"), F.count_if(F.col(status) == failed).alias("failed"))
+    latest = df.where(F.col(status) == failed).orderBy(F.desc(ts), F.desc(key)).limit(n)
+    errors = latest.agg(F.reverse(F.array_sort(F.collect_list(F.struct(F.col(ts).alias("ts"), F.col(key).alias("key"))))).alias("recent_errors"))  # n at most
+    return facts.withColumn("error_rate", F.col("failed") * 100.0 / F.greatest("total", F.lit(1))).crossJoin(F.broadcast(errors)).withColumn("n_recent", F.size("recent_errors"))
+
+
 def error_statistics(df: DataFrame, keys: list[str], n: int = 10) -> DataFrame:
     return df.groupBy(*keys).agg(F.count("*").alias("errors")).orderBy(F.desc("errors"), *keys).limit(n)
 
@@ -64,6 +72,20 @@ def audit_counts(df: DataFrame, kind: str, risk: str, result: str) -> DataFrame:
     )
 
 
+def _alerting(risk: str, result: str) -> Column:
+    return F.col(risk).isin("high", "critical") | F.col(result).isin("failure", "error")
+
+
+def audit_summary(df: DataFrame, user: str, risk: str, result: str) -> DataFrame:
+    """events, users (null is none) and security alerts, which are events of high risk or without success: one row."""
+    return df.agg(F.count("*").alias("events"), F.countDistinct(user).alias("users"), F.count_if(F.coalesce(_alerting(risk, result), F.lit(False))).alias("alerts"))
+
+
+def security_alerts(df: DataFrame, risk: str, result: str, ts: str, key: str, n: int = 50) -> DataFrame:
+    """The latest ``n`` events of high or critical risk, or that failed."""
+    return df.where(_alerting(risk, result)).orderBy(F.desc(ts), F.desc(key)).limit(n)
+
+
 def user_activity(df: DataFrame, user: str, ts: str, n: int = 10) -> DataFrame:
     return df.groupBy(user).agg(F.count("*").alias("events"), F.max(ts).alias("last_activity")).orderBy(F.desc("events"), user).limit(n)
 
@@ -101,6 +123,13 @@ def session_statistics(rows: DataFrame, user: str, expires: str, now: Column) ->
     return rows.agg(F.count("*").alias("total"), F.count_if(active).alias("active"), F.countDistinct(F.when(active, F.col(user))).alias("active_users"))
 
 
+def session_addresses(rows: DataFrame, user: str, address: str, expires: str, now: Column, open_: str | None = None) -> DataFrame:
+    """total, active, users and addresses of active sessions; active are open ones up to and at their end."""
+    active = (F.col(expires) >= now) & (F.coalesce(F.col(open_), F.lit(False)) if open_ else F.lit(True))
+    distinct = [F.countDistinct(F.when(active, F.col(c))).alias(n) for c, n in ((user, "users"), (address, "addresses"))]
+    return rows.agg(F.count("*").alias("total"), F.count_if(active).alias("active"), *distinct)
+
+
 def share_decisions(requests: DataFrame, links: DataFrame, share: str, ts: str, key: str) -> DataFrame:
     """granted and reason of every request, in time order; only grants use up ``max_access``.
 
@@ -114,6 +143,20 @@ def share_decisions(requests: DataFrame, links: DataFrame, share: str, ts: str,
     return rows.select(key, share, (reason == "granted").alias("granted"), reason.alias("reason"))
 
 
+def guarded_decisions(requests: DataFrame, links: DataFrame, share: str, ts: str, key: str, password: str = "password") -> DataFrame:
+    """As ``share_decisions``, for links with a ``password_hash`` (SHA-256 in hexadecimal; null needs none).
+
+    Only grants use up ``max_access`` (null or 0 is no limit), and a link that is used up refuses before it looks at the password.
+    """
+    joined = requests.join(links, share, "left")
+    barred = F.when(F.col("active").isNull(), "unknown").when(~F.col("active"), "inactive").when(F.col(ts) > F.col("expires_at"), "expired")
+    fits = F.col("password_hash").isNull() | F.coalesce(F.sha2(F.col(password), 256) == F.col("password_hash"), F.lit(False))
+    before = Window.partitionBy(share).orderBy(ts, key).rowsBetween(Window.unboundedPreceding, -1)
+    rows = joined.withColumn("_b", barred).withColumn("_fits", fits).withColumn("_n", F.coalesce(F.sum((F.col("_b").isNull() & F.col("_fits")).cast("int")).over(before), F.lit(0)))
+    reason = F.coalesce("_b", F.when((F.col("max_access") > 0) & (F.col("_n") >= F.col("max_access")), "limit reached").when(~F.col("_fits"), "wrong password").otherwise("granted"))
+    return rows.select(key, share, (reason == "granted").alias("granted"), reason.alias("reason"))
+
+
 def lockouts(df: DataFrame, who: str, ts: str, seconds: int = 900, most: int = 10) -> DataFrame:
     """Failures with how many lie in the ``seconds`` up to each, and whether that locks out."""
     at = F.unix_micros(F.col(ts).cast("timestamp"))

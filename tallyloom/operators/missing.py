@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from . import ranks
+from . import ranks, spline
 from .templates import numeric_columns
 from .types import SENTINELS
 
@@ -166,12 +166,21 @@ def knn_impute(df: DataFrame, target: str, others: list[str], key: str, k: int =
 
 @dataclass(frozen=True)
 class Policy:
-    """What to do with a column: strategy, value, and the fallback where more than ``threshold`` is missing."""
+    """What to do with a column: strategy, value, and the fallback where more than ``threshold`` is missing.
+
+    forward, backward, linear and polynomial go by ``order`` inside ``keys`` (linear needs some); knn takes the
+    ``neighbours`` rows that are nearest in ``others``, rows being told apart by ``key``.
+    """
 
     strategy: str
     value: object = None
     threshold: float = 0.5
     fallback: str = "remove"
+    order: tuple[str, ...] = ()
+    keys: tuple[str, ...] = ()
+    others: tuple[str, ...] = ()
+    key: str | None = None
+    neighbours: int = 5
 
 
 _STRATEGIES = {
@@ -179,6 +188,9 @@ _STRATEGIES = {
     "mode": lambda d, c, p: fill_mode(d, c), "zero": lambda d, c, p: fill_value(d, c, 0), "empty": lambda d, c, p: fill_value(d, c, ""),
     "false": lambda d, c, p: fill_value(d, c, False), "custom": lambda d, c, p: fill_value(d, c, 0 if p.value is None else p.value),
     "outlier": lambda d, c, p: fill_outlier_median(d, c), "keep": lambda d, c, p: d,
+    "forward": lambda d, c, p: fill_forward(d, c, list(p.order), list(p.keys)), "backward": lambda d, c, p: fill_backward(d, c, list(p.order), list(p.keys)),
+    "linear": lambda d, c, p: interpolate(d, c, list(p.order), list(p.keys)), "polynomial": lambda d, c, p: spline.interpolate_spline(d, c, list(p.order), list(p.keys)),
+    "knn": lambda d, c, p: knn_impute(d, c, list(p.others), p.key, p.neighbours),
 }
 
 
@@ -193,23 +205,48 @@ def default_policies(df: DataFrame) -> dict[str, Policy]:
     return out
 
 
+def _counted(df: DataFrame, names: list[str], without: str | None = None):
+    """Rows and known values of each column; with ``without`` these, and the same of the rows that know this column."""
+    kept = F.lit(True) if without is None else F.col(f"`{without}`").isNotNull()
+    facts = lambda test: [F.count_if(test), *[F.count_if(test & F.col(f"`{c}`").isNotNull()) for c in names]]
+    row = tuple(df.agg(*facts(F.lit(True)), *(facts(kept) if without else [])).first())
+    return (row[: len(names) + 1], row[len(names) + 1 :]) if without else row
+
+
 def imputation_report(df: DataFrame, policies: dict[str, Policy]) -> tuple[DataFrame, DataFrame]:
     """The table with policies applied column by column, and a row for each policy.
 
     name, strategy (the fallback's where too much was missing), missing_before, missing_after, rows_removed,
     imputed, improvement (share of the missing values that are gone) and warning. Each column is measured
-    on what the ones before left.
+    on what the ones before left. Fills change neither the rows nor other columns, so that the table is counted once, once
+    more for each removal, and once at the end.
     """
-    facts = []
+    names = list(policies)
+    place = {c: i + 1 for i, c in enumerate(names)}
+    steps, after = [], {}  # name, policy, strategy, rows and missing before; rows and missing after
+    waiting: list[str] = []
+    now = _counted(df, names)
     for c, p in policies.items():
-        n, known = df.agg(F.count("*"), F.count(c)).first()
-        over = n > 0 and 1 - known / n > p.threshold
-        strategy = p.fallback if over else p.strategy
+        n, known = now[0], now[place[c]]
+        strategy = p.fallback if n > 0 and 1 - known / n > p.threshold else p.strategy
+        steps.append((c, p, strategy, n, n - known))
+        if strategy == "remove":
+            # what the fills since the last removal left, and what this one leaves, from one job
+            earlier, now = _counted(df, names, c)
+            after |= {w: (earlier[0], earlier[0] - earlier[place[w]]) for w in waiting} | {c: (now[0], 0)}
+            waiting = []
+        else:
+            waiting.append(c)
         df = _STRATEGIES[strategy](df, c, p)
-        left, still = df.agg(F.count("*"), F.count(c)).first()
-        before, after = n - known, left - still
+    if waiting:
+        now = _counted(df, names)
+        after |= {w: (now[0], now[0] - now[place[w]]) for w in waiting}
+    facts = []
+    for c, p, strategy, n, before in steps:
+        left, still = after[c]
+        over = n > 0 and before / n > p.threshold
         warning = f"{c}: over {100 * p.threshold:g} % missing, {strategy} instead of {p.strategy}" if over and strategy != p.strategy else None
-        facts.append((c, strategy, before, after, n - left, max(0, before - after - (n - left)), (before - after) / before if before else 0.0, warning))
+        facts.append((c, strategy, before, still, n - left, max(0, before - still - (n - left)), (before - still) / before if before else 0.0, warning))
     schema = "name string, strategy string, missing_before long, missing_after long, rows_removed long, imputed long, improvement double, warning string"
     return df, df.sparkSession.createDataFrame(facts, schema)  # a row for each policy
 

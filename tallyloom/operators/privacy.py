@@ -84,5 +84,18 @@ def report(rows: DataFrame) -> DataFrame:
     return levels.join(found, "classification", "left").na.fill(0)
 
 
+def compliance(rows: DataFrame, today: Column) -> DataFrame:
+    """records, pii, encrypted, expired, pii_encryption_rate % (100 without personal data) and expired_present: one row."""
+    pii, encrypted = F.count_if("has_pii"), F.count_if("encrypted")
+    facts = rows.agg(F.count("*").alias("records"), pii.alias("pii"), encrypted.alias("encrypted"), F.count_if(F.col("expires_on") < today).alias("expired"))
+    return facts.withColumn("pii_encryption_rate", F.coalesce(F.try_divide(F.col("encrypted") * 100.0, F.col("pii")), F.lit(100.0))).withColumn("expired_present", F.col("expired") > 0)
+
+
+def retention_counts(rows: DataFrame) -> DataFrame:
+    """Records by retention, all kinds present."""
+    kinds = rows.sparkSession.createDataFrame([(k,) for k in (*RETENTION, "permanent")], "retention string")
+    return kinds.join(rows.groupBy("retention").agg(F.count("*").alias("records")), "retention", "left").na.fill(0)
+
+
 def subject_export(rows: DataFrame, user: str, value) -> DataFrame:
     return rows.where(F.col(user) == value)

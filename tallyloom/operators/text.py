@@ -199,6 +199,12 @@ def last_turns(messages: DataFrame, conv: str, turn: str, text: str, n: int = 5)
     return messages.groupBy(conv).agg(F.count("*").alias("interactions")).join(recent, conv).select(conv, "interactions", F.transform("_l", lambda x: x[text]).alias("recent"))
 
 
+def conversation_summary(messages: DataFrame, conv: str, turn: str, text: str, confidence: str, n: int = 5) -> DataFrame:
+    """Turns, the last ``n`` texts in order and the mean confidence (0 where none is known) of each conversation."""
+    sure = messages.groupBy(conv).agg(F.coalesce(F.avg(confidence), F.lit(0.0)).alias("confidence"))
+    return last_turns(messages, conv, turn, text, n).join(sure, conv)
+
+
 def combined_answers(parts: DataFrame, key: str, numbers: list[str], most: int = 5) -> DataFrame:
     """One row per ``key``: sums of the numeric fields, mean confidence and the first ``most`` different suggestions.
 

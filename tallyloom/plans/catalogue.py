@@ -165,6 +165,11 @@ def _(spark, d):
     return out.withColumn("c_name", filters.text_operation("c_name", "upper"))
 
 
+@query("replace_matched", "SELECT p_partkey, regexp_replace(p_name, '[aeiou]+[0-9a-m]', '$1\\\\\\\\', 'g') AS p_name, regexp_matches(p_name, '[aeiou]+[0-9a-m]') AS replaced FROM part")
+def _(spark, d):
+    return filters.replace_matched(table(spark, d, "part").select("p_partkey", "p_name"), "p_name", "[aeiou]+[0-9a-m]", "$1\\\\")
+
+
 @query("query_checks", """SELECT o_orderkey AS query_id, CAST(o_orderkey % 3 = 0 AS INT) AS unknown_columns, o_orderkey % 4 = 0 AS dangerous, CAST(o_orderkey % 3 = 0 AS INT) + CAST(o_orderkey % 4 = 0 AS INT) + CAST(o_orderkey % 4 = 0 AS INT) AS n_errors,
   o_orderkey % 4 <> 0 AS unbounded, o_orderkey % 3 <> 0 AND o_orderkey % 4 <> 0 AS valid, round(greatest(0, 1 - 0.2::DOUBLE * (CAST(o_orderkey % 3 = 0 AS INT) + 2 * CAST(o_orderkey % 4 = 0 AS INT))), 6) AS confidence FROM orders""")
 def _(spark, d):
@@ -634,6 +639,17 @@ def _(spark, d):
     return privacy.report(_registry(spark, d))
 
 
+@query("privacy_compliance", f"""SELECT count(*) AS records, count(CASE WHEN level <> 'INTERNAL' THEN 1 END) AS pii, count(CASE WHEN level = 'RESTRICTED' THEN 1 END) AS encrypted, count(CASE WHEN expires < DATE '2024-06-01' THEN 1 END) AS expired,
+  round(coalesce(count(CASE WHEN level = 'RESTRICTED' THEN 1 END) * 100.0 / nullif(count(CASE WHEN level <> 'INTERNAL' THEN 1 END), 0), 100), 6) AS pii_encryption_rate, count(CASE WHEN expires < DATE '2024-06-01' THEN 1 END) > 0 AS expired_present FROM (SELECT {_LEVEL} AS level, {_EXPIRY} AS expires FROM ({REGISTRY}))""")
+def _(spark, d):
+    return _rounded(privacy.compliance(_registry(spark, d), F.lit("2024-06-01").cast("date")))
+
+
+@query("retention_counts", f"SELECT retention, count(*) AS records FROM ({REGISTRY}) GROUP BY 1")
+def _(spark, d):
+    return privacy.retention_counts(_registry(spark, d))
+
+
 @query("access_decision", f"""SELECT event_id AS request_id, e.doc_id, reason = 'granted' AS allowed, reason FROM (SELECT event_id, e.doc_id, CASE WHEN r.level IS NULL THEN 'unknown record' WHEN expires < DATE '2024-06-01' THEN 'expired' WHEN level IN ('RESTRICTED', 'CONFIDENTIAL') AND e.doc_id % 3 <> 0 THEN 'no consent' WHEN purpose NOT IN ('view', 'click') THEN 'purpose not allowed' ELSE 'granted' END AS reason
   FROM (SELECT event_id, user_id * 11 AS doc_id, event_type AS purpose FROM events) e LEFT JOIN (SELECT doc_id, {_LEVEL} AS level, {_EXPIRY} AS expires FROM ({REGISTRY})) r ON e.doc_id = r.doc_id) e""")
 def _(spark, d):
@@ -783,6 +799,12 @@ def _(spark, d):
     return text.last_turns(table(spark, d, "conversations"), "conv_id", "turn", "text").select("conv_id", "interactions", F.md5(F.array_join("recent", "|")).alias("recent"))
 
 
+@query("conversation_confidence", "SELECT conv_id, count(*) AS interactions, round(coalesce(avg(CASE WHEN turn % 3 <> 1 THEN (length(text) % 100) / 100.0 END), 0), 6) AS confidence, md5(string_agg(text, '|' ORDER BY turn) FILTER (r <= 5)) AS recent FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS r FROM conversations) GROUP BY 1")
+def _(spark, d):
+    told = table(spark, d, "conversations").withColumn("confidence", F.when(F.col("turn") % 3 != 1, F.length("text") % 100 / 100.0))
+    return _rounded(text.conversation_summary(told, "conv_id", "turn", "text", "confidence").withColumn("recent", F.md5(F.array_join("recent", "|"))))
+
+
 @query("numbers_in_text", "SELECT doc_id, len(regexp_extract_all(text, '(-?[0-9]+\\.?[0-9]*)')) AS n, round(coalesce(list_sum(list_transform(regexp_extract_all(text, '(-?[0-9]+\\.?[0-9]*)'), lambda x: CAST(x AS DOUBLE) % 1000)), 0), 4) AS total FROM documents")
 def _(spark, d):
     numbers = S.all_numbers(F.col("text"))
@@ -836,6 +858,52 @@ def _(spark, d):
     return logs.audit_counts(e, "event_type", "risk", "result")
 
 
+@query("audit_summary", f"SELECT count(*) AS events, count(DISTINCT event_id % 97) AS users, count(CASE WHEN {_RISK} = 'high' OR value < 5 THEN 1 END) AS alerts FROM ({AUDIT})")
+def _(spark, d):
+    return logs.audit_summary(_audited(spark, d), "user_id", "risk", "result")
+
+
+@query("security_alerts", f"SELECT event_id, event_type, {_RISK} AS risk, CASE WHEN value < 5 THEN 'failure' ELSE 'success' END AS result FROM ({AUDIT}) WHERE {_RISK} = 'high' OR value < 5 ORDER BY event_id DESC LIMIT 50")
+def _(spark, d):
+    return logs.security_alerts(_audited(spark, d), "risk", "result", "event_id", "event_id").select("event_id", "event_type", "risk", "result")
+
+
+def _audited(spark: SparkSession, d: str) -> DataFrame:
+    result = F.when(F.col("value") < 5, "failure").otherwise("success")
+    return _view(spark, d, AUDIT).select("event_id", (F.col("event_id") % 97).alias("user_id"), "event_type", "value", logs.risk_level().alias("risk"), result.alias("result"))
+
+
+@query("threshold_alerts", f"""SELECT event_id, CASE WHEN (event_type = 'logout' AND value <= 3) OR (event_type = 'data_accessed' AND value >= 95) THEN 'critical' WHEN {_RISK} = 'high' THEN 'high' WHEN value < 5 THEN 'failed' ELSE 'warning' END AS severity FROM ({AUDIT})
+  WHERE {_RISK} = 'high' OR value < 5 OR (event_type = 'logout' AND value <= 10) OR (event_type = 'data_accessed' AND (value >= 95 OR value >= 80))""")
+def _(spark, d):
+    levels = spark.createDataFrame([("logout", 3.0, 10.0, None, None), ("data_accessed", None, None, 80.0, 95.0)], "name string, critical_low double, warning_low double, warning_high double, critical_high double")
+    return streams.threshold_alerts(_audited(spark, d), levels, "event_type", "value", "risk", "result").select("event_id", "severity")
+
+
+@query("status_health", """WITH l AS (SELECT ts, event_id FROM events WHERE event_type = 'error' ORDER BY ts DESC, event_id DESC LIMIT 10)
+  SELECT count(*) AS total, count(CASE WHEN event_type = 'signup' THEN 1 END) AS pending, count(CASE WHEN event_type = 'error' THEN 1 END) AS failed, round(count(CASE WHEN event_type = 'error' THEN 1 END) * 100.0 / count(*), 6) AS error_rate, (SELECT string_agg(event_id, ',' ORDER BY ts DESC, event_id DESC) FROM l) AS recent, (SELECT count(*)::INT FROM l) AS n_recent FROM events""")
+def _(spark, d):
+    out = logs.status_health(table(spark, d, "events"), "event_type", "ts", "event_id", "signup", "error")
+    return _rounded(out.withColumn("recent", F.array_join(F.transform("recent_errors", lambda e: e["key"].cast("string")), ",")).drop("recent_errors"))
+
+
+@query("session_addresses", "SELECT count(*) AS total, count(CASE WHEN a THEN 1 END) AS active, count(DISTINCT CASE WHEN a THEN user_id END) AS users, count(DISTINCT CASE WHEN a THEN event_id % 61 END) AS addresses FROM (SELECT *, event_type <> 'error' AND ts + INTERVAL 1 DAY >= TIMESTAMP '2024-01-29' AS a FROM events)")
+def _(spark, d):
+    e = table(spark, d, "events").select("user_id", (F.col("event_id") % 61).alias("ip"), F.expr("ts + INTERVAL 1 DAY").alias("expires"), (F.col("event_type") != "error").alias("open"))
+    return logs.session_addresses(e, "user_id", "ip", "expires", F.lit("2024-01-29").cast("timestamp_ntz"), "open")
+
+
+# every third user's link has a password, which two in three requests know
+@query("guarded_shares", """WITH j AS (SELECT event_id, user_id, ts, CASE WHEN user_id % 10 = 9 THEN 'unknown' WHEN user_id % 10 = 8 THEN 'inactive' WHEN ts > TIMESTAMP '2024-01-25' THEN 'expired' END AS b, user_id % 3 <> 0 OR event_id % 3 <> 0 AS fits FROM events),
+  n AS (SELECT *, count(CASE WHEN b IS NULL AND fits THEN 1 END) OVER (PARTITION BY user_id ORDER BY ts, event_id) - CASE WHEN b IS NULL AND fits THEN 1 ELSE 0 END AS k FROM j), o AS (SELECT event_id, user_id, coalesce(b, CASE WHEN k >= 20 THEN 'limit reached' WHEN NOT fits THEN 'wrong password' ELSE 'granted' END) AS reason FROM n)
+  SELECT event_id, user_id, reason = 'granted' AS granted, reason FROM o""")
+def _(spark, d):
+    e = table(spark, d, "events").select("event_id", "user_id", "ts", F.when(F.col("event_id") % 3 != 0, F.concat(F.lit("p"), F.col("user_id").cast("string"))).alias("password"))
+    known = F.when(F.col("user_id") % 3 == 0, F.sha2(F.concat(F.lit("p"), F.col("user_id").cast("string")), 256))
+    links = e.select("user_id").distinct().where("user_id % 10 <> 9").select("user_id", (F.col("user_id") % 10 != 8).alias("active"), F.lit("2024-01-25").cast("timestamp_ntz").alias("expires_at"), F.lit(20).alias("max_access"), known.alias("password_hash"))
+    return logs.guarded_decisions(e, links, "user_id", "ts", "event_id")
+
+
 @query("user_activity", "SELECT user_id, count(*) AS events, max(ts) AS last_activity FROM events GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10")
 def _(spark, d):
     return logs.user_activity(table(spark, d, "events"), "user_id", "ts")
@@ -1001,6 +1069,23 @@ def _(spark, d):
     return layout.column_bounds(_view(spark, d, WORDS), ["page"])
 
 
+# starts of three columns, the last one narrow; pages of every fourth kind have a first word far to the left of its column
+SPREAD = f"SELECT page, word_no, CASE WHEN k = 0 THEN x + CASE WHEN page % 4 = 1 AND word_no % 20 > 0 THEN 25 ELSE 0 END WHEN page % 4 = 2 THEN 32 + x % 3 + k ELSE x END AS x, CASE WHEN k = 2 AND page % 5 = 3 THEN 9 ELSE width END AS width, CASE WHEN page % 3 = 0 AND word_no % 20 = 4 THEN y + 1000 * k ELSE y END AS y, height FROM ({WORDS})"
+
+
+@query("column_edges", f"""WITH w AS (SELECT * FROM ({SPREAD})), n AS (SELECT page, x, CASE WHEN x - lag(x) OVER (PARTITION BY page ORDER BY x) > 30 THEN 1 ELSE 0 END AS f FROM w), c AS (SELECT page, x, sum(f) OVER (PARTITION BY page ORDER BY x) AS c FROM n), b AS (SELECT page, CAST(floor(avg(x)) AS INT) AS bound FROM c GROUP BY page, c),
+  e AS (SELECT page, min(x) AS lo, max(x + width) AS hi FROM w GROUP BY page), a AS (SELECT page, bound FROM b UNION ALL SELECT page, lo FROM e JOIN (SELECT page, min(bound) AS m FROM b GROUP BY page) USING (page) WHERE m > lo + 10 UNION ALL SELECT page, hi FROM e JOIN (SELECT page, max(bound) AS m FROM b GROUP BY page) USING (page) WHERE m < hi - 10)
+  SELECT page, CAST(row_number() OVER (PARTITION BY page ORDER BY bound) - 1 AS INT) AS col_no, CAST(bound AS INT) AS bound FROM a""")
+def _(spark, d):
+    return layout.column_edges(_view(spark, d, SPREAD), ["page"])
+
+
+@query("block_tables", f"""WITH n AS (SELECT *, CASE WHEN y - lag(y) OVER (PARTITION BY page ORDER BY y, x) > 20 THEN 1 ELSE 0 END AS f, count(*) OVER (PARTITION BY page) AS m FROM ({SPREAD})), r AS (SELECT *, sum(f) OVER (PARTITION BY page ORDER BY y, x) AS r FROM n), g AS (SELECT page, r, count(*) AS k, min(x) AS x, min(y) AS y, max(x + width) AS x2, max(y + height) AS y2 FROM r WHERE m >= 4 GROUP BY page, r HAVING count(*) >= 2)
+  SELECT page, min(x) AS x, min(y) AS y, max(x2) - min(x) AS width, max(y2) - min(y) AS height, count(*) AS "rows", CAST(sum(k) AS BIGINT) AS blocks FROM g GROUP BY page HAVING count(*) >= 2""")
+def _(spark, d):
+    return layout.block_tables(_view(spark, d, SPREAD), ["page"])
+
+
 @query("words_to_cells", f"SELECT page, CAST(word_no % 20 AS INT) AS row_no, k AS col_no, text, round(confidence, 6) AS confidence FROM ({WORDS})")
 def _(spark, d):
     w = layout.rows_by_running_mean(_view(spark, d, WORDS), ["page"])
@@ -1082,6 +1167,16 @@ def _(spark, d):
     return _rounded(missing.imputation_report(_view(spark, d, ORDERS), policies)[1])
 
 
+@query("imputation_steps", f"""WITH v AS ({EVENT_HOLES}), w AS (SELECT *, CASE WHEN event_id % 5 = 2 THEN NULL ELSE event_id % 40 END AS weight, CASE WHEN event_id % 3 = 1 THEN 'x' END AS mark FROM v), f AS (SELECT *, last_value(value IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS filled FROM w)
+  SELECT 'value' AS name, 'forward' AS strategy, count(*) - count(value) AS missing_before, count(*) - count(filled) AS missing_after, 0::BIGINT AS rows_removed, count(filled) - count(value) AS imputed, round((count(filled) - count(value)) / (count(*) - count(value)), 6) AS improvement, NULL AS warning FROM f
+  UNION ALL SELECT 'weight', 'remove', count(*) - count(weight), 0, count(*) - count(weight), 0, 1.0, NULL FROM f
+  UNION ALL SELECT 'mark', 'custom', count(*) - count(mark), 0, 0, count(*) - count(mark), 1.0, 'mark: over 50 % missing, custom instead of mode' FROM f WHERE weight IS NOT NULL""")
+def _(spark, d):
+    e = _view(spark, d, EVENT_HOLES).withColumn("weight", F.when(F.col("event_id") % 5 != 2, F.col("event_id") % 40)).withColumn("mark", F.when(F.col("event_id") % 3 == 1, "x"))
+    steps = {"value": missing.Policy("forward", order=("ts", "event_id"), keys=("user_id",)), "weight": missing.Policy("remove"), "mark": missing.Policy("mode", value="y", fallback="custom")}
+    return _rounded(missing.imputation_report(e, steps)[1])
+
+
 # three known points around each gap by joins on their numbers
 @query("interpolate_quadratic", f"""WITH r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id)::DOUBLE AS i FROM ({EVENT_HOLES})), k AS (SELECT user_id, i, value, row_number() OVER (PARTITION BY user_id ORDER BY i) AS n, count(*) OVER (PARTITION BY user_id) AS m FROM r WHERE value IS NOT NULL),
   g AS (SELECT r.event_id, r.user_id, r.i, r.value, (SELECT max(k.n) FROM k WHERE k.user_id = r.user_id AND k.i <= r.i) AS p, (SELECT min(k.n) FROM k WHERE k.user_id = r.user_id AND k.i >= r.i) AS q FROM r),

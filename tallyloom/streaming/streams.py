@@ -73,6 +73,23 @@ def alert_events(df: DataFrame, limit: float, kind: Column | None = None) -> Dat
     return df.where(bad | (F.col("value") >= limit))
 
 
+def threshold_alerts(df: DataFrame, thresholds: DataFrame, name: str, value: str, risk: str | None = None, result: str | None = None) -> DataFrame:
+    """Rows with their ``severity`` (critical, high, failed or warning, the gravest that holds); others are left out.
+
+    ``thresholds``: name, critical_low, warning_low, warning_high, critical_high (null is none); a value at a
+    threshold breaches it. Works on streams, joined to a table of thresholds.
+    """
+    v = F.col(value)
+    hit = lambda low, high: F.coalesce(v <= F.col(low), F.lit(False)) | F.coalesce(v >= F.col(high), F.lit(False))
+    severity = F.when(hit("critical_low", "critical_high"), "critical")
+    if risk:
+        severity = severity.when(F.col(risk).isin("high", "critical"), "high")
+    if result:
+        severity = severity.when(F.col(result).isin("failure", "error"), "failed")
+    severity = severity.when(hit("warning_low", "warning_high"), "warning")
+    return df.join(thresholds.withColumnRenamed("name", name), name, "left").withColumn("severity", severity).where("severity IS NOT NULL").select(*df.columns, "severity")
+
+
 # --- rate limit ---------------------------------------------------------------------------------
 
 @dataclass(frozen=True)
