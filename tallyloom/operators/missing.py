@@ -142,8 +142,11 @@ def knn_impute(df: DataFrame, target: str, others: list[str], key: str, k: int =
     """Mean of the k nearest donors over the other columns, distances scaled up for what is missing.
 
     Donors are all rows that know the target. They lie in blocks of about ``donors`` rows; each row to
-    fill takes the k nearest of every block, and the k nearest of those.
+    fill takes the k nearest of every block, and the k nearest of those. Equal distances go by ``key``. Without
+    other columns it is the mean.
     """
+    if not others:
+        return fill_mean(df, target)
     source = df.where(F.col(target).isNotNull())
     blocks = max(1, -(-source.count() // donors))
     entry = F.struct(F.col(key).alias("key"), F.col(target).cast("double").alias("y"), *[F.col(c).cast("double").alias(f"x{i}") for i, c in enumerate(others)])
