@@ -154,16 +154,32 @@ def _shared(pdf: pd.DataFrame, found, answers: dict, buckets: int) -> tuple[np.n
     return chosen[place], often[place]
 
 
+def _row_order(ids: np.ndarray, texts: pd.Series) -> np.ndarray:
+    """Rows by doc_id, those of one doc_id by text."""
+    order = np.argsort(ids, kind="stable")
+    starts = np.flatnonzero(np.concatenate([[True], np.diff(ids[order]) != 0])) if len(ids) else order
+    for a, b in zip(starts.tolist(), [*starts[1:].tolist(), len(ids)], strict=True):
+        if b - a > 1:
+            order[a:b] = sorted(order[a:b].tolist(), key=lambda i: encoded(texts.iat[i]))
+    return order
+
+
 class Stretches:
     """Distinct stretches of a part's shared anchors, each with a routing hash and its smallest doc_id.
 
     ``doc``, ``first`` and ``of`` give document, start and stretch of every occurrence. A stretch of a
-    hot anchor is cut into its strings.
+    hot anchor is cut into its strings. Rows reach a task in any order, and the answers are read off by a
+    later one: stretches are numbered by doc_id and text, so that both number alike.
     """
 
     def __init__(self, pdf: pd.DataFrame, found, chosen: np.ndarray, hot: np.ndarray, length: int, buckets: int):
         doc, h, first, last, _ = found
         ids = _ids(pdf)
+        # rows of one doc_id and one text may change places; their stretches are the same
+        rank = np.empty(len(ids), np.int64)
+        rank[_row_order(ids, pdf["text"])] = np.arange(len(ids))
+        by = np.argsort(rank[doc[chosen]], kind="stable")
+        chosen, hot = chosen[by], hot[by]
         number: dict[bytes, int] = {}
         self.texts: list[bytes] = []
         hashes: list[int] = []

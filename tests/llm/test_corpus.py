@@ -8,6 +8,7 @@ import random
 import zlib
 
 import numpy as np
+import pandas as pd
 import pytest
 import public_tokenizers
 import tiktoken
@@ -157,6 +158,28 @@ def test_suffix_dedup(docs, rows, length, gram):
     assert got == suffix_dedup.brute_force(rows, length)
 
 
+@pytest.mark.parametrize("hot", [2, 64])
+def test_suffix_dedup_of_rows_in_another_order(monkeypatch, rows, hot):
+    """The task that reads the answers may get its rows in another order than the one that asked."""
+    monkeypatch.setattr(suffix_dedup, "HOT", hot)
+    all_rows = pd.DataFrame([(d, t) for d, t in [*rows, *[(7, t) for _, t in rows]]], columns=["doc_id", "text"]).astype({"doc_id": "int64"})
+
+    def sent(pdf):
+        found = suffix_dedup._anchors_of(pdf, 50, 20)
+        _, several, order, counts, _ = suffix_dedup._asked(pdf, found, 3)
+        chosen = np.sort(order[np.repeat(several, counts)])
+        crowded = np.repeat(suffix_dedup._crowded(found, order, counts, hot), counts)
+        often = np.empty(len(order), bool)
+        often[order] = crowded
+        return suffix_dedup.Stretches(pdf, found, chosen, often[chosen], 50, 3)
+
+    one = sent(all_rows)
+    assert len(one.texts) > 20
+    for seed in range(3):
+        other = sent(all_rows.sample(frac=1, random_state=seed).reset_index(drop=True))
+        assert [(b, one.payload(x)) for b, x in one.routed] == [(b, other.payload(x)) for b, x in other.routed]
+
+
 def test_suffix_dedup_keeps_columns_and_whole_characters(docs, rows):
     out = suffix_dedup.without_repeats(docs)
     assert out.columns == docs.columns
