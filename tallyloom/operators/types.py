@@ -14,6 +14,8 @@ SENTINELS = (
     "", " ", "NULL", "null", "None", "none", "N/A", "n/a", "NA", "na", "NaN", "nan", "-", "--", "---", "?", "unknown", "Unknown", "UNKNOWN", "#N/A", "#NULL!",
 )
 KINDS = ("BOOLEAN", "CURRENCY", "PERCENTAGE", "DATE", "NUMBER")
+# Words of which a column's profile allows two.
+BOOLEAN_WORDS = ("true", "false", "yes", "no", "y", "n", "1", "0", "on", "off", "t", "f", "enabled", "disabled")
 
 
 @dataclass(frozen=True)
@@ -79,9 +81,12 @@ def profile_type(df: DataFrame, columns: list[str], least: float = 0.8) -> DataF
     for c in columns:
         text = F.trim(F.col(c).cast("string"))
         t = tests(text)
-        words = F.lower(text).isin("true", "false", "yes", "no", "y", "n", "1", "0", "on", "off", "t", "f", "enabled", "disabled")
+        word = F.array_position(F.array(*[F.lit(w) for w in BOOLEAN_WORDS]), F.lower(text)).cast("int")
+        words = word > 0
+        # how many are told apart matters only where all are words, of which there are few: a bit for each
+        kinds = F.bit_count(F.bit_or(F.call_function("shiftleft", F.lit(1), word)))
         made.append(F.struct(
-            F.lit(c).alias("name"), (F.coalesce(F.bool_and(words), F.lit(False)) & (F.countDistinct(F.lower(text)) <= 2)).alias("b"),
+            F.lit(c).alias("name"), (F.coalesce(F.bool_and(words), F.lit(False)) & (kinds <= 2)).alias("b"),
             *[F.coalesce(F.avg(t[k].cast("double")), F.lit(0.0)).alias(k) for k in KINDS[1:]],
             (F.coalesce(F.bool_and(text.rlike("^[0-9]{4,}$")), F.lit(False)) & (F.min(F.length(text)) == F.max(F.length(text)))).alias("identifier"),
         ).alias(f"s_{c}"))

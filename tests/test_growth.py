@@ -1,6 +1,6 @@
 """Steps whose work must grow no faster than their input."""
 
-from tallyloom.operators import missing
+from tallyloom.operators import missing, types
 
 
 def plan(df) -> str:
@@ -21,3 +21,11 @@ def test_backward_fills_read_each_row_once(spark):
         assert "unboundedfollowing" not in plan(fill(df, "v", ["i"], ["k"]))
     nulls = spark.createDataFrame([(None, 1.0), (1, None), (2, 3.0)], "i long, v double")
     assert [r["v"] for r in missing.fill_backward(nulls, "v", ["i"], []).orderBy("i").collect()] == [1.0, 3.0, 3.0]
+
+
+def test_types_of_a_profile_from_one_row_each(spark):
+    rows = [("yes", "Yes", "t", "1000", None), ("no", "yes", "f", "2000", None), ("YES", "on", "true", "x", None), (None, "off", "F", "3000", None)]
+    df = spark.createDataFrame(rows, "a string, b string, c string, d string, e string")
+    out = types.profile_type(df, df.columns)
+    assert "expand" not in plan(out)  # a row for each column, each with a distinct count
+    assert {r["name"]: r["data_type"] for r in out.collect()} == {"a": "BOOLEAN", "b": "TEXT", "c": "TEXT", "d": "TEXT", "e": "TEXT"}
