@@ -60,6 +60,12 @@ def numbers(df: DataFrame, names: list[str] | None = None) -> DataFrame:
     return _per_column(df, names, fields).withColumn("median", known[F.col("name")])
 
 
+def nullability(df: DataFrame, names: list[str]) -> DataFrame:
+    """name and nullable of each column, as ``columns`` has it, without counting distinct values."""
+    raw = _per_column(df, names, lambda c: {"total": F.count("*"), "non_nulls": F.count(c)})
+    return raw.select("name", (F.coalesce(F.try_divide((F.col("total") - F.col("non_nulls")) * 100.0, "total"), F.lit(0.0)) > 5).alias("nullable"))
+
+
 # Shapes of text that are reported.
 SHAPES = {
     "code": r"^[A-Z]{2,3}\d{3,6}$", "ssn": r"^\d{3}-\d{2}-\d{4}$", "phone": r"^\d{3}-\d{3}-\d{4}$",

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,11 +16,17 @@ def describe(df: DataFrame, names: list[str] | None = None, samples: int = 5, or
     names = names or df.columns
     facts = profile.columns(df, names).join(profile_type(df, names), "name")
     rank = F.col(order) if order else F.monotonically_increasing_id()
-    cells = df.select(rank.alias("_o"), *[F.col(c).cast("string").alias(f"_{i}") for i, c in enumerate(names)]).unpivot(["_o"], [f"_{i}" for i in range(len(names))], "_n", "v")
-    place = F.row_number().over(Window.partitionBy("_n").orderBy("_o"))
-    first = cells.where("v IS NOT NULL").withColumn("_r", place).where(F.col("_r") <= samples).groupBy("_n").agg(F.transform(F.array_sort(F.collect_list(F.struct("_r", "v"))), lambda x: x["v"]).alias("samples"))
-    labels = F.create_map(*[x for i, c in enumerate(names) for x in (F.lit(f"_{i}"), F.lit(c))])
-    return facts.join(first.withColumn("name", labels[F.col("_n")]).drop("_n"), "name", "left")
+    cells = df.select(rank.alias("_o"), *[F.col(c).cast("string").alias(f"_{i}") for i, c in enumerate(names)])
+    # the first few of each column by the order, equal places by value; no column is sorted for them
+    tops = [cells.where(F.col(f"_{i}").isNotNull()).select(F.lit(c).alias("name"), "_o", F.col(f"_{i}").alias("v")).orderBy("_o", "v").limit(samples) for i, c in enumerate(names)]
+    first = reduce(DataFrame.unionByName, tops).groupBy("name").agg(F.transform(F.array_sort(F.collect_list(F.struct("_o", "v"))), lambda x: x["v"]).alias("samples"))
+    return facts.join(first, "name", "left")
+
+
+def descriptor(df: DataFrame, names: list[str] | None = None) -> DataFrame:
+    """name, nullable (over 5 % null) and data_type of each column: what ``diff`` compares."""
+    names = names or df.columns
+    return profile.nullability(df, names).join(profile_type(df, names), "name")
 
 
 def validate(profile_rows: DataFrame, total_rows: int) -> DataFrame:

@@ -1,6 +1,6 @@
 """Steps whose work must grow no faster than their input."""
 
-from tallyloom.operators import missing, types
+from tallyloom.operators import missing, schema, types
 
 
 def plan(df) -> str:
@@ -29,3 +29,10 @@ def test_types_of_a_profile_from_one_row_each(spark):
     out = types.profile_type(df, df.columns)
     assert "expand" not in plan(out)  # a row for each column, each with a distinct count
     assert {r["name"]: r["data_type"] for r in out.collect()} == {"a": "BOOLEAN", "b": "TEXT", "c": "TEXT", "d": "TEXT", "e": "TEXT"}
+
+
+def test_samples_are_not_sorted_whole(spark):
+    df = spark.createDataFrame([(i // 3, str(9 - i % 3), None if i < 50 else i) for i in range(99, -1, -1)], "o long, a string, b int")
+    out = schema.describe(df, ["a", "b"], 4, "o")
+    assert "row_number" not in plan(out) and "takeorderedandproject" in plan(out)
+    assert {r["name"]: r["samples"] for r in out.collect()} == {"a": ["7", "8", "9", "7"], "b": ["50", "51", "52", "53"]}
