@@ -1,6 +1,6 @@
 """Steps whose work must grow no faster than their input."""
 
-from tallyloom.operators import missing, schema, types
+from tallyloom.operators import missing, profile, schema, types
 
 
 def plan(df) -> str:
@@ -36,3 +36,12 @@ def test_samples_are_not_sorted_whole(spark):
     out = schema.describe(df, ["a", "b"], 4, "o")
     assert "row_number" not in plan(out) and "takeorderedandproject" in plan(out)
     assert {r["name"]: r["samples"] for r in out.collect()} == {"a": ["7", "8", "9", "7"], "b": ["50", "51", "52", "53"]}
+
+
+def test_descriptors_need_no_distinct_values(spark):
+    df = spark.createDataFrame([(i, None if i % 10 == 0 else str(i), "x") for i in range(100)], "a long, b string, c string")
+    out = schema.descriptor(df)
+    assert "unique_values" not in plan(out)
+    whole = profile.columns(df).join(types.profile_type(df, df.columns), "name")
+    assert sorted(map(tuple, out.select("name", "nullable", "data_type").collect())) == sorted(map(tuple, whole.select("name", "nullable", "data_type").collect()))
+    assert profile.nullability(df.limit(0), ["a"]).first()["nullable"] is False
