@@ -83,14 +83,21 @@ def weighted_types(questions: DataFrame, key: str, text: str = "text") -> DataFr
 
     DESCRIPTIVE with 0.5 where none reaches 0.3; of equal classes the one that is listed first.
     """
-    t = F.lower(F.trim(text))
+    # what a pattern begins or ends with any text for is found without; hundreds of tests in one expression are never
+    # compiled, so that words and patterns that are plain text are counted as lists
+    asked = questions.select(key, F.lower(F.trim(text)).alias("_text"))
+
+    def hits(found: list[str]) -> Column:
+        return F.size(F.filter(F.array(*[F.lit(w) for w in found]), lambda w: F.col("_text").contains(w)))
 
     def weight(words, patterns) -> Column:
-        by_word = F.least(F.lit(0.6), sum((t.contains(w).cast("int") for w in words), F.lit(0)) * F.lit(0.2))
-        return by_word + F.least(F.lit(0.4), sum((t.rlike(p).cast("int") for p in patterns), F.lit(0)) * F.lit(0.3))
+        bare = [p.removeprefix(".*").removesuffix(".*") for p in patterns]
+        plain = [p for p in bare if re.escape(p).replace("\\ ", " ") == p]
+        matched = sum((F.col("_text").rlike(p).cast("int") for p in bare if p not in plain), hits(plain))
+        return F.least(F.lit(0.6), hits(list(words)) * F.lit(0.2)) + F.least(F.lit(0.4), matched * F.lit(0.3))
 
     scores = [F.struct(F.round(weight(words, patterns), 6).alias("score"), F.lit(-i).alias("place"), F.lit(name).alias("kind")) for i, (name, words, patterns) in enumerate(WEIGHTED)]
-    rated = questions.select(key, F.array_max(F.array(*scores)).alias("best"))
+    rated = asked.select(key, F.array_max(F.array(*scores)).alias("best"))
     return rated.select(key, F.when(F.col("best.score") < 0.3, "DESCRIPTIVE").otherwise(F.col("best.kind")).alias("kind"), F.when(F.col("best.score") < 0.3, 0.5).otherwise(F.col("best.score")).alias("score"))
 
 

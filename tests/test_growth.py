@@ -1,6 +1,8 @@
 """Steps whose work must grow no faster than their input."""
 
-from tallyloom.operators import missing, profile, schema, types
+import re
+
+from tallyloom.operators import missing, profile, schema, text, types
 
 
 def plan(df) -> str:
@@ -45,3 +47,18 @@ def test_descriptors_need_no_distinct_values(spark):
     whole = profile.columns(df).join(types.profile_type(df, df.columns), "name")
     assert sorted(map(tuple, out.select("name", "nullable", "data_type").collect())) == sorted(map(tuple, whole.select("name", "nullable", "data_type").collect()))
     assert profile.nullability(df.limit(0), ["a"]).first()["nullable"] is False
+
+
+def test_question_scores_stay_small(spark):
+    asked = ["What is the total sum", "show all where x", "a VS b, b vs c", "growth over time\nchange and over", "top 5 and bottom 3", "", None, "how is it distributed", "daily", " describe it "]
+    df = spark.createDataFrame(list(enumerate(asked)), "id int, text string")
+    out = text.weighted_types(df, "id")
+    assert len(re.findall("contains", plan(out).split("== physical plan ==")[1])) < 40  # a method for each test is too long to be compiled
+    for r in out.collect():
+        t = (asked[r["id"]] or "").strip(" ").lower()
+        scores = []
+        for kind, words, patterns in text.WEIGHTED:
+            scores.append((round(min(0.6, sum(w in t for w in words) * 0.2) + min(0.4, sum(bool(re.search(p, t)) for p in patterns) * 0.3), 6), kind))
+        best = max(s for s, _ in scores)
+        if asked[r["id"]] is not None:
+            assert (r["kind"], r["score"]) == (("DESCRIPTIVE", 0.5) if best < 0.3 else (next(k for s, k in scores if s == best), best))
