@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 # Patterns, confidence and category, in the order in which masking takes them.
 PATTERNS = (
@@ -23,14 +25,41 @@ def counts(df: DataFrame, key: str, text: str = "text") -> DataFrame:
     return df.select(key, *[F.coalesce(F.regexp_count(text, F.lit(p)), F.lit(0)).alias(f"n_{k}") for k, p, _ in PATTERNS])
 
 
-def _hits(texts: pd.Series) -> pd.Series:
+#: Hits that leave a task together.
+HITS_AT_ONCE = 4096
+
+
+HIT = "kind string, value string, first int, last int, confidence double"
+
+
+def _packed(keys: pa.Array, hits: list[tuple]) -> pa.RecordBatch:
+    rows, *columns = zip(*hits, strict=True)
+    kinds = (pa.string(), pa.string(), pa.int32(), pa.int32(), pa.float64())
+    return pa.RecordBatch.from_arrays([keys.take(pa.array(rows)), *map(pa.array, columns, kinds)], names=["key", *[c.split()[0] for c in HIT.split(", ")]])
+
+
+def _hits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The hits of (key, text), one text after another, so that a task holds one batch and few hits."""
     found = [(k, re.compile(p), c) for k, p, c in PATTERNS]
-    return texts.map(lambda t: [{"kind": k, "value": m.group(), "first": m.start(), "last": m.end(), "confidence": c} for k, p, c in found for m in p.finditer(t)] if isinstance(t, str) else [])
+    for batch in batches:
+        out: list[tuple] = []
+        for i, text in enumerate(batch.column(1)):
+            text = text.as_py()
+            for k, p, c in found if isinstance(text, str) else ():
+                for m in p.finditer(text):
+                    out.append((i, k, m.group(), m.start(), m.end(), c))
+                    if len(out) == HITS_AT_ONCE:
+                        yield _packed(batch.column(0), out)
+                        out = []
+        if out:
+            yield _packed(batch.column(0), out)
 
 
 def spans(df: DataFrame, key: str, text: str = "text") -> DataFrame:
     """Every hit with its place and confidence."""
-    return df.select(key, F.explode(F.pandas_udf(_hits, "array<struct<kind:string,value:string,first:int,last:int,confidence:double>>")(F.col(text))).alias("h")).select(key, "h.*")
+    asked = df.select(F.col(key).alias("key"), F.col(text))
+    made = StructType([asked.schema[0], *StructType.fromDDL(HIT)])
+    return asked.mapInArrow(_hits, made).withColumnRenamed("key", key)
 
 
 def classification(text: str, kind: str = "other") -> Column:

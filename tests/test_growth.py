@@ -2,7 +2,9 @@
 
 import re
 
-from tallyloom.operators import missing, profile, schema, text, types
+import pyarrow as pa
+
+from tallyloom.operators import missing, privacy, profile, schema, text, types
 
 
 def plan(df) -> str:
@@ -62,3 +64,15 @@ def test_question_scores_stay_small(spark):
         best = max(s for s, _ in scores)
         if asked[r["id"]] is not None:
             assert (r["kind"], r["score"]) == (("DESCRIPTIVE", 0.5) if best < 0.3 else (next(k for s, k in scores if s == best), best))
+
+
+def test_hits_leave_in_small_batches(spark):
+    texts = ["call 555-123-4567 or mail a.b@example.com, é 10.0.0.1 " * 1500, None, "", "John Smith 123-45-6789"]
+    batch = pa.RecordBatch.from_arrays([pa.array([7, None, 8, 9]), pa.array(texts)], names=["key", "text"])
+    out = list(privacy._hits(iter([batch])))
+    assert len(out) > 1 and max(b.num_rows for b in out) <= privacy.HITS_AT_ONCE
+    df = spark.createDataFrame(list(zip([7, None, 8, 9], texts, strict=True)), "doc_id long, text string")
+    got = privacy.spans(df, "doc_id")
+    assert got.columns == ["doc_id", "kind", "value", "first", "last", "confidence"]
+    want = [(d, k, m.group(), m.start(), m.end(), c) for d, t in zip([7, None, 8, 9], texts, strict=True) for k, p, c in privacy.PATTERNS for m in re.finditer(p, t or "")]
+    assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, want))
