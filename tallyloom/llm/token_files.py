@@ -23,6 +23,7 @@ columns, whatever their names, are ignored.
 
 from __future__ import annotations
 
+import functools
 import json
 import os
 import struct
@@ -36,7 +37,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import textblocks
-from .scratch import new_folder, staged
+from .scratch import give_back, new_folder, small_batches, staged
 
 BLOCK = 128
 #: Blocks that are packed and unpacked at once.
@@ -256,6 +257,24 @@ def pieces(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nda
     return low, bounds[:-1][real], bounds[1:][real], of[real]
 
 
+@functools.lru_cache(maxsize=1)
+def _tokenizers(path: str) -> tuple:
+    """The tokenizer of the file and, where ``_by_piece`` holds, one for pieces and which ids end a word; a worker reads a file once."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    from tokenizers import Tokenizer
+
+    whole = Tokenizer.from_file(path)
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    if not _by_piece(spec):
+        return whole, None, None
+    # the same merges for pieces that are normal already, one word each
+    plain = spec | {"normalizer": None, "added_tokens": [], "pre_tokenizer": {"type": "Sequence", "pretokenizers": [{"type": "WhitespaceSplit"}, spec["pre_tokenizer"]["pretokenizers"][1]]}}
+    ends = np.zeros(1 + max(spec["model"]["vocab"].values()), bool)
+    ends[[v for k, v in spec["model"]["vocab"].items() if k.endswith("</w>")]] = True
+    return whole, Tokenizer.from_str(json.dumps(plain)), ends
+
+
 class Encoder:
     """Ids of texts by the tokenizers library, each distinct piece encoded once while the cache holds it.
 
@@ -263,19 +282,8 @@ class Encoder:
     """
 
     def __init__(self, path: str, cache_bytes: int = CACHE_BYTES):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        with open(path, encoding="utf-8") as f:
-            spec = json.load(f)
-        self.by_piece, self.cache_bytes = _by_piece(spec), cache_bytes
-        if self.by_piece:
-            # the same merges for pieces that are normal already, one word each
-            plain = spec | {"normalizer": None, "added_tokens": [], "pre_tokenizer": {"type": "Sequence", "pretokenizers": [{"type": "WhitespaceSplit"}, spec["pre_tokenizer"]["pretokenizers"][1]]}}
-            self.plain = Tokenizer.from_str(json.dumps(plain))
-            self.ends = np.zeros(1 + max(spec["model"]["vocab"].values()), bool)
-            self.ends[[v for k, v in spec["model"]["vocab"].items() if k.endswith("</w>")]] = True
+        self.tokenizer, self.plain, self.ends = _tokenizers(path)
+        self.by_piece, self.cache_bytes = self.plain is not None, cache_bytes
         self._clear()
 
     def _clear(self) -> None:
@@ -408,11 +416,14 @@ def write_tokens(docs: DataFrame, path: str, folder: str) -> DataFrame:
                     at = stop
         if built.names:
             yield flush()
+        coder._clear()
+        give_back()
 
     # the hash and the row number deal rows with one doc_id, or none, over several ranges
     rows = docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("_hash"), F.monotonically_increasing_id().alias("_row"))
     ordered = rows.repartitionByRange("doc_id", "_hash", "_row").sortWithinPartitions("doc_id", "_hash", "text").select("doc_id", "text")
-    return staged(ordered.mapInPandas(run, "file string, documents long, n_ids long"), "token-files")
+    with small_batches(docs.sparkSession):
+        return staged(ordered.mapInPandas(run, "file string, documents long, n_ids long"), "token-files")
 
 
 def read_tokens(files: DataFrame, folder: str) -> DataFrame:

@@ -656,3 +656,8 @@ def test_near_copies_of_odd_rows(spark):
     assert sorted((str(r.doc_id), (r.text or "")[:20]) for r in got) == sorted(
         [("1", "a b c d e f"), ("1", "a b c d e f"), ("1", "quite another text o"), ("5", ""), ("None", "words that nobody el"), ("8", long[:20])]
     )
+
+
+def test_token_files_read_the_tokenizer_once_a_worker():
+    one, two = token_files.Encoder(WORD_BPE), token_files.Encoder(WORD_BPE)
+    assert one.tokenizer is two.tokenizer and one.plain is two.plain and one.keys is not two.keys
