@@ -50,6 +50,8 @@ GRAM = 20
 Q = 8
 #: Different stretches of one part at an anchor from which on its strings are routed one by one.
 HOT = 64
+#: Bytes of text whose anchors are found at once, so that the arrays stay near the processor.
+ANCHORED_BYTES = 1 << 17
 #: Bytes of stretches that are ordered at once; those of one anchor are never parted.
 ORDERED = 1 << 20
 #: Suffixes whose buckets are refined together.
@@ -96,7 +98,7 @@ def anchors(block: textblocks.Block, length: int, gram: int):
 def _anchors_of(pdf: pd.DataFrame, length: int, gram: int):
     """Anchors of all texts: document number, hash, first and last start within the document, hash of the stretch."""
     out = []
-    for block in textblocks.blocks(pdf["text"]):
+    for block in textblocks.blocks(pdf["text"], target=ANCHORED_BYTES):
         doc, h, first, last, stretch = anchors(block, length, gram)
         out.append((doc + block.first, h, first - block.offsets[doc], last - block.offsets[doc], stretch))
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
@@ -164,6 +166,17 @@ def _row_order(ids: np.ndarray, texts: pd.Series) -> np.ndarray:
     return order
 
 
+def _runs(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and lengths of the runs of equal values."""
+    starts = np.flatnonzero(np.concatenate([[True], values[1:] != values[:-1]])) if len(values) else np.zeros(0, np.int64)
+    return starts, np.diff(np.append(starts, len(values)))
+
+
+def _spread(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """``counts`` ascending numbers from each of ``starts`` on."""
+    return np.repeat(starts - (np.cumsum(counts) - counts), counts) + np.arange(counts.sum())
+
+
 class Stretches:
     """Distinct stretches of a part's shared anchors, each with a routing hash and its smallest doc_id.
 
@@ -173,40 +186,37 @@ class Stretches:
     """
 
     def __init__(self, pdf: pd.DataFrame, found, chosen: np.ndarray, hot: np.ndarray, length: int, buckets: int):
-        doc, h, first, last, _ = found
-        ids = _ids(pdf)
+        doc, h, first, last = (x[chosen] for x in found[:4])
+        ids, texts = _ids(pdf), pdf["text"].to_numpy()
         # rows of one doc_id and one text may change places; their stretches are the same
         rank = np.empty(len(ids), np.int64)
         rank[_row_order(ids, pdf["text"])] = np.arange(len(ids))
-        by = np.argsort(rank[doc[chosen]], kind="stable")
-        chosen, hot = chosen[by], hot[by]
+        by = np.argsort(rank[doc], kind="stable")
+        pieces = np.where(hot, last - first + 1, 1)[by]
+        by = np.repeat(by, pieces)
+        often = hot[by]
+        self.doc, self.first = doc[by], first[by] + np.where(often, _spread(np.zeros(len(pieces), np.int64), pieces), 0)
+        end = np.where(often, self.first, last[by]) + length
         number: dict[bytes, int] = {}
-        self.texts: list[bytes] = []
-        hashes: list[int] = []
-        self.least: list[int] = []
-        self.doc, self.first, self.of = [], [], []
-        current, raw = -1, b""
-        for d, v, a, z, often in zip(doc[chosen].tolist(), h[chosen].tolist(), first[chosen].tolist(), last[chosen].tolist(), hot.tolist(), strict=True):
-            if d != current:
-                current, raw, own = d, encoded(pdf["text"].iat[d]), int(ids[d])
-            for begin, end in [(k, k) for k in range(a, z + 1)] if often else [(a, z)]:
-                text = raw[begin : end + length]
-                k = number.setdefault(text, len(self.texts))
-                if k == len(self.texts):
-                    self.texts.append(text)
-                    hashes.append(xxhash.xxh64_intdigest(text) if often else v)
-                    self.least.append(own)
-                elif own < self.least[k]:
-                    self.least[k] = own
-                self.doc.append(d)
-                self.first.append(begin)
-                self.of.append(k)
-        self.hash_array = np.array(hashes, np.uint64)
+        of: list[int] = []
+        begins, lengths = _runs(self.doc)
+        for a, n in zip(begins.tolist(), lengths.tolist(), strict=True):
+            raw = encoded(texts[self.doc[a]])
+            of += [number.setdefault(raw[i:j], len(number)) for i, j in zip(self.first[a : a + n].tolist(), end[a : a + n].tolist(), strict=True)]
+        self.of = np.array(of, np.int64)
+        self.texts = list(number)
+        # doc_ids ascend, so that the first bearer of a stretch has the smallest
+        bearer = np.flatnonzero(np.diff(np.maximum.accumulate(self.of), prepend=-1))
+        self.least = ids[self.doc[bearer]]
+        self.room = (end - self.first)[bearer] - length + 1
+        self.hash_array = h[by[bearer]]
+        for k in np.flatnonzero(often[bearer]).tolist():
+            self.hash_array[k] = xxhash.xxh64_intdigest(self.texts[k])
         self.routed = exchange.by_bucket((self.hash_array >> np.uint64(16)).astype(np.uint32) % np.uint32(buckets))
 
     def payload(self, x: np.ndarray) -> bytes:
         texts = [self.texts[i] for i in x.tolist()]
-        ids = np.array([self.least[i] for i in x.tolist()], np.int64)
+        ids = self.least[x]
         sizes = np.array([len(t) for t in texts], np.uint16)
         # half of the hash tells anchors of a bucket apart; those that it confuses are sorted together
         low = self.hash_array[x].astype(np.uint32)
@@ -393,27 +403,28 @@ def removed_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> Da
 
 def _without(pdf: pd.DataFrame, sent: Stretches, answers: dict, length: int):
     ids = _ids(pdf)
-    room = np.array([len(t) - length + 1 for t in sent.texts], np.int64)
-    flags: list = [None] * len(room)
+    begin = np.cumsum(sent.room) - sent.room
+    flags = np.zeros(int(sent.room.sum()), bool)
     for b, x in sent.routed:
-        n = room[x]
-        for i, piece in zip(x.tolist(), np.split(exchange.bits(answers[b], int(n.sum())), np.cumsum(n)[:-1]), strict=True):
-            flags[i] = piece
-    starts: dict[int, list[np.ndarray]] = {}
-    for d, a, k in zip(sent.doc, sent.first, sent.of, strict=True):
-        hit = np.arange(room[k]) if ids[d] > sent.least[k] else np.flatnonzero(flags[k])
-        if len(hit):
-            starts.setdefault(d, []).append(hit + a)
-    for d, text in enumerate(pdf["text"]):
-        raw = encoded(text)
-        removed = spans = 0
-        kept = raw
-        if d in starts:
-            gone = textblocks.covered(np.concatenate(starts[d]), length, len(raw))
-            removed = int(gone.sum())
-            spans = int(gone[0]) + int((gone[1:] & ~gone[:-1]).sum())
-            kept = np.frombuffer(raw, np.uint8)[~gone].tobytes()
-        yield int(ids[d]), len(raw), removed, spans, kept
+        n = sent.room[x]
+        flags[_spread(begin[x], n)] = exchange.bits(answers[b], int(n.sum()))
+    order = np.argsort(sent.doc, kind="stable")
+    cuts = np.searchsorted(sent.doc[order], np.arange(len(ids) + 1))
+    for block in textblocks.blocks(pdf["text"]):
+        some = order[cuts[block.first] : cuts[block.first + block.count]]
+        doc, of = sent.doc[some], sent.of[some]
+        n = sent.room[of]
+        hit = flags[_spread(begin[of], n)] | np.repeat(ids[doc] > sent.least[of], n)
+        # strings end within their document, so that its line feed stays
+        gone = textblocks.covered(_spread(block.offsets[doc - block.first] + sent.first[some], n)[hit], length, len(block.data))
+        until = np.concatenate([[0], np.cumsum(gone)])[block.offsets]
+        opened = np.concatenate([[0], np.cumsum(gone & ~np.concatenate([[False], gone[:-1]]))])[block.offsets]
+        left, ends = block.data[~gone].tobytes(), block.offsets - until
+        sizes = np.diff(block.offsets) - 1
+        own_ids = ids[block.first : block.first + block.count].tolist()
+        rows = zip(own_ids, sizes.tolist(), np.diff(until).tolist(), np.diff(opened).tolist(), ends[:-1].tolist(), ends[1:].tolist(), strict=True)
+        for own, size, removed, spans, a, z in rows:
+            yield own, size, removed, spans, left[a : z - 1]
 
 
 def digest(kept: DataFrame) -> DataFrame:

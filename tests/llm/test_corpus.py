@@ -2,6 +2,7 @@
 
 import base64
 import collections
+import cProfile
 import hashlib
 import math
 import random
@@ -180,6 +181,23 @@ def test_suffix_dedup_of_rows_in_another_order(monkeypatch, rows, hot):
         assert [(b, one.payload(x)) for b, x in one.routed] == [(b, other.payload(x)) for b, x in other.routed]
 
 
+def test_suffix_dedup_makes_no_calls_for_each_string():
+    """What a part does in Python grows with its documents, but for the dictionary of stretches, not with its occurrences."""
+    rng = random.Random(5)
+    lines = [prose(rng, 40) for _ in range(60)]
+    pdf = pd.DataFrame([(i, " ".join(rng.sample(lines, 30))) for i in range(40)], columns=["doc_id", "text"])
+    found = suffix_dedup._anchors_of(pdf, 50, 20)
+    chosen = np.arange(len(found[0]))
+    sent = suffix_dedup.Stretches(pdf, found, chosen, np.zeros(len(chosen), bool), 50, 3)
+    answers = {b: suffix_dedup._refine(pd.DataFrame({"payload": [sent.payload(x)]}), 50)[0] for b, x in sent.routed}
+    counter = cProfile.Profile()
+    out = counter.runcall(lambda: list(suffix_dedup._without(pdf, sent, answers, 50)))
+    calls = sum(e.callcount for e in counter.getstats())
+    want = suffix_dedup.brute_force(list(pdf.itertuples(index=False, name=None)))
+    assert {d: (n, r, s, hashlib.sha256(k).hexdigest()) for d, n, r, s, k in out} == want
+    assert len(sent.of) > 3000 and calls < len(sent.of) / 2
+
+
 def test_suffix_dedup_keeps_columns_and_whole_characters(docs, rows):
     out = suffix_dedup.without_repeats(docs)
     assert out.columns == docs.columns
