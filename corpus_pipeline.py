@@ -36,7 +36,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate group stays, that of the smallest doc_id.
 
-    Groups are linked by a similarity of 0.8 or more over sets of five-word shingles. Texts without
+    SimHash fingerprints within two bits meet first, pairs that they miss by keys of the sets; groups are
+    linked by a similarity of 0.8 or more over sets of five-word shingles. Texts without
     words are copies of each other; rows with one doc_id and one text stay or go together; a null
     doc_id counts as the largest; very long texts are compared whole; an empty table stays empty.
     """

@@ -1,20 +1,24 @@
-"""Near copies by the Jaccard similarity of five-word shingles, as the pipeline's SimHash stage takes it.
+"""SimHash near-dedup at a Jaccard similarity of 0.8 over five-word shingles, as the pipeline's stage takes it.
 
-At a similarity of 0.8 majority fingerprints of 64 bits differ in ten bits on average, so that no segment of them
-is certain to agree. The same filter is therefore put on the sets themselves, where the bound is certain: sets of a
-and b shingles have a similarity of 0.8 or more exactly if they differ in at most (a + b) / 9 shingles.
+Near copies are found by SimHash with pigeonring filtering (``simhash.links``). At a similarity of 0.8 fingerprints
+differ in ten bits on average, though, so that no segment of them is certain to agree. What fingerprints leave open is
+therefore completed by the same filter on the sets themselves, where the bound is certain: sets of a and b shingles
+have a similarity of 0.8 or more exactly if they differ in at most (a + b) / 9 shingles.
 
-1. Each document is the set of 64-bit hashes of its shingles. Documents of equal sets are one node.
+1. Each document is the set of 64-bit hashes of its shingles. Documents of equal sets are one node. The majority of
+   each bit over the hashes is the node's fingerprint. Fingerprints within two bits meet by pigeonring chains, those
+   that step 4 rules out go, and the components of what is left are settled: steps 3 and 4 look for nothing inside them.
 2. Sizes fall into bands, and a band sets how many differences, d, its pairs may have. The shingles of a set are
    dealt by hash into more than d segments of a ring, and a segment is reduced to the sum of its hashes. d
    differences spoil at most d segments: similar sets agree in a segment that is not empty, which is the key. Keys
-   travel packed to the bucket of each, without sets. A bucket answers with the pairs of a key of few nodes. A key
-   of many, or of which one run of documents alone has many, has its members dealt into pairs of bounded blocks.
-3. Each set has a parity fingerprint of some two bits a shingle, in which every shingle flips one bit. Its
+   travel packed to the bucket of each, without sets.
+3. A bucket answers with the pairs of a key of few nodes. A key of many, or of which one run of documents alone has
+   many, has its members dealt into pairs of bounded blocks. Nodes that fingerprints have settled are not paired again.
+4. Each set has a parity fingerprint of some two bits a shingle, in which every shingle flips one bit. Its
    Hamming distance is never more than the number of differences, so that a distance over (a + b) / 9 rules a pair
    out for certain. It does so for nearly all that is not similar.
-4. The components of what is left are groups outside which nothing can be similar. Their sets are sent to their
-   group, large groups in pairs of blocks, and compared whole. Links are pairs that reach 0.8.
+5. The components of what is left, by either fingerprint, are groups outside which nothing can be similar. Their sets
+   are sent to their group, large groups in pairs of blocks, and compared whole. Links are pairs that reach 0.8.
 
 No step depends on chance: hashes of 64 bits stand for shingles, and apart from that all links are found.
 
@@ -250,13 +254,16 @@ def folded(print_: np.ndarray, words: int) -> np.ndarray:
     return print_
 
 
-def _possible(prints: list[np.ndarray], sizes: np.ndarray, side: np.ndarray) -> list[tuple[int, int]]:
-    """A spanning forest of the pairs within one block (side 0), or between two, whose fingerprints do not rule them out."""
+def _possible(prints: list[np.ndarray], sizes: np.ndarray, side: np.ndarray, settled: np.ndarray | None = None) -> list[tuple[int, int]]:
+    """A spanning forest of the pairs within one block (side 0), or between two, whose fingerprints do not rule them out.
+
+    Members of one number in ``settled`` are connected already.
+    """
     within = not (side == 1).any()
     order = np.argsort(sizes, kind="stable")
     ends = np.searchsorted(sizes[order], 5 * sizes[order] // 4, "right").tolist()
     widths = np.array([len(p) for p in prints])
-    root, out = np.arange(len(prints)), []
+    root, out = np.arange(len(prints)) if settled is None else settled.copy(), []
     at, table, place_of = -1, None, None
     for place, i in enumerate(order.tolist()):
         later = order[place + 1 : ends[place]]
@@ -292,11 +299,11 @@ def _ruled_in(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def _maybe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Edges of each whole run of (key, pair) of members with fingerprints."""
     for pdf in simhash.blocks_in(batches):
-        key, pair, side, node, n = (pdf[c].to_numpy() for c in ("key", "pair", "side", "name", "n"))
+        key, pair, side, node, n, settled = (pdf[c].to_numpy() for c in ("key", "pair", "side", "name", "n", "settled"))
         found = []
         for x in np.split(np.arange(len(key)), np.flatnonzero((key[1:] != key[:-1]) | (pair[1:] != pair[:-1])) + 1):
             prints = [np.frombuffer(pdf["held"].iat[k], np.uint64) for k in x.tolist()]
-            found += [(node[x[i]], node[x[j]]) for i, j in _possible(prints, n[x].astype(np.int64), side[x])]
+            found += [(node[x[i]], node[x[j]]) for i, j in _possible(prints, n[x].astype(np.int64), side[x], settled[x])]
         yield pd.DataFrame(found, columns=["src", "dst"], dtype="int64").drop_duplicates()
 
 
@@ -343,13 +350,13 @@ def _compared(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def _dealt(members: DataFrame) -> DataFrame:
-    """Members (key, name, n, held) by key, sorted, with pair and side; keys of too many for a block as pairs of blocks."""
+    """Members (key, name, held, ...) by key, sorted, with pair and side; keys of too many for a block as pairs of blocks."""
     sizes = members.groupBy("key").agg(F.count("*").alias("_n"), F.sum(F.octet_length("held")).alias("_bytes")).where("_n > 1")
     pieces = F.greatest(F.ceil(F.col("_n") / MEMBERS), F.ceil(F.col("_bytes") / BLOCK_BYTES)).cast("int")
     grouped = members.join(sizes.select("key", pieces.alias("_pieces")), "key").withColumn("_own", F.pmod(F.xxhash64("name"), F.col("_pieces")).cast("int"))
     met = grouped.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_pieces") - 1)))
     pair = F.least("_own", "_other").cast("long") * F.col("_pieces") + F.greatest("_own", "_other")
-    sided = met.select("key", "name", "n", "held", pair.alias("pair"), (F.col("_own") > F.col("_other")).cast("int").alias("side"))
+    sided = met.select(*members.columns, pair.alias("pair"), (F.col("_own") > F.col("_other")).cast("int").alias("side"))
     return sided.repartition("key", "pair").sortWithinPartitions("key", "pair")
 
 
@@ -361,21 +368,22 @@ def _rows(docs: DataFrame) -> DataFrame:
 
 
 def _entries(docs: DataFrame) -> DataFrame:
-    """Of every row: doc_id, text hash and size, mark (m1 and m2), size n and parity fingerprint of its set."""
+    """Of every row: doc_id, text hash and size, mark (m1 and m2), size n, SimHash and parity fingerprint of its set."""
 
     def make(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            marks, sizes, prints = [], [], []
+            marks, sizes, prints, votes = [], [], [], []
             for one in _sets(pdf["text"]):
                 marks.append(xxhash.xxh3_128_intdigest(one.tobytes()))
                 sizes.append(len(one))
                 prints.append(parity([one], parity_bits(len(one))).tobytes())
+                votes.append(int(simhash.majority(one, np.array([len(one)]))[0]))
             low = np.array([m & (2**64 - 1) for m in marks], np.uint64).view(np.int64)
             high = np.array([m >> 64 for m in marks], np.uint64).view(np.int64)
-            yield pdf[["doc_id", "h", "size"]].assign(m1=low, m2=high, n=sizes, print=prints)
+            yield pdf[["doc_id", "h", "size"]].assign(m1=low, m2=high, n=sizes, vote=np.array(votes, np.uint64).view(np.int64), print=prints)
         give_back()
 
-    return _rows(docs).mapInPandas(make, "doc_id long, h long, size int, m1 long, m2 long, n int, print binary")
+    return _rows(docs).mapInPandas(make, "doc_id long, h long, size int, m1 long, m2 long, n int, vote long, print binary")
 
 
 _FIRST = ("unnamed", "doc_id", "h", "size")
@@ -402,6 +410,20 @@ def _with_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return rows.mapInPandas(make, "key long, name long, n int, held binary")
 
 
+def simhash_links(prints: DataFrame) -> DataFrame:
+    """Pairs (src, dst) of sets (m1, n, print, vote) whose SimHash fingerprints lie within two bits of each other.
+
+    Of each fingerprint the first set stands for the others, and pairs that the parity fingerprints rule out go.
+    """
+    votes = staged(prints.groupBy("vote").agg(F.min("m1").alias("least")), "votes")
+    near = simhash.links(votes.select(F.col("vote").alias("name"), F.col("vote").alias("print")))
+    near = near.join(votes.toDF("src", "a"), "src").join(votes.toDF("dst", "b"), "dst").select("a", "b")
+    same = prints.join(votes, "vote").where("m1 <> least").select(F.col("least").alias("a"), F.col("m1").alias("b"))
+    sets = prints.select("m1", "n", "print")
+    pairs = near.unionByName(same).toDF("src", "dst").distinct()
+    return pairs.join(sets.toDF("src", "m", "p"), "src").join(sets.toDF("dst", "n", "q"), "dst").mapInPandas(_ruled_in, "src long, dst long")
+
+
 def _groups(docs: DataFrame, entries: DataFrame) -> DataFrame:
     """(m1, group) of sets that may be similar to another one."""
     total = docs.select(F.sum(F.octet_length("text"))).first()[0] or 0
@@ -409,13 +431,16 @@ def _groups(docs: DataFrame, entries: DataFrame) -> DataFrame:
     buckets = max(1, min(asked, math.ceil(total / (1 << 20))), math.ceil(total / BUCKET_BYTES))
     sent = docs.where("text IS NOT NULL").select("text").mapInPandas(_messages(buckets, HOT, KEYED_BYTES), MESSAGE)
     met = staged(sent.groupBy("bucket").applyInPandas(giving_back(_meetings(FEW)), "kind int, a long, b long"), "met")
-    prints = entries.where("n > 0").groupBy("m1").agg(F.first("n").alias("n"), F.first("print").alias("print"))
+    prints = entries.where("n > 0").groupBy("m1").agg(F.first("n").alias("n"), F.first("print").alias("print"), F.first("vote").alias("vote"))
     prints = staged(prints, "prints")
+    close = staged(simhash_links(prints), "close")
+    settled = component_ids(close)
+    prints = prints.join(settled, prints["m1"] == settled["node"], "left").select("m1", "n", "print", F.coalesce("component", "m1").alias("settled"))
     pairs = met.where("kind = 0").select(F.col("a").alias("src"), F.col("b").alias("dst")).distinct()
-    pairs = pairs.join(prints.toDF("src", "m", "p"), "src").join(prints.toDF("dst", "n", "q"), "dst")
-    edges = pairs.mapInPandas(_ruled_in, "src long, dst long")
+    pairs = pairs.join(prints.toDF("src", "m", "p", "s"), "src").join(prints.toDF("dst", "n", "q", "t"), "dst").where("s <> t")
+    edges = close.unionByName(pairs.drop("s", "t").mapInPandas(_ruled_in, "src long, dst long"))
     members = met.where("kind = 1").select(F.col("a").alias("key"), F.col("b").alias("name")).distinct()
-    members = members.join(prints.toDF("name", "n", "held"), "name")
+    members = members.join(prints.toDF("name", "n", "held", "settled"), "name")
     edges = edges.unionByName(_dealt(members).mapInPandas(_maybe, "src long, dst long").distinct())
     return component_ids(staged(edges, "edges")).select(F.col("node").alias("m1"), F.col("component").alias("group"))
 

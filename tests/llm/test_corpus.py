@@ -632,6 +632,35 @@ def test_near_copies_of_similarity_08_go(spark, testdata, monkeypatch):
     assert {r.doc_id for r in near_copies.keep_first(docs).collect()} == want
 
 
+def test_near_copies_within_two_bits_are_found_by_simhash(spark, monkeypatch):
+    """Fingerprints of two bits settle their near copies without the keys of the sets, and only those."""
+    rng = random.Random(8)
+    base = [prose(rng, 400) for _ in range(12)]
+    rows = [(10 * i + k, f"{t} end{k}" if k else t) for i, t in enumerate(base) for k in range(4)]
+    rows += [(1000 + i, prose(rng, 300)) for i in range(20)] + [(2000, ""), (2001, None), (2002, "one two")]
+    sets = [np.concatenate([np.zeros(0, np.uint64), one]) for one in near_copies._sets(pd.Series([t for _, t in rows]))]
+    votes = [int(simhash.majority(one, np.array([len(one)]))[0]) for one in sets]
+    full = [k for k, one in enumerate(sets) if len(one)]
+    want = simhash.components_of([rows[k][0] for k in full], [votes[k] for k in full])
+    stays = {rows[k][0] for k, c in zip(full, want, strict=True) if rows[k][0] == c} | {2000}
+    assert 32 < len(stays) < 60 and near_copies.brute_force(rows) <= stays
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    # what the keys of the sets add is left out here
+    monkeypatch.setattr(near_copies, "_meetings", lambda few: lambda pdf: pd.DataFrame({"kind": np.zeros(0, np.int32), "a": np.zeros(0, np.int64), "b": np.zeros(0, np.int64)}))
+    assert {r.doc_id for r in near_copies.keep_first(docs).collect()} == stays
+    monkeypatch.undo()
+    assert {r.doc_id for r in near_copies.keep_first(docs).collect()} == near_copies.brute_force(rows)
+
+
+def test_near_copies_that_are_settled_are_not_compared_again():
+    sets = [np.arange(k, 200 + k, dtype=np.uint64) for k in range(3)]
+    wide = [near_copies.parity([one], near_copies.parity_bits(200))[0] for one in sets]
+    sizes, side = np.full(3, 200), np.zeros(3, int)
+    assert len(near_copies._possible(wide, sizes, side)) == 2
+    assert len(near_copies._possible(wide, sizes, side, np.array([9, 9, 5]))) == 1
+    assert near_copies._possible(wide, sizes, side, np.array([9, 9, 9])) == []
+
+
 def test_near_copies_with_repeats(spark):
     """Repeated words and lines decide nothing: documents of the same words, each with a tail of its own many times."""
     base = " ".join(f"w{i}" for i in range(100))
