@@ -547,6 +547,48 @@ def test_language_model_learns_what_follows_what(spark):
     assert got[10_000].score > got[10_000].base_score + 1
 
 
+def test_language_model_update_follows_from_plain_sums(monkeypatch):
+    """Also with more rows than 16 bits hold, and weights so far apart that one shift would not do; one exponential a weight."""
+    rng = np.random.default_rng(3)
+    n, rows, width = 700, 1 << 17, maxent_lm.CLASSES
+    features = np.stack([rng.integers(0, high, n) for high in (3, 40, rows - 1, rows - 1)] + [np.full(n, rows - 1)], axis=1).astype(np.int32)
+    wanted = rng.integers(0, width, n)
+    for spread in (1, 60):
+        weights = rng.normal(size=(rows, width)).astype(np.float32) * np.float32(spread)
+        trainer, exponentials, exp = maxent_lm.Trainer(weights), [], np.exp
+        with monkeypatch.context() as patch:
+            patch.setattr(np, "exp", lambda x, *a, **k: exponentials.append(np.size(x)) or exp(x, *a, **k))
+            trainer.update(features, wanted)
+        assert sum(exponentials) == n * width
+        z = weights[features].astype(np.float64).sum(axis=1)
+        error = np.exp(z - z.max(axis=1, keepdims=True))
+        error /= error.sum(axis=1, keepdims=True)
+        error[np.arange(n), wanted] -= 1
+        grad, met = np.zeros((rows, width)), np.zeros(rows)
+        for k in range(features.shape[1]):
+            np.add.at(grad, features[:, k], error)
+            np.add.at(met, features[:, k], 1)
+        grad /= np.sqrt(np.maximum(met, 1))[:, None]
+        want = weights - maxent_lm.RATE * grad / np.sqrt(1e-4 + (grad**2).sum(axis=1))[:, None]
+        assert (trainer.met == met).all() and np.abs(trainer.weights - want).max() < 1e-3
+
+
+def test_language_model_learns_from_one_hash_a_token(monkeypatch):
+    """The second hash deals tokens to buckets; only counting and scoring ask for it."""
+    text = ["salt pepper salt", None, "hammer nail"]
+    _, bounds, h, other, ending = next(maxent_lm._tokens(text))
+    seeds, word_hashes = [], textblocks.word_hashes
+    monkeypatch.setattr(textblocks, "word_hashes", lambda block, spans, seed=0: seeds.append(seed) or word_hashes(block, spans, seed))
+    _, same_bounds, same_h, same_ending = next(maxent_lm._tokens(text, seeds=(0,)))
+    assert seeds == [0] and (same_bounds == bounds).all() and (same_h == h).all() and (same_ending == ending).all()
+    vocabulary = maxent_lm._Vocabulary(pd.DataFrame({"text": text}), 4)
+    assert (vocabulary.values == np.unique(h)).all() and (vocabulary.spread(vocabulary.values) == h).all()
+    assert (vocabulary.counts(np.ones(len(h), bool)) == np.unique(h, return_counts=True)[1]).all()
+    assert (vocabulary.spread(vocabulary.endings) == ending).all()
+    assert sorted(i for _, x in vocabulary.routed for i in x) == list(range(len(vocabulary.values)))
+    assert all((other[np.isin(h, vocabulary.values[x])] % np.uint64(4) == b).all() for b, x in vocabulary.routed)
+
+
 def test_packed_messages():
     rng = np.random.default_rng(1)
     for values in (np.zeros(0, np.uint64), np.array([7], np.uint64), np.array([0, 2**64 - 1], np.uint64), np.sort(rng.integers(0, 2**63, 999, dtype=np.uint64))):
