@@ -28,7 +28,9 @@ rows; other columns, whatever their names, are ignored.
 from __future__ import annotations
 
 import hashlib
+import itertools
 import struct
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -41,7 +43,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
 from . import exchange, textblocks
-from .scratch import giving_back
+from .scratch import give_back, giving_back
 from .textblocks import encoded
 
 LENGTH = 50
@@ -52,6 +54,10 @@ Q = 8
 HOT = 64
 #: Bytes of text whose anchors are found at once, so that the arrays stay near the processor.
 ANCHORED_BYTES = 1 << 17
+#: Bytes of text that are cut at once: each of its strings takes some fifty bytes meanwhile.
+CUT_BYTES = 1 << 18
+#: Texts that are put in place of others at once.
+CUT_ROWS = 256
 #: Bytes of stretches that are ordered at once; those of one anchor are never parted.
 ORDERED = 1 << 20
 #: Suffixes whose buckets are refined together.
@@ -59,6 +65,10 @@ GROUP = 1 << 16
 NULL_ID = -(2**63)
 RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary"
 MESSAGE = "round int, part int, bucket int, payload binary"
+SENT = pa.schema([("round", pa.int32()), ("part", pa.int32()), ("bucket", pa.int32()), ("payload", pa.binary())])
+CUT = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept", pa.binary())])
+#: Texts stay as Arrow has them; each is a string of Python only while it is looked at.
+AS_THEY_ARE = {t: pd.ArrowDtype(t) for t in (pa.string(), pa.large_string())}
 
 
 def _sliding_least(keys: np.ndarray, width: int) -> np.ndarray:
@@ -95,13 +105,26 @@ def anchors(block: textblocks.Block, length: int, gram: int):
     return np.searchsorted(block.offsets, first, "right") - 1, h[at[begin]], first, last, stretch
 
 
-def _anchors_of(pdf: pd.DataFrame, length: int, gram: int):
-    """Anchors of all texts: document number, hash, first and last start within the document, hash of the stretch."""
-    out = []
+def _anchors_of(pdf: pd.DataFrame, length: int, gram: int, stretches: bool = True):
+    """Anchors of all texts: document number, hash, first and last start within the document, hash of the stretch if wanted.
+
+    There is one for some sixteen bytes, so that a part holds them in as few bytes as they need, and once.
+    """
+    columns: list[list[np.ndarray]] = [[], [], [], [], []]
     for block in textblocks.blocks(pdf["text"], target=ANCHORED_BYTES):
         doc, h, first, last, stretch = anchors(block, length, gram)
-        out.append((doc + block.first, h, first - block.offsets[doc], last - block.offsets[doc], stretch))
-    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+        doc, first, last = (x.astype(np.int32) for x in (doc + block.first, first - block.offsets[doc], last - block.offsets[doc]))
+        for column, x in zip(columns, (doc, h, first, last, stretch if stretches else np.zeros(0, np.uint64)), strict=True):
+            column.append(x)
+    return tuple(np.concatenate(columns.pop(0)) for _ in range(5))
+
+
+def _part(rows: pa.Table) -> pd.DataFrame:
+    return rows.select(["doc_id", "text", "part"]).to_pandas(types_mapper=AS_THEY_ARE.get)
+
+
+def _messages(turn: int, part: int, rows: list[tuple[int, bytes]]) -> pa.Table:
+    return pa.Table.from_pandas(exchange.messages(part, rows).assign(round=np.int32(turn)), SENT, preserve_index=False)
 
 
 def _ids(pdf: pd.DataFrame) -> np.ndarray:
@@ -111,10 +134,19 @@ def _ids(pdf: pd.DataFrame) -> np.ndarray:
 def _asked(pdf: pd.DataFrame, found, buckets: int):
     """Distinct anchor hashes, whether several documents here have them, order, counts and routes."""
     doc, h = found[:2]
-    values, _, counts, order = textblocks.distinct(h)
-    ids = _ids(pdf)[doc][order]
-    begins = np.concatenate([[0], np.cumsum(counts)[:-1]]).astype(np.int64)
-    several = np.minimum.reduceat(ids, begins) != np.maximum.reduceat(ids, begins) if len(ids) else np.zeros(0, bool)
+    order = np.argsort(h).astype(np.int32)
+    s = h[order]
+    new = np.ones(len(s), bool)
+    new[1:] = s[1:] != s[:-1]
+    begins = np.flatnonzero(new).astype(np.int32)
+    values = s[begins]
+    del s
+    own = np.unique(_ids(pdf), return_inverse=True)[1].astype(np.int32)[doc][order]
+    another = np.zeros(len(own), bool)
+    another[1:] = (own[1:] != own[:-1]) & ~new[1:]
+    del own, new
+    several = np.logical_or.reduceat(another, begins) if len(begins) else another
+    counts = np.diff(begins, append=np.int32(len(order)))
     return values, several, order, counts, exchange.by_bucket((values >> np.uint64(16)).astype(np.uint32) % np.uint32(buckets))
 
 
@@ -151,7 +183,7 @@ def _shared(pdf: pd.DataFrame, found, answers: dict, buckets: int) -> tuple[np.n
         several[x] |= said[: len(x)]
         hot[x] = said[len(x) :]
     chosen = order[np.repeat(several, counts)]
-    often = np.repeat(hot, counts)[np.repeat(several, counts)]
+    often = np.repeat(hot[several], counts[several])
     place = np.argsort(chosen)
     return chosen[place], often[place]
 
@@ -185,9 +217,9 @@ class Stretches:
     later one: stretches are numbered by doc_id and text, so that both number alike.
     """
 
-    def __init__(self, pdf: pd.DataFrame, found, chosen: np.ndarray, hot: np.ndarray, length: int, buckets: int):
+    def __init__(self, pdf: pd.DataFrame, found, chosen: np.ndarray | slice, hot: np.ndarray, length: int, buckets: int):
         doc, h, first, last = (x[chosen] for x in found[:4])
-        ids, texts = _ids(pdf), pdf["text"].to_numpy()
+        ids, texts = _ids(pdf), pdf["text"]
         # rows of one doc_id and one text may change places; their stretches are the same
         rank = np.empty(len(ids), np.int64)
         rank[_row_order(ids, pdf["text"])] = np.arange(len(ids))
@@ -198,12 +230,12 @@ class Stretches:
         self.doc, self.first = doc[by], first[by] + np.where(often, _spread(np.zeros(len(pieces), np.int64), pieces), 0)
         end = np.where(often, self.first, last[by]) + length
         number: dict[bytes, int] = {}
-        of: list[int] = []
+        self.of = np.empty(len(by), np.int32)
         begins, lengths = _runs(self.doc)
         for a, n in zip(begins.tolist(), lengths.tolist(), strict=True):
-            raw = encoded(texts[self.doc[a]])
-            of += [number.setdefault(raw[i:j], len(number)) for i, j in zip(self.first[a : a + n].tolist(), end[a : a + n].tolist(), strict=True)]
-        self.of = np.array(of, np.int64)
+            raw = encoded(texts.iat[self.doc[a]])
+            spans = zip(self.first[a : a + n].tolist(), end[a : a + n].tolist(), strict=True)
+            self.of[a : a + n] = [number.setdefault(raw[i:j], len(number)) for i, j in spans]
         self.texts = list(number)
         # doc_ids ascend, so that the first bearer of a stretch has the smallest
         bearer = np.flatnonzero(np.diff(np.maximum.accumulate(self.of), prepend=-1))
@@ -224,6 +256,16 @@ class Stretches:
         return zstandard.compress(raw, 3)
 
 
+def _sent(pdf: pd.DataFrame, said: dict, length: int, gram: int, buckets: int) -> Stretches:
+    """The stretches of a part whose questions were answered by ``said``; its other anchors are let go before."""
+    found = _anchors_of(pdf, length, gram, stretches=False)
+    chosen, hot = _shared(pdf, found, said, buckets)
+    found = [x[chosen] for x in found[:4]]
+    del chosen
+    give_back()
+    return Stretches(pdf, found, slice(None), hot, length, buckets)
+
+
 def _unpacked(payload: bytes):
     payload = zstandard.decompress(payload)
     (n,) = struct.unpack_from("<I", payload)
@@ -351,37 +393,40 @@ class _Exchange:
         buckets *= 2
         hot = HOT
 
-        def sent_by(pdf: pd.DataFrame, said: dict) -> Stretches:
-            found = _anchors_of(pdf, length, gram)
-            return Stretches(pdf, found, *_shared(pdf, found, said, buckets), length, buckets)
-
-        def ask(pdf: pd.DataFrame) -> pd.DataFrame:
+        def ask(rows: pa.Table) -> pa.Table:
+            pdf = _part(rows)
             found = _anchors_of(pdf, length, gram)
             values, _, order, counts, routed = _asked(pdf, found, buckets)
             crowded = _crowded(found, order, counts, hot)
-            return exchange.messages(int(pdf["part"].iloc[0]), [(b, _question(values[x], crowded[x])) for b, x in routed]).assign(round=np.int32(1))
+            return _messages(1, int(pdf["part"].iloc[0]), [(b, _question(values[x], crowded[x])) for b, x in routed])
 
         def answer_asked(pdf: pd.DataFrame) -> pd.DataFrame:
             return pd.DataFrame({"round": np.int32(1), "part": pdf["part"].to_numpy(), "bucket": pdf["bucket"].to_numpy(), "payload": _answered(pdf)})
 
-        def send(pdf: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
-            if not len(pdf):
-                return pd.DataFrame({"round": [], "part": [], "bucket": [], "payload": []})
-            sent = sent_by(pdf, dict(zip(answers["bucket"], answers["payload"], strict=True)))
-            return exchange.messages(int(pdf["part"].iloc[0]), [(b, sent.payload(x)) for b, x in sent.routed]).assign(round=np.int32(2))
+        def send(rows: pa.Table, answers: pa.Table) -> pa.Table:
+            if not len(rows):
+                return SENT.empty_table()
+            pdf = _part(rows)
+            said = dict(zip(answers["bucket"].to_pylist(), answers["payload"].to_pylist(), strict=True))
+            sent = _sent(pdf, said, length, gram, buckets)
+            return _messages(2, int(pdf["part"].iloc[0]), [(b, sent.payload(x)) for b, x in sent.routed])
 
         def answer_sent(pdf: pd.DataFrame) -> pd.DataFrame:
             return pd.DataFrame({"round": np.int32(2), "part": pdf["part"].to_numpy(), "bucket": pdf["bucket"].to_numpy(), "payload": _refine(pdf, length)})
 
-        def cut(pdf: pd.DataFrame, answers: pd.DataFrame) -> list[tuple]:
+        def cut(rows: pa.Table, answers: pa.Table) -> Iterator[tuple]:
             """doc_id, n_bytes, n_removed, n_spans and kept bytes of each document of a part."""
-            said = {r: dict(zip(x["bucket"], x["payload"], strict=True)) for r, x in answers.groupby("round")}
-            return list(_without(pdf, sent_by(pdf, said.get(1, {})), said.get(2, {}), length))
+            pdf = _part(rows)
+            said = {r: dict(zip(x["bucket"], x["payload"], strict=True)) for r, x in answers.to_pandas().groupby("round")}
+            sent = _sent(pdf, said.get(1, {}), length, gram, buckets)
+            sent.texts = []  # those who send need them
+            give_back()
+            return _without(pdf, sent, said.get(2, {}), length)
 
         asking = parts.select("doc_id", "text", "part").groupBy("part")
         names = ["round", "part", "bucket", "payload"]
-        first = asking.applyInPandas(giving_back(ask), MESSAGE).groupBy("bucket").applyInPandas(giving_back(answer_asked), MESSAGE)
-        second = asking.cogroup(first.groupBy("part")).applyInPandas(giving_back(send), MESSAGE).groupBy("bucket").applyInPandas(giving_back(answer_sent), MESSAGE)
+        first = asking.applyInArrow(giving_back(ask), MESSAGE).groupBy("bucket").applyInPandas(giving_back(answer_asked), MESSAGE)
+        second = asking.cogroup(first.groupBy("part")).applyInArrow(giving_back(send), MESSAGE).groupBy("bucket").applyInPandas(giving_back(answer_sent), MESSAGE)
         self.cut = cut
         self.met = parts.groupBy("part").cogroup(first.select(names).unionByName(second).groupBy("part"))
 
@@ -395,10 +440,12 @@ def removed_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> Da
     exchanged = _Exchange(docs.select("doc_id", "text"), [], length, gram)
     cut = exchanged.cut
 
-    def remove(pdf: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame(cut(pdf, answers) if len(pdf) else [], columns=[c.split()[0] for c in RESULT.split(", ")])
+    def remove(rows: pa.Table, answers: pa.Table) -> pa.Table:
+        done = cut(rows, answers) if len(rows) else iter(())
+        columns = (zip(*some, strict=True) for some in itertools.batched(done, CUT_ROWS))
+        return pa.Table.from_batches([pa.record_batch([pa.array(x, f.type) for x, f in zip(c, CUT, strict=True)], schema=CUT) for c in columns], CUT)
 
-    return exchanged.met.applyInPandas(giving_back(remove), RESULT).withColumn("doc_id", F.when(F.col("doc_id") != NULL_ID, F.col("doc_id")))
+    return exchanged.met.applyInArrow(giving_back(remove), RESULT).withColumn("doc_id", F.when(F.col("doc_id") != NULL_ID, F.col("doc_id")))
 
 
 def _without(pdf: pd.DataFrame, sent: Stretches, answers: dict, length: int):
@@ -410,7 +457,7 @@ def _without(pdf: pd.DataFrame, sent: Stretches, answers: dict, length: int):
         flags[_spread(begin[x], n)] = exchange.bits(answers[b], int(n.sum()))
     order = np.argsort(sent.doc, kind="stable")
     cuts = np.searchsorted(sent.doc[order], np.arange(len(ids) + 1))
-    for block in textblocks.blocks(pdf["text"]):
+    for block in textblocks.blocks(pdf["text"], target=CUT_BYTES):
         some = order[cuts[block.first] : cuts[block.first + block.count]]
         doc, of = sent.doc[some], sent.of[some]
         n = sent.room[of]
@@ -432,6 +479,15 @@ def digest(kept: DataFrame) -> DataFrame:
     return kept.selectExpr("doc_id", "n_bytes", "n_removed", "n_spans", "sha2(kept, 256) AS kept_sha256")
 
 
+def _in_place(done: Iterator[tuple], text: pa.ChunkedArray) -> pa.ChunkedArray:
+    """The texts, those that lost bytes by what is left of them, a few at a time."""
+    out = []
+    for k, some in enumerate(itertools.batched(done, CUT_ROWS)):
+        left = [x.decode("utf-8", "ignore") if n and d != NULL_ID else None for d, _, n, _, x in some]
+        out.append(pc.coalesce(pa.array(left, text.type), text.slice(k * CUT_ROWS, len(some)).combine_chunks()))
+    return pa.chunked_array(out, text.type)
+
+
 def without_repeats(docs: DataFrame) -> DataFrame:
     """The documents with repeated spans cut out of their texts; ``n_chars``, if there, counts anew.
 
@@ -450,12 +506,10 @@ def without_repeats(docs: DataFrame) -> DataFrame:
     def remove(rows: pa.Table, answers: pa.Table) -> pa.Table:
         text = rows["text"]
         if len(rows):
-            done = cut(rows.select(["doc_id", "text", "part"]).to_pandas(), answers.to_pandas())
-            kept = [x.decode("utf-8", "ignore") if n and d != NULL_ID else None for d, _, n, _, x in done]
-            text = pc.coalesce(pa.array(kept, text.type), text)
+            text = _in_place(cut(rows, answers), text)
         return pa.table([text if i == text_at else rows[o] for i, o in enumerate(own)], names=own)
 
-    out = exchanged.met.applyInArrow(remove, schema).withColumnsRenamed(dict(zip(own, docs.columns, strict=True)))
+    out = exchanged.met.applyInArrow(giving_back(remove), schema).withColumnsRenamed(dict(zip(own, docs.columns, strict=True)))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(F.col("text").isNotNull(), F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
     return out

@@ -3,13 +3,16 @@
 import base64
 import collections
 import cProfile
+import gc
 import hashlib
 import math
 import random
+import tracemalloc
 import zlib
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 import public_tokenizers
 import tiktoken
@@ -198,6 +201,32 @@ def test_suffix_dedup_makes_no_calls_for_each_string():
     assert len(sent.of) > 3000 and calls < len(sent.of) / 2
 
 
+def test_suffix_dedup_holds_few_bytes_beside_the_text(monkeypatch):
+    """The anchors of a part and what is made of them to ask take a few times its text, and texts are put in place few at a time."""
+    monkeypatch.setattr(suffix_dedup, "ANCHORED_BYTES", 1 << 14)
+    rng = random.Random(6)
+    lines = [prose(rng, 60) for _ in range(4000)]
+    pdf = pd.DataFrame([(i, " ".join(rng.sample(lines, 4))) for i in range(1500)], columns=["doc_id", "text"])
+    size = sum(len(t.encode()) for t in pdf["text"])
+    textblocks.powers(textblocks.BASE, 1)
+
+    def peak(f):
+        gc.collect()
+        tracemalloc.start()
+        try:
+            return f(), tracemalloc.get_traced_memory()[1] / size
+        finally:
+            tracemalloc.stop()
+
+    _, times = peak(lambda: suffix_dedup._asked(pdf, suffix_dedup._anchors_of(pdf, 50, 20), 3))
+    assert size > 1 << 21 and times < 4
+    texts = pa.chunked_array([pdf["text"][:900], pdf["text"][900:]])
+    done = ((i, len(t), i % 2, 1, t[5:].encode()) for i, t in pdf.itertuples(index=False, name=None))
+    left, times = peak(lambda: suffix_dedup._in_place(done, texts))
+    assert times < 1.5
+    assert left.to_pylist() == [t[5:] if i % 2 else t for i, t in pdf.itertuples(index=False, name=None)]
+
+
 def test_suffix_dedup_keeps_columns_and_whole_characters(docs, rows):
     out = suffix_dedup.without_repeats(docs)
     assert out.columns == docs.columns
